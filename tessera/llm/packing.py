@@ -39,6 +39,7 @@ from .word_tokens import tokenizer
 WINDOW, GRAIN, END_ID = 2048, 256, 1
 POOL = 4096  # queues served apart, at most
 OPEN = 4096  # open grains a task holds
+ROWS = 1500  # texts tokenised together
 SHARES = 1 << 20
 MIXED = "\x00mixed"
 PIECE = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long"
@@ -96,8 +97,8 @@ def cut(model_file: str, grain: int):
         words, end = tokenizer(model_file), np.array([END_ID], "<u4").tobytes()
         cutter = _Cutter(TaskContext.get().partitionId(), grain)
         for batch in batches:
-            for at in range(0, batch.num_rows, 500):
-                part = batch.slice(at, 500)
+            for at in range(0, batch.num_rows, ROWS):
+                part = batch.slice(at, ROWS)
                 ids = words.batch(part.column(2).to_pylist())
                 for doc, source, x in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), ids, strict=True):
                     cutter.add("\x00null" if source is None else source, doc, 0, x + end, len(x) // 4 + 1)

@@ -1,70 +1,88 @@
 """Ids of the lower-casing word BPE (tokenizers library), with a cache of distinct words.
 
 The library's pattern never crosses white space, so white-space chunks are
-independent.  A chunk of Latin-1 characters is split by the same pattern here
-and only its distinct lower-cased parts go to the library; any other chunk (and
-any that may hold a special token's string) goes to the library whole.
+independent.  The words of a lot of texts are numbered, each distinct one is
+encoded once, and the texts gather their ids by number.  A chunk of Latin-1
+characters is split by the same pattern here and only its distinct lower-cased
+parts go to the library; any other chunk (and any that may hold a special
+token's string) goes to the library whole.
 """
 
 from __future__ import annotations
 
 import os
 import re
+from array import array
+from itertools import chain
 
 import numpy as np
-import regex
+import pyarrow as pa
+import pyarrow.compute as pc
 
-CHUNKS, PARTS = 400_000, 300_000  # cache sizes; results don't depend on them
+KNOWN = 600_000  # cache size; results don't depend on it
+LOT = 4_000_000  # characters whose words are numbered together
 MODEL = "word_bpe_49k.json"
-_CHUNK = re.compile(r"[^ \t\n\r\x0b\x0c]+")
-_PART = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
+# The library's pattern on lower-cased Latin-1.
+_PART = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-zªµºß-öø-ÿ]+|[0-9²³¹¼-¾]|[^\sa-zªµºß-öø-ÿ0-9²³¹¼-¾]+")
 _PLAIN = re.compile(r"[!-;=-~¡-ÿ]+")  # Latin-1 without white space, controls and "<"
 
 
+def _latin(text: str) -> bool:
+    try:
+        text.encode("latin-1")
+    except UnicodeEncodeError:
+        return False
+    return True
+
+
 class WordTokens:
     def __init__(self, model_file: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(model_file)
-        self.chunks: dict[str, bytes] = {}
-        self.parts: dict[str, bytes] = {}
-
-    def _ask(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, "<u4").tobytes() for e in self.library.encode_batch_fast(texts, add_special_tokens=False)]
-
-    def learn(self, words: set[str]) -> None:
-        if len(self.chunks) + len(words) > CHUNKS:
-            self.chunks.clear()
-        chunks = self.chunks
-        plain, odd = {}, []
-        for w in words:
-            if w not in chunks:
-                if _PLAIN.fullmatch(w):
-                    plain[w] = _PART.findall(w.lower())
-                else:
-                    odd.append(w)
-        chunks.update(zip(odd, self._ask(odd), strict=True))
-        if len(self.parts) > PARTS:
-            self.parts.clear()
-        parts = self.parts
-        new = list({p for w in plain.values() for p in w if p not in parts})
-        parts.update(zip(new, self._ask(new), strict=True))
-        for w, split in plain.items():
-            chunks[w] = b"".join([parts[p] for p in split])
+        self.known: dict[str, bytes] = {}
+
+    def learn(self, words: list[str]) -> list[bytes]:
+        """The ids of each of the distinct ``words``."""
+        if len(self.known) > KNOWN:
+            self.known.clear()
+        known = self.known
+        ids = list(map(known.get, words))
+        open_ = [i for i, x in enumerate(ids) if x is None]
+        split = [_PART.findall(w.lower()) if _PLAIN.fullmatch(w) else [w] for w in map(words.__getitem__, open_)]
+        new = list(set(chain.from_iterable(split)).difference(known))
+        for at in range(0, len(new), 10_000):
+            some = new[at: at + 10_000]
+            known.update(zip(some, [array("I", e.ids).tobytes() for e in self.library.encode_batch_fast(some, add_special_tokens=False)], strict=True))
+        for i, x in zip(open_, split, strict=True):
+            ids[i] = known[x[0]] if len(x) == 1 else b"".join([known[p] for p in x])
+        return ids
+
+    def _lot(self, texts: list[str]) -> list[bytes]:
+        # Lower case first where it changes nothing: it is taken word by word and leaves Latin-1, and special tokens hold "<".
+        lowered = [t.lower() if "<" not in t and _latin(t) else t for t in texts]
+        split = pc.ascii_split_whitespace(pa.array(lowered, pa.string()))
+        coded = split.flatten().dictionary_encode()
+        ids = self.learn(coded.dictionary.to_pylist())
+        flat = np.frombuffer(b"".join(ids), "<u4")
+        size = np.fromiter(map(len, ids), np.int64, len(ids)) // 4
+        which = coded.indices.to_numpy()
+        sizes, starts = size[which], (np.cumsum(size) - size)[which]
+        ends = np.concatenate(([0], np.cumsum(sizes)))
+        every = flat[np.repeat(starts - ends[:-1], sizes) + np.arange(ends[-1])]
+        cuts = ends[split.offsets.to_numpy() - split.offsets[0].as_py()].tolist()
+        return [every[a:b].tobytes() for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
 
     def batch(self, texts: list[str | None]) -> list[bytes]:
         """Each text's ids as little-endian unsigned 32-bit numbers; null is empty."""
-        split = [_CHUNK.findall(t) if t else [] for t in texts]
-        out, lot, count = [], [], 0
-        for i, words in enumerate(split):
-            lot.append(words)
-            count += len(words)
-            if count > 100_000 or i + 1 == len(split):
-                self.learn(set().union(*lot))
-                chunks = self.chunks
-                out += [b"".join([chunks[w] for w in one]) for one in lot]
-                lot, count = [], 0
+        out, lot, size = [], [], 0
+        for i, text in enumerate(texts):
+            lot.append(text or "")
+            size += len(lot[-1])
+            if size > LOT or i + 1 == len(texts):
+                out += self._lot(lot)
+                lot, size = [], 0
         return out
 
 
