@@ -46,6 +46,22 @@ def forget(df: DataFrame) -> None:
         path.getFileSystem(hadoop).delete(path, True)
 
 
+_resident: dict[str, object] = {}
+
+
+def resident(name: str, make: Callable[[], object]) -> object:
+    """A worker's one model with large caches, kept between tasks; the one of another operator goes first."""
+    if name not in _resident:
+        _resident.clear()
+        _resident[name] = make()
+    return _resident[name]
+
+
+def drop_resident() -> None:
+    """Frees the model that an earlier operator left in this worker."""
+    _resident.clear()
+
+
 def shuffle_parts(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

@@ -23,6 +23,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import drop_resident
 from .wordhash import text_buffer, word_bounds
 
 ORDERS = (2, 3, 4)  # bytes of an n-gram
@@ -139,6 +140,7 @@ def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", la
     shared = docs.sparkSession.sparkContext.broadcast(model)  # of fixed size: languages x orders x slots
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        drop_resident()
         model = shared.value
         for batch in batches:
             for at in range(0, batch.num_rows, 400):
@@ -178,6 +180,7 @@ def keep_known(docs: DataFrame, least: float = 0.5, id_col: str = "doc_id", text
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        drop_resident()
         for batch in batches:
             for at in range(0, batch.num_rows, 400):
                 part = batch.slice(at, 400)

@@ -28,6 +28,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import resident
+
 MARK = "▁"
 WORDS = 500_000  # words whose ids a worker keeps; results don't depend on it
 MODEL = "piece_bpe_32k.model"
@@ -160,13 +162,8 @@ def _lots(split: list[list[str]]) -> Iterator[tuple[set[str], list[list[str]]]]:
         yield set(chain.from_iterable(lot)), lot
 
 
-_loaded: dict[str, PieceBpe] = {}
-
-
 def encoder(model_file: str) -> PieceBpe:
-    if model_file not in _loaded:
-        _loaded[model_file] = PieceBpe(model_file)
-    return _loaded[model_file]
+    return resident(f"encoder {model_file}", lambda: PieceBpe(model_file))
 
 
 def encode_digests(docs: DataFrame, model_file: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -28,6 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import drop_resident
 from .wordhash import text_buffer
 
 
@@ -285,21 +286,24 @@ def redact(docs: DataFrame, text_col: str = "text", rules: tuple[Rule, ...] = RU
     schema = docs.schema
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        drop_resident()
         scanner = Scanner(rules)
         for batch in batches:
             at = batch.schema.get_field_index(text_col)
-            column, new = batch.column(at), {}
-            for i, spans in enumerate(scanner.spans(column)):
-                if spans:
-                    text, out, end = column[i].as_py(), [], 0
-                    for a, _, b in spans:
-                        if a >= end:
-                            out += [text[end:a], mask]
-                        end = max(end, b)
-                    new[i] = "".join([*out, text[end:]])
-            if new:
-                column = pa.array([new[i] if i in new else column[i].as_py() for i in range(len(column))], column.type)
-                batch = batch.set_column(at, batch.schema.field(at), column)
-            yield batch
+            for first in range(0, batch.num_rows, 500):
+                part = batch.slice(first, 500)
+                column, new = part.column(at), {}
+                for i, spans in enumerate(scanner.spans(column)):
+                    if spans:
+                        text, out, end = column[i].as_py(), [], 0
+                        for a, _, b in spans:
+                            if a >= end:
+                                out += [text[end:a], mask]
+                            end = max(end, b)
+                        new[i] = "".join([*out, text[end:]])
+                if new:
+                    column = pa.array([new[i] if i in new else column[i].as_py() for i in range(len(column))], column.type)
+                    part = part.set_column(at, part.schema.field(at), column)
+                yield part
 
     return docs.mapInArrow(run, schema)

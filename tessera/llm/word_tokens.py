@@ -19,6 +19,8 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
+from .common import resident
+
 KNOWN = 600_000  # cache size; results don't depend on it
 LOT = 4_000_000  # characters whose words are numbered together
 MODEL = "word_bpe_49k.json"
@@ -86,10 +88,5 @@ class WordTokens:
         return out
 
 
-_loaded: dict[str, WordTokens] = {}
-
-
 def tokenizer(model_file: str) -> WordTokens:
-    if model_file not in _loaded:
-        _loaded[model_file] = WordTokens(model_file)
-    return _loaded[model_file]
+    return resident(f"tokenizer {model_file}", lambda: WordTokens(model_file))
