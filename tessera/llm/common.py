@@ -7,6 +7,9 @@ costs only the tasks that it ran.
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+import gc
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -52,14 +55,19 @@ _resident: dict[str, object] = {}
 def resident(name: str, make: Callable[[], object]) -> object:
     """A worker's one model with large caches, kept between tasks; the one of another operator goes first."""
     if name not in _resident:
-        _resident.clear()
+        drop_resident()
         _resident[name] = make()
     return _resident[name]
 
 
 def drop_resident() -> None:
-    """Frees the model that an earlier operator left in this worker."""
-    _resident.clear()
+    """Frees the model that an earlier operator left in this worker, and gives the memory back."""
+    if _resident:
+        _resident.clear()
+        gc.collect()
+        pa.default_memory_pool().release_unused()
+        with contextlib.suppress(OSError, AttributeError):  # only glibc has it
+            ctypes.CDLL(None).malloc_trim(0)
 
 
 def shuffle_parts(spark: SparkSession) -> int:

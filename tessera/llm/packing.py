@@ -33,7 +33,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import stored
+from .common import drop_resident, stored
 from .word_tokens import tokenizer
 
 WINDOW, GRAIN, END_ID = 2048, 256, 1
@@ -152,6 +152,7 @@ def pack(docs: DataFrame, model_file: str, id_col: str = "doc_id", text_col: str
     index = {n: i for i, n in enumerate(names)}
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        drop_resident()
         for b in batches:
             if not b.num_rows:
                 continue
@@ -167,6 +168,7 @@ def pack(docs: DataFrame, model_file: str, id_col: str = "doc_id", text_col: str
 
     def side_by_side(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         # One grain a task, shorter than a full one: rows sorted by task and place.
+        drop_resident()
         sequence, used, last, shift = windows, 0, None, 0
         for b in batches:
             where, seq = [], []

@@ -19,7 +19,7 @@ BASE = U64(0x9E3779B97F4A7C13)  # odd, and 3 modulo 8: powers differ in high bit
 _INV = U64(pow(int(BASE), -1, 1 << 64))
 _MUL = [U64(0xD6E8FEB86659FD93), U64(0xA0761D6478BD642F), U64(0xE7037ED1A0B428DB),
         U64(0x8EBC6AF09C88C6E3), U64(0x589965CC75374CC3)]
-CHUNK = 1 << 22  # bytes hashed at a time
+CHUNK = 1 << 19  # bytes hashed at a time
 
 _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
