@@ -131,6 +131,27 @@ def test_pseudo_likelihood(docs, none):
     assert pseudo_likelihood.train_and_score(none).count() == 0
 
 
+def test_pseudo_likelihood_predicts_every_word_itself(spark, monkeypatch):
+    r = random.Random(8)
+    pool = words(3000, 5, 10 ** 9)
+    rows = [(i, " ".join(r.choices(words(40, 3), k=15) + r.sample(pool, 5))) for i in range(300)]
+    whole = spark.createDataFrame(rows, "doc_id long, text string")
+    garbled = [" ".join(w if w not in pool else "zq#" * len(w) if len(w) > 40 else ("zq#" * len(w))[:len(w)] for w in t.split()) for _, t in rows[:20]]
+    small = pseudo_likelihood.train(whole.where("doc_id < 50"))
+    monkeypatch.setattr(pseudo_likelihood, "threshold", lambda tokens: 4)
+    network = pseudo_likelihood.train(whole)
+    assert pseudo_likelihood.train(whole.where("doc_id < 3")).first < network.first < len(set(pool)) and small.first > 200
+    some = spark.createDataFrame([*rows[:20], *((1000 + i, t) for i, t in enumerate(garbled))], "doc_id long, text string")
+    got = {x["doc_id"]: x["pseudo_loglik"] for x in pseudo_likelihood.score(some, network).collect()}
+    assert all(got[i] > got[1000 + i] + 20 for i in range(20))
+    # Probabilities of a class sum to one: of its words, and of all spellings of a length.
+    for k in set(network.kind[:network.first].tolist()):
+        assert np.exp(network.own[:network.first][network.kind[:network.first] == k]).sum() == pytest.approx(1)
+    points = [chr(c) for c in range(0x110000)]
+    assert np.exp(network.spelling.log_probability(points)).sum() == pytest.approx(1, abs=1e-6)
+    assert np.exp(network.spelling.log_probability(["ra" + c for c in points])).sum() == pytest.approx(np.exp(network.spelling.log_probability(["ra"])[0]), rel=1e-6)
+
+
 def test_piece_ids_and_text(docs, none):
     path = tokenizer_path(piece_bpe.MODEL)
     sp = piece_bpe.encoder(path).library
