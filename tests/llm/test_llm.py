@@ -152,6 +152,14 @@ def test_pseudo_likelihood_predicts_every_word_itself(spark, monkeypatch):
     assert np.exp(network.spelling.log_probability(["ra" + c for c in points])).sum() == pytest.approx(np.exp(network.spelling.log_probability(["ra"])[0]), rel=1e-6)
 
 
+def test_descent_uses_full_counts():
+    network = pseudo_likelihood.Network({"a": 1, "b": 1}, {}, pseudo_likelihood.Spelling(np.zeros(0, np.int64), np.zeros(0)))
+    rows = np.array([[0, network.size, network.size, 0, 0], [1, network.size, network.size, 0, 0]])
+    for _ in range(400):
+        network.descend(rows, np.array([2000, 60]), 0.5)
+    assert np.exp(network.log_likelihood(rows)) == pytest.approx([2000 / 2060, 60 / 2060], rel=0.1)
+
+
 def test_piece_ids_and_text(docs, none):
     path = tokenizer_path(piece_bpe.MODEL)
     sp = piece_bpe.encoder(path).library
