@@ -43,12 +43,19 @@ class Rule:
     run: str = ""  # a full scan by runs: the byte class, at least ``least`` long
 
 
+_PEM = r"PRIVATE\x20KEY(?:\x20BLOCK)?-----"
+_GAP = r"(?:\s|\\[rn])"  # line ends may be escaped
+#: A private key from its header through its END line; without one, through its header fields and base64 lines.
+PEM = (rf"-----BEGIN\x20[A-Z0-9\x20]*{_PEM}(?:(?:(?!-----)[\s\S])*?-----END\x20[A-Z0-9\x20]*{_PEM}"
+       rf"|(?:{_GAP}*[A-Za-z][A-Za-z0-9-]*:\x20[^\r\n\\]*(?={_GAP}))*(?:{_GAP}*[A-Za-z0-9+/]{{16,}}={{0,2}})*"
+       rf"(?:{_GAP}+(?:[A-Za-z0-9+/]+={{1,2}}|[A-Za-z0-9+/]+(?=\s*\Z|\r?\n|\\[rn])))?(?:{_GAP}+=[A-Za-z0-9+/]{{4}}(?![A-Za-z0-9+/]))?)")
+
 #: The base rules of the contract, then the added kinds.
 RULES = (
     Rule("assign", r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", True, 2, 6, True),
     Rule("access", r"AKIA[A-Z0-9]+", least=20, base=True),
     Rule("hex", r"[0-9a-f]+", least=24, base=True, run="0123456789abcdef"),
-    Rule("pem", r"-----BEGIN [A-Z ]*PRIVATE KEY-----", least=1),
+    Rule("pem", PEM, least=1),
     Rule("jwt", r"eyJ[A-Za-z0-9_-]{8,}\.eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}", least=1),
     Rule("github", r"gh[pousr]_[A-Za-z0-9]{36,}", least=1),
     Rule("slack", r"xox[abprs]-[A-Za-z0-9-]{10,}", least=1),
