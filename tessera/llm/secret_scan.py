@@ -60,7 +60,7 @@ RULES = (
     Rule("github", r"gh[pousr]_[A-Za-z0-9]{36,}", least=1),
     Rule("slack", r"xox[abprs]-[A-Za-z0-9-]{10,}", least=1),
     Rule("google", r"AIza[A-Za-z0-9_-]{35}", least=1),
-    Rule("url_login", r"[a-z]{3,10}://[^\s/:@]{1,64}:[^\s/:@]{3,64}@[A-Za-z0-9.-]+", least=1),
+    Rule("url_login", r"[A-Za-z]{3,10}://[^\s/:@]+:[^\s/:@]{3,}@[A-Za-z0-9.-]+", least=1),
 )
 
 

@@ -305,6 +305,12 @@ def test_private_keys_are_masked_whole(spark):
     assert all(f"pem:10:{10 + len(k)}" in spans[i] for i, k in enumerate(keys))
 
 
+def test_url_logins_of_any_length():
+    urls = ["https://oauth2:" + "t" * 300 + "@git.example.org", "HTTPS://me:pass@example.org", "ftp://" + "u" * 90 + ":abc@h.org"]
+    for url, spans in zip(urls, secret_scan.Scanner().spans(pa.array([f"see {u} now" for u in urls])), strict=True):
+        assert (4, [r.kind for r in secret_scan.RULES].index("url_login"), 4 + len(url)) in spans
+
+
 def test_trigram_queries_hold_for_all_matches():
     r = random.Random(9)
     alphabet = "tokenTOKEN=:'\" password_-apikeyAKIA0f9xsg."
