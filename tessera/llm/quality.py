@@ -3,8 +3,11 @@
 A text fails the base rules with under 50 words, or when over half of its words
 lie in three-word windows that it repeats.  Of the rest, a public vocabulary
 measures characters per token, the share of byte-fallback tokens (line ends and
-tabs aside) and the entropy of the tokens; a text outside its script's band is
-rejected.  Scripts are told by the lead bytes of UTF-8 letters.
+tabs aside) and the entropy of the tokens; a text outside its band is rejected.
+Every script and language (column ``lang``, if there is one) has its own band,
+from the quantiles of its texts that pass the base rules: ``FENCE`` spreads
+beyond the twentieth parts at both ends.  With under ``FEW`` such texts the wide
+band of the script holds.  Scripts are told by the first bytes of UTF-8 letters.
 
 Defined cases: null and empty texts have no words and fail; very long texts are
 measured whole; repeated rows repeat; other columns are ignored; a text without
@@ -22,6 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import stored
 from .piece_bpe import encoder
 from .wordhash import U64, mix, text_buffer, windows, word_bounds, word_hashes
 
@@ -39,17 +43,30 @@ class Band:
     entropy: float
 
 
-#: Rejection bands by script.
+_BYTES = Band(0.2, 8.0, 1.0, 2.5)  # the vocabulary may spell such a script in bytes
+#: Bands by script where too few texts are there to measure one.
 BANDS = {
     "latin": Band(1.3, 8.0, 0.05, 4.0), "greek": Band(0.5, 4.0, 0.10, 4.0), "cyrillic": Band(0.8, 6.0, 0.10, 4.0),
-    "arabic": Band(0.5, 4.0, 0.15, 4.0), "indic": Band(0.3, 4.0, 0.60, 3.5), "han": Band(0.3, 3.0, 0.60, 4.0),
-    "hangul": Band(0.3, 3.0, 0.60, 4.0), "other": Band(0.5, 8.0, 0.30, 3.0),
+    "arabic": Band(0.5, 4.0, 0.15, 4.0), "han": Band(0.3, 3.0, 0.60, 4.0), "hangul": Band(0.3, 3.0, 0.60, 4.0),
+    **dict.fromkeys(("armenian", "hebrew", "syriac", "thaana", "nko", "devanagari", "bengali", "gurmukhi", "gujarati", "oriya", "tamil", "telugu", "kannada",
+                     "malayalam", "sinhala", "thai", "lao", "tibetan", "myanmar", "georgian", "ethiopic", "cherokee", "khmer", "mongolian", "kana", "other"), _BYTES),
 }
 _NAMES = list(BANDS)
-_SCRIPT = np.full(256, len(_NAMES), np.int8)
-for _name, _leads in {"latin": [*range(65, 91), *range(97, 123), *range(0xC3, 0xCA)], "greek": [0xCE, 0xCF], "cyrillic": range(0xD0, 0xD4),
-                      "arabic": range(0xD8, 0xDC), "indic": [0xE0], "han": range(0xE3, 0xEA), "hangul": range(0xEA, 0xEE)}.items():
+_SCRIPT = np.full(256, len(_NAMES) - 1, np.int8)
+for _name, _leads in {"latin": [*range(65, 91), *range(97, 123), *range(0xC3, 0xCA)], "greek": [0xCE, 0xCF], "cyrillic": range(0xD0, 0xD4), "armenian": [0xD4, 0xD5],
+                      "hebrew": [0xD6, 0xD7], "arabic": range(0xD8, 0xDC), "syriac": [0xDC], "thaana": [0xDE], "nko": [0xDF], "han": range(0xE3, 0xEA),
+                      "hangul": range(0xEA, 0xEE)}.items():
     _SCRIPT[list(_leads)] = _NAMES.index(_name)
+#: Lead bytes that several scripts share: the script by the second byte.
+_SECOND = {lead: np.full(256, _SCRIPT[lead], np.int8) for lead in (0xE0, 0xE1, 0xE3)}
+for _lead, _name, _low, _high in (
+        (0xE0, "devanagari", 0xA4, 0xA5), (0xE0, "bengali", 0xA6, 0xA7), (0xE0, "gurmukhi", 0xA8, 0xA9), (0xE0, "gujarati", 0xAA, 0xAB), (0xE0, "oriya", 0xAC, 0xAD),
+        (0xE0, "tamil", 0xAE, 0xAF), (0xE0, "telugu", 0xB0, 0xB1), (0xE0, "kannada", 0xB2, 0xB3), (0xE0, "malayalam", 0xB4, 0xB5), (0xE0, "sinhala", 0xB6, 0xB7),
+        (0xE0, "thai", 0xB8, 0xB9), (0xE0, "lao", 0xBA, 0xBB), (0xE0, "tibetan", 0xBC, 0xBF), (0xE1, "myanmar", 0x80, 0x82), (0xE1, "georgian", 0x83, 0x83),
+        (0xE1, "hangul", 0x84, 0x87), (0xE1, "ethiopic", 0x88, 0x8E), (0xE1, "cherokee", 0x8E, 0x8F), (0xE1, "khmer", 0x9E, 0x9F), (0xE1, "mongolian", 0xA0, 0xA2),
+        (0xE1, "latin", 0xB8, 0xBB), (0xE1, "greek", 0xBC, 0xBF), (0xE3, "kana", 0x81, 0x83)):
+    _SECOND[_lead][_low: _high + 1] = _NAMES.index(_name)
+FEW, FENCE, LEAST = 50, 1.5, 0.1  # texts; spreads (median to twentieth part); of the median, where all texts are alike
 _IS_SYMBOL = np.zeros(256, bool)
 _IS_SYMBOL[list(SYMBOLS.encode())] = True
 _STRIP = " \t\n\x0b\x0c\r"
@@ -88,7 +105,11 @@ def base_counts(texts: pa.Array) -> dict[str, np.ndarray]:
                     lines[i] += line.strip(_STRIP) != ""
                 seen.add(line)
     script = _SCRIPT[data] if n else _SCRIPT[:0]
-    letters = np.stack([_per_text(script == k, offsets) for k in range(len(_NAMES) - 1)])
+    for lead, second in _SECOND.items():
+        at = np.flatnonzero(data[:-1] == lead) if len(data) else np.zeros(0, np.int64)
+        script[at] = second[data[at + 1]]
+    there = np.bincount(script, minlength=len(_NAMES))
+    letters = np.stack([_per_text(script == k, offsets) if there[k] else np.zeros(n, np.int64) for k in range(len(_NAMES) - 1)])
     best = letters.argmax(0) if n else np.zeros(0, np.int64)
     return {
         "n_words": np.bincount(doc, minlength=n), "word_chars": word_chars.astype(np.int64),
@@ -117,46 +138,76 @@ def fertility(texts: list[str | None], chars: np.ndarray, bpe) -> tuple[np.ndarr
     return np.where(n > 0, chars / some, 0.0), share, np.bincount(owner, weights=-p * np.log2(p), minlength=len(n))
 
 
-def measure(docs: DataFrame, model_file: str, id_col: str = "doc_id", text_col: str = "text", bands: dict[str, Band] = BANDS) -> DataFrame:
-    """One row per document: doc_id, the base counts, base_failed, kept, script, chars_per_token, byte_share, token_entropy."""
+_MEASURED = {"n_words": "long", "word_chars": "long", "n_symbols": "long", "n_dup_lines": "long", "n_repeat_words": "long", "base_failed": "boolean",
+             "script": "string", "chars_per_token": "double", "byte_share": "double", "token_entropy": "double"}
+_OWN = "quality own "
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bpe = encoder(model_file)
-        edge = np.array([[bands[s].low, bands[s].high, bands[s].bytes, bands[s].entropy] for s in _NAMES])
-        for batch in batches:
-            for at in range(0, batch.num_rows, 500):
-                part = batch.slice(at, 500)
-                c = base_counts(part.column(1))
-                per, share, entropy = fertility(part.column(1).to_pylist(), c["chars"], bpe)
-                failed = (c["n_words"] < MIN_WORDS) | (100 * c["n_repeat_words"] > MAX_REPEAT * c["n_words"])
-                e = edge[c["script"]]
-                kept = ~failed & (per >= e[:, 0]) & (per <= e[:, 1]) & (share <= e[:, 2]) & (entropy >= e[:, 3])
-                yield pa.RecordBatch.from_arrays(
-                    [part.column(0), *(pa.array(c[k], pa.int64()) for k in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")),
-                     pa.array(failed), pa.array(kept), pa.array([_NAMES[s] for s in c["script"]], pa.string()), pa.array(per), pa.array(share), pa.array(entropy)],
-                    names=["doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "script",
-                           "chars_per_token", "byte_share", "token_entropy"])
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(
-        run, "doc_id long, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean, "
-             "kept boolean, script string, chars_per_token double, byte_share double, token_entropy double")
-
-
-def keep_good(docs: DataFrame, model_file: str, text_col: str = "text", bands: dict[str, Band] = BANDS) -> DataFrame:
-    """The rows of ``docs`` that the rules keep, all columns as they are."""
+def _measured(docs: DataFrame, model_file: str, text_col: str, passing: bool) -> DataFrame:
+    """``docs`` and what is measured of each text, in columns named with ``_OWN``; only texts that pass the base rules with ``passing``."""
+    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema), *(f"`{_OWN}{k}` {v}" for k, v in _MEASURED.items())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = encoder(model_file)
-        edge = np.array([[bands[s].low, bands[s].high, bands[s].bytes, bands[s].entropy] for s in _NAMES])
         for batch in batches:
             for at in range(0, batch.num_rows, 500):
                 part = batch.slice(at, 500)
                 texts = part.column(part.schema.get_field_index(text_col))
                 c = base_counts(texts)
+                failed = (c["n_words"] < MIN_WORDS) | (100 * c["n_repeat_words"] > MAX_REPEAT * c["n_words"])
                 per, share, entropy = fertility(texts.to_pylist(), c["chars"], bpe)
-                e = edge[c["script"]]
-                kept = (c["n_words"] >= MIN_WORDS) & (100 * c["n_repeat_words"] <= MAX_REPEAT * c["n_words"])
-                kept &= (per >= e[:, 0]) & (per <= e[:, 1]) & (share <= e[:, 2]) & (entropy >= e[:, 3])
-                yield part.filter(pa.array(kept))
+                new = [*(pa.array(c[k], pa.int64()) for k in list(_MEASURED)[:5]), pa.array(failed), pa.array([_NAMES[k] for k in c["script"]], pa.string()),
+                       pa.array(per), pa.array(share), pa.array(entropy)]
+                out = pa.RecordBatch.from_arrays([*part.columns, *new], names=[*part.schema.names, *(_OWN + k for k in _MEASURED)])
+                yield out.filter(pa.array(~failed)) if passing else out
+
+    return docs.mapInArrow(run, schema)
+
 
-    return docs.mapInArrow(run, docs.schema)
+def _own(name: str):
+    return F.col(f"`{_OWN}{name}`")
+
+
+def fences(measured: DataFrame, lang_col: str | None) -> dict[tuple[str, str | None], Band]:
+    """The bands by script and language of all texts that pass the base rules."""
+    cut = lambda k: F.percentile(F.round(_own(k), 3), F.array(F.lit(0.05), F.lit(0.5), F.lit(0.95))).alias(k)  # noqa: E731  (rounded: few distinct values)
+    rows = (measured.where(~_own("base_failed")).groupBy(_own("script").alias("script"), (F.col(lang_col) if lang_col else F.lit(None).cast("string")).alias("lang"))
+            .agg(F.count("*").alias("n"), cut("chars_per_token"), cut("byte_share"), cut("token_entropy")).where(F.col("n") >= FEW).collect())
+    bands = {}
+    for r in rows:
+        (low, mid, high), share, entropy = r["chars_per_token"], r["byte_share"], r["token_entropy"]
+        wide = max(FENCE * max(mid - low, high - mid), LEAST * mid)
+        bands[r["script"], r["lang"]] = Band(low - wide, high + 2 * wide, share[2] + max(FENCE * (share[2] - share[1]), 0.05),
+                                             entropy[0] - max(FENCE * (entropy[1] - entropy[0]), LEAST * entropy[1]))
+    return bands
+
+
+def _inside(measured: DataFrame, lang_col: str | None, bands: dict[str, Band]):
+    """Whether a text passes the base rules and lies in its band."""
+    found = fences(measured, lang_col)
+    edge = lambda b: F.array(*(F.lit(float(x)) for x in (b.low, b.high, b.bytes, b.entropy)))
+    lang = F.coalesce(F.concat(F.lit(":"), F.col(lang_col)), F.lit("")) if lang_col else F.lit("")
+    wide = F.create_map(*chain.from_iterable((F.lit(k), edge(b)) for k, b in bands.items()))[_own("script")]
+    own = F.create_map(*chain.from_iterable((F.lit(k + ("" if x is None else f":{x}")), edge(b)) for (k, x), b in found.items()))[F.concat(_own("script"), lang)] if found else None
+    e = F.coalesce(own, wide) if found else wide
+    return (~_own("base_failed") & (_own("chars_per_token") >= e[0]) & (_own("chars_per_token") <= e[1]) & (_own("byte_share") <= e[2])
+            & (_own("token_entropy") >= e[3]))
+
+
+def _lang(docs: DataFrame) -> str | None:
+    return "lang" if "lang" in docs.columns and docs.schema["lang"].dataType.simpleString() == "string" else None
+
+
+def measure(docs: DataFrame, model_file: str, id_col: str = "doc_id", text_col: str = "text", bands: dict[str, Band] = BANDS) -> DataFrame:
+    """One row per document: doc_id, the base counts, base_failed, kept, script, chars_per_token, byte_share, token_entropy."""
+    lang = _lang(docs)
+    some = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"), *([lang] if lang else []))
+    found = stored(_measured(some, model_file, "text", False).drop("text"), "quality")
+    names = list(_MEASURED)
+    return found.select("doc_id", *(_own(k).alias(k) for k in names[:6]), _inside(found, lang, bands).alias("kept"), *(_own(k).alias(k) for k in names[6:]))
+
+
+def keep_good(docs: DataFrame, model_file: str, text_col: str = "text", bands: dict[str, Band] = BANDS) -> DataFrame:
+    """The rows of ``docs`` that the rules keep, all columns as they are."""
+    found = stored(_measured(docs, model_file, text_col, True), "quality")
+    return found.where(_inside(found, _lang(docs), bands)).select(*docs.columns)

@@ -263,6 +263,27 @@ def test_quality(docs, none):
     assert {r["doc_id"] for r in quality.keep_good(docs, path).collect()} == {r["doc_id"] for r in got if r["kept"]}
 
 
+def test_bands_follow_the_documents(spark):
+    r = random.Random(6)
+    english = ("the people of this country have made their own way through many years of work and trade and when they look back upon it there is much that "
+               "could be said for those who came before them while others only want to know what will happen next in the small towns along the river").split()
+    letters = {"am": range(0x1200, 0x1246), "my": range(0x1000, 0x1021), "gu": range(0xA95, 0xAA9), "ml": range(0xD15, 0xD3A), "hi": range(0x915, 0x93A),
+               "ka": range(0x10D0, 0x10F1), "he": range(0x5D0, 0x5EB), "th": range(0xE01, 0xE2F), "ru": range(0x430, 0x450)}
+    spell = lambda chars, n: " ".join("".join(r.choices(chars, k=r.randint(2, 7))) for _ in range(n))
+    rows = [(i, " ".join(r.choices(english, k=150)), "en") for i in range(200)]
+    for k, c in letters.items():
+        rows += [(len(rows) + i, spell([chr(x) for x in c], 120), k) for i in range(60)]
+    few = [(5000 + i, spell([chr(x) for x in range(0x1780, 0x17A3)], 120), "km") for i in range(3)]
+    bad = [(6000 + i, spell(chars, 300), "en") for i, chars in enumerate(["abcdefghijklmnopqrstuvwxyz", "asdfghjkl"] * 3)]
+    df = spark.createDataFrame([*rows, *few, *bad], "doc_id long, text string, lang string").repartition(4)
+    path = tokenizer_path(piece_bpe.MODEL)
+    got = {x["doc_id"]: x for x in quality.measure(df, path).collect()}
+    assert not any(got[i]["base_failed"] for i, *_ in [*rows, *few, *bad]) and not any(got[i]["kept"] for i, *_ in bad)
+    lost = Counter(k for i, _, k in [*rows, *few] if not got[i]["kept"])
+    assert all(n <= 2 for n in lost.values()) and "km" not in lost
+    assert {x["script"] for i, x in got.items()} == {"latin", "ethiopic", "myanmar", "gujarati", "malayalam", "devanagari", "georgian", "hebrew", "thai", "cyrillic", "khmer"}
+
+
 def test_secrets(docs, none):
     got = {r["doc_id"]: r for r in secret_scan.scan(docs).collect()}
     x = got[14]
