@@ -191,6 +191,29 @@ def test_packing(docs, none, targets):
     assert packing.pack(none, path).count() == 0
 
 
+def test_packing_serves_small_sources(spark):
+    path = tokenizer_path(word_tokens.MODEL)
+    r = random.Random(3)
+    # The small sources hold under 1/4096 of the grains each.
+    rows = [(i, " ".join(words(3000, i)), "big") for i in range(12)] + [(100 + i, " ".join(words(14, i)), f"small{r.randrange(60):02d}") for i in range(120)]
+    rows += [(900, " ".join(words(10, 900)), "named")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(3)
+    out = packing.pack(df, path, window=32, grain=8).toPandas()
+    small = out[out.queue.str.startswith("small")]
+    assert set(small.queue) == {f"small{k:02d}" for k in range(60) if f"small{k:02d}" in {s for _, _, s in rows}}
+    last = out.sequence_id.max()
+    share = [small[(small.sequence_id >= last * k / 4) & (small.sequence_id < last * (k + 1) / 4)].length.sum() / small.length.sum() for k in range(4)]
+    assert min(share) > 0.1
+    runs = small.sort_values(["sequence_id", "offset"]).queue
+    assert (runs.to_numpy()[1:] != runs.to_numpy()[:-1]).mean() > 0.4
+    aimed = packing.pack(df, path, window=32, grain=8, targets={"named": 0.5, "big": 0.5}).toPandas()
+    assert aimed[aimed.queue == "named"].sequence_id.max() <= 10
+    for got in (out, aimed):
+        assert got.groupby("doc_id").length.sum().to_dict() == got.groupby("doc_id").doc_tokens.first().to_dict()
+        for _, s in got.sort_values("offset").groupby("sequence_id"):
+            assert (s.offset == s.length.cumsum() - s.length).all() and s.length.sum() <= 32
+
+
 def test_slots_are_a_permutation():
     sizes = np.array([5, 90, 40, 1])
     g = np.concatenate([np.arange(k) for k in sizes])
