@@ -374,3 +374,14 @@ def test_pipeline_against_its_parts(spark, tmp_path):
     out = corpus_pipeline.run(spark, str(tmp_path)).toPandas()
     assert set(out.doc_id) == set(range(20)) and out.groupby("sequence_id").length.sum().max() <= 2048
     assert len(corpus_pipeline.STAGES) == 5
+
+
+def test_near_duplicates_go_by_row(spark):
+    import corpus_pipeline
+
+    a, b, c, d = (" ".join(words(80, k, 5000)) for k in range(4))
+    rows = [(1, a), (1, a), (1, a), (2, a + " tail"), (2, b), (3, c), (None, c), (0, d), (9, d)]
+    df = spark.createDataFrame([(i, t, "en", "s", 1) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long").repartition(3)
+    kept = corpus_pipeline.near_duplicates(spark, df, "")
+    assert kept.columns == df.columns
+    assert sorted(((-1 if x["doc_id"] is None else x["doc_id"]), x["text"]) for x in kept.collect()) == sorted([(1, a), (2, b), (3, c), (-1, c), (0, d)])
