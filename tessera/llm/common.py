@@ -12,7 +12,9 @@ import ctypes
 import gc
 import tempfile
 import uuid
+import warnings
 from collections.abc import Callable, Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -21,17 +23,28 @@ from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The cluster's shared folder; a folder of our own only where none is set."""
+    """The cluster's shared folder; only where none is set and everything runs on this machine, a folder of our own."""
     named = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if not named:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         named = getattr(spark, "_own_shared_dir", None)
         if named is None:
             named = spark._own_shared_dir = "file://" + tempfile.mkdtemp(prefix="shared-")
+            warnings.warn(f"spark.checkpoint.dir is not set: intermediate tables go to {named}", stacklevel=2)
     return named.rstrip("/")
 
 
 def fresh_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    """A new path in this session's part of the shared folder, which goes when the driver's JVM ends."""
+    own = f"{shared_dir(spark)}/session-{spark.sparkContext.applicationId}"
+    if getattr(spark, "_own_session_dir", None) != own:
+        spark._own_session_dir = own
+        path = spark._jvm.org.apache.hadoop.fs.Path(own)
+        system = path.getFileSystem(spark._jsc.hadoopConfiguration())
+        system.mkdirs(path)
+        system.deleteOnExit(path)
+    return f"{own}/{name}-{uuid.uuid4().hex}"
 
 
 def stored(df: DataFrame, name: str) -> DataFrame:
@@ -124,24 +137,77 @@ def map_groups(df: DataFrame, keys: list[str], order: list[str], work: Callable[
     return clustered(df, keys, order).mapInArrow(run, schema)
 
 
+def by_runs(batches: Iterator[pa.RecordBatch], change: Callable, work: Callable) -> Iterator[pa.RecordBatch]:
+    """``work`` over the columns of sorted batches, whole runs at a time.
+
+    ``change(columns)`` marks the rows whose run differs from the row before;
+    ``work`` gets the columns and the start of each run.  The last run of a
+    batch waits for the next one.
+    """
+    held = None
+    for batch in chain(batches, [None]):
+        if batch is None:
+            if held is None or not len(held[0]):
+                return
+            columns = held
+        else:
+            columns = [c.to_numpy() for c in batch.columns]
+            if held is not None:
+                columns = [np.concatenate((h, c)) for h, c in zip(held, columns, strict=True)]
+            if not len(columns[0]):
+                continue
+        new = change(columns)
+        new[0] = True
+        starts = np.flatnonzero(new)
+        if batch is not None:
+            held = [c[starts[-1]:] for c in columns]
+            columns, starts = [c[: starts[-1]] for c in columns], starts[:-1]
+        if len(starts):
+            made = work(columns, starts)
+            if made.num_rows:
+                yield made
+
+
+def differs(*arrays: np.ndarray) -> np.ndarray:
+    """Where any of the arrays differs from its value before."""
+    new = np.zeros(len(arrays[0]), bool)
+    for x in arrays:
+        new[1:] |= x[1:] != x[:-1]
+    return new
+
+
+HUB, SALTS = 1024, 64  # neighbours of a hub at least; parts that its edges are dealt into
+
+
+def _with_least(edges: DataFrame, at: str, other: str, hub: int) -> DataFrame:
+    """``edges`` with m, the smallest ``other`` of each ``at``.
+
+    The minima come from partial aggregation and are joined back.  The edges of
+    a hub are dealt into ``SALTS`` parts for that; at most edges / ``hub`` nodes
+    are hubs, which bounds what is broadcast.
+    """
+    least = edges.groupBy(at).agg(F.min(other).alias("m"), F.count("*").alias("n"))
+    hubs = F.broadcast(least.where(F.col("n") >= hub).select(F.col(at).alias("hub")))
+    salted = edges.join(hubs, edges[at] == hubs["hub"], "left").withColumn("salt", F.when(F.col("hub").isNull(), 0).otherwise(F.pmod(F.xxhash64(other), F.lit(SALTS)).cast("int"))).drop("hub")
+    parts = F.when(F.col("n") >= hub, F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))
+    return salted.join(least.select(at, "m", F.explode(parts).alias("salt")), [at, "salt"]).drop("salt")
+
+
 def components(edges: DataFrame, name: str = "components") -> DataFrame:
     """Connected components of edges (u, v): one row (node, root) per node, root the smallest node reachable.
 
     Alternates the large-star and small-star contractions until nothing
-    changes.  Minima are taken by partial aggregation and joined back, so a hub
-    with very many neighbours is split by the skewed-join rule instead of
-    meeting in one task.  Null ends and self-loops add nothing.
+    changes.  Null ends and self-loops add nothing.
     """
     a, b = F.col("a"), F.col("b")
     now = stored(edges.where("u <> v").select(F.greatest("u", "v").alias("a"), F.least("u", "v").alias("b")).distinct(), name)
     mark = F.struct(F.count("*").alias("n"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")).alias("h"))
     state = now.select(mark.alias("m")).first()["m"]
     while state["n"]:
+        hub = max(HUB, state["n"] // 4096)
         both = now.select(a.alias("u"), b.alias("v")).union(now.select(b.alias("u"), a.alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m"))
-        large = both.where("v > u").join(least, "u").select(F.col("v").alias("a"), F.least("u", "m").alias("b")).distinct()
-        low = large.groupBy("a").agg(F.min("b").alias("m"))
-        pairs = large.join(low, "a").select(F.explode(F.array(
+        large = _with_least(both, "u", "v", hub).where("v > u").select(F.col("v").alias("a"), F.least("u", "m").alias("b")).distinct()
+        pairs = _with_least(large, "a", "b", hub).select(F.explode(F.array(
             F.struct("a", F.col("m").alias("b")), F.struct(b.alias("a"), F.col("m").alias("b")))).alias("e")).select("e.*")
         then = stored(pairs.where("a <> b").distinct(), name)
         after = then.select(mark.alias("m")).first()["m"]

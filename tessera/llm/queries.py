@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import (embedding_dedup, language_mix, ngram_join, packing, piece_bpe, preference, pseudo_likelihood, quality, secret_scan, warc,
+from . import (embedding_dedup, fertility, language_mix, ngram_join, packing, piece_bpe, preference, pseudo_likelihood, quality, secret_scan, warc,
                word_tokens)
 
 
@@ -53,8 +53,12 @@ def op8_preference(spark: SparkSession, sf_dir: str) -> DataFrame:
     return preference.format_pairs(preference.stale_pairs(_read(spark, sf_dir, "conversations")))
 
 
+def fertility_paths() -> tuple[str, str]:
+    return tokenizer_path(fertility.PIECES), tokenizer_path(fertility.BYTES)
+
+
 def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return quality.measure(_read(spark, sf_dir, "documents"), tokenizer_path(piece_bpe.MODEL))
+    return quality.measure(_read(spark, sf_dir, "documents"), fertility_paths())
 
 
 def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -99,7 +103,8 @@ SELECT v.vec_id, coalesce(n.n, 0)::BIGINT AS n_links, least(v.vec_id, coalesce(c
        least(v.vec_id, coalesce(c.y, v.vec_id)) = v.vec_id AS kept FROM v LEFT JOIN n ON n.x = v.vec_id LEFT JOIN c ON c.x = v.vec_id""",
     "op8_preference": """
 WITH c AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text,
-           row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, ''), coalesce(text, '')) AS i FROM conversations),
+           row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, ''), coalesce(text, '')) AS i
+           FROM conversations WHERE conv_id IS NOT NULL),
 r AS (SELECT *, max(CASE WHEN role = 'assistant' THEN i END) OVER (PARTITION BY conv_id) AS last FROM c),
 s AS (SELECT *, max(CASE WHEN role = 'assistant' AND i < last THEN i END) OVER (PARTITION BY conv_id) AS stale FROM r),
 t AS (SELECT conv_id, any_value(last) AS last, any_value(stale) AS stale,

@@ -1,28 +1,25 @@
-"""Vectorised word hashing over Arrow string batches.
+"""Words of Arrow string batches, and hashes of their windows.
 
-Words are the maximal runs of bytes outside ``[\\x20\\x09-\\x0D]``; UTF-8 never
-uses those bytes inside a character, so byte runs equal the code point runs of
-``[^\\x20\\x09-\\x0D]+``.  A batch is hashed as one byte buffer: a prefix sum of
-``table[byte] * BASE**position`` gives every word's polynomial hash (mod 2**64)
-by one subtraction and one multiplication.  No Python loop runs over words.
+Words are the maximal runs of characters outside ``[\\x20\\x09-\\x0D]``.  A
+batch is split and dictionary-encoded by Arrow, so what costs Python time is
+done once per distinct word: its hash is the first 64 bits of BLAKE2b, for which
+no two words of equal hash can be constructed.
 
 Null texts count as empty; empty texts have no words.
 """
 
 from __future__ import annotations
 
+import hashlib
+from typing import NamedTuple
+
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 
 U64 = np.uint64
-BASE = U64(0x9E3779B97F4A7C13)  # odd, and 3 modulo 8: powers differ in high bits
-_INV = U64(pow(int(BASE), -1, 1 << 64))
 _MUL = [U64(0xD6E8FEB86659FD93), U64(0xA0761D6478BD642F), U64(0xE7037ED1A0B428DB),
         U64(0x8EBC6AF09C88C6E3), U64(0x589965CC75374CC3)]
-CHUNK = 1 << 19  # bytes hashed at a time
-
-_SPACE = np.zeros(256, bool)
-_SPACE[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -32,19 +29,33 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> U64(31))
 
 
-_TABLE = mix(np.arange(1, 257, dtype=U64) * U64(0x9E3779B97F4A7C15))
-_LOWER = _TABLE.copy()
-_LOWER[65:91] = _TABLE[97:123]
-_powers: dict[str, np.ndarray] = {}
+class Words(NamedTuple):
+    distinct: pa.Array  #: the different words
+    code: np.ndarray  #: of each word, in order: its place in ``distinct``
+    doc: np.ndarray  #: of each word: the number of its text
+    texts: int
+
+
+def split_words(texts: pa.Array, lower: bool = False) -> Words:
+    """The words of some texts; ``lower`` folds A-Z first."""
+    if isinstance(texts, pa.ChunkedArray):
+        texts = texts.combine_chunks()
+    texts = texts.cast(pa.large_string()).fill_null("")
+    split = pc.ascii_split_whitespace(pc.ascii_lower(texts) if lower else texts)
+    coded = split.flatten().dictionary_encode()
+    code = coded.indices.to_numpy(zero_copy_only=False).astype(np.int64)
+    offsets = split.offsets.to_numpy()
+    doc = np.repeat(np.arange(len(texts)), np.diff(offsets))
+    blank = pc.index(coded.dictionary, pa.scalar("", pa.large_string())).as_py()
+    if blank >= 0:  # white space at the ends of a text gives empty words
+        some = code != blank
+        code, doc = code[some], doc[some]
+    return Words(coded.dictionary, code, doc, len(texts))
 
 
-def _power(name: str, base: np.uint64, n: int) -> np.ndarray:
-    have = _powers.get(name)
-    if have is None or len(have) < n:
-        full = np.full(max(n, CHUNK), base, dtype=U64)
-        full[0] = 1
-        have = _powers[name] = np.cumprod(full, dtype=U64)
-    return have
+def hashes(words: pa.Array) -> np.ndarray:
+    """A 64-bit hash of each word."""
+    return np.frombuffer(b"".join([hashlib.blake2b(w, digest_size=8).digest() for w in words.cast(pa.large_binary()).to_pylist()]), U64)
 
 
 def text_buffer(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -62,6 +73,10 @@ def text_buffer(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return data[offsets[0]: offsets[-1]], offsets - offsets[0]
 
 
+_SPACE = np.zeros(256, bool)
+_SPACE[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
+
+
 def word_bounds(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Byte starts and ends of all words of a batch, and each word's text number."""
     if not len(data):
@@ -77,23 +92,6 @@ def word_bounds(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.n
     return starts, np.flatnonzero(last) + 1, np.searchsorted(offsets, starts, "right") - 1
 
 
-def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, lower: bool) -> np.ndarray:
-    """A 64-bit hash of every word; ``lower`` folds A-Z first."""
-    out = np.empty(len(starts), U64)
-    table, i = _LOWER if lower else _TABLE, 0
-    while i < len(starts):
-        at = int(starts[i])
-        j = max(i + 1, int(np.searchsorted(ends, at + CHUNK, "right")))
-        n = int(ends[j - 1]) - at
-        up, down = _power("up", BASE, n), _power("down", _INV, n)
-        sums = np.zeros(n + 1, U64)
-        np.cumsum(table[data[at: at + n]] * up[:n], dtype=U64, out=sums[1:])
-        s, e = starts[i:j] - at, ends[i:j] - at
-        out[i:j] = mix((sums[e] - sums[s]) * down[s] + (e - s).astype(U64))
-        i = j
-    return out
-
-
 def windows(words: np.ndarray, doc: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of all ``width``-word windows inside one text, and the first word of each."""
     if len(words) < width:
@@ -112,17 +110,16 @@ def shingle_sets(texts: pa.Array, width: int = 5) -> list[np.ndarray]:
     A text of fewer words is one shingle, its whole sequence; a text without
     words (or null) has the empty set.
     """
-    data, offsets = text_buffer(texts)
-    starts, ends, doc = word_bounds(data, offsets)
-    words = word_hashes(data, starts, ends, lower=True)
-    hashes, at = windows(words, doc, width)
-    n = len(offsets) - 1
+    split = split_words(texts, lower=True)
+    doc, n = split.doc, split.texts
+    words = hashes(split.distinct)[split.code] if len(doc) else np.zeros(0, U64)
+    found, at = windows(words, doc, width)
     cuts = np.searchsorted(doc[at], np.arange(n + 1)) if len(at) else np.zeros(n + 1, np.int64)
     bounds = np.searchsorted(doc, np.arange(n + 1))
     sets = []
     for i in range(n):
         if cuts[i] < cuts[i + 1]:
-            own = np.sort(hashes[cuts[i]: cuts[i + 1]])
+            own = np.sort(found[cuts[i]: cuts[i + 1]])
             if len(own) > 1:
                 own = own[np.concatenate(([True], own[1:] != own[:-1]))]
         elif bounds[i] < bounds[i + 1]:
