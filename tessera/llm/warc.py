@@ -3,20 +3,23 @@
 ``write_archives`` writes one gzip member per record into archive files of the
 shared folder.  Of records with equal payloads of at least ``least`` bytes the
 one with the largest page_id is the response, the others revisit it.
-``read_archives`` parses the files back.  Each archive's captures, sorted by URL
-key and timestamp, are one run; ``merge_index`` deals the runs out by key range
-and merges the pieces of all runs in each range through a loser tree, so the
-partitions in order are one capture history.
+``read_archives`` parses the files back; the captures of each archive, sorted by
+URL key, timestamp and page_id, are written as one run, a Parquet file of small
+row groups.  ``merge_index`` is an external merge: the runs are cut at the same
+keys into ranges, and the task of a range streams its slice of every run, a row
+group at a time, through a loser tree.  A task holds one row group a run.  More
+than ``FAN`` runs are merged into longer runs first, ``FAN`` at a time.
 
-Files are written through pyarrow's file systems by URI, under a name of its
-own for each task attempt, and the manifest (a table) names only files of
-attempts that succeeded: a lost executor leaves at most an unnamed file.
+Files are written and read through pyarrow's file systems by URI, under a name
+of its own for each task attempt, and a table names only files of attempts that
+succeeded: a lost executor leaves at most an unnamed file.
 
 Defined cases: null html is an empty payload, a null url an empty URL; rows with
-a null page_id are left out; equal page_ids stay, as often as they occur, and
-compare as one record; empty tables give empty results; other columns are
-ignored.  Timestamps come from ``ts_col`` if given, else page_id seconds after
-2000-01-01.
+a null page_id are left out; very long html is one record; equal page_ids stay,
+as often as they occur, and compare as one record; equal keys keep the order of
+their places in the archives; empty tables give empty results; other columns are
+ignored, whatever their names.  Timestamps come from ``ts_col`` if given, else
+page_id seconds after 2000-01-01.
 """
 
 from __future__ import annotations
@@ -30,6 +33,7 @@ from collections.abc import Callable, Iterator
 from urllib.parse import urlsplit
 
 import pyarrow as pa
+import pyarrow.parquet as pq
 from pyarrow import fs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -38,6 +42,10 @@ from .common import fresh_path, shuffle_parts, stored
 
 FAR_IDS = 1_000_000  # revisits that may be broadcast; beyond, the join shuffles
 ROLL = 256 << 20  # bytes of an archive file
+FAN = 256  # runs merged at once
+GROUP = 4096  # captures of a row group
+KEYS = 20_000  # keys read to tell where to cut, at most; they only balance the tasks
+HOT = 10_000  # records of one payload that are not joined by it
 CAPTURE = "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long, urlkey string, ts string, archive string, at long, size long"
 _NAMES = [f.split()[0] for f in CAPTURE.split(", ")]
 _KINDS = {"long": pa.int64(), "string": pa.string()}
@@ -100,8 +108,12 @@ def write_archives(pages: DataFrame, folder: str, id_col: str = "page_id", url_c
                         F.coalesce(ts, F.lit("20000101000000")).alias("ts"),
                         F.encode(F.coalesce(F.col(html_col).cast("string"), F.lit("")), "UTF-8").alias("payload")).where("page_id IS NOT NULL")
     digests = stored(rows.where(F.length("payload") >= least).select("page_id", F.unhex(F.sha1("payload")).alias("digest")), "warc-digests")
-    first = digests.groupBy("digest").agg(F.max("page_id").alias("refers_to"), F.count("*").alias("n")).where("n > 1").drop("n")
-    revisits = stored(digests.join(first, "digest").where("page_id <> refers_to").select("page_id", "digest", "refers_to").distinct(), "warc-revisits")
+    first = stored(digests.groupBy("digest").agg(F.max("page_id").alias("refers_to"), F.count("*").alias("n")).where("n > 1"), "warc-payloads")
+    hot = max(HOT, digests.count() // 10_000)  # at most 10,000 payloads occur so often
+    few_payloads = F.broadcast(first.where(F.col("n") >= hot).drop("n"))
+    rest = digests.join(few_payloads.select("digest"), "digest", "left_anti").join(first.where(F.col("n") < hot).drop("n"), "digest")
+    revisits = digests.join(few_payloads, "digest").unionByName(rest).where("page_id <> refers_to").select("page_id", "digest", "refers_to")
+    revisits = stored(revisits.distinct(), "warc-revisits")
     few = F.broadcast(revisits) if revisits.count() <= FAR_IDS else revisits
     keyed = rows.withColumn("digest", F.unhex(F.sha1("payload"))).join(few, ["page_id", "digest"], "left")
 
@@ -145,8 +157,43 @@ def members(stream) -> Iterator[tuple[int, int, bytes]]:
             offset, inflate, parts, size = offset + size, zlib.decompressobj(31), [], 0
 
 
-def read_archives(manifest: DataFrame) -> DataFrame:
-    """All captures of the archives, each archive's as a run sorted by URL key, timestamp and page_id."""
+_RUN = "path string, rows long, keys array<struct<urlkey:string,ts:string,page_id:bigint>>"
+_KEY = pa.struct([("urlkey", pa.string()), ("ts", pa.string()), ("page_id", pa.int64())])
+
+
+class _RunFile:
+    """A run being written: sorted captures in row groups, under a name of its own."""
+
+    def __init__(self, folder: str):
+        system, base = fs.FileSystem.from_uri(folder)
+        system.create_dir(base, recursive=True)
+        name = f"{uuid.uuid4().hex}.parquet"
+        self.path, self.rows, self.keys, self.held = f"{folder}/{name}", 0, [], []
+        self.out = system.open_output_stream(f"{base}/{name}")
+        self.writer = pq.ParquetWriter(self.out, _SCHEMA, compression="zstd")
+
+    def add(self, row: tuple) -> None:
+        self.held.append(row)
+        if len(self.held) == GROUP:
+            self._flush()
+
+    def _flush(self) -> None:
+        if self.held:
+            self.keys.append(dict(zip(("urlkey", "ts", "page_id"), _order(self.held[0]))))
+            self.writer.write_batch(_batch(self.held), row_group_size=GROUP)
+            self.rows, self.held = self.rows + len(self.held), []
+
+    def close(self) -> pa.RecordBatch:
+        """The run's row: its path, its captures, and the first key of each row group."""
+        self._flush()
+        self.writer.close()
+        self.out.close()
+        return pa.RecordBatch.from_arrays([pa.array([self.path], pa.string()), pa.array([self.rows], pa.int64()), pa.array([self.keys], pa.list_(_KEY))],
+                                          names=["path", "rows", "keys"])
+
+
+def read_archives(manifest: DataFrame, folder: str) -> DataFrame:
+    """The captures of each archive as a sorted run in ``folder``: one row per run, its path, rows and first keys."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -156,12 +203,14 @@ def read_archives(manifest: DataFrame) -> DataFrame:
                     rows = [parse(raw, path, at, size) for at, size, raw in members(stream)]
                 if len(rows) != records:
                     raise ValueError(f"{path}: {len(rows)} records of {records}")
-                rows.sort(key=_order)
-                for at in range(0, len(rows), 10_000):
-                    yield _batch(rows[at: at + 10_000])
+                rows.sort(key=_order)  # an archive is at most ROLL bytes and a record
+                out = _RunFile(folder)
+                for row in rows:
+                    out.add(row)
+                yield out.close()
 
     n = max(1, min(manifest.count(), shuffle_parts(manifest.sparkSession)))
-    return manifest.repartition(n).mapInArrow(run, CAPTURE)
+    return stored(manifest.repartition(n).mapInArrow(run, _RUN), "warc-runs")
 
 
 def _order(row: tuple) -> tuple:
@@ -206,31 +255,96 @@ def loser_tree(runs: list[Iterator], key: Callable) -> Iterator:
             node //= 2
 
 
-def merge_index(captures: DataFrame) -> DataFrame:
-    """The capture history in global order of (urlkey, ts, page_id): partitions hold ascending key ranges.
-
-    ``captures`` must be a stored table; equal keys are split by ts and page_id,
-    so a URL with very many captures spans partitions.
-    """
+def _span(group) -> tuple[tuple, tuple]:
+    """Bounds of the first parts of all keys of a row group, as far as its statistics tell."""
+    low, high = (), ()
+    for name in ("urlkey", "ts", "page_id"):
+        stats = group.column(_NAMES.index(name)).statistics
+        if stats is None or not stats.has_min_max:
+            break
+        low, high = (*low, stats.min), (*high, stats.max)
+        if stats.min != stats.max:
+            break
+    return low, high
+
+
+def _slice(path: str, low: tuple | None, high: tuple | None) -> Iterator[tuple]:
+    """The captures of a run with low <= key < high, streamed from the row groups that may hold some."""
+    system, name = fs.FileSystem.from_uri(path)
+    with system.open_input_file(name) as file:
+        table = pq.ParquetFile(file)
+        for k in range(table.num_row_groups):
+            first, last = _span(table.metadata.row_group(k))
+            if low is not None and last < low[: len(last)]:
+                continue
+            if high is not None and first > high[: len(first)]:
+                return
+            for batch in table.iter_batches(batch_size=256, row_groups=[k]):
+                for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                    key = _order(row)
+                    if high is not None and key >= high:
+                        return
+                    if low is None or key >= low:
+                        yield row
+
+
+def _cuts(runs: DataFrame, many: int) -> list[tuple]:
+    """Keys that cut the captures into about ``many`` equal ranges, from the first keys of row groups (of some, if there are very many)."""
+    keys = runs.select(F.explode("keys").alias("key"))
+    n = keys.count()
+    if n > KEYS:
+        keys = keys.where(F.pmod(F.xxhash64("key"), F.lit(-(-n // KEYS))) == 0)
+    some = sorted(tuple(r["key"]) for r in keys.collect())
+    return sorted({some[i * len(some) // many] for i in range(1, many)}) if some else []
+
+
+def _merged(runs: list[str], low: tuple | None, high: tuple | None) -> Iterator[tuple]:
+    return loser_tree([_slice(p, low, high) for p in runs], _order)
+
+
+def merge_runs(runs: DataFrame, folder: str, fan: int = FAN) -> DataFrame:
+    """``runs`` as at most ``fan`` sorted runs, by passes that merge ``fan`` runs into one."""
+    while (many := runs.count()) > fan:
+        some = runs.select(F.pmod(F.xxhash64("path"), F.lit(-(-many * 3 // (2 * fan)))).alias("heap"), "path")
+        heaps = some.groupBy("heap").agg(F.sort_array(F.collect_list("path")).alias("paths"))  # about two thirds of ``fan`` paths each
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                for paths in b.column("paths").to_pylist():
+                    out = _RunFile(folder)
+                    for row in _merged(paths, None, None):
+                        out.add(row)
+                    yield out.close()
+
+        runs = stored(heaps.mapInArrow(run, _RUN), "warc-runs")
+    return runs
+
+
+def merge_index(runs: DataFrame, folder: str, fan: int = FAN) -> DataFrame:
+    """The capture history in global order of (urlkey, ts, page_id): partitions hold ascending key ranges."""
+    spark = runs.sparkSession
+    runs = merge_runs(runs, folder, fan)
+    paths = sorted(r["path"] for r in runs.select("path").collect())  # at most ``fan``
+    total = runs.agg(F.sum("rows")).first()[0] or 0
+    cuts = _cuts(runs, max(1, min(shuffle_parts(spark), total // (4 * GROUP))))
+    edges = [None, *cuts, None]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        runs: dict[str, list[tuple]] = {}
         for b in batches:
-            for row in zip(*(c.to_pylist() for c in b.columns), strict=True):
-                runs.setdefault(row[7], []).append(row)
-        pieces = [sorted(r, key=_order) for _, r in sorted(runs.items())]  # in order already, unless a shuffle has mixed it
-        out: list[tuple] = []
-        for row in loser_tree([iter(p) for p in pieces], _order):
-            out.append(row)
-            if len(out) == 10_000:
+            for k in b.column(0).to_pylist():
+                out: list[tuple] = []
+                for row in _merged(paths, edges[k], edges[k + 1]):
+                    out.append(row)
+                    if len(out) == GROUP:
+                        yield _batch(out)
+                        out = []
                 yield _batch(out)
-                out = []
-        yield _batch(out)
 
-    return captures.repartitionByRange(shuffle_parts(captures.sparkSession), "urlkey", "ts", "page_id").mapInArrow(run, CAPTURE)
+    return spark.range(0, len(edges) - 1, 1, len(edges) - 1).mapInArrow(run, CAPTURE)
 
 
-def round_trip(pages: DataFrame, **columns) -> DataFrame:
+def round_trip(pages: DataFrame, fan: int = FAN, **columns) -> DataFrame:
     """Pages written as archives, read back, and indexed: one capture row per page, in global order."""
-    folder = fresh_path(pages.sparkSession, "warc")
-    return merge_index(stored(read_archives(write_archives(pages, folder, **columns)), "warc-runs"))
+    spark = pages.sparkSession
+    runs = read_archives(write_archives(pages, fresh_path(spark, "warc"), **columns), fresh_path(spark, "warc-run-files"))
+    return merge_index(runs, fresh_path(spark, "warc-run-files"), fan)
