@@ -1,16 +1,19 @@
 """Multilingual mixture inference.
 
 A byte n-gram model per language is learned from a bounded, hash-chosen sample
-of labelled texts.  Each word of a text has a likelihood under every language
-(the sum of its n-grams); expectation-maximisation finds the text's language
+of labelled texts; their n-grams are counted where they are, and only the counts
+are gathered.  Each word of a text has a likelihood under every language (the
+sum of its n-grams); expectation-maximisation finds the text's language
 proportions, and backward elimination drops the smallest language as long as
-the penalised likelihood (BIC) doesn't fall.  The largest proportion names the
-text, and is its score.
+the penalised likelihood (BIC) doesn't fall by more than ``SLACK``.  The largest
+proportion names the text, and is its score.
 
 Defined cases: null texts and texts without a letter are ``und`` with score 0;
 so is every text if nothing is labelled; ties go to the language that sorts
-first; whole texts are read; repeated rows repeat; rows without lang don't
-teach; other columns are ignored.
+first; whole texts are read, very long ones too; repeated rows repeat, and teach
+as often; rows without lang or id don't teach, nor do languages beyond the
+``LANGUAGES`` most frequent; an empty table gives an empty result; other columns
+are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -19,6 +22,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -29,7 +33,10 @@ from .wordhash import text_buffer, word_bounds
 ORDERS = (2, 3, 4)  # bytes of an n-gram
 SLOTS = 1 << 16  # hashed n-grams of each order
 SAMPLE = 1500  # labelled texts a language, in expectation
+LANGUAGES = 256  # languages that are learned, the most frequent ones
+SHARDS = 8  # tasks that count the sample
 ROUNDS = 6  # EM steps between eliminations
+SLACK = 1.0  # nats: what so few EM steps may be short of the likelihood's maximum
 UND = "und"
 _LETTER = regex.compile(r"\p{L}")
 _FOLD = np.arange(256, dtype=np.uint32)
@@ -56,16 +63,6 @@ class Model:
         p = counts + 0.1
         self.table = (np.log(p / p.sum(-1, keepdims=True)) / len(ORDERS)).astype(np.float32)
 
-    @classmethod
-    def learn(cls, labelled: list[tuple[str, str]]) -> Model:
-        languages = sorted({lang for lang, _ in labelled})
-        counts = np.zeros((len(languages), len(ORDERS), SLOTS))
-        for k, lang in enumerate(languages):
-            data, _ = text_buffer(pa.array([t + " " for x, t in labelled if x == lang], pa.large_string()))
-            for o, order in enumerate(ORDERS):
-                counts[k, o] = np.bincount(grams(data, order), minlength=SLOTS)
-        return cls(languages, counts)
-
     def words(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Log-likelihood of each word (with the byte after it) under every language, and its text number."""
         starts, ends, doc = word_bounds(data, offsets)
@@ -111,7 +108,7 @@ def mixtures(loglik: np.ndarray, doc: np.ndarray, n: int) -> np.ndarray:
         one = active.sum(1) <= 1
         start[one], tried[one] = pi[one], active[one]
         other, worse = em(tried, start)
-        drop = ~one & (worse + 0.5 * np.log(words) + 1.0 >= fit)
+        drop = ~one & (worse + 0.5 * np.log(words) + SLACK >= fit)
         if not drop.any():
             break
         active[drop], pi[drop], fit[drop] = tried[drop], other[drop], worse[drop]
@@ -119,24 +116,48 @@ def mixtures(loglik: np.ndarray, doc: np.ndarray, n: int) -> np.ndarray:
     return share
 
 
-def labelled_sample(docs: DataFrame, id_col: str, text_col: str, lang_col: str, per_language: int) -> list[tuple[str, str]]:
-    """About ``per_language`` rows a language with a label outside fold 0, chosen by a hash of the id."""
+def gram_counts(texts: pa.Array) -> np.ndarray:
+    """How often each n-gram occurs in some texts: [order, slot]."""
+    data, _ = text_buffer(pc.binary_join_element_wise(texts.cast(pa.string()), "", " "))
+    return np.stack([np.bincount(grams(data, order), minlength=SLOTS) for order in ORDERS])
+
+
+def learn(docs: DataFrame, id_col: str, text_col: str, lang_col: str, per_language: int) -> Model:
+    """A model of about ``per_language`` rows a language with a label outside fold 0, chosen by a hash of the id."""
     rows = docs.select(F.col(id_col).cast("string").alias("id"), F.col(text_col).cast("string").alias("text"),
                        F.col(lang_col).cast("string").alias("lang")).where("lang IS NOT NULL AND id IS NOT NULL AND pmod(crc32(encode(id, 'UTF-8')), 5) <> 0")
-    counts = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count("*").alias("n")).collect()}
-    if not counts:
-        return []
-    share = F.create_map(*[x for lang, n in counts.items() for x in (F.lit(lang), F.lit(min(1.0, per_language / n)))])
+    many = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(LANGUAGES).collect()}
+    languages = sorted(many)
+    counts = np.zeros((len(languages), len(ORDERS), SLOTS))
+    if not many:
+        return Model(languages, counts)
+    share = F.create_map(*[x for lang, n in many.items() for x in (F.lit(lang), F.lit(min(1.0, per_language / n)))])
     draw = F.pmod(F.xxhash64("id"), F.lit(1_000_003)) / F.lit(1_000_003.0)
-    picked = rows.where(draw < share[F.col("lang")]).where("text IS NOT NULL").select("lang", "text").collect()
-    return sorted((r["lang"], r["text"]) for r in picked)
+    picked = rows.where(draw < F.try_element_at(share, F.col("lang"))).where("text IS NOT NULL").select("lang", "text")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        drop_resident()
+        total: dict[str, np.ndarray] = {}
+        for b in batches:
+            for lang in pc.unique(b.column(0)).to_pylist():
+                found = gram_counts(b.column(1).filter(pc.equal(b.column(0), lang)))
+                total[lang] = total[lang] + found if lang in total else found
+        for lang, found in total.items():
+            some = np.flatnonzero(found)
+            yield pa.RecordBatch.from_arrays([pa.array([lang] * len(some), pa.string()), pa.array(some.astype(np.int32)), pa.array(found.ravel()[some])], names=["lang", "gram", "n"])
+
+    found = picked.repartition(SHARDS).mapInArrow(run, "lang string, gram int, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n")).toArrow()
+    place = {lang: k for k, lang in enumerate(languages)}
+    owner = np.array([place[x] for x in found["lang"].to_pylist()], np.int64)
+    counts.reshape(len(languages), -1)[owner, found["gram"].to_numpy()] = found["n"].to_numpy()
+    return Model(languages, counts)
 
 
 def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", per_language: int = SAMPLE,
              model: Model | None = None) -> DataFrame:
     """doc_id, held_out, lang_pred, score and the language mixture of every row; learns from ``docs`` unless given a model."""
     if model is None:
-        model = Model.learn(labelled_sample(docs, id_col, text_col, lang_col, per_language))
+        model = learn(docs, id_col, text_col, lang_col, per_language)
     shared = docs.sparkSession.sparkContext.broadcast(model)  # of fixed size: languages x orders x slots
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -175,8 +196,13 @@ def _decide(texts: pa.Array, model: Model) -> tuple[list[str], list[float], list
 
 def keep_known(docs: DataFrame, least: float = 0.5, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang",
                per_language: int = SAMPLE) -> DataFrame:
-    """The rows whose text is in a learned language with a share of ``least`` at least; all columns as they are."""
-    model = Model.learn(labelled_sample(docs, id_col, text_col, lang_col, per_language))
+    """The rows whose text is in a learned language with a share of ``least`` at least; all columns as they are.
+
+    Without a labelled row there is no language to tell, and every row stays.
+    """
+    model = learn(docs, id_col, text_col, lang_col, per_language)
+    if not model.languages:
+        return docs
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
