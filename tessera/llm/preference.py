@@ -6,9 +6,11 @@ exclusive) of assistant text that count for the loss.  DataFrame expressions
 only; each pair is one row, so nothing is gathered beyond a conversation.
 
 Defined cases: null roles and texts are empty; turns with a null number come
-first, ties go by role, then text; a null conv_id is one conversation; a side
-that ends with the prefix has an empty completion and mask; sides that differ at
-once have an empty prompt; other columns are ignored; empty tables give no row.
+first, ties go by role, then text; repeated rows are turns of their own; a row
+without conv_id belongs to no conversation, and so to no pair; very long
+conversations and texts are rendered whole; a side that ends with the prefix has
+an empty completion and mask; sides that differ at once have an empty prompt;
+other columns are ignored, whatever their names; empty tables give no row.
 """
 
 from __future__ import annotations
@@ -23,7 +25,8 @@ def turns(conversations: DataFrame, id_col: str = "conv_id", turn_col: str = "tu
     """One row per conversation: pair_id and its turns in order, array<struct<role, text>>."""
     one = F.struct(F.col(turn_col).cast("long").alias("turn"), F.coalesce(F.col(role_col).cast("string"), F.lit("")).alias("role"),
                    F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
-    return (conversations.groupBy(F.col(id_col).cast("long").alias("pair_id")).agg(F.sort_array(F.collect_list(one)).alias("every"))
+    rows = conversations.select(F.col(id_col).cast("long").alias("pair_id"), one.alias("one")).where("pair_id IS NOT NULL")
+    return (rows.groupBy("pair_id").agg(F.sort_array(F.collect_list("one")).alias("every"))
             .select("pair_id", F.transform("every", lambda t: F.struct(t["role"].alias("role"), t["text"].alias("text"))).alias("turns")))
 
 
@@ -32,6 +35,8 @@ def stale_pairs(conversations: DataFrame, **columns) -> DataFrame:
 
     Chosen is the conversation up to its last assistant turn; rejected ends with
     the assistant's previous answer instead, which doesn't answer the last turn.
+    One pair a conversation: pairs of all its answers would repeat its turns in
+    every prompt, so the result would grow with the square of its length.
     """
     at = F.expr("array_max(filter(transform(turns, (t, i) -> if(t.role = 'assistant', i, -1)), i -> i >= 0))")
     before = F.expr("array_max(filter(transform(turns, (t, i) -> if(t.role = 'assistant' AND i < at, i, -1)), i -> i >= 0))")
