@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -15,17 +15,30 @@ def numeric_columns(df, skip=()) -> list[str]:
 
 def finite(c: str | Column) -> Column:
     """The value as a double; NaN and infinities are null."""
-    x = (F.col(c) if isinstance(c, str) else c).cast("double")
+    x = (F.col(f"`{c}`") if isinstance(c, str) else c).cast("double")
     return F.when(~F.isnan(x) & (F.abs(x) != float("inf")), x)
 
 
+def nulled(df):
+    """``df`` with NaN as null, so that a missing number is told in one way only."""
+    real = [f.name for f in df.schema.fields if isinstance(f.dataType, T.FloatType | T.DoubleType)]
+    return df.withColumns({c: F.when(~F.isnan(f"`{c}`"), F.col(f"`{c}`")) for c in real}) if real else df
+
+
 def missing(c: str) -> Column:
-    return F.col(c).isNull()
+    return F.col(f"`{c}`").isNull()
 
 
-def empty_value(c: str) -> Column:
-    """Null or blank text."""
-    return F.col(c).isNull() | (F.trim(F.col(c)) == "")
+def empty_value(c: str, kind: str = "string") -> Column:
+    """Null, NaN, blank text, empty bytes or an empty array, by the column's type (as ``df.dtypes`` names it)."""
+    x = F.col(f"`{c}`")
+    if kind in ("float", "double"):
+        return x.isNull() | F.isnan(x)
+    if kind == "string":
+        return x.isNull() | (F.trim(x) == "")
+    if kind == "binary":
+        return x.isNull() | (F.length(x) == 0)
+    return x.isNull() | (F.size(x) == 0) if kind.startswith("array") else x.isNull()
 
 
 def rate(flag: Column) -> Column:
@@ -61,6 +74,23 @@ def wide_then_long(df, columns: list[str], stats: dict[str, callable], key: str
     return long_form(row, {c: {s: F.col(f"{i}__{s}") for s in stats} for i, c in enumerate(columns)}, key)
 
 
+def prefix_sums(df, by: str, values: list[str], parts: int = 64):
+    """``df`` with ``<value>_before``: the sums of the rows of smaller ``by``, whose values differ.
+
+    Rows are dealt into ranges of ``by`` (a sketch tells where to cut), summed up
+    inside each range and shifted by the ranges before, so no task sorts all rows.
+    """
+    edges = df.agg(F.percentile_approx(by, F.array(*[F.lit(i / parts) for i in range(1, parts)]), F.lit(1000)).alias("e")).first()["e"]
+    cuts = F.array(*[F.lit(float(e)) for e in sorted(set(edges or []))]).cast("array<double>")
+    ranged = df.withColumn("__range", F.size(F.filter(cuts, lambda e: e <= F.col(by).cast("double"))))
+    totals = ranged.groupBy("__range").agg(*[F.sum(v).alias(f"{v}__all") for v in values])
+    ahead = Window.orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)  # one row a range
+    shift = totals.select("__range", *[F.coalesce(F.sum(f"{v}__all").over(ahead), F.lit(0.0)).alias(f"{v}__shift") for v in values])
+    inside = Window.partitionBy("__range").orderBy(by).rowsBetween(Window.unboundedPreceding, -1)
+    out = ranged.withColumns({f"{v}__in": F.coalesce(F.sum(v).over(inside), F.lit(0.0)) for v in values}).join(F.broadcast(shift), "__range")
+    return out.withColumns({f"{v}_before": F.col(f"{v}__in") + F.col(f"{v}__shift") for v in values}).drop("__range", *[f"{v}__{k}" for v in values for k in ("in", "shift")])
+
+
 def bucket_of(c: Column, edges: Column) -> Column:
     """How many inner edges lie at or below the value."""
     return F.aggregate(edges, F.lit(0), lambda n, e: n + F.when(c >= e, 1).otherwise(0))

@@ -6,17 +6,24 @@ import json
 from dataclasses import asdict, dataclass, field
 
 import numpy as np
-from pyspark.sql import Column, DataFrame
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..errors import DataError
-from ..functions.columns import finite, numeric_columns, quantiles, safe_corr, skewness
+from ..functions.columns import finite, hash_unit, numeric_columns, quantiles, safe_corr, skewness
 
 MISSING, RARE, UNKNOWN = "__missing__", "__rare__", "__unknown__"
 
 
+def gone(df: DataFrame, c: str) -> Column:
+    """Whether a value is missing: null, or NaN; an infinity is there, and imputed later."""
+    x = F.col(f"`{c}`")
+    return x.isNull() | F.isnan(x) if dict(df.dtypes)[c] in ("float", "double") else x.isNull()
+
+
 def missing_indicators(df: DataFrame, columns: list[str]) -> DataFrame:
-    return df.withColumns({f"{c}__missing": F.col(c).isNull().cast("int") for c in columns})
+    return df.withColumns({f"{c}__missing": gone(df, c).cast("int") for c in columns})
 
 
 def winsor_limits(df: DataFrame, columns: list[str], share: float = 0.01, exact: bool = True) -> dict[str, tuple[float, float]]:
@@ -40,12 +47,20 @@ def impute(df: DataFrame, fill: dict[str, float]) -> DataFrame:
     return df.withColumns({c: F.coalesce(finite(c), F.lit(float(v))) for c, v in fill.items()})
 
 
-def kept_categories(df: DataFrame, c: str, share: float = 0.01, most: int = 127) -> list[str]:
-    """Values with max(2, ceil(share * n)) rows at least, the commonest ``most``; ties by value."""
-    n = df.count()
-    value = F.coalesce(F.col(c).cast("string"), F.lit(MISSING))
-    counts = df.groupBy(value.alias("v")).agg(F.count("*").alias("n")).where(F.col("n") >= max(2, -(-n * share // 1)))
-    return [r["v"] for r in counts.orderBy(F.desc("n"), "v").limit(most).collect()]
+def kept_categories(df: DataFrame, columns: list[str], share: float = 0.01, most: int = 127) -> dict[str, list[str]]:
+    """Of each column the values with max(2, ceil(share * n)) rows at least, the commonest ``most``; ties by value.
+
+    All columns are unpivoted and counted once.
+    """
+    if not columns:
+        return {}
+    cells = F.array(*[F.struct(F.lit(c).alias("c"), F.coalesce(F.col(f"`{c}`").cast("string"), F.lit(MISSING)).alias("v")) for c in columns])
+    counts = df.select(F.explode(cells).alias("r")).select("r.*").groupBy("c", "v").agg(F.count("*").alias("n"))
+    total = F.sum("n").over(Window.partitionBy("c"))
+    place = F.row_number().over(Window.partitionBy("c").orderBy(F.desc("n"), "v"))
+    often = counts.withColumn("t", total).where(F.col("n") >= F.greatest(F.lit(2), F.ceil(F.col("t") * share)))  # at most 1 / share values a column
+    found = often.withColumn("i", place).where(F.col("i") <= most).orderBy("c", "i").collect()
+    return {c: [r["v"] for r in found if r["c"] == c] for c in columns}
 
 
 def group_rare(c: str, keep: list[str]) -> Column:
@@ -67,11 +82,199 @@ def replay_unknown(c: str, values: list[str]) -> Column:
     return F.when(F.col(c).cast("string").isin(values or [""]), F.col(c).cast("string")).otherwise(UNKNOWN)
 
 
-def log_shifts(df: DataFrame, columns: list[str], least_skew: float = 1.5) -> dict[str, float]:
-    """Columns for log1p: positive, strongly skewed, 20 values and five distinct at least; the shift makes them non-negative."""
+class LabelEncoder:
+    """Classes as 0..k-1 in text order, and back.  A class that wasn't there at fit time raises."""
+
+    def __init__(self, classes: list[str] = ()):
+        self.classes = list(classes)
+
+    def fit(self, df: DataFrame, target: str) -> LabelEncoder:
+        self.classes = ordinal_codes(df, target)
+        return self
+
+    def transform(self, df: DataFrame, target: str, out: str) -> DataFrame:
+        unseen = df.where(F.col(target).isNotNull() & ~F.col(target).cast("string").isin(self.classes or [""]))
+        if bad := [r[0] for r in unseen.select(F.col(target).cast("string")).distinct().limit(3).collect()]:
+            raise DataError(f"{target} holds classes that weren't trained on, such as {bad}")
+        place = F.array_position(F.array(*[F.lit(c) for c in self.classes]), F.col(target).cast("string"))
+        return df.withColumn(out, F.when(F.col(target).isNotNull(), place - 1).cast("int"))
+
+    def inverse(self, code: str) -> Column:
+        return F.get(F.array(*[F.lit(c) for c in self.classes]), F.col(code).cast("int"))
+
+
+class MultiLabelEncoder:
+    """One ``LabelEncoder`` a column; each has exactly two classes, of which the later one is 1."""
+
+    def fit(self, df: DataFrame, targets: list[str]) -> MultiLabelEncoder:
+        self.encoders = {t: LabelEncoder().fit(df, t) for t in targets}
+        if bad := [t for t, e in self.encoders.items() if len(e.classes) != 2]:
+            raise DataError(f"labels {bad} don't have two classes")
+        return self
+
+    def transform(self, df: DataFrame) -> DataFrame:
+        for t, e in self.encoders.items():
+            df = e.transform(df, t, t)
+        return df
+
+    def inverse(self) -> dict[str, Column]:
+        return {t: e.inverse(t) for t, e in self.encoders.items()}
+
+
+# ---- imputation by neighbours and by regressions
+
+KNN_ROWS = 4000  # rows that neighbours are looked for among, at most
+
+
+def knn_reference(df: DataFrame, columns: list[str], key: str, rows: int = KNN_ROWS, seed: int = 42) -> dict:
+    """What neighbours need: the matrix of at most ``rows`` rows, chosen by the key's hash, the medians, and k = sqrt(rows) between 2 and 8."""
+    n = df.count()
+    some = df if n <= rows else df.where(hash_unit(F.col(key), f"{seed}:knn:") < rows / n)
+    matrix = [[r[i] for i in range(len(columns))] for r in some.select(*[finite(c).alias(f"x{i}") for i, c in enumerate(columns)]).limit(2 * rows).collect()]
+    return {"columns": columns, "rows": matrix, "medians": list(fills(df, columns, "median").values()), "k": max(2, min(8, int(max(n, 1) ** 0.5)))}
+
+
+def knn_fill(x: np.ndarray, reference: np.ndarray, k: int, medians: np.ndarray) -> np.ndarray:
+    """``x`` without NaN: the mean of the k nearest rows that have the value, weighted by 1 / distance.
+
+    The distance goes by the columns that both rows have, scaled up to all; rows
+    at distance 0 stand for all others; without a neighbour the median does.
+    """
+    out, have = x.copy(), ~np.isnan(reference)
+    filled = np.where(have, reference, 0.0)
+    for i in np.flatnonzero(np.isnan(x).any(1)):
+        there = ~np.isnan(x[i])
+        both = have & there
+        shared = both.sum(1)
+        apart = ((np.where(both, filled - np.where(there, x[i], 0.0), 0.0)) ** 2).sum(1)
+        distance = np.sqrt(np.where(shared > 0, apart / np.maximum(shared, 1) * x.shape[1], np.inf))
+        for j in np.flatnonzero(~there):
+            near = np.flatnonzero(have[:, j] & np.isfinite(distance))
+            if not len(near):
+                out[i, j] = medians[j]
+                continue
+            near = near[np.argsort(distance[near], kind="stable")[:k]]
+            d = distance[near]
+            weight = (d == 0).astype(float) if (d == 0).any() else 1 / d
+            out[i, j] = (weight * reference[near, j]).sum() / weight.sum()
+    return out
+
+
+def _fill_arrow(df: DataFrame, columns: list[str], work) -> DataFrame:
+    """``df`` with ``columns`` as doubles that ``work`` (a function of a matrix) has filled, in Arrow batches."""
+    rows = df.withColumns({c: finite(c) for c in columns})
+
+    def run(batches):
+        for b in batches:
+            x = np.column_stack([b.column(b.schema.get_field_index(c)).to_numpy(zero_copy_only=False).astype(float) for c in columns])
+            done = work(x)
+            new = {c: pa.array(done[:, i]) for i, c in enumerate(columns)}
+            yield pa.RecordBatch.from_arrays([new.get(n, b.column(i)) for i, n in enumerate(b.schema.names)], names=b.schema.names)
+
+    return rows.mapInArrow(run, rows.schema)
+
+
+def knn_impute(df: DataFrame, state: dict) -> DataFrame:
+    shared = df.sparkSession.sparkContext.broadcast((np.array(state["rows"], float).reshape(-1, len(state["columns"])), state["k"], np.array(state["medians"], float)))  # KNN_ROWS rows
+    return _fill_arrow(df, state["columns"], lambda x: knn_fill(x, *shared.value))
+
+
+def _replay(x: np.ndarray, start: np.ndarray, steps: list) -> np.ndarray:
+    """``x`` with missing values from the start, then from each regression in turn."""
+    lost = np.isnan(x)
+    x = np.where(lost, start, x)
+    for j, offset, slope in steps:
+        x[lost[:, j], j] = offset + x[lost[:, j]] @ np.asarray(slope)
+    return x
+
+
+def iterative_state(df: DataFrame, columns: list[str], rounds: int = 10, ridge: float = 1e-3, tolerance: float = 1e-3) -> dict:
+    """Regressions of each column with gaps on all others, round after round, from medians on.
+
+    Each regression is one pass that sums products on the executors; only these
+    (columns squared) are gathered.  Ends when no filled value moves by
+    ``tolerance`` of the largest value.
+    """
+    rows = df.select(*[finite(c).alias(f"x{i}") for i, c in enumerate(columns)])
+    start = np.array(list(fills(df, columns, "median").values()), float)
+    told = rows.agg(*[F.count(f"x{i}").alias(f"n{i}") for i in range(len(columns))], F.count("*").alias("n"), *[F.max(F.abs(f"x{i}")).alias(f"m{i}") for i in range(len(columns))]).first()
+    gaps = sorted((i for i in range(len(columns)) if 0 < told[f"n{i}"] < told["n"]), key=lambda i: told["n"] - told[f"n{i}"])
+    top = max([told[f"m{i}"] or 0.0 for i in range(len(columns))], default=0.0)
+    steps: list = []
+    before: dict[int, np.ndarray] = {}
+
+    def sums(j: int):
+        now = list(steps)
+
+        def run(batches):
+            d = len(columns)
+            total = np.zeros((d + 1, d + 1))
+            for b in batches:
+                x = np.column_stack([b.column(i).to_numpy(zero_copy_only=False).astype(float) for i in range(d)])
+                x = x.reshape(-1, d)
+                seen = ~np.isnan(x[:, j])
+                z = np.column_stack([np.ones(int(seen.sum())), _replay(x, start, now)[seen]])
+                total += z.T @ z
+            yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()], pa.binary())], names=["total"])
+
+        return sum(np.frombuffer(r["total"]).reshape(len(columns) + 1, -1) for r in rows.mapInArrow(run, "total binary").collect())
+
+    for _ in range(rounds if len(columns) > 1 else 0):
+        moved = 0.0
+        for j in gaps:
+            g = sums(j)
+            others = [0] + [i + 1 for i in range(len(columns)) if i != j]
+            a, y = g[np.ix_(others, others)], g[others, j + 1]
+            scale = np.sqrt(np.maximum(np.diag(a), 1e-300))
+            penalty = np.eye(len(others)) * ridge
+            penalty[0, 0] = 0
+            beta = np.linalg.lstsq(a / np.outer(scale, scale) + penalty, y / scale, rcond=None)[0] / scale
+            slope = np.zeros(len(columns))
+            slope[[i - 1 for i in others[1:]]] = beta[1:]
+            steps.append((j, float(beta[0]), slope.tolist()))
+            now = np.concatenate(([beta[0]], slope * np.sqrt(np.diag(g)[1:] / max(g[0, 0], 1.0))))
+            moved = max(moved, float(np.abs(now - before.get(j, np.zeros_like(now))).max()))
+            before[j] = now
+        if not gaps or moved <= tolerance * max(top, 1e-12):
+            break
+    return {"columns": columns, "start": start.tolist(), "steps": steps}
+
+
+def iterative_impute(df: DataFrame, state: dict) -> DataFrame:
+    return _fill_arrow(df, state["columns"], lambda x: _replay(x, np.array(state["start"]), state["steps"]))
+
+
+# ---- distributions
+
+def distribution_plan(df: DataFrame, columns: list[str], how: str = "auto", least_skew: float = 1.5) -> dict:
+    """Which columns go through log1p (with their shifts) and which through Yeo-Johnson (with their exponents).
+
+    Columns of twenty values and five distinct ones at least whose skew is strong
+    enough: to the right by log1p, to the left by Yeo-Johnson; ``log1p`` takes all
+    of them, ``none`` none.
+    """
+    plan: dict = {"log1p": {}, "yeo_johnson": {}}
+    if how == "none" or not columns:
+        return plan
     row = df.agg(*[f(c).alias(f"{k}{i}") for i, c in enumerate(columns) for k, f in
                    {"s": lambda c: skewness(finite(c)), "m": lambda c: F.min(finite(c)), "n": lambda c: F.count(finite(c)), "d": lambda c: F.approx_count_distinct(finite(c))}.items()]).first()
-    return {c: max(0.0, -row[f"m{i}"]) for i, c in enumerate(columns) if row[f"n{i}"] >= 20 and row[f"d{i}"] >= 5 and row[f"s{i}"] >= least_skew and row[f"m{i}"] >= 0}
+    for i, c in enumerate(columns):
+        if row[f"n{i}"] < 20 or row[f"d{i}"] < 5 or abs(row[f"s{i}"]) < least_skew:
+            continue
+        if how == "log1p" or row[f"s{i}"] > least_skew:
+            plan["log1p"][c] = max(0.0, -row[f"m{i}"])
+        else:
+            plan["yeo_johnson"][c] = yeo_johnson_lambda(df, c)
+    return plan
+
+
+def log_shifts(df: DataFrame, columns: list[str], least_skew: float = 1.5) -> dict[str, float]:
+    """Columns for log1p: strongly skewed to the right; the shift makes them non-negative."""
+    return distribution_plan(df, columns, "auto", least_skew)["log1p"]
+
+
+def transformed(plan: dict) -> dict[str, Column]:
+    return {**{c: log1p(c, shift) for c, shift in plan["log1p"].items()}, **{c: yeo_johnson(finite(c), lam) for c, lam in plan["yeo_johnson"].items()}}
 
 
 def log1p(c: str, shift: float) -> Column:
@@ -165,49 +368,96 @@ def prepare(df: DataFrame, schema: dict[str, str], policy: str = "strict") -> Da
 
 @dataclass
 class Cleaner:
-    """Fits on training rows, replays on any rows as one projection; its state is JSON."""
+    """Fits on training rows, replays on any rows; its state is JSON.
+
+    In turn: columns that go, date parts, missing indicators, winsorizing,
+    imputation (median, mean, constant, knn, iterative), rare categories,
+    encoding, distribution, scaling, near-duplicate columns, feature budget.
+    Without knn and iterative the replay is one projection.
+    """
 
     winsor: float = 0.01
     fill: str = "median"
     scaling: str = "none"
+    distribution: str = "none"
+    drop: list = field(default_factory=list)
+    key: str = ""
+    budget: int | None = None
     schema: dict = field(default_factory=dict)
     state: dict = field(default_factory=dict)
 
-    def fit(self, df: DataFrame, features: list[str]) -> Cleaner:
+    def fit(self, df: DataFrame, features: list[str], target: str | None = None) -> Cleaner:
         kinds = dict(df.dtypes)
+        features = [c for c in features if c not in self.drop]
         self.schema = {c: kinds[c] for c in features}
         numeric = [c for c in numeric_columns(df) if c in features]
         dates = [c for c in features if kinds[c] in ("timestamp", "timestamp_ntz", "date")]
         other = [c for c in features if c not in numeric and c not in dates]
-        empty = df.agg(*[F.max(F.col(c).isNull().cast("int")).alias(c) for c in numeric]).first() if numeric else {}
-        self.state = {"numeric": numeric, "dates": dates, "missing": [c for c in numeric if empty[c]],
-                      "limits": winsor_limits(df, numeric, self.winsor) if numeric else {}, "fills": fills(df, numeric, self.fill) if numeric else {},
-                      "values": {c: sorted({*kept_categories(df, c), RARE}) for c in other}}
-        clean = self._numeric(df)
-        self.state["scales"] = scales(clean, numeric, self.scaling) if numeric and self.scaling != "none" else {}
-        self.state["dropped"] = near_duplicate_columns(clean, numeric)
+        # Everything that one pass can tell: gaps of numbers, and hours of dates.
+        hours = {c: F.max(F.coalesce((F.hour(F.col(c).cast("timestamp")) + F.minute(F.col(c).cast("timestamp")) > 0).cast("int"), F.lit(0))) for c in dates}
+        facts = df.agg(F.count("*").alias("__n"), *[F.max(gone(df, c).cast("int")).alias(f"g{i}") for i, c in enumerate(numeric)], *[x.alias(f"h{i}") for i, x in enumerate(hours.values())]).first()
+        self.state = {"numeric": numeric, "dates": {c: bool(facts[f"h{i}"]) for i, c in enumerate(dates)}, "missing": [c for i, c in enumerate(numeric) if facts[f"g{i}"]],
+                      "values": {c: sorted({*v, RARE}) for c, v in kept_categories(df, other).items()}, "limits": {}, "fills": {}, "impute": None, "plan": {"log1p": {}, "yeo_johnson": {}}, "scales": {}, "dropped": []}
+        s = self.state
+        if numeric:
+            simple = self.fill in ("median", "mean", "constant")
+            points = [self.winsor, 0.5, 1 - self.winsor] if self.winsor else [0.5]
+            row = df.agg(*[F.struct(quantiles(finite(c), points).alias("q"), F.avg(finite(c)).alias("a")).alias(f"c{i}") for i, c in enumerate(numeric)]).first()
+            for i, c in enumerate(numeric):
+                q, mean = row[f"c{i}"]
+                if q and self.winsor and q[0] < q[2]:
+                    s["limits"][c] = (q[0], q[2])
+                inside = lambda x, c=c: x if x is None or c not in s["limits"] else max(s["limits"][c][0], min(s["limits"][c][1], x))
+                middle = inside(q[len(points) // 2]) if q else None  # clipping keeps the order, so the clipped median is the median clipped
+                s["fills"][c] = {"median": middle, "mean": mean, "constant": 0.0}[self.fill if simple else "median"] or 0.0
+            if self.fill == "mean" and s["limits"]:
+                s["fills"] |= {c: v for c, v in fills(df.withColumns({c: clip(c, s["limits"].get(c)) for c in numeric}), numeric, "mean").items()}
+            if not simple:
+                clipped = df.withColumns({c: clip(c, s["limits"].get(c)) for c in numeric})
+                s["impute"] = knn_reference(clipped, numeric, self.key) if self.fill == "knn" else iterative_state(clipped, numeric)
+            clean = self._numeric(df)
+            s["plan"] = distribution_plan(clean, numeric, self.distribution)
+            clean = clean.withColumns(transformed(s["plan"])) if any(s["plan"].values()) else clean
+            s["scales"] = scales(clean, numeric, self.scaling) if self.scaling != "none" else {}
+            s["dropped"] = near_duplicate_columns(clean, numeric)
+        most = feature_budget(facts["__n"], self.budget)
+        if len(self.outputs) > most and target is not None:
+            s["kept"] = top_features(self.transform(df, keep=[target]), self.outputs, target, most)
         return self
 
     def _numeric(self, df: DataFrame) -> DataFrame:
         s = self.state
-        return df.withColumns({f"{c}__missing": F.col(c).isNull().cast("int") for c in s["missing"]}).withColumns(
-            {c: F.coalesce(clip(c, s["limits"].get(c)), F.lit(float(s["fills"][c]))) for c in s["numeric"]})
+        out = df.withColumns({f"{c}__missing": gone(df, c).cast("int") for c in s["missing"]}) if s["missing"] else df
+        if s["impute"]:
+            out = out.withColumns({c: clip(c, s["limits"].get(c)) for c in s["numeric"]})
+            return (knn_impute if "rows" in s["impute"] else iterative_impute)(out, s["impute"])
+        return out.withColumns({c: F.coalesce(clip(c, s["limits"].get(c)), F.lit(float(s["fills"][c]))) for c in s["numeric"]}) if s["numeric"] else out
 
     @property
     def outputs(self) -> list[str]:
         s = self.state
-        return [c for c in s["numeric"] if c not in s["dropped"]] + [f"{c}__missing" for c in s["missing"]] + [n for c in s["dates"] for n in datetime_parts(c)] + [f"{c}__code" for c in s["values"]]
+        every = [c for c in s["numeric"] if c not in s["dropped"]] + [f"{c}__missing" for c in s["missing"]]
+        every += [n for c, hours in s["dates"].items() for n in datetime_parts(c, hours)] + [f"{c}__code" for c in s["values"]]
+        return [c for c in every if c in s["kept"]] if s.get("kept") else every
 
     def transform(self, df: DataFrame, keep: list[str] = (), policy: str = "strict") -> DataFrame:
-        if policy == "coerce":
-            df = df.withColumns({c: F.lit(None).cast(t) for c, t in self.schema.items() if c not in df.columns})
-        elif absent := [c for c in self.schema if c not in df.columns]:
+        """``keep`` and the outputs.  ``strict`` refuses absent columns and values of other types, ``coerce`` makes them null; extra columns are ignored."""
+        absent = [c for c in self.schema if c not in df.columns]
+        if policy == "strict" and absent:
             raise DataError(f"missing columns {absent}")
-        s, out = self.state, self._numeric(df)
+        kinds = dict(df.dtypes)
+        cast = {c: F.lit(None).cast(t) if c in absent else F.col(f"`{c}`").try_cast(t) for c, t in self.schema.items() if c in absent or kinds[c] != t}
+        if policy == "strict" and (other := [c for c in cast if c not in absent]):
+            lost = df.agg(*[F.sum((F.col(f"`{c}`").isNotNull() & cast[c].isNull()).cast("int")).alias(f"b{i}") for i, c in enumerate(other)]).first()
+            if bad := [c for i, c in enumerate(other) if lost[f"b{i}"]]:
+                raise DataError(f"values of other types in {bad}")
+        s, out = self.state, self._numeric(df.withColumns(cast) if cast else df)
+        if any(s["plan"].values()):
+            out = out.withColumns(transformed(s["plan"]))
         if s["scales"]:
             out = out.withColumns({c: (F.col(c) - v[0]) / v[1] for c, v in s["scales"].items()})
-        for c in s["dates"]:
-            out = out.withColumns({k: F.coalesce(v.cast("double"), F.lit(-1.0)) for k, v in datetime_parts(c).items()})
+        for c, hours in s["dates"].items():
+            out = out.withColumns({k: F.coalesce(v.cast("double"), F.lit(-1.0)) for k, v in datetime_parts(c, hours).items()})
         for c, values in s["values"].items():
             out = out.withColumn(f"{c}__g", group_rare(c, [v for v in values if v != RARE])).withColumn(f"{c}__code", encode(f"{c}__g", values)).drop(f"{c}__g")
         return out.select(*keep, *self.outputs)
@@ -218,3 +468,15 @@ class Cleaner:
     @classmethod
     def from_json(cls, text: str) -> Cleaner:
         return cls(**json.loads(text))
+
+
+def top_features(df: DataFrame, columns: list[str], target: str, most: int) -> list[str]:
+    """The columns of greatest mutual information with the target, missing indicators first; ties in their order."""
+    from .rank import mutual_information
+
+    flags = [c for c in columns if c.endswith("__missing")]
+    rest = [c for c in columns if c not in flags]
+    score = {r["column_name"]: r["mi"] for r in mutual_information(df, rest, target).collect()}
+    ranked = sorted(rest, key=lambda c: -round(score.get(c) or 0.0, 9))
+    chosen = set((flags + ranked)[:most])
+    return [c for c in columns if c in chosen]

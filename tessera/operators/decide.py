@@ -4,34 +4,201 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.columns import finite, quantiles
-from .metrics import _div
+from ..errors import ConfigError
+from ..functions.columns import finite, prefix_sums, quantiles
+from .metrics import curve
+
+MISSING = "__missing__"
+
+
+GRID = [i / 100 for i in range(1, 100)]
+MCC_GRID = [0.05 + 0.025 * i for i in range(37)]  # of an ensemble's own threshold
+REJECT_GRID = [i / 100 for i in range(100)]
+OBJECTIVES = ("f1", "precision", "recall", "accuracy", "balanced_accuracy", "mcc")
+COVERAGE = 0.01  # share of rows that a threshold of a ladder accepts at least
+
+
+def grid_cell(p: Column, grid: list[float]) -> Column:
+    """How many points of an even, ascending grid lie at or below ``p``: a guess, put right by comparison with the points beside it."""
+    step = (grid[-1] - grid[0]) / max(1, len(grid) - 1) or 1.0
+    points = F.array(*[F.lit(float(g)) for g in grid])
+    guess = F.greatest(F.lit(0), F.least(F.lit(len(grid)), F.floor((p - grid[0]) / step) + 1)).cast("int")
+    down = F.when((guess > 0) & (p < F.get(points, guess - 1)), guess - 1).otherwise(guess)
+    return F.when((down < len(grid)) & (p >= F.get(points, down)), down + 1).otherwise(down)
+
+
+def _sweep(rows, grid: list[float]) -> list[dict]:
+    """True positives and positives said at each point of a grid, from rows (cell, pos, n)."""
+    pos, n = [0.0] * (len(grid) + 1), [0.0] * (len(grid) + 1)
+    for cell, x, many in rows:
+        pos[cell], n[cell] = pos[cell] + x, n[cell] + many
+    total, every = sum(pos), sum(n)
+    out, tp, said = [], 0.0, 0.0
+    for i in range(len(grid), 0, -1):
+        tp, said = tp + pos[i], said + n[i]
+        out.append({"threshold": float(grid[i - 1]), **scores(tp, said - tp, total - tp, every - total - said + tp)})
+    return out[::-1]
+
+
+def scores(tp: float, fp: float, fn: float, tn: float) -> dict[str, float]:
+    """The scores of a binary decision from its four counts; 0 where there is nothing to divide by."""
+    div = lambda a, b: a / b if b else 0.0
+    return {"f1": div(2 * tp, 2 * tp + fp + fn), "precision": div(tp, tp + fp), "recall": div(tp, tp + fn), "accuracy": div(tp + tn, tp + fp + fn + tn),
+            "balanced_accuracy": (div(tp, tp + fn) + div(tn, tn + fp)) / 2, "mcc": div(tp * tn - fp * fn, math.sqrt((tp + fp) * (tp + fn) * (tn + fp) * (tn + fn)))}
+
+
+def _cells(df: DataFrame, y: str, p: str, grid: list[float]) -> list[tuple]:
+    """(cell, positives, rows) of each cell of a grid."""
+    counts = df.groupBy(grid_cell(F.col(p), grid).alias("cell")).agg(F.sum(F.when(F.col(y) == 1, 1.0).otherwise(0.0)).alias("pos"), F.count("*").alias("n"))
+    return [tuple(r) for r in counts.collect()]
 
 
 def threshold_sweep(df: DataFrame, y: str, p: str, grid: list[float] | None = None) -> DataFrame:
-    """Scores of every threshold from one pass: counts by grid cell, then running sums over the cells."""
-    grid = grid or [i / 100 for i in range(1, 100)]
-    cell = F.aggregate(F.array(*[F.lit(g) for g in grid]), F.lit(0), lambda n, t: n + F.when(F.col(p) >= t, 1).otherwise(0))
-    counts = df.select(cell.alias("cell"), F.col(y).alias("y")).groupBy("cell").agg(F.sum(F.when(F.col("y") == 1, 1.0).otherwise(0.0)).alias("pos"), F.count("*").cast("double").alias("n"))
-    cells = df.sparkSession.createDataFrame([(i, float(g)) for i, g in enumerate(grid, 1)], "i int, threshold double")
-    total = counts.agg(F.sum("pos").alias("P"), F.sum("n").alias("N"))
-    at = cells.join(F.broadcast(counts), F.col("cell") >= F.col("i")).groupBy("i", "threshold").agg(F.sum("pos").alias("tp"), F.sum("n").alias("said"))
-    full = cells.join(at, ["i", "threshold"], "left").na.fill(0.0).crossJoin(F.broadcast(total))
-    tp, fp = F.col("tp"), F.col("said") - F.col("tp")
-    fn, tn = F.col("P") - tp, F.col("N") - F.col("P") - fp
-    return full.select("threshold", _div(2 * tp, 2 * tp + fp + fn).alias("f1"), _div(tp, tp + fp).alias("precision"), _div(tp, tp + fn).alias("recall"), _div(tp + tn, F.col("N")).alias("accuracy"),
-                       ((_div(tp, tp + fn) + _div(tn, tn + fp)) / 2).alias("balanced_accuracy"), _div(tp * tn - fp * fn, F.sqrt((tp + fp) * (tp + fn) * (tn + fp) * (tn + fn))).alias("mcc"))
-
-
-def best_threshold(df: DataFrame, y: str, p: str, objective: str = "f1") -> float:
-    """The threshold of strictly greater score than 0.5; the lowest at ties."""
-    rows = threshold_sweep(df, y, p).select("threshold", objective).collect()
-    half = next(r[objective] for r in rows if abs(r["threshold"] - 0.5) < 1e-9)
-    best = max(rows, key=lambda r: (r[objective], -r["threshold"]))
-    return best["threshold"] if best[objective] > half else 0.5
+    """Scores of every threshold from one pass: only the counts of the grid's cells are gathered."""
+    rows = _sweep(_cells(df, y, p, grid or GRID), grid or GRID)
+    return df.sparkSession.createDataFrame([tuple(r.values()) for r in rows], ", ".join(f"{k} double" for k in rows[0]))
+
+
+def _best(rows: list[dict], objective: str, half: float) -> float:
+    """The lowest threshold of strictly greater score than 0.5."""
+    best, at = half, 0.5
+    for r in rows:
+        if r[objective] > best:
+            best, at = r[objective], r["threshold"]
+    return at
+
+
+def best_threshold(df: DataFrame, y: str, p: str, objective: str = "f1", grid: list[float] | None = None) -> float:
+    """The threshold of the greatest score; 0.5 at ties, without both classes, and for ROC-AUC, which has none."""
+    if objective != "roc_auc" and objective not in OBJECTIVES:
+        raise ConfigError(f"objective is one of {(*OBJECTIVES, 'roc_auc')}")
+    grid = grid or GRID
+    counts = _cells(df, y, p, grid) if objective != "roc_auc" else []
+    if not 0 < sum(x[1] for x in counts) < sum(x[2] for x in counts):
+        return 0.5
+    rows = _sweep(counts, grid)
+    return _best(rows, objective, next((r[objective] for r in rows if abs(r["threshold"] - 0.5) < 1e-9), -2.0))
+
+
+def per_label_thresholds(df: DataFrame, labels: list[tuple[str, str]], objective: str = "mcc") -> dict[str, float]:
+    """The best threshold of each label, all from one pass over the rows."""
+    rows = df.select(F.explode(F.array(*[F.struct(F.lit(i).alias("i"), grid_cell(F.col(p), GRID).alias("cell"), F.when(F.col(y) == 1, 1.0).otherwise(0.0).alias("pos")) for i, (y, p) in enumerate(labels)])).alias("r"))
+    counts = rows.select("r.*").groupBy("i", "cell").agg(F.sum("pos").alias("pos"), F.count("*").alias("n")).collect()
+    out = {}
+    for i, (y, _) in enumerate(labels):
+        own = [(r["cell"], r["pos"], r["n"]) for r in counts if r["i"] == i]
+        positives, every = sum(x[1] for x in own), sum(x[2] for x in own)
+        swept = _sweep(own, GRID)
+        out[y] = _best(swept, objective, swept[49][objective]) if 0 < positives < every else 0.5
+    return out
+
+
+def _reject_counts(df: DataFrame, y: str, p: str, grid: list[float]) -> list[tuple]:
+    """(cell of the top probability, true class, said class, rows) of class numbers and arrays of probabilities."""
+    top = F.array_max(p)
+    said = F.array_position(p, top) - 1
+    return [tuple(r) for r in df.groupBy(grid_cell(top, grid).alias("cell"), F.col(y).cast("int").alias("y"), said.cast("int").alias("said")).agg(F.count("*").alias("n")).collect()]
+
+
+def reject_sweep(df: DataFrame, y: str, p: str, grid: list[float] | None = None) -> DataFrame:
+    """Scores of every cut-off of the top probability; a rejected row is wrong and belongs to no class."""
+    grid = grid or REJECT_GRID
+    counts = _reject_counts(df, y, p, grid)
+    total = sum(x[3] for x in counts) or 1
+    classes = sorted({x[1] for x in counts})
+    out = []
+    for i, t in enumerate(grid, 1):
+        taken = [x for x in counts if x[0] >= i]
+        hit = {k: sum(n for _, a, s, n in taken if a == s == k) for k in classes}
+        said = {k: sum(n for _, _, s, n in taken if s == k) for k in classes}
+        true = {k: sum(n for _, a, _, n in counts if a == k) for k in classes}
+        many, right = sum(x[3] for x in taken), sum(hit.values())
+        div = lambda a, b: a / b if b else 0.0
+        mean = lambda f: sum(f(k) for k in classes) / max(1, len(classes))
+        out.append((float(t), many / total, div(right, many), right / total, mean(lambda k, h=hit, s=said, a=true: div(2 * h[k], s[k] + a[k])), mean(lambda k, h=hit, a=true: div(h[k], a[k])), many))
+    return df.sparkSession.createDataFrame(out, "threshold double, coverage double, accuracy_on_accepted double, accuracy double, f1 double, balanced_accuracy double, n_accepted long")
+
+
+def best_reject_threshold(df: DataFrame, y: str, p: str, objective: str = "accuracy") -> float:
+    """The lowest cut-off of the greatest score; 0 accepts every row."""
+    rows = reject_sweep(df, y, p).orderBy("threshold").collect()
+    best = max((r[objective] for r in rows), default=0.0)
+    return next((r["threshold"] for r in rows if r[objective] == best), 0.0)
+
+
+def _spread(chosen: list[float], n: int, top: float = 1.0) -> list[float]:
+    """``n`` ascending thresholds: the widest gap is halved until there are enough."""
+    chosen = sorted(set(chosen))
+    while len(chosen) < n:
+        if len(chosen) == 1:
+            chosen.append(min(top, chosen[-1] + 0.01))
+            if chosen[0] == chosen[1]:
+                chosen[0] -= 0.01
+            continue
+        k = max(range(len(chosen) - 1), key=lambda i: chosen[i + 1] - chosen[i])
+        chosen.insert(k + 1, (chosen[k] + chosen[k + 1]) / 2)
+    return chosen[:n]
+
+
+def ladder_points(df: DataFrame, y: str, p: str, n: int = 4) -> list[float]:
+    """``n`` thresholds at evenly spaced recalls of the precision-recall curve, from lenient to strict.
+
+    Only scores in [0.01, 0.99] that accept a hundredth of the rows count, as
+    long as there are two of them; the curve stays distributed.
+    """
+    if n < 2:
+        raise ConfigError("a ladder has two thresholds at least")
+    points = curve(df, y, p).withColumn("said", F.col("tp") + F.col("fp"))
+    total = points.agg(F.max("tp").alias("P"), F.max("said").alias("N")).first()
+    if not total["P"] or total["P"] == total["N"]:
+        return [0.5] * n
+    inside = F.col("score").between(GRID[0], GRID[-1])
+    for kept in (points.where(inside & (F.col("said") >= COVERAGE * total["N"])), points.where(inside), points):
+        ends = kept.agg(F.min("tp").alias("a"), F.max("tp").alias("b"), F.count("*").alias("n")).first()
+        if ends["n"] >= 2:
+            break
+    aims = [ends["b"] + (ends["a"] - ends["b"]) * i / (n - 1) for i in range(n)]
+    row = kept.agg(*[F.min_by("score", F.struct(F.abs(F.col("tp") - a), F.col("score"))).alias(f"a{i}") for i, a in enumerate(aims)]).first()
+    return _spread(list(row), n)
+
+
+def threshold_ladder(df: DataFrame, y: str, p: str, n: int = 4) -> DataFrame:
+    """The thresholds of ``ladder_points`` and what each achieves."""
+    points = ladder_points(df, y, p, n)
+    hit = lambda t, a: F.sum(F.when((F.col(p) >= t) & (F.col(y) == a), 1.0).otherwise(0.0))
+    row = df.agg(F.count("*").cast("double").alias("N"), F.sum(F.when(F.col(y) == 1, 1.0).otherwise(0.0)).alias("P"),
+                 *[hit(t, a).alias(f"h{i}_{a}") for i, t in enumerate(points) for a in (0, 1)]).first()
+    out = []
+    for i, t in enumerate(points):
+        tp, fp = row[f"h{i}_1"] or 0.0, row[f"h{i}_0"] or 0.0
+        s = scores(tp, fp, row["P"] - tp, row["N"] - row["P"] - fp)
+        out.append((float(t), s["precision"], s["recall"], s["f1"], s["accuracy"], (tp + fp) / row["N"] if row["N"] else 0.0))
+    return df.sparkSession.createDataFrame(out, "threshold double, precision double, recall double, f1 double, accuracy double, positive_rate double")
+
+
+def reject_ladder(df: DataFrame, y: str, p: str, n: int = 4) -> list[dict]:
+    """``n`` cut-offs of the top probability at evenly spaced coverages, from lenient to strict."""
+    if n < 2:
+        raise ConfigError("a ladder has two thresholds at least")
+    rows = [r.asDict() for r in reject_sweep(df, y, p).orderBy("threshold").collect()]
+    kept = [r for r in rows if r["coverage"] >= COVERAGE]
+    kept = kept if len(kept) >= 2 else rows
+    top, low = max(r["coverage"] for r in kept), min(r["coverage"] for r in kept)
+    aims = [top + (low - top) * i / (n - 1) for i in range(n)]
+    chosen = _spread([min(kept, key=lambda r, a=a: (abs(r["coverage"] - a), r["threshold"]))["threshold"] for a in aims], n)
+    return [min(rows, key=lambda r, t=t: abs(r["threshold"] - t)) | {"threshold": t} for t in chosen]
+
+
+def ladder_confidence(p: Column, ladder: list[float]) -> Column:
+    """The share of a ladder's thresholds that a probability passes."""
+    return sum((F.when(p >= t, 1.0).otherwise(0.0) for t in ladder), F.lit(0.0)) / float(len(ladder))
+
+
+def apply_threshold(p: str, threshold: float) -> Column:
+    return (F.col(p) >= threshold).cast("int")
 
 
 def conformal_rank(n: int, alpha: float) -> int:
@@ -41,13 +208,18 @@ def conformal_rank(n: int, alpha: float) -> int:
 
 
 def conformal_quantile(df: DataFrame, residual: Column, alpha: float = 0.1) -> float | None:
-    """The exact order statistic: cumulative counts of distinct residuals."""
-    counts = df.select(residual.alias("r")).where("r IS NOT NULL").groupBy("r").agg(F.count("*").alias("n"))
+    """The exact order statistic: cumulative counts of distinct residuals, in ranges."""
+    counts = df.select(residual.alias("r")).where("r IS NOT NULL").groupBy("r").agg(F.count("*").cast("double").alias("n"))
     n = counts.agg(F.sum("n")).first()[0]
     if not n:
         return None
-    below = F.sum("n").over(Window.orderBy("r").rowsBetween(Window.unboundedPreceding, 0))
-    return counts.withColumn("c", below).where(F.col("c") >= conformal_rank(n, alpha)).agg(F.min("r")).first()[0]
+    rank = conformal_rank(int(n), alpha)
+    return prefix_sums(counts, "r", ["n"]).where(F.col("n_before") + F.col("n") >= rank).agg(F.min("r")).first()[0]
+
+
+def nonconformity(y: str, p: str) -> Column:
+    """1 - the probability of the true class, from class numbers and arrays of probabilities."""
+    return 1 - F.get(p, F.col(y).cast("int"))
 
 
 def interval(p: str, q: float) -> dict[str, Column]:
@@ -63,17 +235,48 @@ def prediction_set(probabilities: Column, classes: list[str], q: float) -> Colum
     return F.when(F.size(chosen) > 0, chosen).otherwise(F.array(best))
 
 
+def multilabel_sets(p: str, q: float) -> dict[str, Column]:
+    """Whether a label may be there, and whether it may be absent; both where it is open."""
+    return {"positive_possible": F.col(p) >= 1 - q, "negative_possible": (1 - F.col(p)) >= 1 - q}
+
+
+def interval_coverage(df: DataFrame, y: str, p: str, q: float) -> DataFrame:
+    """The share of true values inside prediction intervals, and the intervals' width."""
+    return df.agg(F.avg(F.when(F.col(y).between(F.col(p) - q, F.col(p) + q), 1.0).otherwise(0.0)).alias("coverage"), (F.avg(F.col(p) + q - (F.col(p) - q))).alias("width"))
+
+
+def set_coverage(df: DataFrame, y: str, p: str, q: float) -> DataFrame:
+    """The share of true classes inside prediction sets, and the sets' mean size, from class numbers and arrays of probabilities."""
+    inside = F.size(F.filter(p, lambda x: x >= 1 - q))
+    hit = (F.get(p, F.col(y).cast("int")) >= 1 - q) | ((inside == 0) & (F.array_position(p, F.array_max(p)) - 1 == F.col(y)))
+    return df.agg(F.avg(F.when(hit, 1.0).otherwise(0.0)).alias("coverage"), F.avg(F.greatest(inside, F.lit(1)).cast("double")).alias("set_size"))
+
+
+def label_coverage(df: DataFrame, labels: list[tuple[str, str]], quantiles_: list[float]) -> DataFrame:
+    """The share of true labels that are possible, and of labels that are open, over all labels (label, probability)."""
+    covered, open_ = [], []
+    for (y, p), q in zip(labels, quantiles_, strict=True):
+        sets = multilabel_sets(p, q)
+        covered.append(F.when(F.when(F.col(y) == 1, sets["positive_possible"]).otherwise(sets["negative_possible"]), 1.0).otherwise(0.0))
+        open_.append(F.when(sets["positive_possible"] & sets["negative_possible"], 1.0).otherwise(0.0))
+    mean = lambda xs: F.avg(sum(xs, F.lit(0.0)) / len(labels))
+    return df.agg(mean(covered).alias("label_coverage"), mean(open_).alias("ambiguous_rate"))
+
+
 def ood_reference(df: DataFrame, columns: list[str]) -> dict[str, tuple]:
-    """(median, inter-quartile range, low, high) of each column."""
+    """(median, inter-quartile range, low, high) of each column that holds a number."""
     row = df.agg(*[quantiles(finite(c), [0.005, 0.25, 0.5, 0.75, 0.995]).alias(f"q{i}") for i, c in enumerate(columns)]).first()
     return {c: (q[2], (q[3] - q[1]) if q[3] - q[1] > 1e-7 else 1.0, q[0], q[4]) for i, c in enumerate(columns) if (q := row[f"q{i}"])}
 
 
-def ood_score(reference: dict[str, tuple]) -> Column:
+def ood_score(reference: dict[str, tuple], codes: dict[str, list[str]] | None = None) -> Column:
+    """0 to 1: far from the median, outside the range, or missing.  ``codes`` names categorical columns, whose values stand for their places in the list."""
+    if not reference:
+        return F.lit(0.0)
     n = float(len(reference))
     far = out = bad = F.lit(0.0)
     for c, (mid, iqr, low, high) in reference.items():
-        x = finite(c)
+        x = category_code(c, codes[c]) if codes and c in codes else finite(c)
         z = F.abs(x - mid) / iqr
         far = far + F.coalesce(F.greatest(F.lit(0.0), F.least(F.lit(1.0), (z - 2) / 8)), F.lit(0.0))
         out = out + F.when((x < low) | (x > high), 1.0).otherwise(0.0)
@@ -81,19 +284,36 @@ def ood_score(reference: dict[str, tuple]) -> Column:
     return F.greatest(F.lit(0.0), F.least(F.lit(1.0), 0.55 * far / n + 0.30 * out / n + 0.15 * bad / n))
 
 
+def category_code(c: str, values: list[str]) -> Column:
+    """The place of a category among ``values`` as a number; unseen and null are missing."""
+    place = F.array_position(F.array(*[F.lit(v) for v in values]).cast("array<string>"), F.col(c).cast("string"))
+    return F.when(F.coalesce(place, F.lit(0)) > 0, (place - 1).cast("double"))
+
+
+def ood_threshold(df: DataFrame, reference: dict[str, tuple], codes: dict[str, list[str]] | None = None) -> float:
+    """The score from which a row counts as out of distribution: the 99.5 % quantile in training, 0.35 at least."""
+    q = df.agg(F.percentile(F.round(ood_score(reference, codes), 6), 0.995)).first()[0]
+    return max(0.35, q or 0.0)
+
+
+def ood_metrics(df: DataFrame, score: str, threshold: float) -> DataFrame:
+    return df.agg(F.avg(score).alias("ood_mean"), F.percentile(F.round(score, 6), 0.95).alias("ood_p95"), F.avg(F.when(F.col(score) >= threshold, 1.0).otherwise(0.0)).alias("ood_flag_rate"))
+
+
 # ---- drift
 
 def numeric_reference(df: DataFrame, columns: list[str], bins: int = 10) -> dict[str, dict]:
+    """Bin edges, shares, median, inter-quartile range and missing rate of each column; one without numbers has one bin around 0."""
     points = [i / bins for i in range(1, bins)]
     row = df.agg(*[F.struct(quantiles(finite(c), [*points, 0.25, 0.75]).alias("q"), F.percentile(finite(c), 0.5).alias("m"), F.avg(F.when(finite(c).isNull(), 1.0).otherwise(0.0)).alias("gone")).alias(f"c{i}") for i, c in enumerate(columns)]).first()
     out = {}
     for i, c in enumerate(columns):
         r = row[f"c{i}"]
-        q = r["q"] or []
-        out[c] = {"edges": sorted(set(q[: bins - 1])), "median": r["m"], "iqr": max(1e-6, q[-1] - q[-2]) if q else 1e-6, "missing": r["gone"]}
+        q = r["q"]
+        out[c] = {"edges": sorted(set(q[: bins - 1])) if q else [], "median": r["m"] if q else 0.0, "iqr": max(1e-6, q[-1] - q[-2]) if q else 1.0, "missing": r["gone"] or 0.0}
     shares = bin_shares(df, out)
     for c in columns:
-        out[c]["p"] = shares[c]
+        out[c]["p"] = shares[c] if row[f"c{columns.index(c)}"]["q"] else [1.0]
     return out
 
 
@@ -150,27 +370,36 @@ def numeric_drift(reference: dict[str, dict], current: DataFrame) -> list[dict]:
 
 
 def category_shares(df: DataFrame, column: str, top: int = 50) -> dict[str, float]:
-    """Shares of the commonest values of the non-null rows; ties by value."""
-    counts = df.where(F.col(column).isNotNull()).groupBy(F.col(column).cast("string").alias("v")).agg(F.count("*").alias("n"))
+    """Shares of the commonest values of all rows, missing ones under ``MISSING``; ties by value."""
+    counts = df.groupBy(F.coalesce(F.col(f"`{column}`").cast("string"), F.lit(MISSING)).alias("v")).agg(F.count("*").alias("n"))
     total = counts.agg(F.sum("n")).first()[0] or 0
     return {r["v"]: r["n"] / total for r in counts.orderBy(F.desc("n"), "v").limit(top).collect()}
 
 
-def categorical_drift(reference: DataFrame, current: DataFrame, column: str, top: int = 50) -> dict:
-    known = category_shares(reference, column, top)
-    gone = [d.agg(F.avg(F.when(F.col(column).isNull(), 1.0).otherwise(0.0))).first()[0] or 0.0 for d in (reference, current)]
-    value = F.col(column).cast("string")
-    counts = current.where(F.col(column).isNotNull()).groupBy(F.when(value.isin(list(known) or [""]), value).alias("v")).agg(F.count("*").alias("n")).collect()
+def categorical_reference(df: DataFrame, column: str, top: int = 50) -> dict:
+    gone = df.agg(F.avg(F.when(F.col(f"`{column}`").isNull(), 1.0).otherwise(0.0))).first()[0] or 0.0
+    known = category_shares(df, column, top)
+    return {"known": known, "other": max(0.0, 1 - sum(known.values())), "missing": gone}
+
+
+def categorical_drift(reference: DataFrame | dict, current: DataFrame, column: str, top: int = 50) -> dict:
+    ref = reference if isinstance(reference, dict) else categorical_reference(reference, column, top)
+    value = F.coalesce(F.col(f"`{column}`").cast("string"), F.lit(MISSING))
+    gone = F.sum(F.when(F.col(f"`{column}`").isNull(), 1.0).otherwise(0.0))
+    counts = current.groupBy(F.when(value.isin(list(ref["known"]) or [""]), value).alias("v")).agg(F.count("*").alias("n"), gone.alias("gone")).collect()
     total = sum(r["n"] for r in counts) or 1
     now = {r["v"]: r["n"] / total for r in counts}
-    rest = max(0.0, 1 - sum(known.values()))
-    js = jensen_shannon([*known.values(), rest], [*[now.get(v, 0.0) for v in known], now.get(None, 0.0)])
-    missing = abs(gone[0] - gone[1])
-    return {"column_name": column, "js": js, "unknown_rate": now.get(None, 0.0), "missing_shift": missing,
-            "score": min(1.0, 0.7 * min(js / 0.35, 1) + 0.2 * min(now.get(None, 0.0) / 0.25, 1) + 0.1 * min(missing / 0.25, 1))}
+    js = jensen_shannon([*ref["known"].values(), ref["other"]], [*[now.get(v, 0.0) for v in ref["known"]], now.get(None, 0.0)])
+    missing = abs(sum(r["gone"] for r in counts) / total - ref["missing"])
+    score = min(1.0, 0.7 * min(js / 0.35, 1) + 0.2 * min(now.get(None, 0.0) / 0.25, 1) + 0.1 * min(missing / 0.25, 1))
+    return {"column_name": column, "js": js, "unknown_rate": now.get(None, 0.0), "missing_shift": missing, "score": score}
 
 
 def overall_drift(scores: list[float], top: int = 20) -> tuple[float, str]:
     best = sorted(scores, reverse=True)[:top]
     value = sum(best) / len(best) if best else 0.0
-    return value, "critical" if value >= 0.65 else "warning" if value >= 0.30 else "stable"
+    return value, severity(value)
+
+
+def severity(score: float) -> str:
+    return "critical" if score >= 0.65 else "warning" if score >= 0.30 else "stable"

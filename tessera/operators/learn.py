@@ -1,29 +1,39 @@
-"""Learners on pyspark.ml: fit, predict, calibrate, out-of-fold predictions, voting and bundles."""
+"""Learners on pyspark.ml: fit, predict, calibrate, out-of-fold predictions, bundles and reports.
+
+``fit`` keeps its rows apart: the threshold is tuned on a probe of the training
+rows, calibration and conformal sets use rows that no learner has seen, and the
+metrics come from a holdout that nothing has chosen by.
+"""
 
 from __future__ import annotations
 
 import hashlib
+import html
 import json
 import math
-import os
 from dataclasses import asdict, dataclass, field
 
+from py4j.protocol import Py4JJavaError
+from pyspark.errors import PySparkException
 from pyspark.ml import PipelineModel
 from pyspark.ml.classification import GBTClassifier, LogisticRegression, OneVsRest, RandomForestClassifier
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import GBTRegressor, IsotonicRegression, LinearRegression, RandomForestRegressor
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..errors import ConfigError, DataError, NotFittedError, UnsupportedLearnerError
-from . import decide, profile
-from .clean import Cleaner, encode
+from . import decide, metrics, profile, tuning, validate
+from . import rows as row_filters
+from .clean import Cleaner, LabelEncoder
 from .quality import audit
-from .split import folds, split_random
+from .split import calibration_split, folds, search_sample, split, split_random, split_stratified, validation_folds
 
 TASKS = ("binary", "multiclass", "regression", "ranking", "multilabel", "multioutput_regression")
 LEARNERS = ("auto", "gbt", "forest", "linear")
+CLASSES = ("binary", "multiclass", "multilabel")
+BUNDLE, MOST_FILES, MOST_BYTES = 2, 2000, 4 << 30  # bundle format; limits of what is read back
 
 
 @dataclass
@@ -32,41 +42,116 @@ class FitConfig:
     task: str = "auto"
     learner: str = "auto"
     key: str = ""
+    group: str | None = None
+    time: str | None = None
+    split: str = "auto"
     test_size: float = 0.2
     seed: int = 42
     trees: int = 20
     depth: int = 5
     optimize_threshold: bool = True
+    objective: str = "f1"
     calibration: str = "none"
+    conformal: str | bool = "auto"
     alpha: float = 0.1
+    class_weight: str | None = "auto"
+    early_stopping: bool = False
+    trials: int = 0
+    clean: str = "minimal"
+    leakage: str = "warn"
+    fill: str = "median"
+    distribution: str = "none"
+    scaling: str = "none"
+    seconds: float | None = None
     features: list[str] | None = None
 
     def __post_init__(self):
-        if self.task not in ("auto", *TASKS):
-            raise ConfigError(f"task is one of {('auto', *TASKS)}")
-        if self.learner not in LEARNERS:
-            raise ConfigError(f"learner is one of {LEARNERS}")
-        if not 0 < self.test_size < 1:
-            raise ConfigError("test_size lies between 0 and 1")
-        if self.calibration not in ("none", "sigmoid", "isotonic"):
-            raise ConfigError("calibration is none, sigmoid or isotonic")
+        choices = {"task": ("auto", *TASKS), "learner": LEARNERS, "calibration": ("none", "sigmoid", "isotonic", "auto"), "conformal": ("auto", True, False),
+                   "class_weight": ("auto", None), "split": ("auto", "random", "temporal", "group", "stratified_group"), "clean": ("auto", "minimal", "none"),
+                   "leakage": ("drop", "warn", "ignore", "error"), "fill": ("median", "mean", "constant", "knn", "iterative"), "distribution": ("none", "auto", "log1p"),
+                   "scaling": ("none", "standard", "minmax", "robust"), "objective": (*decide.OBJECTIVES, "roc_auc")}
+        for name, values in choices.items():
+            if getattr(self, name) not in values:
+                raise ConfigError(f"{name} is one of {values}")
+        for name in ("test_size", "alpha"):
+            if not 0 < getattr(self, name) < 1:
+                raise ConfigError(f"{name} lies between 0 and 1")
+        if self.trees < 1 or not 1 <= self.depth <= 30 or self.trials < 0 or self.seconds is not None and self.seconds <= 0:
+            raise ConfigError("trees, depth, trials or seconds out of range")
         if not self.target or not self.key:
             raise ConfigError("target and key are needed")
 
 
-def build(task: str, learner: str, config: FitConfig, classes: int = 2):
-    opts = {"featuresCol": "features", "labelCol": "label", "seed": config.seed}
-    tree = {"maxDepth": config.depth}
-    if task in ("regression", "ranking", "multioutput_regression"):
-        return {"gbt": lambda: GBTRegressor(maxIter=config.trees, **tree, **opts), "auto": lambda: GBTRegressor(maxIter=config.trees, **tree, **opts),
-                "forest": lambda: RandomForestRegressor(numTrees=config.trees, **tree, **opts), "linear": lambda: LinearRegression(featuresCol="features", labelCol="label", regParam=0.01)}[learner]()
-    if task not in ("binary", "multiclass", "multilabel"):
+def estimator(task: str, family: str, classes: int = 2, trees: int = 20, seed: int = 42, params: dict | None = None):
+    """An untrained learner of a family, on columns features and label."""
+    p = {**tuning.default_params(family), **(params or {})}
+    opts = {"featuresCol": "features", "labelCol": "label"}
+    numeric = task in ("regression", "ranking", "multioutput_regression")
+    if not numeric and task not in CLASSES:
         raise UnsupportedLearnerError(task)
-    if learner == "linear":
-        return LogisticRegression(featuresCol="features", labelCol="label", regParam=0.01)
-    if learner == "forest" or classes > 2:
-        return RandomForestClassifier(numTrees=config.trees, **tree, **opts)
-    return GBTClassifier(maxIter=config.trees, **tree, **opts)
+    if family == "linear":
+        if numeric:
+            return LinearRegression(regParam=p["ridge"], elasticNetParam=p["elastic"], **opts)
+        return LogisticRegression(regParam=p["ridge"], elasticNetParam=p["elastic"], **opts)
+    tree = {"maxDepth": p["depth"], "minInstancesPerNode": p["min_rows"], "subsamplingRate": p["subsample"], "seed": seed, **opts}
+    if family == "forest" or classes > 2:
+        return (RandomForestRegressor if numeric else RandomForestClassifier)(numTrees=trees, **tree)
+    return (GBTRegressor if numeric else GBTClassifier)(maxIter=trees, stepSize=p.get("step", 0.1), **tree)
+
+
+def build(task: str, learner: str, config: FitConfig, classes: int = 2, params: dict | None = None):
+    family = "gbt" if learner == "auto" else learner
+    own = {} if family == "linear" else {"depth": config.depth, "min_rows": 1, "subsample": 1.0}
+    made = estimator(task, family, classes, config.trees, config.seed, {**own, **(params or {})})
+    if config.early_stopping and isinstance(made, GBTClassifier | GBTRegressor):
+        made.setValidationIndicatorCol("held")
+    return made
+
+
+@dataclass
+class Calibrator:
+    """Probabilities as they turn out, by class: a sigmoid of the log-odds (slope, offset) or the steps of an isotonic fit."""
+
+    method: str
+    parts: list = field(default_factory=list)
+
+    def apply(self, p: Column, k: int = 0) -> Column:
+        part = self.parts[k]
+        q = F.greatest(F.lit(1e-7), F.least(F.lit(1 - 1e-7), p))
+        if self.method == "sigmoid":
+            return 1 / (1 + F.exp(-(part[0] * F.log(q / (1 - q)) + part[1])))
+        edges, values = part
+        if len(edges) < 2:
+            return F.lit(float(values[0]) if values else 0.5) + 0 * p
+        at = F.size(F.filter(F.array(*[F.lit(float(e)) for e in edges]), lambda e: e <= q))
+        low, high = F.greatest(at - 1, F.lit(0)), F.least(at, F.lit(len(edges) - 1))
+        x, y = F.array(*[F.lit(float(e)) for e in edges]), F.array(*[F.lit(float(v)) for v in values])
+        a, b, u, v = F.get(x, low), F.get(x, high), F.get(y, low), F.get(y, high)
+        return F.when(b > a, u + (v - u) * F.greatest(F.lit(0.0), F.least(F.lit(1.0), (q - a) / (b - a)))).otherwise(u)
+
+    def apply_all(self, p: Column) -> Column:
+        """All classes one against the rest, then brought to sum to 1."""
+        each = F.array(*[self.apply(F.get(p, F.lit(k)), k) for k in range(len(self.parts))])
+        total = F.aggregate(each, F.lit(0.0), lambda a, x: a + x)
+        return F.transform(each, lambda x: x / F.when(total > 0, total).otherwise(1.0))
+
+
+def fit_calibrator(df: DataFrame, columns: list[tuple[str, str]], method: str = "auto") -> Calibrator:
+    """One part for each (0/1 label, probability); auto is isotonic from 1200 rows on.  A label of one kind has its share as constant."""
+    if method == "auto":
+        method = "isotonic" if df.count() >= 1200 else "sigmoid"
+    shares = df.agg(*[F.avg(F.col(y).cast("double")).alias(f"s{i}") for i, (y, _) in enumerate(columns)]).first()
+    parts = []
+    for i, (y, p) in enumerate(columns):
+        share = shares[f"s{i}"]
+        if share in (0.0, 1.0, None):
+            parts.append((0.0, 40.0 if share else -40.0) if method == "sigmoid" else ([0.0], [share or 0.0]))
+        elif method == "sigmoid":
+            parts.append(calibrate_sigmoid(df, y, p))
+        else:
+            m = calibrate_isotonic(df, y, p)
+            parts.append((m.boundaries.toArray().tolist(), m.predictions.toArray().tolist()))
+    return Calibrator(method, parts)
 
 
 @dataclass
@@ -76,116 +161,355 @@ class FittedModel:
     cleaner: Cleaner
     learners: dict = field(default_factory=dict)
     classes: list[str] = field(default_factory=list)
-    threshold: float = 0.5
-    residual: float | None = None
+    threshold: float | dict = 0.5
+    calibrator: Calibrator | None = None
+    conformal: float | dict | None = None
     ood: dict = field(default_factory=dict)
+    ood_threshold: float = 0.35
+    drift: dict = field(default_factory=dict)
     metrics: dict = field(default_factory=dict)
+    notes: list[str] = field(default_factory=list)
+
+    @property
+    def residual(self) -> float | None:
+        return self.conformal if isinstance(self.conformal, float) else None
 
     def _scored(self, df: DataFrame, keep: list[str]) -> DataFrame:
         if not self.learners:
             raise NotFittedError("fit first")
         out = self.cleaner.transform(df, keep=keep)
-        out = VectorAssembler(inputCols=self.cleaner.outputs, outputCol="features", handleInvalid="keep").transform(out)
+        return self._learners(VectorAssembler(inputCols=self.cleaner.outputs, outputCol="features", handleInvalid="keep").transform(out))
+
+    def _learners(self, out: DataFrame) -> DataFrame:
         for name, learner in self.learners.items():
             out = learner.transform(out).withColumnRenamed("prediction", f"raw_{name}")
             if "probability" in out.columns:
                 out = out.withColumn(f"p_{name}", vector_to_array("probability")).drop("probability", "rawPrediction")
         return out
 
+    def _probabilities(self, out: DataFrame) -> DataFrame:
+        """Calibrated: p (binary), p (array, multiclass) or p_<label> as numbers (multilabel)."""
+        c = self.calibrator
+        if self.task == "binary":
+            p = F.element_at("p_label", 2)
+            return out.withColumn("p", c.apply(p) if c else p)
+        if self.task == "multiclass":
+            return out.withColumn("p", c.apply_all(F.col("p_label")) if c else F.col("p_label"))
+        for k, t in enumerate(self.learners):
+            p = F.element_at(f"p_{t}", 2)
+            out = out.withColumn(f"p_{t}", c.apply(p, k) if c else p)
+        return out
+
     def predict(self, df: DataFrame, keep: list[str] = ()) -> DataFrame:
         """``keep`` columns and prediction(s): one projection after the learners, nothing on the driver."""
         out = self._scored(df, list(keep))
+        if self.task in CLASSES:
+            out = self._probabilities(out)
         if self.task == "binary":
-            p = F.element_at("p_label", 2)
-            return out.select(*keep, F.when(p >= self.threshold, F.lit(self.classes[1])).otherwise(self.classes[0]).alias("prediction"), p.alias("probability"))
+            return out.select(*keep, F.when(F.col("p") >= self.threshold, F.lit(self.classes[1])).otherwise(self.classes[0]).alias("prediction"), F.col("p").alias("probability"))
         if self.task == "multiclass":
             names = F.array(*[F.lit(c) for c in self.classes])
-            return out.select(*keep, F.element_at(names, F.col("raw_label").cast("int") + 1).alias("prediction"), F.col("p_label").alias("probability"))
+            return out.select(*keep, F.get(names, F.array_position("p", F.array_max("p")).cast("int") - 1).alias("prediction"), F.col("p").alias("probability"))
         if self.task == "multilabel":
-            return out.select(*keep, *[F.col(f"raw_{t}").cast("int").alias(f"prediction_{t}") for t in self.learners])
+            return out.select(*keep, *[(F.col(f"p_{t}") >= self.threshold[t]).cast("int").alias(f"prediction_{t}") for t in self.learners],
+                              *[F.col(f"p_{t}").alias(f"probability_{t}") for t in self.learners])
         names = list(self.learners)
         return out.select(*keep, *[F.col(f"raw_{t}").alias("prediction" if len(names) == 1 else f"prediction_{t}") for t in names])
 
+    def predict_ranked(self, df: DataFrame, keep: list[str] = ()) -> DataFrame:
+        """A ranking's scores, and each row's place in its group."""
+        from pyspark.sql import Window
+
+        out = self.predict(df, [*keep, *([self.config.group] if self.config.group not in keep else [])])
+        return out.withColumn("rank", F.row_number().over(Window.partitionBy(self.config.group).orderBy(F.desc("prediction"), *keep)))
+
     def predict_interval(self, df: DataFrame, keep: list[str] = ()) -> DataFrame:
         if self.task != "regression" or self.residual is None:
             raise DataError("intervals need a regression with a conformal quantile")
         return self.predict(df, keep).withColumns(decide.interval("prediction", self.residual))
 
+    def predict_sets(self, df: DataFrame, keep: list[str] = ()) -> DataFrame:
+        """The classes that may be true, at the level that was fitted."""
+        if self.task not in ("binary", "multiclass") or self.conformal is None:
+            raise DataError("sets need a classifier with a conformal quantile")
+        out = self.predict(df, keep)
+        p = F.array(1 - F.col("probability"), F.col("probability")) if self.task == "binary" else F.col("probability")
+        return out.withColumn("classes", decide.prediction_set(p, self.classes, self.conformal))
+
     def ood_scores(self, df: DataFrame, keep: list[str] = ()) -> DataFrame:
-        return df.select(*keep, decide.ood_score(self.ood).alias("ood_score"))
+        score = decide.ood_score(self.ood)
+        return df.select(*keep, score.alias("ood_score"), (score >= self.ood_threshold).alias("out_of_distribution"))
 
-    def save(self, path: str) -> None:
-        """A folder: learners by their own writers, metadata and a manifest with the digests of both."""
-        os.makedirs(path, exist_ok=True)
+    def drift_report(self, df: DataFrame) -> dict:
+        """Drift of each feature against the training rows, and overall."""
+        each = decide.numeric_drift(self.drift["numeric"], df) if self.drift.get("numeric") else []
+        each += [decide.categorical_drift(ref, df, c) for c, ref in self.drift.get("categorical", {}).items()]
+        value, how = decide.overall_drift([x["score"] for x in each])
+        return {"overall": value, "severity": how, "columns": [x | {"severity": decide.severity(x["score"])} for x in each]}
+
+    # ---- bundles
+
+    def save(self, spark: SparkSession, path: str) -> None:
+        """A folder, local or shared: learners by their own writers, the metadata, and a manifest with the SHA-256 and size of every file."""
         for name, learner in self.learners.items():
             PipelineModel([learner]).write().overwrite().save(f"{path}/learner_{name}")
-        meta = {"version": 1, "config": asdict(self.config), "task": self.task, "cleaner": asdict(self.cleaner), "classes": self.classes, "threshold": self.threshold,
-                "residual": self.residual, "ood": self.ood, "metrics": self.metrics, "learners": list(self.learners)}
-        body = json.dumps(meta, sort_keys=True).encode()
-        for name, data in (("metadata.json", body), ("manifest.json", json.dumps({"metadata.json": hashlib.sha256(body).hexdigest()}).encode())):
-            with open(f"{path}/{name}.new", "wb") as f:
-                f.write(data)
-            os.replace(f"{path}/{name}.new", f"{path}/{name}")
+        meta = {"version": BUNDLE, "config": asdict(self.config), "task": self.task, "cleaner": asdict(self.cleaner), "classes": self.classes, "threshold": self.threshold,
+                "calibrator": asdict(self.calibrator) if self.calibrator else None, "conformal": self.conformal, "ood": self.ood, "ood_threshold": self.ood_threshold,
+                "drift": self.drift, "metrics": self.metrics, "notes": self.notes, "learners": list(self.learners)}
+        write_text(spark, f"{path}/metadata.json", json.dumps(meta, sort_keys=True))
+        write_text(spark, f"{path}/manifest.json", json.dumps(_digests(spark, path), sort_keys=True))
 
     @classmethod
-    def load(cls, path: str) -> FittedModel:
-        with open(f"{path}/metadata.json", "rb") as f, open(f"{path}/manifest.json") as m:
-            body, manifest = f.read(), json.load(m)
-        if hashlib.sha256(body).hexdigest() != manifest.get("metadata.json"):
-            raise DataError("the bundle's metadata doesn't match its manifest")
-        meta = json.loads(body)
-        if meta["version"] != 1:
+    def load(cls, spark: SparkSession, path: str) -> FittedModel:
+        """A bundle whose files are those of its manifest, none more, less or changed."""
+        try:
+            same = json.loads(read_text(spark, f"{path}/manifest.json")) == _digests(spark, path)
+        except (PySparkException, Py4JJavaError, ValueError) as e:
+            raise DataError("the bundle can't be read") from e
+        if not same:
+            raise DataError("the bundle's files don't match its manifest")
+        meta = json.loads(read_text(spark, f"{path}/metadata.json"))
+        if meta["version"] != BUNDLE:
             raise DataError(f"bundle version {meta['version']}")
         learners = {n: PipelineModel.load(f"{path}/learner_{n}").stages[0] for n in meta["learners"]}
-        return cls(FitConfig(**meta["config"]), meta["task"], Cleaner(**meta["cleaner"]), learners, meta["classes"], meta["threshold"], meta["residual"],
-                   {k: tuple(v) for k, v in meta["ood"].items()}, meta["metrics"])
+        return cls(FitConfig(**meta["config"]), meta["task"], Cleaner(**meta["cleaner"]), learners, meta["classes"], meta["threshold"],
+                   Calibrator(**meta["calibrator"]) if meta["calibrator"] else None, meta["conformal"], {k: tuple(v) for k, v in meta["ood"].items()}, meta["ood_threshold"],
+                   meta["drift"], meta["metrics"], meta["notes"])
+
+
+def _file(spark: SparkSession, path: str):
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return p, p.getFileSystem(spark._jsc.hadoopConfiguration())
+
+
+def write_text(spark: SparkSession, path: str, text: str) -> None:
+    """Writes beside the target, then takes its place."""
+    (new, system), (old, _) = _file(spark, path + ".new"), _file(spark, path)
+    out = system.create(new, True)
+    out.write(bytearray(text.encode()))
+    out.close()
+    system.delete(old, False)
+    if not system.rename(new, old):
+        raise DataError(f"can't write {path}")
+
+
+def read_text(spark: SparkSession, path: str) -> str:
+    rows = spark.read.text(path, wholetext=True).collect()
+    if len(rows) != 1:
+        raise DataError(f"{path} is missing")
+    return rows[0][0]
+
 
+def _digests(spark: SparkSession, path: str) -> dict[str, list]:
+    """SHA-256 and size of every file of a bundle but its manifest, read by the executors."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path).where(~F.col("path").endswith("/manifest.json"))
+    seen = files.select("path", "length").where(~F.col("path").rlike(r"/[._][^/]*\.crc$")).agg(F.count("*").alias("n"), F.sum("length").alias("bytes")).first()
+    if (seen["n"] or 0) > MOST_FILES or (seen["bytes"] or 0) > MOST_BYTES:
+        raise DataError(f"a bundle has at most {MOST_FILES} files and {MOST_BYTES} bytes")
+    root = path.rstrip("/").split("/")[-1]
+    rows = files.select("path", "length", F.sha2("content", 256).alias("digest")).collect()
+    return {r["path"].split(f"/{root}/", 1)[-1]: [r["digest"], r["length"]] for r in rows}
 
-def _labelled(train: DataFrame, target: str, task: str, classes: list[str]) -> DataFrame:
-    label = encode(target, classes).cast("double") if task in ("binary", "multiclass") else F.col(target).cast("double")
-    return train.withColumn("label", label)
+
+# ---- fitting
+
+def _numbered(df: DataFrame, target: str, task: str, classes: list[str], name: str) -> DataFrame:
+    if task in ("binary", "multiclass"):
+        return LabelEncoder(classes).transform(df, target, name).withColumn(name, F.col(name).cast("double"))
+    return df.withColumn(name, F.col(target).cast("double"))
+
+
+def _weighted(df: DataFrame, label: str, task: str, config: FitConfig) -> tuple[DataFrame, bool]:
+    """``df`` with a column weight, where classes are so uneven that they get one."""
+    found = tuning.class_weights(df, label) if config.class_weight == "auto" and task in CLASSES else None
+    if not found:
+        return df, False
+    weight = F.lit(1.0)
+    for k, w in found.items():
+        weight = F.when(F.col(label) == k, w).otherwise(weight)
+    return df.withColumn("weight", weight), True
+
+
+def _train(rows: DataFrame, label: str, task: str, config: FitConfig, classes: int, params: dict | None):
+    """A learner of ``label`` on rows with features."""
+    made = build(task, config.learner, config, classes, params)
+    data, heavy = _weighted(rows.select("features", F.col(label).alias("label"), *(["held"] if config.early_stopping else [])), "label", task, config)
+    return made.setWeightCol("weight").fit(data) if heavy else made.fit(data)
+
+
+def _search(rows: DataFrame, label: str, task: str, config: FitConfig, classes: int, deadline: tuning.Deadline) -> dict:
+    """Parameters by baseline-aware search over the folds of a sample."""
+    sample = search_sample(rows, config.key, label if task in ("binary", "multiclass") else None, seed=config.seed)
+    parts = validation_folds(sample, config.key, task if task != "ranking" else "regression", label, seed=config.seed).persist()
+    found = sorted(r[0] for r in parts.select("fold").distinct().collect() if r[0] >= 0)
+    name = tuning.primary_metric(task) if task != "ranking" else "rmse"
+    family = "gbt" if config.learner == "auto" else config.learner
+
+    def evaluate(params: dict, k: int) -> float:
+        model = _train(parts.where(F.col("fold") != found[k]), label, task, config, classes, params)
+        scored = model.transform(parts.where(F.col("fold") == found[k])).withColumnRenamed("prediction", "said")
+        if "probability" in scored.columns:
+            p = vector_to_array("probability")
+            scored = scored.withColumn("p", F.element_at(p, 2) if classes == 2 else p)
+        return metrics.compute(name, scored, label, "said", "p", classes)
+
+    out = tuning.search(family, evaluate, len(found), config.trials, metrics.DIRECTION[name], config.seed, deadline)
+    parts.unpersist()
+    return out.params if out.tuned else {}
 
 
 def fit(df: DataFrame, config: FitConfig) -> FittedModel:
-    """Split, audit, clean, train, calibrate decisions and evaluate on the holdout."""
+    """Filter, split, clean, train, calibrate decisions, and evaluate on the holdout."""
     targets = [config.target] if isinstance(config.target, str) else list(config.target)
-    df = df.dropna(subset=targets)
-    task = config.task
-    if task == "auto":
-        kinds = {r["column_name"]: r["task"] for r in profile.infer_tasks(df, targets).collect()}
-        task = kinds[targets[0]] if len(targets) == 1 else "multilabel" if all(k == "binary" for k in kinds.values()) else "multioutput_regression"
-    features = config.features or [c for c in df.columns if c not in targets and c != config.key]
-    parts = split_random(df, config.key, config.test_size, config.seed)
+    deadline, spark = tuning.Deadline(config.seconds), df.sparkSession
+    df = row_filters.drop_missing_targets(df, targets)
+    task = profile.task_of(df, targets, config.group) if config.task == "auto" else config.task
+    group = config.group if task == "ranking" or config.split in ("group", "stratified_group") or config.group else None
+    validate.task_shape(df, task, targets, group) if config.task == "auto" or task != "ranking" else None
+    validate.target_support(df, task, targets, config.test_size)
+    features = config.features or [c for c in df.columns if c not in (*targets, config.key, group)]
+    parts = split(df, config.key, task, targets, config.split, config.time, group, config.test_size, config.seed)
+    validate.after_split(parts, task, targets)
     train, test = parts.where(~F.col("is_test")).drop("is_test"), parts.where("is_test").drop("is_test")
-    cleaner = Cleaner().fit(train, features)
+    train = row_filters.drop_low_quality(train, skip=[*targets, config.key])
+
+    drop: list[str] = []
+    if config.clean == "auto" or config.leakage in ("drop", "error"):
+        drop = validate.columns_to_drop(profile.profile(train.select(*features, *targets), targets, None, task), config.clean, config.leakage)
+    cleaner = Cleaner(fill=config.fill, distribution=config.distribution, scaling=config.scaling, drop=drop, key=config.key)
+    cleaner.fit(train, features, targets[0] if task in ("binary", "multiclass") else None)
     classes = sorted(str(r[0]) for r in train.select(targets[0]).distinct().collect()) if task in ("binary", "multiclass") else []
-    if task == "binary" and len(classes) != 2:
-        raise DataError("a binary target has two classes")
     model = FittedModel(config, task, cleaner, classes=classes)
+    many = max(2, len(classes))
+    labels = {t: "label" if len(targets) == 1 else f"label_{t}" for t in targets}
     assembler = VectorAssembler(inputCols=cleaner.outputs, outputCol="features", handleInvalid="keep")
-    for t in targets:
-        rows = assembler.transform(cleaner.transform(_labelled(train, t, task, classes), keep=["label"]))
-        model.learners["label" if len(targets) == 1 else t] = build(task, config.learner, config, max(2, len(classes))).fit(rows.select("features", "label"))
+
+    def ready(rows: DataFrame) -> DataFrame:
+        for t, name in labels.items():
+            rows = _numbered(rows, t, task, classes, name)
+        keep = [config.key, *labels.values(), *([group] if group else [])]
+        return assembler.transform(cleaner.transform(rows, keep=keep)).select(*keep, "features")
+
+    # Cleaned once; every learner and every choice reads these rows.
+    every = ready(train).persist()
+    strata = "label" if task in ("binary", "multiclass") else None
+    wants = task in CLASSES and config.calibration != "none" or config.conformal is True or config.conformal == "auto" and task not in ("ranking",)
+    kept = calibration_split(every, config.key, strata, seed=config.seed) if wants else None
+    rows, held = (every, None) if kept is None else (kept.where(~F.col("is_calibration")).drop("is_calibration"), kept.where("is_calibration").drop("is_calibration"))
+    if config.early_stopping:
+        rows = split_random(rows, config.key, 0.1, config.seed + 31).withColumnRenamed("is_test", "held")
+    n, cells = rows.count(), len(cleaner.outputs)
+    tuning.check_memory(n, cells, tuning.resource_plan(spark))
+    params = {t: _search(rows, name, task, config, many, deadline) if config.trials else {} for t, name in labels.items()}
+    for t, name in labels.items():
+        model.learners["label" if len(targets) == 1 else t] = _train(rows, name, task, config, many, params[t])
+
+    if task in ("binary", "multilabel"):
+        model.threshold = 0.5 if task == "binary" else dict.fromkeys(targets, 0.5)
+        if config.optimize_threshold and not deadline.over():
+            _tune_threshold(model, rows, labels, config, params, strata)
+    if held is not None:
+        _fit_uncertainty(model, held, labels)
     numeric = cleaner.state["numeric"]
     model.ood = decide.ood_reference(train, numeric) if numeric else {}
-    if task == "binary":
-        held = model.predict(test.withColumn("__y", encode(targets[0], classes)), keep=["__y"]).cache()
-        if config.optimize_threshold:
-            model.threshold = decide.best_threshold(held, "__y", "probability", "f1")
-        from . import metrics
-
-        said = held.withColumn("said", (F.col("probability") >= model.threshold).cast("int"))
-        model.metrics = metrics.binary(said, "__y", "said").first().asDict() | metrics.roc_auc(held, "__y", "probability").first().asDict()
-        held.unpersist()
-    elif task == "regression":
-        from . import metrics
-
-        held = model.predict(test, keep=[targets[0]])
-        model.residual = decide.conformal_quantile(held, F.abs(F.col(targets[0]) - F.col("prediction")), config.alpha)
-        model.metrics = metrics.regression(held, targets[0], "prediction").first().asDict()
+    model.ood_threshold = decide.ood_threshold(train, model.ood) if numeric else 0.35
+    model.drift = {"numeric": decide.numeric_reference(train, numeric) if numeric else {}, "categorical": {c: decide.categorical_reference(train, c) for c in cleaner.state["values"]}}
+    model.metrics = evaluate(model, ready(test), labels, group) | decide.ood_metrics(model.ood_scores(test), "ood_score", model.ood_threshold).first().asDict()
+    every.unpersist()
     return model
 
 
+def _tune_threshold(model: FittedModel, rows: DataFrame, labels: dict, config: FitConfig, params: dict, strata: str | None) -> None:
+    """The best threshold of a probe that is trained on four fifths of the rows and judged on the last one."""
+    parts = split_stratified(rows, config.key, strata, 0.2, config.seed + 7) if strata else split_random(rows, config.key, 0.2, config.seed + 7)
+    fit_rows, probe_rows = parts.where(~F.col("is_test")), parts.where("is_test")
+    scored, pairs = probe_rows, []
+    for i, (t, name) in enumerate(labels.items()):
+        probe = _train(fit_rows, name, model.task, config, 2, params[t])
+        scored = probe.transform(scored).withColumn(f"probe_{i}", F.element_at(vector_to_array("probability"), 2)).drop("probability", "rawPrediction", "prediction")
+        pairs.append((name, f"probe_{i}"))
+    if model.task == "binary":
+        model.threshold = decide.best_threshold(scored, "label", "probe_0", config.objective)
+    else:
+        found = decide.per_label_thresholds(scored, pairs, config.objective)
+        model.threshold = {t: found[name] for t, name in labels.items()}
+
+
+def _fit_uncertainty(model: FittedModel, held: DataFrame, labels: dict) -> None:
+    """Calibrator and conformal quantiles from rows that no learner has seen; what calibration changes is noted."""
+    config, task, n = model.config, model.task, held.count()
+    scored = model._learners(held).persist()
+    if task in CLASSES and config.calibration != "none":
+        raw = model._probabilities(scored)
+        if task == "binary":
+            pairs = [("label", "p")]
+        elif task == "multiclass":
+            raw = raw.withColumns({f"__y{k}": (F.col("label") == k).cast("int") for k in range(len(model.classes))} | {f"__p{k}": F.get("p", F.lit(k)) for k in range(len(model.classes))})
+            pairs = [(f"__y{k}", f"__p{k}") for k in range(len(model.classes))]
+        else:
+            pairs = [(name, f"p_{t}") for t, name in labels.items()]
+        before = _diagnostics(raw, task, labels)
+        model.calibrator = fit_calibrator(raw, pairs, config.calibration)
+        after = _diagnostics(model._probabilities(scored), task, labels)
+        model.metrics["calibration"] = {"method": model.calibrator.method, "rows": n, "before": before, "after": after}
+        model.notes.append(f"calibrated by {model.calibrator.method} on {n} rows")
+    if config.conformal is True or config.conformal == "auto" and n >= 50:
+        out = model._probabilities(scored) if task in CLASSES else scored
+        if task == "binary":
+            model.conformal = decide.conformal_quantile(out, 1 - F.when(F.col("label") == 1, F.col("p")).otherwise(1 - F.col("p")), config.alpha)
+        elif task == "multiclass":
+            model.conformal = decide.conformal_quantile(out, decide.nonconformity("label", "p"), config.alpha)
+        elif task == "regression":
+            model.conformal = decide.conformal_quantile(out, F.abs(F.col("label") - F.col("raw_label")), config.alpha)
+        elif task == "multilabel":
+            model.conformal = {t: decide.conformal_quantile(out, 1 - F.when(F.col(name) == 1, F.col(f"p_{t}")).otherwise(1 - F.col(f"p_{t}")), config.alpha) for t, name in labels.items()}
+        elif task == "multioutput_regression":
+            model.conformal = {t: decide.conformal_quantile(out, F.abs(F.col(name) - F.col(f"raw_{t}")), config.alpha) for t, name in labels.items()}
+        model.notes.append(f"conformal at {config.alpha} on {n} rows")
+    scored.unpersist()
+
+
+def _diagnostics(out: DataFrame, task: str, labels: dict) -> dict:
+    if task == "binary":
+        return metrics.log_loss(out, "label", "p").first().asDict() | metrics.ece(out, "label", "p").first().asDict()
+    if task == "multiclass":
+        return metrics.multiclass_probabilities(out, "label", "p").first().asDict()
+    return {"brier": out.agg(F.avg(sum(((F.col(f"p_{t}") - F.col(name)) ** 2 for t, name in labels.items()), F.lit(0.0)) / len(labels))).first()[0]}
+
+
+def evaluate(model: FittedModel, rows: DataFrame, labels: dict, group: str | None = None) -> dict:
+    """Metrics of the holdout, with the coverage of conformal sets."""
+    task, found = model.task, dict(model.metrics)
+    out = model._learners(rows)
+    out = (model._probabilities(out) if task in CLASSES else out).persist()
+    if task == "binary":
+        said = out.withColumn("said", (F.col("p") >= model.threshold).cast("int"))
+        found |= metrics.binary(said, "label", "said").first().asDict() | metrics.roc_auc(out, "label", "p").first().asDict() | metrics.average_precision(out, "label", "p").first().asDict()
+        found |= metrics.log_loss(out, "label", "p").first().asDict() | metrics.ece(out, "label", "p").first().asDict()
+        if model.conformal is not None:
+            found |= decide.set_coverage(out.withColumn("p", F.array(1 - F.col("p"), F.col("p"))), "label", "p", model.conformal).first().asDict()
+    elif task == "multiclass":
+        said = out.withColumn("said", (F.array_position("p", F.array_max("p")) - 1).cast("double"))
+        found |= metrics.multiclass(said, "label", "said").first().asDict() | metrics.multiclass_probabilities(out, "label", "p").first().asDict()
+        if model.conformal is not None:
+            found |= decide.set_coverage(out, "label", "p", model.conformal).first().asDict()
+    elif task == "multilabel":
+        said = out.withColumns({f"said_{t}": (F.col(f"p_{t}") >= model.threshold[t]).cast("int") for t in labels})
+        found |= metrics.multilabel(said, [(name, f"said_{t}") for t, name in labels.items()]).first().asDict()
+        if model.conformal is not None:
+            found |= decide.label_coverage(out, [(name, f"p_{t}") for t, name in labels.items()], [model.conformal[t] for t in labels]).first().asDict()
+    elif task == "multioutput_regression":
+        found |= metrics.multioutput(out, [(name, f"raw_{t}") for t, name in labels.items()]).first().asDict()
+    else:
+        found |= metrics.regression(out, "label", "raw_label").first().asDict()
+        if task == "ranking" and group:
+            found |= {f"ndcg_{k}": metrics.ndcg(out, group, "label", "raw_label", k).first()["ndcg"] for k in (5, 10)}
+        if model.residual is not None:
+            found |= decide.interval_coverage(out, "label", "raw_label", model.residual).first().asDict()
+    out.unpersist()
+    return found
+
+
 def out_of_fold(df: DataFrame, config: FitConfig, columns: list[str], k: int = 3) -> DataFrame:
     """key, label and the out-of-fold probability of class 1 (or prediction)."""
     rows = folds(df, config.key, k, config.seed)
@@ -231,23 +555,65 @@ def importance(model: FittedModel) -> list[tuple[str, float]]:
     """Shares of importance, mean over learners, largest first."""
     total: dict[str, float] = dict.fromkeys(model.cleaner.outputs, 0.0)
     for m in model.learners.values():
-        raw = m.featureImportances.toArray() if hasattr(m, "featureImportances") else [abs(x) for x in m.coefficients.toArray()]
+        if hasattr(m, "featureImportances"):
+            raw = m.featureImportances.toArray()
+        else:
+            raw = abs(m.coefficientMatrix.toArray()).mean(0) if hasattr(m, "coefficientMatrix") else abs(m.coefficients.toArray())
         for c, x in zip(model.cleaner.outputs, raw, strict=True):
             total[c] += float(x) / max(sum(raw), 1e-12) / len(model.learners)
     return sorted(total.items(), key=lambda x: (-x[1], x[0]))
 
 
-def report(model: FittedModel, df: DataFrame, path: str) -> None:
-    """JSON and HTML of metrics, importance and the audit."""
-    import html
+def permutation_importance(model: FittedModel, df: DataFrame, rows: int = 2000) -> list[tuple[str, float]]:
+    """What the holdout's primary metric loses when a feature's values are dealt anew among at most ``rows`` rows, largest first."""
+    from pyspark.sql import Window
+
+    target = model.config.target
+    if not isinstance(target, str):
+        raise DataError("one target")
+    some = search_sample(df, model.config.key, most=rows).persist()
+    name = tuning.primary_metric(model.task) if model.task != "ranking" else "rmse"
+
+    def score(data: DataFrame) -> float:
+        out = model.predict(_numbered(data, target, model.task, model.classes, "__y"), keep=["__y"])
+        if model.task in ("binary", "multiclass"):
+            place = F.array_position(F.array(*[F.lit(c) for c in model.classes]), F.col("prediction")) - 1
+            return metrics.compute(name, out.withColumn("said", place.cast("double")), "__y", "said", "probability", len(model.classes))
+        return metrics.compute(name, out, "__y", "prediction")
 
-    body = {"task": model.task, "metrics": model.metrics, "importance": importance(model), "quality": audit(df, model.config.target if isinstance(model.config.target, str) else None).to_dict()}
-    os.makedirs(path, exist_ok=True)
-    with open(f"{path}/report.json", "w") as f:
-        json.dump(body, f, indent=1, default=lambda x: None if isinstance(x, float) and math.isnan(x) else str(x))
-    rows = "".join(f"<tr><td>{html.escape(str(k))}</td><td>{html.escape(str(v))}</td></tr>" for k, v in model.metrics.items())
-    with open(f"{path}/report.html", "w") as f:
-        f.write(f"<!DOCTYPE html><title>Report</title><h1>{html.escape(model.task)}</h1><table>{rows}</table><pre>{html.escape(json.dumps(body['quality'], indent=1))}</pre>")
+    base, sign = score(some), 1.0 if metrics.DIRECTION[name] else -1.0
+    out = []
+    for c in model.cleaner.schema:
+        by = Window.orderBy(F.xxhash64(model.config.key))  # at most ``rows`` rows
+        other = Window.orderBy(F.xxhash64(F.lit(c), model.config.key))
+        mixed = some.withColumn("__i", F.row_number().over(by)).drop(c).join(some.select(F.col(c), F.row_number().over(other).alias("__i")), "__i").drop("__i")
+        out.append((c, sign * (base - score(mixed))))
+    some.unpersist()
+    return sorted(out, key=lambda x: (-x[1], x[0]))
 
 
-__all__ = ["FitConfig", "FittedModel", "OneVsRest", "apply_sigmoid", "build", "calibrate_isotonic", "calibrate_sigmoid", "fit", "importance", "out_of_fold", "report", "stack", "vote"]
+def _bars(title: str, pairs: list[tuple[str, float]], width: int = 360) -> str:
+    """A bar chart as SVG."""
+    top = max([abs(v) for _, v in pairs], default=0.0) or 1.0
+    bars = "".join(f"<text x='0' y='{22 * i + 15}' font-size='12'>{html.escape(str(k))}</text><rect x='180' y='{22 * i + 3}' width='{abs(v) / top * width:.1f}' height='16' fill='#47a'/>"
+                   f"<text x='{186 + abs(v) / top * width:.1f}' y='{22 * i + 15}' font-size='12'>{v:.4g}</text>" for i, (k, v) in enumerate(pairs))
+    return f"<h2>{html.escape(title)}</h2><svg width='{width + 260}' height='{22 * len(pairs) + 4}'>{bars}</svg>"
+
+
+def report(model: FittedModel, df: DataFrame, path: str) -> None:
+    """JSON and HTML of metrics, importance and the audit, with charts, in a folder that may be shared."""
+    plain = lambda x: None if isinstance(x, float) and math.isnan(x) else str(x)
+    best = importance(model)[:20]
+    body = {"task": model.task, "metrics": model.metrics, "importance": best, "notes": model.notes,
+            "quality": audit(df, model.config.target if isinstance(model.config.target, str) else None).to_dict()}
+    spark = df.sparkSession
+    write_text(spark, f"{path}/report.json", json.dumps(body, indent=1, default=plain))
+    numbers = [(k, v) for k, v in model.metrics.items() if isinstance(v, int | float) and not isinstance(v, bool) and v is not None and math.isfinite(v)]
+    rows = "".join(f"<tr><td>{html.escape(str(k))}</td><td>{v:.6g}</td></tr>" for k, v in numbers)
+    issues = "".join(f"<li>{html.escape(i['severity'])}: {html.escape(i['code'])} {html.escape(', '.join(i['columns']))}</li>" for i in body["quality"]["issues"])
+    write_text(spark, f"{path}/report.html", f"<!DOCTYPE html><meta charset='utf-8'><title>Report</title><h1>{html.escape(model.task)}</h1><table>{rows}</table>"
+               + _bars("Importance", best) + f"<h2>Quality {body['quality']['score']:.1f}</h2><ul>{issues}</ul>")
+
+
+__all__ = ["Calibrator", "FitConfig", "FittedModel", "OneVsRest", "apply_sigmoid", "build", "calibrate_isotonic", "calibrate_sigmoid", "estimator", "fit", "fit_calibrator", "importance",
+           "out_of_fold", "permutation_importance", "report", "stack", "vote"]

@@ -2,23 +2,44 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
+import numpy as np
+import pandas as pd
+import pyarrow as pa
 from pyspark.ml import Pipeline
 from pyspark.ml.feature import HashingTF, IDF, Normalizer
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from ..functions.columns import hash_unit
 
+ACCENTED = "àáâãäåçèéêëìíîïñòóôõöùúûüýÿÀÁÂÃÄÅÇÈÉÊËÌÍÎÏÑÒÓÔÕÖÙÚÛÜÝ"
+PLAIN = "aaaaaaceeeeiiiinooooouuuuyyaaaaaaceeeeiiiinooooouuuuy"
 
-def tfidf(df: DataFrame, key: str, text: str, top: int = 3, min_df: int = 2, max_df: float = 0.995) -> DataFrame:
-    """Each text's ``top`` words by (1 + ln tf) * (ln((1 + n) / (1 + df)) + 1); ties by word."""
+
+def _weighted(df: DataFrame, key: str, text: str, min_df: int, max_df: float) -> DataFrame:
+    """key, word, df and score of each text's words, (1 + ln tf) * (ln((1 + n) / (1 + df)) + 1).  Words are counted once, in one table."""
     n = df.count()
-    each = df.select(key, F.explode(F.transform(T.words(F.col(text)), F.lower)).alias("word")).groupBy(key, "word").agg(F.count("*").alias("tf"))
-    idf = each.groupBy("word").agg(F.count("*").alias("df")).where((F.col("df") >= min_df) & (F.col("df") <= max_df * n))
-    scored = each.join(idf, "word").withColumn("score", (1 + F.log(F.col("tf").cast("double"))) * (F.log((F.lit(1.0) + n) / (1.0 + F.col("df"))) + 1))
-    # A text's best words by partial aggregation, not by sorting each text's words.
-    best = F.slice(F.sort_array(F.collect_list(F.struct((-F.round("score", 9)).alias("s"), "word"))), 1, top)
-    return scored.groupBy(key).agg(best.alias("b")).select(key, F.posexplode("b").alias("rank", "x")).select(key, (F.col("rank") + 1).cast("long").alias("rank"), "x.word", (-F.col("x.s")).alias("score"))
+    each = df.select(F.col(key).alias("__key"), F.explode(F.transform(T.words(F.col(text)), F.lower)).alias("__word")).groupBy("__key", "__word").agg(F.count("*").alias("tf"))
+    idf = each.groupBy("__word").agg(F.count("*").alias("df")).where((F.col("df") >= min_df) & (F.col("df") <= max_df * n))
+    score = (1 + F.log(F.col("tf").cast("double"))) * (F.log((F.lit(1.0) + n) / (1.0 + F.col("df"))) + 1)
+    return each.join(idf, "__word").select("__key", "__word", "df", score.alias("score"))
+
+
+def tfidf(df: DataFrame, key: str, text: str, top: int = 3, min_df: int = 2, max_df: float = 0.995) -> DataFrame:
+    """Each text's ``top`` words by TF-IDF; ties by word.  A text's best words are cut by rank, not gathered in one value."""
+    place = F.row_number().over(Window.partitionBy("__key").orderBy(F.desc(F.round("score", 9)), "__word"))
+    best = _weighted(df, key, text, min_df, max_df).withColumn("rank", place).where(F.col("rank") <= top)
+    return best.select(F.col("__key").alias(key), F.col("rank").cast("long").alias("rank"), F.col("__word").alias("word"), F.round("score", 9).alias("score"))
+
+
+def token_entropy(df: DataFrame, key: str, text: str) -> DataFrame:
+    """key and token_entropy (bits) of each text's lower-cased words, from counts by text and word; 0 without words."""
+    counts = df.select(F.col(key).alias("__key"), F.explode(F.transform(T.words(F.col(text)), F.lower)).alias("__word")).groupBy("__key", "__word").agg(F.count("*").cast("double").alias("n"))
+    each = counts.groupBy("__key").agg((F.log2(F.sum("n")) - F.sum(F.col("n") * F.log2("n")) / F.sum("n")).alias("e"))
+    return df.select(F.col(key).alias("__own")).join(each, F.col("__own") == F.col("__key"), "left").select(F.col("__own").alias(key), F.coalesce("e", F.lit(0.0)).alias("token_entropy"))
 
 
 def hashed(df: DataFrame, key: str, text: str, features: int = 1024) -> DataFrame:
@@ -27,14 +48,96 @@ def hashed(df: DataFrame, key: str, text: str, features: int = 1024) -> DataFram
     return Pipeline(stages=stages).fit(rows).transform(rows).select(key, "features")
 
 
+def folded(c: Column) -> Column:
+    """Lower case without accents."""
+    return F.lower(F.translate(c, ACCENTED, PLAIN))
+
+
+def terms(c: Column) -> dict[str, Column]:
+    """Word 1- and 2-grams, and character 3- to 5-grams inside words with a space on each side."""
+    w = T.words(folded(c))
+    two = F.when(F.size(w) > 1, F.transform(F.sequence(F.lit(1), F.greatest(F.size(w) - 1, F.lit(1))), lambda i: F.concat_ws(" ", F.get(w, i - 1), F.get(w, i)))).otherwise(F.array().cast("array<string>"))
+    padded = F.transform(w, lambda x: F.concat(F.lit(" "), x, F.lit(" ")))
+    grams = lambda n: F.flatten(F.transform(padded, lambda x: F.when(F.length(x) >= n, F.transform(F.sequence(F.lit(1), F.greatest(F.length(x) - (n - 1), F.lit(1))), lambda i: F.substring(x, i, F.lit(n))))
+                                            .otherwise(F.array().cast("array<string>"))))
+    return {"words": F.concat(w, two), "chars": F.concat(*[grams(n) for n in (3, 4, 5)])}
+
+
+@dataclass
+class Lexical:
+    """Vocabularies, weights and factors of a corpus, to replay on other texts."""
+
+    stages: dict
+    dims: int
+    factors: np.ndarray
+
+    def transform(self, df: DataFrame, text: str, out: str) -> DataFrame:
+        """``df`` with the array column ``out``: the factors' products with each text's unit-length TF-IDF vector."""
+        from pyspark.ml.feature import VectorAssembler
+        from pyspark.ml.functions import vector_to_array
+
+        rows = df.withColumns({f"__{k}": v for k, v in terms(F.coalesce(F.col(f"`{text}`"), F.lit(""))).items()})
+        for k, model in self.stages.items():
+            rows = model.transform(rows)
+        rows = Normalizer(inputCol="__all", outputCol="__unit").transform(VectorAssembler(inputCols=[f"__idf_{k}" for k in self.stages], outputCol="__all").transform(rows))
+        shared = df.sparkSession.sparkContext.broadcast(self.factors.astype(np.float32))  # the vocabulary's size times dims
+
+        @F.pandas_udf("array<double>")
+        def factors(x: pd.Series) -> pd.Series:
+            return pd.Series((np.stack(x.to_list()) @ shared.value).tolist() if len(x) else [])
+
+        made = rows.withColumn("__dense", vector_to_array("__unit")).withColumn(out, factors("__dense"))
+        return made.drop(*[c for c in made.columns if c.startswith("__") and c not in df.columns and c != out])
+
+
+def fit_lexical(df: DataFrame, key: str, text: str, dims: int = 64, rows: int = 20_000, seed: int = 42) -> Lexical:
+    """Vocabularies of words and character grams (60 to 40 of ``dims * 6``, 64 at least), TF-IDF, and truncated factors of at most ``rows`` texts chosen by the key's hash."""
+    from pyspark.ml.feature import CountVectorizer, VectorAssembler
+
+    n = df.count()
+    some = df if n <= rows else df.where(hash_unit(F.col(key), f"{seed}:text:") < rows / n)
+    part = some.select(*[v.alias(f"__{k}") for k, v in terms(F.coalesce(F.col(f"`{text}`"), F.lit(""))).items()]).persist()
+    size = max(64, dims * 6)
+    stages, out = {}, part
+    for k, share, least in (("words", 0.6, 1.0), ("chars", 0.4, 2.0)):
+        model = Pipeline(stages=[CountVectorizer(inputCol=f"__{k}", outputCol=f"__tf_{k}", vocabSize=max(1, int(size * share)), minDF=least, maxDF=0.995 if n > 10 else 1.0),
+                                 IDF(inputCol=f"__tf_{k}", outputCol=f"__idf_{k}")]).fit(part)
+        stages[k], out = model, model.transform(out)
+    unit = Normalizer(inputCol="__all", outputCol="__unit").transform(VectorAssembler(inputCols=[f"__idf_{k}" for k in stages], outputCol="__all").transform(out))
+    v = _right_factors(unit, "__unit", dims)
+    part.unpersist()
+    return Lexical(stages, v.shape[1], v)
+
+
+def _right_factors(df: DataFrame, column: str, dims: int) -> np.ndarray:
+    """The leading right factors [width, dims] of the rows' matrix (uncentred): eigenvectors of the summed products, which are gathered once."""
+    from pyspark.ml.functions import vector_to_array
+
+    rows = df.select(vector_to_array(column, "float64").alias("x"))
+
+    def run(batches):
+        total = None
+        for b in batches:
+            if b.num_rows:
+                x = np.asarray(b.column(0).flatten()).reshape(b.num_rows, -1)
+                total = x.T @ x if total is None else total + x.T @ x
+        if total is not None:
+            yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()], pa.binary())], names=["total"])
+
+    parts = rows.mapInArrow(run, "total binary").collect()
+    flat = sum(np.frombuffer(r["total"]) for r in parts)
+    width = int(round(len(flat) ** 0.5))
+    values, v = np.linalg.eigh(flat.reshape(width, width))
+    order = np.argsort(values)[::-1][: min(dims, width)]
+    v = v[:, order]
+    return v * np.where(v[np.abs(v).argmax(0), np.arange(v.shape[1])] < 0, -1.0, 1.0)
+
+
 def latent(df: DataFrame, key: str, text: str, dims: int = 8, features: int = 256) -> DataFrame:
-    """Latent factors of the hashed TF-IDF matrix by a truncated, uncentred singular value decomposition."""
+    """Latent factors of the hashed TF-IDF matrix by a truncated, uncentred decomposition; the signs are those of each factor's largest entry."""
     from pyspark.ml.functions import vector_to_array
-    from pyspark.mllib.linalg import Vectors
-    from pyspark.mllib.linalg.distributed import RowMatrix
 
     rows = hashed(df, key, text, features)
-    matrix = RowMatrix(rows.select("features").rdd.map(lambda r: Vectors.fromML(r["features"])))
-    v = matrix.computeSVD(dims).V.toArray()
+    v = _right_factors(rows, "features", dims)
     x = vector_to_array("features")
     return rows.select(key, F.array(*[F.aggregate(F.zip_with(x, F.array(*[F.lit(float(a)) for a in v[:, k]]), lambda p, q: p * q), F.lit(0.0), lambda s, p: s + p) for k in range(v.shape[1])]).alias("lsa"))

@@ -11,7 +11,6 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions import media
 from ..functions import text as T
 from ..functions.columns import wide_then_long
 from ..operators import clean, decide, learn, metrics, profile, quality, rank, rows, split, text
@@ -81,13 +80,6 @@ query("audit_duplicates", "lineitem", f"SELECT (count(*) - (SELECT count(*) FROM
 query("audit_text_modality", "documents", f"SELECT 'text' AS column_name, {r('''avg(CASE WHEN text IS NULL OR trim(text) = '' THEN 1.0 ELSE 0.0 END)''', 'empty_rate')}, {r('avg(length(text))', 'mean_length')}, {r('quantile_cont(length(text)::DOUBLE, 0.9)', 'q90_length')} FROM documents")(lambda df: quality.text_modality(df, ["text"]))
 
 
-def _audit_score(spark, d):
-    report = quality.audit(_t(spark, d, "lineitem", HOLES), "l_linestatus")
-    return spark.createDataFrame([(report.score, len(report.issues))], "score double, issues int")
-
-
-QUERIES["audit_score"] = _audit_score
-
 # ---- profile
 query("profile_constant_columns", "orders", "SELECT 'one' AS column_name, true AS constant UNION ALL SELECT 'o_orderstatus', count(DISTINCT o_orderstatus) <= 1 FROM orders UNION ALL SELECT 'hole', false", ["1 AS one", "o_orderstatus", "CASE WHEN o_orderkey % 3 = 0 THEN NULL ELSE 1 END AS hole"])(profile.constant_columns)
 query("profile_duplicate_columns", "lineitem", "SELECT 'a' AS first, 'c' AS second", ["l_quantity AS a", "l_tax AS b", "l_quantity AS c"])(lambda df: profile.duplicate_column_pairs(df, ["a", "b", "c"]))
@@ -118,9 +110,11 @@ _unit = lambda key, salt: f"('0x' || substr(md5('{salt}' || {key}::VARCHAR), 1,
 query("split_random", "orders", f"SELECT o_orderkey, {_unit('o_orderkey', '42:')} < 0.2 AS is_test FROM orders")(lambda df: split.split_random(df, "o_orderkey").select("o_orderkey", "is_test"))
 query("split_group", "orders", f"SELECT o_orderkey, o_custkey, {_unit('o_custkey', '42:')} < 0.2 AS is_test FROM orders")(lambda df: split.split_group(df, "o_custkey").select("o_orderkey", "o_custkey", "is_test"))
 query("split_stratified", "orders", f"SELECT o_orderkey, row_number() OVER (PARTITION BY o_orderstatus ORDER BY {_unit('o_orderkey', '42:')}, o_orderkey) <= greatest(1, floor(count(*) OVER (PARTITION BY o_orderstatus) * 0.2)) AS is_test FROM orders")(lambda df: split.split_stratified(df, "o_orderkey", "o_orderstatus").select("o_orderkey", "is_test"))
-query("split_temporal", "events", "SELECT event_id, epoch_us(ts) > (SELECT quantile_cont(epoch_us(ts)::DOUBLE, 0.8) FROM events) AS is_test FROM events")(lambda df: split.split_temporal(df, "ts").select("event_id", "is_test"))
+query("split_temporal", "events", f"SELECT event_id, row_number() OVER (ORDER BY ts, {_unit('event_id', '42:')}, event_id) > greatest(1, least(count(*) OVER () - 1, round(count(*) OVER () * 0.8))) AS is_test FROM events")(
+    lambda df: split.split_temporal(df, "ts", "event_id").select("event_id", "is_test"))
 query("assign_folds", "orders", f"SELECT o_orderkey, floor({_unit('o_orderkey', '42:fold:')} * 3)::INT AS fold FROM orders")(lambda df: split.folds(df, "o_orderkey").select("o_orderkey", "fold"))
-query("stratified_sample", "orders", f"SELECT o_orderkey, o_orderstatus FROM orders WHERE {_unit('o_orderkey', '42:sample:')} < 0.1")(lambda df: split.stratified_sample(df, "o_orderkey", "o_orderstatus", 0.1).select("o_orderkey", "o_orderstatus"))
+query("stratified_sample", "orders", f"SELECT o_orderkey, o_orderstatus FROM (SELECT *, row_number() OVER (PARTITION BY o_orderstatus ORDER BY {_unit('o_orderkey', '42:sample:')}, o_orderkey) AS i, "
+      "count(*) OVER (PARTITION BY o_orderstatus) AS n FROM orders) WHERE i <= greatest(1, round(n * 0.1))")(lambda df: split.stratified_sample(df, "o_orderkey", "o_orderstatus", 0.1).select("o_orderkey", "o_orderstatus"))
 query("calibration_holdout", "orders", f"SELECT o_orderkey, {_unit('o_orderkey', '139:')} < 0.15 AS is_calibration FROM orders")(lambda df: split.calibration_holdout(df, "o_orderkey").select("o_orderkey", "is_calibration"))
 query("modality_dropout", "orders", f"SELECT o_orderkey, {r('o_totalprice', 'o_totalprice')}, o_orderpriority FROM orders UNION ALL SELECT o_orderkey, CASE WHEN {_unit('o_orderkey', '820:')} >= 0.5 THEN {'round(o_totalprice, 6)'} END, CASE WHEN {_unit('o_orderkey', '820:')} < 0.5 THEN o_orderpriority END FROM orders WHERE {_unit('o_orderkey', '819:')} < 0.08", ["o_orderkey", "o_totalprice", "o_orderpriority"])(lambda df: split.modality_dropout(df, "o_orderkey", {"a": ["o_totalprice"], "b": ["o_orderpriority"]}))
 
@@ -130,7 +124,7 @@ query("missing_indicators", "lineitem", cte("holes") + "SELECT l_orderkey, l_lin
 query("winsorize", "lineitem", f"WITH q AS (SELECT quantile_cont(l_extendedprice, 0.01) AS a, quantile_cont(l_extendedprice, 0.99) AS b FROM lineitem) SELECT l_orderkey, l_linenumber, {r('greatest(a, least(b, l_extendedprice))', 'x')} FROM lineitem, q")(lambda df: df.select(*_key, clean.clip("l_extendedprice", clean.winsor_limits(df, ["l_extendedprice"])["l_extendedprice"]).alias("x")))
 for _how, _agg in (("median", "quantile_cont(l_quantity::DOUBLE, 0.5)"), ("mean", "avg(l_quantity)")):
     query(f"impute_{_how}", "lineitem", cte("holes") + f"SELECT l_orderkey, l_linenumber, {r(f'coalesce(l_quantity, (SELECT {_agg} FROM holes))', 'l_quantity')} FROM holes", HOLES)(lambda df, how=_how: clean.impute(df, clean.fills(df, ["l_quantity"], how)).select(*_key, "l_quantity"))
-query("rare_group", "events", "WITH k AS (SELECT event_type AS v, count(*) AS n FROM events GROUP BY 1 HAVING count(*) >= greatest(2, ceil((SELECT count(*) FROM events) * 0.15))) SELECT event_id, CASE WHEN event_type IN (SELECT v FROM k) THEN event_type ELSE '__rare__' END AS c FROM events", ["event_id", "event_type"])(lambda df: df.select("event_id", clean.group_rare("event_type", clean.kept_categories(df, "event_type", 0.15)).alias("c")))
+query("rare_group", "events", "WITH k AS (SELECT event_type AS v, count(*) AS n FROM events GROUP BY 1 HAVING count(*) >= greatest(2, ceil((SELECT count(*) FROM events) * 0.15))) SELECT event_id, CASE WHEN event_type IN (SELECT v FROM k) THEN event_type ELSE '__rare__' END AS c FROM events", ["event_id", "event_type"])(lambda df: df.select("event_id", clean.group_rare("event_type", clean.kept_categories(df, ["event_type"], 0.15)["event_type"]).alias("c")))
 query("ordinal_encode", "orders", "SELECT o_orderkey, (dense_rank() OVER (ORDER BY o_orderpriority) - 1)::INT AS code FROM orders")(lambda df: df.select("o_orderkey", clean.encode("o_orderpriority", clean.ordinal_codes(df, "o_orderpriority")).alias("code")))
 query("unknown_category_replay", "orders", "SELECT o_orderkey, CASE WHEN o_orderstatus = (SELECT min(o_orderstatus) FROM orders) THEN o_orderstatus ELSE '__unknown__' END AS c FROM orders")(lambda df: df.select("o_orderkey", clean.replay_unknown("o_orderstatus", clean.ordinal_codes(df, "o_orderstatus")[:1]).alias("c")))
 query("log1p_transform", "orders", f"SELECT o_orderkey, {r('ln(1 + o_totalprice)', 'x')} FROM orders")(lambda df: df.select("o_orderkey", clean.log1p("o_totalprice", 0.0).alias("x")))
@@ -141,13 +135,6 @@ query("drop_near_duplicates", "lineitem", "SELECT 'twice' AS dropped", ["l_quant
 query("yeo_johnson", "part")(lambda df: df.select("p_partkey", clean.yeo_johnson(F.col("p_retailprice"), clean.yeo_johnson_lambda(df, "p_retailprice")).alias("x")))
 
 
-@query("clean_replay", "lineitem", exprs=[*HOLES, "l_shipdate"])
-def _clean_replay(df):
-    """Fit on one side, replay on the other; one projection."""
-    parts = split.split_random(df, "l_orderkey")
-    fitted = clean.Cleaner(scaling="robust").fit(parts.where("NOT is_test"), ["l_quantity", "l_extendedprice", "l_discount", "l_returnflag", "l_shipdate"])
-    return clean.Cleaner.from_json(fitted.to_json()).transform(parts.where("is_test"), keep=_key)
-
 
 # ---- text
 def _text(name: str, make, sql: str | None):
@@ -156,13 +143,14 @@ def _text(name: str, make, sql: str | None):
 
 _n = lambda p: f"len(regexp_extract_all(text, '{p}'))"
 _sh = lambda a, b, k: r(f"CASE WHEN {b} = 0 THEN 0.0 ELSE {a} / ({b})::DOUBLE END", k)
-_text("text_char_stats", T.char_stats, f"SELECT doc_id, length(text)::BIGINT AS chars, {_n(T.WORD)}::BIGINT AS words, {_n('[.!?]+')}::BIGINT AS sentences, (length(text) - length(replace(text, chr(10), '')) + 1)::BIGINT AS lines, {_n('[?]')}::BIGINT AS questions, {_n('!')}::BIGINT AS exclamations FROM documents")
+_text("text_char_stats", T.char_stats, f"SELECT doc_id, length(text)::BIGINT AS chars, {_n(T.WORD)}::BIGINT AS words, {_n(f'[{T.SENTENCE}]+')}::BIGINT AS sentences, (length(text) - length(replace(text, chr(10), '')) + 1)::BIGINT AS lines, {_n('[?؟]')}::BIGINT AS questions, {_n('!')}::BIGINT AS exclamations FROM documents")
 _text("text_ratios", T.ratios, "SELECT doc_id, " + ", ".join(_sh(_n(p), b, k) for k, p, b in (("digit", r"\p{Nd}", "length(text)"), ("alpha", r"\p{L}", "length(text)"), ("upper", r"\p{Lu}", _n(r"\p{L}")), ("lower", r"\p{Ll}", _n(r"\p{L}")), ("space", r"[ \t\n\r]", "length(text)"), ("punctuation", r"\p{P}", "length(text)"), ("symbol", r"\p{S}", "length(text)"), ("non_ascii", r"[^\x00-\x7F]", "length(text)"))) + " FROM documents")
-_text("text_scripts", T.scripts, "SELECT doc_id, " + ", ".join(_sh(_n(rf"\p{{{p}}}"), _n(r"\p{L}"), k) for k, p in (("latin", "Latin"), ("arabic", "Arabic"), ("cyrillic", "Cyrillic"), ("han", "Han"))) + " FROM documents")
-_text("text_patterns", T.patterns, None)
+_text("text_scripts", T.scripts, "SELECT doc_id, " + ", ".join(_sh(_n(rf"\p{{{p}}}"), _n(r"\p{L}"), k) for k, p in (("latin", "Latin"), ("arabic", "Arabic"), ("cyrillic", "Cyrillic"), ("han", "Han"), ("hiragana", "Hiragana"), ("katakana", "Katakana"), ("hangul", "Hangul"))) + " FROM documents")
 _w = f"list_transform(regexp_extract_all(text, '{T.WORD}'), lambda x: lower(x))"
-_text("text_lexical_diversity", T.diversity, f"WITH w AS (SELECT doc_id, text, {_w} AS w FROM documents) SELECT doc_id, {_sh('len(list_distinct(w))', 'len(w)', 'unique_ratio')}, {_sh('ln(1 + len(list_distinct(w)))', 'ln(1 + len(w))', 'log_ttr')}, {_sh('len(list_distinct(w))', 'sqrt(greatest(length(text), 1))', 'per_root_char')}, {_sh('coalesce(list_sum(list_transform(w, lambda x: length(x))), 0)', 'len(w)', 'word_mean')}, coalesce(list_max(list_transform(w, lambda x: length(x))), 0)::BIGINT AS word_max FROM w")
-query("text_entropy", "documents", f"WITH c AS (SELECT doc_id, unnest({_w}) AS w FROM documents), n AS (SELECT doc_id, w, count(*) AS n FROM c GROUP BY 1, 2), e AS (SELECT doc_id, log2(sum(n)) - sum(n * log2(n)) / sum(n) AS e FROM n GROUP BY 1) SELECT d.doc_id, round(coalesce(e, 0.0), 6) + 0.0 AS token_entropy FROM documents d LEFT JOIN e ON e.doc_id = d.doc_id")(lambda df: df.select("doc_id", (F.round(T.entropy(F.transform(T.words(F.col("text")), F.lower)), 6) + 0.0).alias("token_entropy")))
+_text("text_lexical_diversity", T.diversity, f"WITH w AS (SELECT doc_id, text, {_w} AS w FROM documents) SELECT doc_id, {_sh('len(list_distinct(w))', 'len(w)', 'unique_ratio')}, {_sh('ln(1 + len(list_distinct(w)))', 'ln(1 + len(w))', 'log_ttr')}, {_sh('len(list_distinct(w))', 'sqrt(greatest(length(text), 1))', 'per_root_char')}, {_sh('coalesce(list_sum(list_transform(w, lambda x: length(x))), 0)', 'len(w)', 'word_mean')}, coalesce(list_max(list_transform(w, lambda x: length(x))), 0)::BIGINT AS word_max, "
+      f"round(coalesce(list_stddev_pop(list_transform(w, lambda x: length(x))), 0.0), 6) AS word_std, "
+      f"{_sh('list_sum([0] || list_transform(map_values(list_histogram(w)), lambda n: CASE WHEN n = 1 THEN 1 ELSE 0 END))', 'len(w)', 'hapax_ratio')} FROM w")
+query("text_entropy", "documents", f"WITH c AS (SELECT doc_id, unnest({_w}) AS w FROM documents), n AS (SELECT doc_id, w, count(*) AS n FROM c GROUP BY 1, 2), e AS (SELECT doc_id, log2(sum(n)) - sum(n * log2(n)) / sum(n) AS e FROM n GROUP BY 1) SELECT d.doc_id, round(coalesce(e, 0.0), 6) + 0.0 AS token_entropy FROM documents d LEFT JOIN e ON e.doc_id = d.doc_id")(lambda df: text.token_entropy(df, "doc_id", "text").select("doc_id", (F.round("token_entropy", 6) + 0.0).alias("token_entropy")))
 query("text_bounded", "documents", "SELECT doc_id, CASE WHEN length(text) <= 300 THEN text ELSE substr(text, 1, 100) || chr(10) || '…' || chr(10) || substr(text, trunc(length(text) / 2 - 50)::INT + 1, 100) || chr(10) || '…' || chr(10) || right(text, 100) END AS part FROM documents")(lambda df: df.select("doc_id", T.bounded(F.col("text"), 300).alias("part")))
 query("tfidf_topk", "documents", f"WITH w AS (SELECT doc_id, unnest({_w}) AS word FROM documents), t AS (SELECT doc_id, word, count(*) AS tf FROM w GROUP BY 1, 2), n AS (SELECT count(*) AS n FROM documents), f AS (SELECT word, count(*) AS df FROM t GROUP BY 1 HAVING count(*) >= 2 AND count(*) <= 0.995 * (SELECT n FROM n)), s AS (SELECT doc_id, word, round((1 + ln(tf)) * (ln((1.0 + n) / (1 + df)) + 1), 9) AS score FROM t JOIN f USING (word), n) SELECT doc_id, rank, word, round(score, 6) AS score FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY score DESC, word) AS rank FROM s) WHERE rank <= 3")(lambda df: text.tfidf(df, "doc_id", "text"))
 query("hashing_tfidf", "documents")(lambda df: text.hashed(df, "doc_id", "text").select("doc_id", F.col("features").cast("string").alias("features")))
@@ -173,7 +161,6 @@ query("variance_ranking", "lineitem", per_column(NUM, "lineitem", lambda c: r(f"
 query("anova_f_ranking", "lineitem", " UNION ALL ".join(f"SELECT '{c}' AS column_name, round((sum(n * (m - g) * (m - g)) / (count(*) - 1)) / (sum(ss) / (sum(n) - count(*))), 6) AS f FROM (SELECT count(*) AS n, avg({c}) AS m, var_pop({c}) * count(*) AS ss, (SELECT avg({c}) FROM lineitem) AS g FROM lineitem GROUP BY l_returnflag)" for c in NUM))(lambda df: rank.anova_f(df, NUM, "l_returnflag"))
 query("regression_f_ranking", "lineitem", per_column(NUM[1:], "lineitem", lambda c: r(f"corr({c}, l_quantity) ** 2 * (count(*) - 2) / (1 - corr({c}, l_quantity) ** 2)", "f")), digits=3)(lambda df: rank.regression_f(df, NUM[1:], "l_quantity"))
 ORACLES["regression_f_ranking"] = ORACLES["regression_f_ranking"].replace(", 6) AS f", ", 3) AS f")
-query("mi_topk", "lineitem")(lambda df: rank.mutual_information(df, NUM, "l_returnflag"))
 
 # ---- metrics
 _said = [*SCORED, "CASE WHEN CAST((l_orderkey * 37 + l_partkey * 11 + l_linenumber * 5 + CASE WHEN l_returnflag = 'R' THEN 150 ELSE 0 END) % 1000 AS DOUBLE) / 1000 >= 0.5 THEN 1 ELSE 0 END AS said"]
@@ -184,12 +171,15 @@ query("pr_auc", "lineitem", cte("scored") + ", t AS (SELECT p, sum(y) AS pos, co
 query("log_loss", "lineitem", cte("scored") + f"SELECT {r('avg(-CASE WHEN y = 1 THEN ln(greatest(1e-15, least(1 - 1e-15, p))) ELSE ln(1 - greatest(1e-15, least(1 - 1e-15, p))) END)', 'log_loss')}, {r('avg((p - y) ** 2)', 'brier')} FROM scored", SCORED)(lambda df: metrics.log_loss(df, "y", "p"))
 query("ece", "lineitem", cte("scored") + f"SELECT {r('sum(abs(c - k) * n) / sum(n)', 'ece')} FROM (SELECT least(floor(greatest(p, 1 - p) * 10), 9) AS b, count(*) AS n, avg(greatest(p, 1 - p)) AS c, avg(CASE WHEN (p >= 0.5) = (y = 1) THEN 1.0 ELSE 0.0 END) AS k FROM scored GROUP BY 1)", SCORED)(lambda df: metrics.ece(df, "y", "p"))
 _multi = ["l_returnflag AS y", "CASE WHEN l_orderkey % 3 = 0 THEN 'A' WHEN l_partkey % 2 = 0 THEN l_returnflag ELSE 'N' END AS p"]
-query("metrics_multiclass", "lineitem", f"WITH s AS (SELECT {', '.join(_multi)} FROM lineitem), k AS (SELECT k, sum(a)::DOUBLE AS a, sum(s)::DOUBLE AS s, sum(h)::DOUBLE AS h FROM (SELECT y AS k, 1 AS a, 0 AS s, (y = p)::INT AS h FROM s UNION ALL SELECT p, 0, 1, 0 FROM s) GROUP BY 1), g AS (SELECT sum(h) AS c, sum(a) AS n, sum(a * s) AS x, sum(a * a) AS aa, sum(s * s) AS ss, avg(h / s) AS pr, avg(h / a) AS re, avg(2 * h / (a + s)) AS f, sum(2 * h / (a + s) * a) / sum(a) AS fw FROM k) SELECT {r('c / n', 'accuracy')}, {r('pr', 'precision')}, {r('re', 'recall')}, {r('f', 'f1_macro')}, {r('fw', 'f1_weighted')}, {r('(c * n - x) / (sqrt(n * n - ss) * sqrt(n * n - aa))', 'mcc')}, {r('(c / n - x / (n * n)) / (1 - x / (n * n))', 'kappa')} FROM g", _multi)(lambda df: metrics.multiclass(df, "y", "p"))
+query("metrics_multiclass", "lineitem", f"WITH s AS (SELECT {', '.join(_multi)} FROM lineitem), k AS (SELECT k, sum(a)::DOUBLE AS a, sum(s)::DOUBLE AS s, sum(h)::DOUBLE AS h FROM (SELECT y AS k, 1 AS a, 0 AS s, (y = p)::INT AS h FROM s UNION ALL SELECT p, 0, 1, 0 FROM s) GROUP BY 1), g AS (SELECT sum(h) AS c, sum(a) AS n, sum(a * s) AS x, sum(a * a) AS aa, sum(s * s) AS ss, avg(coalesce(h / nullif(s, 0), 0)) AS pr, avg(coalesce(h / nullif(a, 0), 0)) AS re, avg(h / nullif(a, 0)) AS ba, avg(2 * h / (a + s)) AS f, sum(2 * h / (a + s) * a) / sum(a) AS fw FROM k) SELECT {r('c / n', 'accuracy')}, {r('pr', 'precision')}, {r('re', 'recall')}, {r('f', 'f1_macro')}, {r('fw', 'f1_weighted')}, {r('(c * n - x) / (sqrt(n * n - ss) * sqrt(n * n - aa))', 'mcc')}, {r('(c / n - x / (n * n)) / (1 - x / (n * n))', 'kappa')}, {r('ba', 'balanced_accuracy')} FROM g", _multi)(lambda df: metrics.multiclass(df, "y", "p"))
 _reg = ["l_extendedprice AS y", "l_extendedprice * 0.9 + l_quantity * 20 AS p", "l_tax AS y2", "l_discount AS p2"]
 query("metrics_regression", "lineitem", f"WITH s AS (SELECT {', '.join(_reg)} FROM lineitem) SELECT {r('avg(abs(y - p))', 'mae')}, round(avg((y - p) ** 2), 6) AS mse, {r('sqrt(avg((y - p) ** 2))', 'rmse')}, {r('1 - avg((y - p) ** 2) / var_pop(y)', 'r2')}, {r('quantile_cont(abs(y - p), 0.5)', 'median_ae')}, {r('avg(abs(y - p) / greatest(abs(y), 2.220446049250313e-16))', 'mape')} FROM s".replace("round(avg((y - p) ** 2), 6)", "round(avg((y - p) ** 2), 2)"), _reg)(lambda df: metrics.regression(df, "y", "p").withColumn("mse", F.round("mse", 2)))
-query("metrics_multioutput", "lineitem", f"WITH s AS (SELECT {', '.join(_reg)} FROM lineitem) SELECT {r('sqrt(avg((y - p) ** 2))', 'rmse_0')}, {r('sqrt(avg((y2 - p2) ** 2))', 'rmse_1')} FROM s", _reg)(lambda df: metrics.multioutput(df, [("y", "p"), ("y2", "p2")]))
+query("metrics_multioutput", "lineitem", f"WITH s AS (SELECT {', '.join(_reg)} FROM lineitem) SELECT {r('sqrt(avg((y - p) ** 2))', 'rmse_0')}, {r('sqrt(avg((y2 - p2) ** 2))', 'rmse_1')}, {r('(sqrt(avg((y - p) ** 2)) + sqrt(avg((y2 - p2) ** 2))) / 2', 'rmse')}, "
+      f"{r('(avg(abs(y - p)) + avg(abs(y2 - p2))) / 2', 'mae')}, {r('1 - (avg((y - p) ** 2) / var_pop(y) + avg((y2 - p2) ** 2) / var_pop(y2)) / 2', 'r2')} FROM s", _reg)(lambda df: metrics.multioutput(df, [("y", "p"), ("y2", "p2")]))
 _ml = ["quality AS a", "toxic AS b", "CAST(doc_id % 2 AS INT) AS pa", "CAST(CASE WHEN doc_id % 5 = 0 THEN 1 ELSE 0 END AS INT) AS pb"]
-query("metrics_multilabel", "labels", f"WITH s AS (SELECT {', '.join(_ml)} FROM labels) SELECT {r('avg(CASE WHEN a = pa AND b = pb THEN 1.0 ELSE 0.0 END)', 'subset_accuracy')}, {r('avg(abs(a - pa) + abs(b - pb)) / 2', 'hamming')}, {r('(2 * sum(a * pa)::DOUBLE / (sum(a) + sum(pa)) + 2 * sum(b * pb)::DOUBLE / (sum(b) + sum(pb))) / 2', 'f1_macro')}, {r('2 * (sum(a * pa) + sum(b * pb))::DOUBLE / (sum(a) + sum(pa) + sum(b) + sum(pb))', 'f1_micro')} FROM s", _ml)(lambda df: metrics.multilabel(df, [("a", "pa"), ("b", "pb")]))
+query("metrics_multilabel", "labels", f"WITH s AS (SELECT {', '.join(_ml)} FROM labels) SELECT {r('avg(CASE WHEN a = pa AND b = pb THEN 1.0 ELSE 0.0 END)', 'subset_accuracy')}, {r('avg(abs(a - pa) + abs(b - pb)) / 2', 'hamming')}, {r('(2 * sum(a * pa)::DOUBLE / (sum(a) + sum(pa)) + 2 * sum(b * pb)::DOUBLE / (sum(b) + sum(pb))) / 2', 'f1_macro')}, {r('2 * (sum(a * pa) + sum(b * pb))::DOUBLE / (sum(a) + sum(pa) + sum(b) + sum(pb))', 'f1_micro')}, "
+      f"{r('avg(CASE WHEN a + b + pa + pb = 0 THEN 0.0 ELSE 2.0 * (a * pa + b * pb) / (a + b + pa + pb) END)', 'f1_samples')}, "
+      f"{r('(sum(a * pa)::DOUBLE / sum(pa) + sum(b * pb)::DOUBLE / sum(pb)) / 2', 'precision_macro')}, {r('(sum(a * pa)::DOUBLE / sum(a) + sum(b * pb)::DOUBLE / sum(b)) / 2', 'recall_macro')} FROM s", _ml)(lambda df: metrics.multilabel(df, [("a", "pa"), ("b", "pb")]))
 _rk = ["o_custkey AS g", "CAST(o_orderkey % 4 AS DOUBLE) AS gain", "CAST(o_orderkey * 7 % 5 AS DOUBLE) AS score"]
 query("ndcg_at_k", "orders", f"WITH s AS (SELECT {', '.join(_rk)} FROM orders), t AS (SELECT *, avg(gain) OVER (PARTITION BY g, score) AS m, row_number() OVER (PARTITION BY g ORDER BY score DESC) AS i, row_number() OVER (PARTITION BY g ORDER BY gain DESC) AS j FROM s), e AS (SELECT g, sum(CASE WHEN i <= 5 THEN m / log2(i + 1) ELSE 0 END) AS d, sum(CASE WHEN j <= 5 THEN gain / log2(j + 1) ELSE 0 END) AS z FROM t GROUP BY g HAVING count(*) >= 2) SELECT {r('avg(CASE WHEN z = 0 THEN 0 ELSE d / z END)', 'ndcg')}, count(*) AS groups FROM e", _rk)(lambda df: metrics.ndcg(df, "g", "gain", "score", 5))
 
@@ -208,40 +198,9 @@ query("drift_numeric_psi", "events", f"WITH a AS (SELECT value FROM events WHERE
 _two = "SELECT event_type AS v, sum(CASE WHEN ts < TIMESTAMP '2024-01-16' THEN 1 ELSE 0 END)::DOUBLE AS a, sum(CASE WHEN ts >= TIMESTAMP '2024-01-16' THEN 1 ELSE 0 END)::DOUBLE AS b FROM events GROUP BY 1 UNION ALL SELECT NULL, 0, 0"
 query("drift_categorical_js", "events", f"WITH c AS ({_two}), p AS (SELECT greatest(a / (SELECT sum(a) FROM c), 1e-6) AS a, greatest(b / (SELECT sum(b) FROM c), 1e-6) AS b FROM c), s AS (SELECT a / (SELECT sum(a) FROM p) AS a, b / (SELECT sum(b) FROM p) AS b FROM p) SELECT 'event_type' AS column_name, {r('sqrt(greatest(0, sum(a * ln(2 * a / (a + b)) + b * ln(2 * b / (a + b))) / 2))', 'js')} FROM s")(lambda df: df.sparkSession.createDataFrame([(x["column_name"], x["js"]) for x in [decide.categorical_drift(df.where("ts < '2024-01-16'"), df.where("ts >= '2024-01-16'"), "event_type")]], "column_name string, js double"))
 
-
-def _drift_overall(spark, d):
-    df = _t(spark, d, "events")
-    a, b = df.where("ts < '2024-01-16'"), df.where("ts >= '2024-01-16'")
-    scores = [x["score"] for x in decide.numeric_drift(decide.numeric_reference(a, ["value"]), b)] + [decide.categorical_drift(a, b, "event_type")["score"]]
-    value, severity = decide.overall_drift(scores)
-    return spark.createDataFrame([(round(value, 6), severity)], "overall double, severity string")
-
-
-QUERIES["drift_overall"] = _drift_overall
 _members = [*SCORED, "CAST((l_orderkey * 13 + l_linenumber) % 1000 AS DOUBLE) / 1000 AS q"]
 query("prediction_correlation", "lineitem", f"WITH s AS (SELECT {', '.join(_members)} FROM lineitem) SELECT 'p' AS first, 'q' AS second, {r('corr(p, q)', 'corr')} FROM s", _members)(lambda df: profile.correlations(df, ["p", "q"]))
 query("voting_weighted", "lineitem", f"WITH s AS (SELECT {', '.join(_members)} FROM lineitem) SELECT l_orderkey, l_linenumber, {r('(3 * p + q) / 4', 'vote')} FROM s", _members)(lambda df: df.select(*_key, learn.vote(["p", "q"], [3.0, 1.0]).alias("vote")))
 query("voting_weight_search", "lineitem", f"WITH s AS (SELECT {', '.join(_members)} FROM lineitem) SELECT i / 10.0::DOUBLE AS weight, round(avg((p * (i / 10.0) + q * (1 - i / 10.0) - y) ** 2)::DOUBLE, 6) AS brier FROM s, range(0, 11) t(i) GROUP BY 1", _members)(lambda df: wide_then_long(df.withColumns({f"w{i}": (F.col("p") * (i / 10) + F.col("q") * (1 - i / 10) - F.col("y")) ** 2 for i in range(11)}), [f"w{i}" for i in range(11)], {"brier": lambda c: F.avg(c)}).select((F.substring("column_name", 2, 9).cast("double") / 10).alias("weight"), "brier"))
 
-# ---- learners: no SQL
-_train = ["l_orderkey * 10 + l_linenumber AS id", *NUM, "l_linestatus", "CASE WHEN l_quantity + l_discount * 100 > 30 THEN 'yes' ELSE 'no' END AS label", "l_returnflag"]
-
-
-def _fit(name, exprs, **config):
-    QUERIES[name] = lambda spark, d: (lambda df: learn.fit(df, learn.FitConfig(key="id", trees=5, **config)).predict(df, keep=["id"]))(_t(spark, d, "lineitem", exprs))
-
-
-_fit("fit_binary", _train[:-1], target="label")
-_fit("fit_multiclass", [*_train[:-2], "l_returnflag"], target="l_returnflag")
-_fit("fit_regression", _train[:-2], target="l_extendedprice", task="regression")
-_fit("fit_ranking", _train[:-2], target="l_quantity", task="ranking", learner="linear")
-_fit("fit_multilabel", [*_train[:-2], "CAST(l_quantity > 25 AS INT) AS a", "CAST(l_tax > 0.04 AS INT) AS b"], target=["a", "b"], task="multilabel", learner="linear")
-query("calibrate_sigmoid", "lineitem", exprs=SCORED)(lambda df: df.select(*_key, learn.apply_sigmoid("p", learn.calibrate_sigmoid(df, "y", "p")).alias("calibrated")))
-query("calibrate_isotonic", "lineitem", exprs=SCORED)(lambda df: learn.calibrate_isotonic(df, "y", "p").transform(df.withColumnRenamed("p", "features")).select(*_key, F.col("prediction").alias("calibrated")))
-query("oof_stacking", "lineitem", exprs=["l_orderkey * 10 + l_linenumber AS id", *NUM, "CASE WHEN l_quantity + l_discount * 100 > 30 THEN 1.0D ELSE 0.0D END AS label"])(lambda df: learn.out_of_fold(df, learn.FitConfig(target="label", key="id", task="binary", learner="linear"), NUM))
-
-# ---- media: arrays made of embeddings
-_shift = "transform(embedding, x -> greatest(0.0D, least(1.0D, CAST(x AS double) * 2 + 0.5D))) AS e"
-query("image_features", "embeddings", exprs=["vec_id", _shift])(lambda df: df.select("vec_id", media.image("e", 8, 8).alias("features")))
-query("audio_features", "embeddings")(lambda df: df.select("vec_id", media.audio("embedding").alias("features")))
-query("video_motion", "embeddings", exprs=["vec_id", _shift])(lambda df: df.select("vec_id", media.video("e", 4).alias("features")))
+from . import extended  # noqa: E402, F401

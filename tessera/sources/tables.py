@@ -1,20 +1,43 @@
-"""Table sources and sinks by suffix, folders of labelled files, prediction inputs."""
+"""Table sources and sinks by suffix, folders of labelled files, raw samples, texts by path, prediction inputs."""
 
 from __future__ import annotations
 
+import json
 import os
 
-from pyspark.sql import DataFrame, SparkSession
+import numpy as np
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..errors import DataError
 
+SUFFIXES = (".csv", ".tsv", ".parquet", ".pq", ".orc", ".json", ".jsonl", ".ndjson", ".feather", ".xlsx", ".xls", ".pkl", ".pickle")
+LOCAL_BYTES = 512 << 20  # the largest file that a format without a Spark source is read from
+
+
+def _size(spark: SparkSession, path: str) -> int:
+    """Bytes of what is at a path; raises if nothing is."""
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    system = p.getFileSystem(spark._jsc.hadoopConfiguration())
+    if not system.exists(p):
+        raise DataError(f"{path} is not there")
+    return system.getContentSummary(p).getLength()
+
 
 def load_table(spark: SparkSession, path: str | DataFrame, trusted: bool = False) -> DataFrame:
-    """CSV, TSV, Parquet, ORC, JSON, Feather, Excel (if pandas can) and, trusted only, pickle."""
+    """CSV, TSV, Parquet, ORC, JSON (records or columns), Feather, Excel (if pandas can) and, trusted only, pickle.
+
+    Feather, Excel and pickle have no Spark source: their files go through the
+    driver, up to ``LOCAL_BYTES``.
+    """
     if isinstance(path, DataFrame):
         return path
-    suffix = os.path.splitext(path)[1].lower()
+    suffix = os.path.splitext(path.rstrip("/"))[1].lower()
+    if suffix not in SUFFIXES:
+        raise DataError(f"unknown table suffix {suffix!r}")
+    if suffix in (".pkl", ".pickle") and not trusted:
+        raise DataError("a pickle runs code when it is read: pass trusted=True for files of your own")
+    size = _size(spark, path)
     if suffix in (".csv", ".tsv"):
         return spark.read.csv(path, header=True, inferSchema=True, sep="\t" if suffix == ".tsv" else ",")
     if suffix in (".parquet", ".pq"):
@@ -22,24 +45,33 @@ def load_table(spark: SparkSession, path: str | DataFrame, trusted: bool = False
     if suffix == ".orc":
         return spark.read.orc(path)
     if suffix == ".json":
-        return spark.read.json(path, multiLine=True)
+        return _json(spark, path)
     if suffix in (".jsonl", ".ndjson"):
         return spark.read.json(path)
+    if size > LOCAL_BYTES:
+        raise DataError(f"{path} has {size} bytes; {suffix} files go through the driver, up to {LOCAL_BYTES}")
+    local = path.removeprefix("file://")
     if suffix == ".feather":
         import pyarrow.feather
 
-        return spark.createDataFrame(pyarrow.feather.read_table(path))
-    if suffix in (".xlsx", ".xls"):
-        import pandas as pd
+        return spark.createDataFrame(pyarrow.feather.read_table(local))
+    import pandas as pd
+
+    return spark.createDataFrame(pd.read_excel(local) if suffix in (".xlsx", ".xls") else pd.read_pickle(local))
 
-        return spark.createDataFrame(pd.read_excel(path))
-    if suffix in (".pkl", ".pickle"):
-        if not trusted:
-            raise DataError("a pickle runs code when it is read: pass trusted=True for files of your own")
-        import pandas as pd
 
-        return spark.createDataFrame(pd.read_pickle(path))
-    raise DataError(f"unknown table suffix {suffix!r}")
+def _json(spark: SparkSession, path: str) -> DataFrame:
+    """An array of records, or an object of columns: {column: [values]} or {column: {row: value}}."""
+    head = spark.read.text(path, wholetext=True).select(F.substring(F.ltrim("value"), 1, 1)).first()
+    if head is None or head[0] != "{":
+        return spark.read.json(path, multiLine=True)
+    whole = json.loads(spark.read.text(path, wholetext=True).first()[0])
+    if not all(isinstance(v, list | dict) for v in whole.values()):
+        return spark.read.json(path, multiLine=True)
+    columns = {k: list(v.values()) if isinstance(v, dict) else v for k, v in whole.items()}
+    if len({len(v) for v in columns.values()}) != 1:
+        raise DataError(f"the columns of {path} differ in length")
+    return spark.createDataFrame([dict(zip(columns, row, strict=True)) for row in zip(*columns.values(), strict=True)], list(columns))
 
 
 def load_folder(spark: SparkSession, folder: str, pattern: str = "*") -> DataFrame:
@@ -48,6 +80,61 @@ def load_folder(spark: SparkSession, folder: str, pattern: str = "*") -> DataFra
     return files.select("path", "content", F.element_at(F.split("path", "/"), -2).alias("label"))
 
 
+def raw_samples(spark: SparkSession, data, y=None, modality: str = "text") -> DataFrame:
+    """Samples of one modality, as a frame of id, sample and (with ``y``) label.
+
+    Texts and paths are strings, media bytes or nested lists of numbers; arrays
+    become lists, and audio given as (rate, samples) a struct.
+    """
+    samples = [data] if isinstance(data, str | bytes) or modality == "audio" and isinstance(data, tuple) else list(data)
+    if not samples:
+        raise DataError("no samples")
+    if y is not None and len(y) != len(samples):
+        raise DataError(f"{len(y)} labels for {len(samples)} samples")
+
+    def plain(x):
+        if isinstance(x, tuple) and modality == "audio":
+            return {"rate": int(x[0]), "samples": np.asarray(x[1], float).ravel().tolist()}
+        return x if isinstance(x, str | bytes) else np.asarray(x, float).tolist()
+
+    rows = [(i, plain(x)) for i, x in enumerate(samples)]
+    first = rows[0][1]
+    depth = 0
+    while isinstance(first, list):
+        depth, first = depth + 1, first[0] if first else 0.0
+    kind = "string" if isinstance(first, str) else "binary" if isinstance(first, bytes) else "struct<rate: int, samples: array<double>>" if isinstance(first, dict) else "array<" * depth + "double" + ">" * depth
+    df = spark.createDataFrame(rows, f"id long, sample {kind}")
+    return df if y is None else append_target(df, y, "id")
+
+
+def append_target(df: DataFrame, y: list, key: str, name: str = "label") -> DataFrame:
+    """``df`` with the values ``y`` in the order of ``key``, one a row."""
+    n = df.count()
+    if len(y) != n:
+        raise DataError(f"{len(y)} targets for {n} rows")
+    if name in df.columns:
+        raise DataError(f"{name} is there already")
+    values = [v.item() if hasattr(v, "item") else v for v in y]
+    given = df.sparkSession.createDataFrame(list(enumerate(values)), f"__i long, `{name}` {'double' if isinstance(values[0], float) else 'long' if isinstance(values[0], int) else 'string'}")
+    place = F.row_number().over(Window.orderBy(key)) - 1  # as many rows as the driver was given values
+    return df.withColumn("__i", place).join(given, "__i").drop("__i")
+
+
+def read_texts(df: DataFrame, column: str, most: int = 200_000) -> DataFrame:
+    """Text of a column of strings, bytes or file paths (``path:`` before them): bytes by UTF-8, long files by head, middle and tail."""
+    from ..functions.text import bounded
+
+    if dict(df.dtypes)[column] == "binary":
+        return df.withColumn(column, bounded(F.expr(f"decode(`{column}`, 'UTF-8')"), most))
+    paths = [r[0] for r in df.where(F.col(column).startswith("path:")).select(F.substring(column, 6, 4096)).distinct().limit(10_000).collect()]
+    if not paths:
+        return df.withColumn(column, bounded(F.col(column), most))
+    spark = df.sparkSession
+    files = spark.read.format("binaryFile").load(paths).select(F.regexp_replace("path", "^file:/+", "/").alias("__p"), F.expr("decode(content, 'UTF-8')").alias("__t"))
+    named = df.withColumn("__p", F.when(F.col(column).startswith("path:"), F.regexp_replace(F.substring(column, 6, 4096), "^file:/+", "/")))
+    return named.join(files, "__p", "left").withColumn(column, bounded(F.when(F.col("__p").isNotNull(), F.col("__t")).otherwise(F.col(column)), most)).drop("__p", "__t")
+
+
 def checked(df: DataFrame) -> DataFrame:
     if len(set(df.columns)) != len(df.columns):
         raise DataError("column names repeat")
@@ -57,18 +144,43 @@ def checked(df: DataFrame) -> DataFrame:
 
 
 def prediction_input(spark: SparkSession, x, columns: list[str]) -> DataFrame:
-    """A DataFrame from a DataFrame, a path, one dict, a list of dicts, one row of values, or a list of rows."""
-    if isinstance(x, DataFrame | str):
-        return load_table(spark, x)
-    rows = [x] if isinstance(x, dict) or (x and not isinstance(x[0], dict | list | tuple)) else list(x)
+    """A DataFrame from a DataFrame, a path, one dict, a list of dicts, one value or row of values, a list of rows, or an array of one or two dimensions."""
+    return single_or_many(spark, x, columns)[0]
+
+
+def single_or_many(spark: SparkSession, x, columns: list[str]) -> tuple[DataFrame, bool]:
+    """``prediction_input``, and whether it was one sample."""
+    if isinstance(x, DataFrame):
+        return checked(x), False
+    if isinstance(x, str) and os.path.splitext(x)[1].lower() in SUFFIXES:
+        return checked(load_table(spark, x)), False
+    if hasattr(x, "to_dict") and hasattr(x, "columns"):  # a pandas frame
+        if not len(x):
+            raise DataError("no rows to predict")
+        return spark.createDataFrame(x), False
+    if isinstance(x, np.ndarray):
+        if x.ndim > 2 or not x.size:
+            raise DataError(f"an array of shape {x.shape}")
+        x = x.tolist()
+    one = isinstance(x, dict | str | bytes | int | float) or not isinstance(x, list | tuple) or bool(x) and not isinstance(x[0], dict | list | tuple | np.ndarray)
+    rows = [x] if one else list(x)
     if not rows:
         raise DataError("no rows to predict")
     if isinstance(rows[0], dict):
-        return spark.createDataFrame(rows)
+        return spark.createDataFrame(rows), one
+    rows = [tuple(r) if isinstance(r, list | tuple | np.ndarray) else (r,) for r in rows]
     if any(len(r) != len(columns) for r in rows):
         raise DataError(f"a row has {len(columns)} values")
-    return spark.createDataFrame([tuple(r) for r in rows], columns)
+    return spark.createDataFrame([tuple(v.item() if hasattr(v, "item") else v for v in r) for r in rows], columns), one
 
 
 def write_predictions(df: DataFrame, path: str, kind: str = "csv") -> None:
     df.write.mode("overwrite").format(kind).option("header", True).save(path)
+
+
+def predictions_text(df: DataFrame, kind: str = "csv", most: int = 100_000) -> str:
+    """Predictions as one CSV or JSON text, of at most ``most`` rows; more are to be written."""
+    rows = df.limit(most + 1).toPandas()
+    if len(rows) > most:
+        raise DataError(f"over {most} predictions: write them")
+    return rows.to_csv(index=False) if kind == "csv" else rows.to_json(orient="records", date_format="iso")
