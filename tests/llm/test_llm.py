@@ -238,8 +238,8 @@ def test_pseudo_likelihood_by_hand(docs, none):
         padded = [words.pad] * 2 + ids + [words.pad] * 2
         text = [None, None, *w, None, None]
         for k, x in enumerate(w):
-            near = [padded[k], padded[k + 1], padded[k + 3], padded[k + 4]]
-            h = np.tanh(network.b + sum(network.near[o][words.kind[near[o]]] + network.word[near[o]] for o in range(4)))
+            near = [padded[k + 1], padded[k + 3]]
+            h = np.tanh(network.b + sum(network.near[o][words.kind[near[o]]] + network.word[near[o]] for o in range(2)))
             z = h @ network.out + network.bias
             each = z[words.kind[ids[k]]] - np.log(np.exp(z - z.max()).sum()) - z.max()
             each += words.own[ids[k]] if x in names else words.spelling.log_probability([x])[1][0]
