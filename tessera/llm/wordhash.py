@@ -38,9 +38,9 @@ class Words(NamedTuple):
 
 def split_words(texts: pa.Array, lower: bool = False) -> Words:
     """The words of some texts; ``lower`` folds A-Z first."""
-    if isinstance(texts, pa.ChunkedArray):
-        texts = texts.combine_chunks()
-    texts = texts.cast(pa.large_string()).fill_null("")
+    # An array of its own: Arrow's lower-casing misreads slices.
+    data, offsets = text_buffer(texts)
+    texts = pa.LargeStringArray.from_buffers(len(offsets) - 1, pa.py_buffer(offsets.astype(np.int64)), pa.py_buffer(np.ascontiguousarray(data)))
     split = pc.ascii_split_whitespace(pc.ascii_lower(texts) if lower else texts)
     coded = split.flatten().dictionary_encode()
     code = coded.indices.to_numpy(zero_copy_only=False).astype(np.int64)

@@ -12,7 +12,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from tessera.llm import common, embedding_dedup, fertility, language_mix, ngram_join, packing, piece_bpe, preference, pseudo_likelihood, quality, secret_scan, warc, word_tokens
+from tessera.llm import common, embedding_dedup, fertility, language_mix, ngram_join, packing, piece_bpe, preference, pseudo_likelihood, quality, secret_scan, warc, word_tokens, wordhash
 from tessera.llm.queries import fertility_paths, tokenizer_path
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -70,6 +70,57 @@ def test_ngram_components(docs, none, block):
     assert ngram_join.ngram_components(none).count() == 0
 
 
+def test_words_of_slices():
+    r = random.Random(1)
+    texts = [None if r.random() < 0.05 else "".join(r.choice("Ab é字\t\nÉZ c#") for _ in range(r.randrange(60))) for _ in range(3000)]
+    fold = {c: c + 32 for c in range(65, 91)}
+    for kind in (pa.string(), pa.large_string()):
+        for lower in (False, True):
+            for at, n in ((0, 3000), (1000, 1000), (2321, 679), (17, 0)):
+                split = wordhash.split_words(pa.array(texts, kind).slice(at, n), lower)
+                names, got = split.distinct.to_pylist(), [[] for _ in range(n)]
+                for c, k in zip(split.code.tolist(), split.doc.tolist(), strict=True):
+                    got[k].append(names[c])
+                assert got == [WORD.findall((t or "").translate(fold) if lower else t or "") for t in texts[at:at + n]]
+    whole, part = pa.array(texts), pa.array(texts[1000:1500])
+    a, b = quality.base_counts(whole.slice(1000, 500))[0], quality.base_counts(part)[0]
+    assert all((a[k] == b[k]).all() for k in a)
+    assert [x.tolist() for x in wordhash.shingle_sets(whole.slice(1000, 500))] == [x.tolist() for x in wordhash.shingle_sets(part)]
+    path = tokenizer_path(word_tokens.MODEL)
+    assert word_tokens.tokenizer(path).batch(whole.slice(1000, 500).to_pylist()) == word_tokens.tokenizer(path).batch(part.to_pylist())
+    model = language_mix.Model(["a"], np.zeros((1, 3, language_mix.SLOTS)))
+    assert (language_mix.gram_counts(whole.slice(1000, 500).fill_null("")) == language_mix.gram_counts(part.fill_null(""))).all() and model.languages == ["a"]
+
+
+def test_large_clusters_come_apart_by_pivots(spark):
+    r = random.Random(11)
+    texts = []
+    for k in range(3):  # groups of near copies that share passages, and chains that leave them
+        base = words(100, 50 + k) if k != 1 else words(100, 50)[:60] + words(40, 51)
+        for i in range(30):
+            b = list(base)
+            for _ in range(r.randrange(4)):
+                b[r.randrange(100)] = f"y{k}{i}"
+            texts.append(b)
+        for i in range(12):
+            texts.append(base[4 * i:] + words(4 * i, 200 + k))
+    rows = list(enumerate(map(" ".join, texts)))
+    sets = [shingles(t) for _, t in rows]
+    up = list(range(len(rows)))
+
+    def root(x):
+        return x if up[x] == x else root(up[x])
+
+    for i, a in enumerate(sets):
+        for j in range(i):
+            if 100 * len(a & sets[j]) >= 75 * len(a | sets[j]):
+                x, y = root(i), root(j)
+                up[max(x, y)] = min(x, y)
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = {x["doc_id"]: x["component_id"] for x in ngram_join.ngram_components(df, block=3).collect()}
+    assert got == {i: root(i) for i in range(len(rows))} and 1 < len(set(got.values())) < 40
+
+
 def thue_morse(n, swap=False):
     return "".join("ab"[bin(i).count("1") % 2 ^ swap] for i in range(n))
 
