@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..errors import DataError
-from ..functions.columns import finite, hash_unit, numeric_columns, quantiles, safe_corr, skewness
+from ..functions.columns import exact_quantiles, finite, hash_unit, numeric_columns, quantiles, safe_corr, skewness
 
 MISSING, RARE, UNKNOWN = "__missing__", "__rare__", "__unknown__"
 
@@ -27,8 +27,13 @@ def missing_indicators(df: DataFrame, columns: list[str]) -> DataFrame:
 
 
 def winsor_limits(df: DataFrame, columns: list[str], share: float = 0.01, exact: bool = True) -> dict[str, tuple[float, float]]:
-    row = df.agg(*[quantiles(finite(c), [share, 1 - share], exact).alias(f"q{i}") for i, c in enumerate(columns)]).first()
-    return {c: tuple(row[f"q{i}"]) for i, c in enumerate(columns) if row[f"q{i}"] and row[f"q{i}"][0] < row[f"q{i}"][1]}
+    points = [share, 1 - share]
+    if exact:
+        found = exact_quantiles(df, {c: finite(c) for c in columns}, points)
+    else:
+        row = df.agg(*[quantiles(finite(c), points, False).alias(f"q{i}") for i, c in enumerate(columns)]).first()
+        found = {c: row[f"q{i}"] for i, c in enumerate(columns)}
+    return {c: tuple(q) for c, q in found.items() if q and q[0] < q[1]}
 
 
 def clip(c: str, limit: tuple[float, float] | None) -> Column:
@@ -38,9 +43,12 @@ def clip(c: str, limit: tuple[float, float] | None) -> Column:
 def fills(df: DataFrame, columns: list[str], how: str = "median", constant: float = 0.0) -> dict[str, float]:
     if how == "constant":
         return dict.fromkeys(columns, constant)
-    make = {"median": lambda c: F.percentile(finite(c), 0.5), "mean": lambda c: F.avg(finite(c))}[how]
-    row = df.agg(*[make(c).alias(f"f{i}") for i, c in enumerate(columns)]).first()
-    return {c: constant if row[f"f{i}"] is None else row[f"f{i}"] for i, c in enumerate(columns)}
+    if how == "median":
+        found = {c: q and q[0] for c, q in exact_quantiles(df, {c: finite(c) for c in columns}, [0.5]).items()}
+    else:
+        row = df.agg(*[F.avg(finite(c)).alias(f"f{i}") for i, c in enumerate(columns)]).first()
+        found = {c: row[f"f{i}"] for i, c in enumerate(columns)}
+    return {c: constant if v is None else v for c, v in found.items()}
 
 
 def impute(df: DataFrame, fill: dict[str, float]) -> DataFrame:
@@ -307,12 +315,15 @@ def yeo_johnson_lambda(df: DataFrame, c: str, rounds: int = 3) -> float:
 def scales(df: DataFrame, columns: list[str], how: str) -> dict[str, tuple[float, float]]:
     """(centre, width) of each column: standard (population), minmax or robust; width 1 where there is none."""
     make = {"standard": lambda c: F.array(F.avg(finite(c)), F.stddev_pop(finite(c))),
-            "minmax": lambda c: F.array(F.min(finite(c)), F.max(finite(c)) - F.min(finite(c))),
-            "robust": lambda c: quantiles(finite(c), [0.25, 0.5, 0.75])}[how]
-    row = df.agg(*[make(c).alias(f"s{i}") for i, c in enumerate(columns)]).first()
+            "minmax": lambda c: F.array(F.min(finite(c)), F.max(finite(c)) - F.min(finite(c)))}
+    if how == "robust":
+        found = exact_quantiles(df, {c: finite(c) for c in columns}, [0.25, 0.5, 0.75])
+    else:
+        row = df.agg(*[make[how](c).alias(f"s{i}") for i, c in enumerate(columns)]).first()
+        found = {c: row[f"s{i}"] for i, c in enumerate(columns)}
     out = {}
-    for i, c in enumerate(columns):
-        s = row[f"s{i}"]
+    for c in columns:
+        s = found[c]
         centre, width = (s[1], s[2] - s[0]) if how == "robust" and s else (s[0], s[1]) if s and s[0] is not None else (0.0, 1.0)
         out[c] = (centre, width or 1.0)
     return out
@@ -402,15 +413,15 @@ class Cleaner:
         if numeric:
             simple = self.fill in ("median", "mean", "constant")
             points = [self.winsor, 0.5, 1 - self.winsor] if self.winsor else [0.5]
-            row = df.agg(*[F.struct(quantiles(finite(c), points).alias("q"), F.avg(finite(c)).alias("a")).alias(f"c{i}") for i, c in enumerate(numeric)]).first()
-            for i, c in enumerate(numeric):
-                q, mean = row[f"c{i}"]
+            found = exact_quantiles(df, {c: finite(c) for c in numeric}, points)
+            for c in numeric:
+                q = found[c]
                 if q and self.winsor and q[0] < q[2]:
                     s["limits"][c] = (q[0], q[2])
                 inside = lambda x, c=c: x if x is None or c not in s["limits"] else max(s["limits"][c][0], min(s["limits"][c][1], x))
                 middle = inside(q[len(points) // 2]) if q else None  # clipping keeps the order, so the clipped median is the median clipped
-                s["fills"][c] = {"median": middle, "mean": mean, "constant": 0.0}[self.fill if simple else "median"] or 0.0
-            if self.fill == "mean" and s["limits"]:
+                s["fills"][c] = {"median": middle, "mean": 0.0, "constant": 0.0}[self.fill if simple else "median"] or 0.0
+            if self.fill == "mean":
                 s["fills"] |= {c: v for c, v in fills(df.withColumns({c: clip(c, s["limits"].get(c)) for c in numeric}), numeric, "mean").items()}
             if not simple:
                 clipped = df.withColumns({c: clip(c, s["limits"].get(c)) for c in numeric})

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..errors import ConfigError
-from ..functions.columns import finite, prefix_sums, quantiles
+from ..functions.columns import exact_quantiles, finite, prefix_sums
 from .metrics import curve
 
 MISSING = "__missing__"
@@ -265,8 +265,8 @@ def label_coverage(df: DataFrame, labels: list[tuple[str, str]], quantiles_: lis
 
 def ood_reference(df: DataFrame, columns: list[str]) -> dict[str, tuple]:
     """(median, inter-quartile range, low, high) of each column that holds a number."""
-    row = df.agg(*[quantiles(finite(c), [0.005, 0.25, 0.5, 0.75, 0.995]).alias(f"q{i}") for i, c in enumerate(columns)]).first()
-    return {c: (q[2], (q[3] - q[1]) if q[3] - q[1] > 1e-7 else 1.0, q[0], q[4]) for i, c in enumerate(columns) if (q := row[f"q{i}"])}
+    found = exact_quantiles(df, {c: finite(c) for c in columns}, [0.005, 0.25, 0.5, 0.75, 0.995])
+    return {c: (q[2], (q[3] - q[1]) if q[3] - q[1] > 1e-7 else 1.0, q[0], q[4]) for c, q in found.items() if q}
 
 
 def ood_score(reference: dict[str, tuple], codes: dict[str, list[str]] | None = None) -> Column:
@@ -305,18 +305,23 @@ def ood_metrics(df: DataFrame, score: str, threshold: float) -> DataFrame:
 def numeric_reference(df: DataFrame, columns: list[str], bins: int = 10) -> dict[str, dict]:
     """Bin edges, shares, median, inter-quartile range and missing rate of each column; one without numbers has one bin around 0."""
     points = [i / bins for i in range(1, bins)]
-    row = df.agg(*[F.struct(quantiles(finite(c), [*points, 0.25, 0.75]).alias("q"), F.percentile(finite(c), 0.5).alias("m"), F.avg(F.when(finite(c).isNull(), 1.0).otherwise(0.0)).alias("gone")).alias(f"c{i}") for i, c in enumerate(columns)]).first()
+    gone = _missing_rates(df, columns)
+    found = exact_quantiles(df, {c: finite(c) for c in columns}, [*points, 0.25, 0.75, 0.5])
     out = {}
-    for i, c in enumerate(columns):
-        r = row[f"c{i}"]
-        q = r["q"]
-        out[c] = {"edges": sorted(set(q[: bins - 1])) if q else [], "median": r["m"] if q else 0.0, "iqr": max(1e-6, q[-1] - q[-2]) if q else 1.0, "missing": r["gone"] or 0.0}
+    for c, q in found.items():
+        out[c] = {"edges": sorted(set(q[: bins - 1])) if q else [], "median": q[-1] if q else 0.0, "iqr": max(1e-6, q[-2] - q[-3]) if q else 1.0, "missing": gone[c]}
     shares = bin_shares(df, out)
-    for c in columns:
-        out[c]["p"] = shares[c] if row[f"c{columns.index(c)}"]["q"] else [1.0]
+    for c, q in found.items():
+        out[c]["p"] = shares[c] if q else [1.0]
     return out
 
 
+def _missing_rates(df: DataFrame, columns: list[str]) -> dict[str, float]:
+    """The share of rows without a finite number, by column."""
+    row = df.agg(*[F.avg(F.when(finite(c).isNull(), 1.0).otherwise(0.0)).alias(f"g{i}") for i, c in enumerate(columns)]).first()
+    return {c: row[f"g{i}"] or 0.0 for i, c in enumerate(columns)}
+
+
 def bin_shares(df: DataFrame, reference: dict[str, dict]) -> dict[str, list[float]]:
     """The share of rows in each bin of each column, in one pass."""
     cols, names = [], []
@@ -356,14 +361,13 @@ def jensen_shannon(a: list[float], b: list[float]) -> float:
 
 def numeric_drift(reference: dict[str, dict], current: DataFrame) -> list[dict]:
     shares = bin_shares(current, reference)
-    row = current.agg(*[F.struct(F.percentile(finite(c), 0.5).alias("m"), F.avg(F.when(finite(c).isNull(), 1.0).otherwise(0.0)).alias("gone")).alias(f"c{i}") for i, c in enumerate(reference)]).first()
+    lost, middle = _missing_rates(current, list(reference)), exact_quantiles(current, {c: finite(c) for c in reference}, [0.5])
     out = []
-    for i, (c, r) in enumerate(reference.items()):
-        now = row[f"c{i}"]
-        empty = now["m"] is None
+    for c, r in reference.items():
+        empty = middle[c] is None
         value = 1.0 if empty else psi(r["p"], shares[c])
-        shift = 5.0 if empty else abs(now["m"] - r["median"]) / r["iqr"]
-        gone = abs((now["gone"] or 0.0) - (r["missing"] or 0.0))
+        shift = 5.0 if empty else abs(middle[c][0] - r["median"]) / r["iqr"]
+        gone = abs(lost[c] - (r["missing"] or 0.0))
         out.append({"column_name": c, "psi": value, "shift": shift, "missing_shift": gone,
                     "score": min(1.0, 0.65 * min(value / 0.5, 1) + 0.20 * min(shift / 3, 1) + 0.15 * min(gone / 0.25, 1))})
     return out

@@ -179,6 +179,12 @@ def project(x: Column, centre: np.ndarray, components: np.ndarray) -> Column:
     return F.array(*[F.aggregate(F.zip_with(moved, F.array(*[F.lit(float(v)) for v in row]), lambda a, v: a * v), F.lit(0.0), lambda s, p: s + p) for row in components])
 
 
+def embedding_features(train: DataFrame, column: str, embed, dims: int) -> Column:
+    """The leading components of a model's vectors: ``embed`` maps the column to an array column (a pandas UDF over text, images or audio); fitted on ``train``."""
+    centre, components = principal(train.select(embed(F.col(f"`{column}`")).alias("x")), "x", dims)
+    return project(embed(F.col(f"`{column}`")), centre, components)
+
+
 def media_names(modality: str, limit: int) -> list[str]:
     return media.feature_order(modality)[:limit]
 

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..errors import DataError
-from ..functions.columns import empty_value, finite, missing, nulled, numeric_columns, quantiles, rate, skewness, wide_then_long
+from ..functions.columns import empty_value, exact_quantiles, finite, missing, nulled, numeric_columns, quantiles, rate, skewness, wide_then_long
 
 HIGH_MISSING, EMPTY_ROW, SKEWED, OUTLIERS, NUMERIC_SHARE = 0.5, 0.98, 3.0, 0.1, 0.95
 WEIGHTS = {"error": 15.0, "warning": 6.0, "info": 1.5}
@@ -74,12 +74,12 @@ def infinite_counts(df: DataFrame, columns: list[str]) -> DataFrame:
 
 def fences(df: DataFrame, columns: list[str], factor: float = 1.5, exact: bool = True) -> dict[str, tuple[float, float]]:
     """Outlier fences of the columns that have one: four values and a positive inter-quartile range."""
-    row = df.agg(*[quantiles(finite(c), [0.25, 0.75], exact).alias(f"q{i}") for i, c in enumerate(columns)],
-                 *[F.count(finite(c)).alias(f"n{i}") for i, c in enumerate(columns)]).first()
+    row = df.agg(*[F.count(finite(c)).alias(f"n{i}") for i, c in enumerate(columns)], *([] if exact else [quantiles(finite(c), [0.25, 0.75], False).alias(f"q{i}") for i, c in enumerate(columns)])).first()
+    found = exact_quantiles(df, {c: finite(c) for c in columns}, [0.25, 0.75]) if exact else {c: row[f"q{i}"] for i, c in enumerate(columns)}
     out = {}
     for i, c in enumerate(columns):
-        if row[f"n{i}"] >= 4 and row[f"q{i}"][1] > row[f"q{i}"][0]:
-            low, high = row[f"q{i}"]
+        if row[f"n{i}"] >= 4 and found[c][1] > found[c][0]:
+            low, high = found[c]
             out[c] = (low - factor * (high - low), high + factor * (high - low))
     return out
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.columns import finite, quantiles, safe_corr, wide_then_long
+from ..functions.columns import exact_quantiles, finite, safe_corr, wide_then_long
 
 
 def variance_ranking(df: DataFrame, columns: list[str]) -> DataFrame:
@@ -29,8 +29,8 @@ def regression_f(df: DataFrame, columns: list[str], target: str) -> DataFrame:
 def mutual_information(df: DataFrame, columns: list[str], target: str, bins: int = 8) -> DataFrame:
     """Mutual information (nats) of quantile-binned columns with a class target."""
     points = [i / bins for i in range(1, bins)]
-    row = df.agg(*[quantiles(finite(c), points).alias(f"q{i}") for i, c in enumerate(columns)]).first()
-    cells = F.array(*[F.struct(F.lit(c).alias("column_name"), sum((F.when(finite(c) >= e, 1).otherwise(0) for e in sorted(set(row[f"q{i}"]))), F.lit(0)).alias("b")) for i, c in enumerate(columns)])
+    edges = exact_quantiles(df, {c: finite(c) for c in columns}, points)
+    cells = F.array(*[F.struct(F.lit(c).alias("column_name"), sum((F.when(finite(c) >= e, 1).otherwise(0) for e in sorted(set(edges[c] or []))), F.lit(0)).alias("b")) for i, c in enumerate(columns)])
     n = df.select(F.col(target).alias("y"), F.explode(cells).alias("r")).select("y", "r.*").groupBy("column_name", "b", "y").agg(F.count("*").cast("double").alias("n"))
     x = n.groupBy("column_name", "b").agg(F.sum("n").alias("nx"))
     y = n.groupBy("column_name", "y").agg(F.sum("n").alias("ny"))

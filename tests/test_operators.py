@@ -3,7 +3,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tessera.errors import ConfigError, DataError
-from tessera.functions import media
+from tessera.functions import columns, media
 from tessera.operators import clean, decide, ensemble, learn, metrics, multimodal, quality, rows, split, tuning, validate
 from tessera.sources import tables
 
@@ -142,6 +142,20 @@ def test_nan_is_missing(spark):
     assert [r[1] for r in clean.missing_indicators(df, ["x"]).collect()] == [1, 1, 0]
 
 
+def test_exact_quantiles_of_large_data(spark, monkeypatch):
+    rng = np.random.default_rng(1)
+    x, y = rng.normal(size=5000), rng.integers(0, 3, 5000)
+    df = spark.createDataFrame([(float(a), int(b), None) for a, b in zip(x, y, strict=True)], "a double, b int, c double").repartition(4)
+    cols = {c: F.col(c).cast("double") for c in ("a", "b", "c")}
+    points = [0.0, 0.01, 0.25, 0.5, 0.9, 0.995, 1.0]
+    small = columns.exact_quantiles(df, cols, points)
+    monkeypatch.setattr(columns, "DIRECT_BYTES", 0)
+    large = columns.exact_quantiles(df, cols, points)
+    assert large["c"] is None and small["c"] is None
+    for c, v in (("a", x), ("b", y)):
+        assert large[c] == pytest.approx(small[c]) and large[c] == pytest.approx(np.quantile(v, points))
+
+
 def test_drift_of_empty_columns(spark):
     df = spark.createDataFrame([(None, "a"), (None, None)], "x double, c string")
     ref = decide.numeric_reference(df, ["x"])
@@ -280,6 +294,16 @@ def test_multimodal_pipeline_and_cache(spark, tmp_path):
     assert multimodal.cached_features(df, "picture", compute, path).count() == 90 and spark.read.parquet(path).count() == 72
 
 
+def test_embeddings_of_a_model_of_ones_own(spark):
+    df = spark.createDataFrame([(i, "ab" * (i % 7) + "c" * (i % 3)) for i in range(60)], "id long, t string")
+    embed = lambda c: F.array(F.length(c).cast("double"), F.regexp_count(c, F.lit("a")).cast("double"), F.lit(1.0))
+    out = df.select(multimodal.embedding_features(df, "t", embed, 2).alias("e")).collect()
+    x = np.array([r["e"] for r in out])
+    assert x.shape == (60, 2) and abs(x.mean(0)).max() < 1e-6 and x[:, 0].std() > x[:, 1].std()
+    made = multimodal.TextExtractor(60, "hybrid").fit(df, "id", "t", embed).transform(df, "id", "t", embed)
+    assert made.where(F.size("t__features") > 40).count() == 60
+
+
 def test_media_is_decoded():
     import io
     import wave
