@@ -67,9 +67,10 @@ def diversity(c: Column) -> dict[str, Column]:
     length = F.transform(w, F.length)
     total = F.aggregate(length, F.lit(0).cast("long"), lambda a, x: a + x)
     square = F.aggregate(length, F.lit(0).cast("long"), lambda a, x: a + x * x)
-    ordered = F.array_sort(w)
-    alone = lambda x, i: (F.coalesce(F.get(ordered, i - 1) != x, F.lit(True))) & (F.coalesce(F.get(ordered, i + 1) != x, F.lit(True)))
-    once = F.size(F.filter(ordered, alone))  # words unlike both neighbours in sorted order
+    start = F.struct(F.lit(None).cast("string").alias("last"), F.lit(0).alias("run"), F.lit(0).alias("once"))
+    end = lambda a: a["once"] + F.when(a["run"] == 1, 1).otherwise(0)
+    step = lambda a, x: F.struct(x.alias("last"), F.when(a["last"] == x, a["run"] + 1).otherwise(1).alias("run"), F.when(a["last"] == x, a["once"]).otherwise(end(a)).alias("once"))
+    once = F.aggregate(F.array_sort(w), start, step, end)  # runs of one in sorted order
     return {"unique_ratio": share(d, n), "log_ttr": share(F.log1p(d.cast("double")), F.log1p(n.cast("double"))), "per_root_char": share(d, F.sqrt(F.greatest(F.length(c), F.lit(1)))),
             "word_mean": share(total, n), "word_max": F.coalesce(F.array_max(length), F.lit(0)).cast("long"),
             "word_std": F.sqrt(F.greatest(share(square, n) - share(total, n) * share(total, n), F.lit(0.0))), "hapax_ratio": share(once, n)}

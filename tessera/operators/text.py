@@ -42,6 +42,19 @@ def token_entropy(df: DataFrame, key: str, text: str) -> DataFrame:
     return df.select(F.col(key).alias("__own")).join(each, F.col("__own") == F.col("__key"), "left").select(F.col("__own").alias(key), F.coalesce("e", F.lit(0.0)).alias("token_entropy"))
 
 
+def lexical_diversity(df: DataFrame, key: str, text: str) -> DataFrame:
+    """key and what ``functions.text.diversity`` tells of each text, from counts by text and word."""
+    rows = df.select(F.col(key).alias("__own"), F.greatest(F.length(text), F.lit(1)).alias("__chars"))
+    words = df.select(F.col(key).alias("__key"), F.explode(F.transform(T.words(F.col(text)), F.lower)).alias("__word")).groupBy("__key", "__word").agg(F.count("*").alias("c"))
+    long, c = F.length("__word"), F.col("c")
+    each = words.groupBy("__key").agg(F.sum(c).cast("double").alias("n"), F.count("*").cast("double").alias("d"), F.sum(F.when(c == 1, 1.0).otherwise(0.0)).alias("once"),
+                                      F.sum(long * c).cast("double").alias("l"), F.sum(long * long * c).cast("double").alias("ll"), F.max(long).cast("long").alias("top"))
+    out = rows.join(each, F.col("__own") == F.col("__key"), "left").na.fill(0.0, ["n", "d", "once", "l", "ll"]).na.fill(0, ["top"])
+    n, d, mean = F.col("n"), F.col("d"), T.share(F.col("l"), F.col("n"))
+    return out.select(F.col("__own").alias(key), T.share(d, n).alias("unique_ratio"), T.share(F.log1p(d), F.log1p(n)).alias("log_ttr"), T.share(d, F.sqrt("__chars")).alias("per_root_char"),
+                      mean.alias("word_mean"), F.col("top").alias("word_max"), F.sqrt(F.greatest(T.share(F.col("ll"), n) - mean * mean, F.lit(0.0))).alias("word_std"), T.share(F.col("once"), n).alias("hapax_ratio"))
+
+
 def hashed(df: DataFrame, key: str, text: str, features: int = 1024) -> DataFrame:
     rows = df.select(key, F.transform(T.words(F.coalesce(F.col(text), F.lit(""))), F.lower).alias("__w"))
     stages = [HashingTF(inputCol="__w", outputCol="__tf", numFeatures=features), IDF(inputCol="__tf", outputCol="__idf"), Normalizer(inputCol="__idf", outputCol="features")]

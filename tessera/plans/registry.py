@@ -147,9 +147,9 @@ _text("text_char_stats", T.char_stats, f"SELECT doc_id, length(text)::BIGINT AS
 _text("text_ratios", T.ratios, "SELECT doc_id, " + ", ".join(_sh(_n(p), b, k) for k, p, b in (("digit", r"\p{Nd}", "length(text)"), ("alpha", r"\p{L}", "length(text)"), ("upper", r"\p{Lu}", _n(r"\p{L}")), ("lower", r"\p{Ll}", _n(r"\p{L}")), ("space", r"[ \t\n\r]", "length(text)"), ("punctuation", r"\p{P}", "length(text)"), ("symbol", r"\p{S}", "length(text)"), ("non_ascii", r"[^\x00-\x7F]", "length(text)"))) + " FROM documents")
 _text("text_scripts", T.scripts, "SELECT doc_id, " + ", ".join(_sh(_n(rf"\p{{{p}}}"), _n(r"\p{L}"), k) for k, p in (("latin", "Latin"), ("arabic", "Arabic"), ("cyrillic", "Cyrillic"), ("han", "Han"), ("hiragana", "Hiragana"), ("katakana", "Katakana"), ("hangul", "Hangul"))) + " FROM documents")
 _w = f"list_transform(regexp_extract_all(text, '{T.WORD}'), lambda x: lower(x))"
-_text("text_lexical_diversity", T.diversity, f"WITH w AS (SELECT doc_id, text, {_w} AS w FROM documents) SELECT doc_id, {_sh('len(list_distinct(w))', 'len(w)', 'unique_ratio')}, {_sh('ln(1 + len(list_distinct(w)))', 'ln(1 + len(w))', 'log_ttr')}, {_sh('len(list_distinct(w))', 'sqrt(greatest(length(text), 1))', 'per_root_char')}, {_sh('coalesce(list_sum(list_transform(w, lambda x: length(x))), 0)', 'len(w)', 'word_mean')}, coalesce(list_max(list_transform(w, lambda x: length(x))), 0)::BIGINT AS word_max, "
+query("text_lexical_diversity", "documents", f"WITH w AS (SELECT doc_id, text, {_w} AS w FROM documents) SELECT doc_id, {_sh('len(list_distinct(w))', 'len(w)', 'unique_ratio')}, {_sh('ln(1 + len(list_distinct(w)))', 'ln(1 + len(w))', 'log_ttr')}, {_sh('len(list_distinct(w))', 'sqrt(greatest(length(text), 1))', 'per_root_char')}, {_sh('coalesce(list_sum(list_transform(w, lambda x: length(x))), 0)', 'len(w)', 'word_mean')}, coalesce(list_max(list_transform(w, lambda x: length(x))), 0)::BIGINT AS word_max, "
       f"round(coalesce(list_stddev_pop(list_transform(w, lambda x: length(x))), 0.0), 6) AS word_std, "
-      f"{_sh('list_sum([0] || list_transform(map_values(list_histogram(w)), lambda n: CASE WHEN n = 1 THEN 1 ELSE 0 END))', 'len(w)', 'hapax_ratio')} FROM w")
+      f"{_sh('list_sum([0] || list_transform(map_values(list_histogram(w)), lambda n: CASE WHEN n = 1 THEN 1 ELSE 0 END))', 'len(w)', 'hapax_ratio')} FROM w")(lambda df: text.lexical_diversity(df, "doc_id", "text"))
 query("text_entropy", "documents", f"WITH c AS (SELECT doc_id, unnest({_w}) AS w FROM documents), n AS (SELECT doc_id, w, count(*) AS n FROM c GROUP BY 1, 2), e AS (SELECT doc_id, log2(sum(n)) - sum(n * log2(n)) / sum(n) AS e FROM n GROUP BY 1) SELECT d.doc_id, round(coalesce(e, 0.0), 6) + 0.0 AS token_entropy FROM documents d LEFT JOIN e ON e.doc_id = d.doc_id")(lambda df: text.token_entropy(df, "doc_id", "text").select("doc_id", (F.round("token_entropy", 6) + 0.0).alias("token_entropy")))
 query("text_bounded", "documents", "SELECT doc_id, CASE WHEN length(text) <= 300 THEN text ELSE substr(text, 1, 100) || chr(10) || '…' || chr(10) || substr(text, trunc(length(text) / 2 - 50)::INT + 1, 100) || chr(10) || '…' || chr(10) || right(text, 100) END AS part FROM documents")(lambda df: df.select("doc_id", T.bounded(F.col("text"), 300).alias("part")))
 query("tfidf_topk", "documents", f"WITH w AS (SELECT doc_id, unnest({_w}) AS word FROM documents), t AS (SELECT doc_id, word, count(*) AS tf FROM w GROUP BY 1, 2), n AS (SELECT count(*) AS n FROM documents), f AS (SELECT word, count(*) AS df FROM t GROUP BY 1 HAVING count(*) >= 2 AND count(*) <= 0.995 * (SELECT n FROM n)), s AS (SELECT doc_id, word, round((1 + ln(tf)) * (ln((1.0 + n) / (1 + df)) + 1), 9) AS score FROM t JOIN f USING (word), n) SELECT doc_id, rank, word, round(score, 6) AS score FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY score DESC, word) AS rank FROM s) WHERE rank <= 3")(lambda df: text.tfidf(df, "doc_id", "text"))
