@@ -13,6 +13,8 @@ import json
 import math
 from dataclasses import asdict, dataclass, field
 
+import numpy as np
+import pandas as pd
 from py4j.protocol import Py4JJavaError
 from pyspark.errors import PySparkException
 from pyspark.ml import PipelineModel
@@ -108,6 +110,16 @@ def build(task: str, learner: str, config: FitConfig, classes: int = 2, params:
     return made
 
 
+def _between(edges: list[float], values: list[float]):
+    """Linear interpolation between steps, constant beyond them, in Arrow batches."""
+
+    @F.pandas_udf("double")
+    def run(x: pd.Series) -> pd.Series:
+        return pd.Series(np.interp(x, edges, values))
+
+    return run
+
+
 @dataclass
 class Calibrator:
     """Probabilities as they turn out, by class: a sigmoid of the log-odds (slope, offset) or the steps of an isotonic fit."""
@@ -123,11 +135,7 @@ class Calibrator:
         edges, values = part
         if len(edges) < 2:
             return F.lit(float(values[0]) if values else 0.5) + 0 * p
-        at = F.size(F.filter(F.array(*[F.lit(float(e)) for e in edges]), lambda e: e <= q))
-        low, high = F.greatest(at - 1, F.lit(0)), F.least(at, F.lit(len(edges) - 1))
-        x, y = F.array(*[F.lit(float(e)) for e in edges]), F.array(*[F.lit(float(v)) for v in values])
-        a, b, u, v = F.get(x, low), F.get(x, high), F.get(y, low), F.get(y, high)
-        return F.when(b > a, u + (v - u) * F.greatest(F.lit(0.0), F.least(F.lit(1.0), (q - a) / (b - a)))).otherwise(u)
+        return _between(edges, values)(q)
 
     def apply_all(self, p: Column) -> Column:
         """All classes one against the rest, then brought to sum to 1."""
@@ -368,7 +376,7 @@ def fit(df: DataFrame, config: FitConfig) -> FittedModel:
     validate.task_shape(df, task, targets, group) if config.task == "auto" or task != "ranking" else None
     validate.target_support(df, task, targets, config.test_size)
     features = config.features or [c for c in df.columns if c not in (*targets, config.key, group)]
-    parts = split(df, config.key, task, targets, config.split, config.time, group, config.test_size, config.seed)
+    parts = split(df, config.key, task, targets, config.split, config.time, group, config.test_size, config.seed).persist()  # split once; every statistic reads these rows
     validate.after_split(parts, task, targets)
     train, test = parts.where(~F.col("is_test")).drop("is_test"), parts.where("is_test").drop("is_test")
     train = row_filters.drop_low_quality(train, skip=[*targets, config.key])
@@ -416,6 +424,7 @@ def fit(df: DataFrame, config: FitConfig) -> FittedModel:
     model.drift = {"numeric": decide.numeric_reference(train, numeric) if numeric else {}, "categorical": {c: decide.categorical_reference(train, c) for c in cleaner.state["values"]}}
     model.metrics = evaluate(model, ready(test), labels, group) | decide.ood_metrics(model.ood_scores(test), "ood_score", model.ood_threshold).first().asDict()
     every.unpersist()
+    parts.unpersist()
     return model
 
 
