@@ -31,7 +31,8 @@ from pyspark.sql import functions as F
 from .common import resident
 
 MARK = "▁"
-WORDS = 500_000  # words whose ids a worker keeps; results don't depend on it
+WORDS = 1_000_000  # words whose ids a worker keeps; results don't depend on it
+LOT = 125_000  # words of some texts learnt together
 MODEL = "piece_bpe_32k.model"
 
 
@@ -141,19 +142,19 @@ class PieceBpe:
         split = [self.words(t or "") for t in texts]
         for lot, part in _lots(split):
             self.learn(lot)
-            known = self.known
+            known = self.known.__getitem__
             for one in part:
-                yield [known[w] for w in one]
+                yield list(map(known, one))
 
 
 _WORD = re.compile(f"{MARK}+[^{MARK}]*")
 
 
 def _lots(split: list[list[str]]) -> Iterator[tuple[set[str], list[list[str]]]]:
-    """Texts in lots of under ``WORDS / 4`` words, or one text."""
+    """Texts in lots of under ``LOT`` words, or one text."""
     at, lot, count = 0, [], 0
     for one in split:
-        if lot and count + len(one) > WORDS // 4:
+        if lot and count + len(one) > LOT:
             yield set(chain.from_iterable(lot)), lot
             lot, count = [], 0
         lot.append(one)
@@ -171,7 +172,7 @@ def encode_digests(docs: DataFrame, model_file: str, id_col: str = "doc_id", tex
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = encoder(model_file)
-        decode, spelled = bpe.library.decode, [str(i) for i in range(bpe.library.get_piece_size())]
+        decode, spelled = bpe.library.decode, [str(i) for i in range(bpe.library.get_piece_size())].__getitem__
         for batch in batches:
             for at in range(0, batch.num_rows, 512):
                 part = batch.slice(at, 512)
@@ -179,7 +180,7 @@ def encode_digests(docs: DataFrame, model_file: str, id_col: str = "doc_id", tex
                 for words in bpe.batch(part.column(1).to_pylist()):
                     ids = list(chain.from_iterable(words))
                     counts.append(len(ids))
-                    ids_hash.append(hashlib.sha256(",".join([spelled[i] for i in ids]).encode()).hexdigest())
+                    ids_hash.append(hashlib.sha256(",".join(map(spelled, ids)).encode()).hexdigest())
                     text_hash.append(hashlib.sha256((decode(ids) if ids else "").encode()).hexdigest())
                 yield pa.RecordBatch.from_arrays(
                     [part.column(0), pa.array(counts, pa.int64()), pa.array(ids_hash), pa.array(text_hash)],
