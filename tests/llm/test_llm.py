@@ -117,7 +117,7 @@ def test_large_clusters_come_apart_by_pivots(spark):
                 x, y = root(i), root(j)
                 up[max(x, y)] = min(x, y)
     df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
-    got = {x["doc_id"]: x["component_id"] for x in ngram_join.ngram_components(df, block=3).collect()}
+    got = {x["doc_id"]: x["component_id"] for x in ngram_join.ngram_components(df, block=3, pivot=4).collect()}
     assert got == {i: root(i) for i in range(len(rows))} and 1 < len(set(got.values())) < 40
 
 
