@@ -177,6 +177,7 @@ def differs(*arrays: np.ndarray) -> np.ndarray:
 
 
 HUB, SALTS = 1024, 64  # neighbours of a hub at least; parts that its edges are dealt into
+FEW_EDGES = 1_000_000  # edges (16 bytes each) up to which one task contracts what is left; beyond, all tasks do
 
 
 def _with_least(edges: DataFrame, at: str, other: str, hub: int) -> DataFrame:
@@ -193,17 +194,45 @@ def _with_least(edges: DataFrame, at: str, other: str, hub: int) -> DataFrame:
     return salted.join(least.select(at, "m", F.explode(parts).alias("salt")), [at, "salt"]).drop("salt")
 
 
-def components(edges: DataFrame, name: str = "components") -> DataFrame:
+def contracted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """From edges (a, b): the stars (a, b) of their components, b the smallest node."""
+    parts = [(b.column(0).to_numpy(), b.column(1).to_numpy()) for b in batches if b.num_rows]
+    if not parts:
+        return
+    a, b = (np.concatenate(x) for x in zip(*parts, strict=True))
+    nodes, at = np.unique(np.concatenate((a, b)), return_inverse=True)
+    x, y = at[: len(a)], at[len(a):]
+    root = np.arange(len(nodes))
+    while True:
+        low = np.minimum(root[x], root[y])
+        new = root.copy()
+        np.minimum.at(new, root[x], low)  # hang the roots of both ends under the smaller one
+        np.minimum.at(new, root[y], low)
+        while not (new == new[new]).all():  # then every node under its root
+            new = new[new]
+        if (new == root).all():
+            break
+        root = new
+    away = np.flatnonzero(root != np.arange(len(nodes)))
+    yield pa.RecordBatch.from_arrays([pa.array(nodes[away]), pa.array(nodes[root[away]])], names=["a", "b"])
+
+
+def components(edges: DataFrame, name: str = "components", few: int = FEW_EDGES) -> DataFrame:
     """Connected components of edges (u, v): one row (node, root) per node, root the smallest node reachable.
 
-    Alternates the large-star and small-star contractions until nothing
-    changes.  Null ends and self-loops add nothing.
+    Alternates the large-star and small-star contractions until nothing changes,
+    or so few edges are left that one task contracts them.  Null ends and
+    self-loops add nothing.
     """
     a, b = F.col("a"), F.col("b")
     now = stored(edges.where("u <> v").select(F.greatest("u", "v").alias("a"), F.least("u", "v").alias("b")).distinct(), name)
     mark = F.struct(F.count("*").alias("n"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")).alias("h"))
     state = now.select(mark.alias("m")).first()["m"]
     while state["n"]:
+        if state["n"] <= few:
+            # Every step keeps all nodes on an edge, and which of them are connected.
+            now = stored(now.repartition(1).mapInArrow(contracted, "a long, b long"), name)
+            break
         hub = max(HUB, state["n"] // 4096)
         both = now.select(a.alias("u"), b.alias("v")).union(now.select(b.alias("u"), a.alias("v")))
         large = _with_least(both, "u", "v", hub).where("v > u").select(F.col("v").alias("a"), F.least("u", "m").alias("b")).distinct()

@@ -133,10 +133,11 @@ def test_words_that_collide_in_polynomials_stay_apart(spark):
     assert {r["doc_id"]: r["n_repeat_words"] for r in quality.measure(df, fertility_paths()).collect()}[3] == 0
 
 
-def test_components_with_a_hub(spark, monkeypatch):
+@pytest.mark.parametrize("few", [0, 20, common.FEW_EDGES])
+def test_components_with_a_hub(spark, monkeypatch, few):
     monkeypatch.setattr(common, "HUB", 8)
     edges = [(0, i) for i in range(1, 60)] + [(500, i) for i in range(60, 100)] + [(99, 3), (700, 701), (701, 702), (None, 5), (9, 9)]
-    got = dict(map(tuple, common.components(spark.createDataFrame(edges, "u long, v long")).collect()))
+    got = dict(map(tuple, common.components(spark.createDataFrame(edges, "u long, v long"), few=few).collect()))
     assert got == {**dict.fromkeys([*range(100), 500], 0), 700: 700, 701: 700, 702: 700}
 
 
