@@ -48,7 +48,7 @@ from .common import clustered, drop_resident, resident, stored
 
 A_MODEL, B_MODEL = "byte_bpe_50k.json", "piece_bpe_32k.model"
 STRIPES = 256
-LOT, DOCS = 6_000_000, 50_000  # characters and documents of a slice, at most (or one document)
+LOT, DOCS = 4_000_000, 50_000  # characters and documents of a slice, at most (or one document)
 KNOWN, POOL = 250_000, 40_000_000  # units that a worker keeps, and characters of their spellings; results don't depend on it
 SIDE = 4000  # units spelled in one text
 SALT_LINKS = 8_000_000  # links of a stripe from which slices are dealt into salts
@@ -103,6 +103,18 @@ class Aligner:
         self.start = np.zeros(1, np.int64)
         self.pair, self.times = np.zeros(0, np.int64), np.zeros(0, np.int64)
 
+    def _keep(self, some: set[str]) -> None:
+        """Forgets the units that aren't among ``some``."""
+        names = [u for u in self.number if u in some]
+        at = np.fromiter(map(self.number.__getitem__, names), np.int64, len(names))
+        size = self.start[at + 1] - self.start[at]
+        start = np.concatenate(([0], np.cumsum(size)))
+        where = np.repeat(self.start[at] - start[:-1], size) + np.arange(start[-1])
+        self.pair, self.times, self.start, self.facts = self.pair[where], self.times[where], start, self.facts[at]
+        self.texts = [self.texts[i] for i in at.tolist()]
+        self.number = {u: i for i, u in enumerate(names)}
+        self.held = sum(map(len, self.texts)) + sum(map(len, names))
+
     def _spell_a(self, units: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """All ids of the units, and how many each has."""
         ids, sizes = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
@@ -203,10 +215,10 @@ class Aligner:
     def slice(self, texts: list[str | None]) -> tuple[np.ndarray, list[str], np.ndarray, np.ndarray]:
         """Facts and hash of each text, and its links: sorted keys pair << 16 | text, and how often each occurs."""
         split = [self.cut.split(" " + t) if t else [] for t in texts]
-        new = set(chain.from_iterable(split)).difference(self.number)
+        every = set(chain.from_iterable(split))
+        new = every.difference(self.number)
         if new and (len(self.number) + len(new) > KNOWN or self.held > POOL):
-            self._forget()
-            new = set(chain.from_iterable(split))
+            self._keep(every)
         if new:
             self._learn(list(new))
         many = np.fromiter(map(len, split), np.int64, len(split))
