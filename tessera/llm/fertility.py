@@ -10,6 +10,7 @@ slices of that length, so the work stays linear in a text's length.
 from __future__ import annotations
 
 import base64
+import random
 from collections.abc import Callable
 
 import numpy as np
@@ -83,6 +84,18 @@ class Vocabulary:
         return np.where(tokens > 0, chars / some, 0.0), share, np.bincount(owner, weights=-p * np.log2(p), minlength=n)
 
 
+#: Fixed value: letters of the script whose words both vocabularies hold, so that words cost fewer tokens than random letters.
+ALPHABETS = {"latin": "abcdefghijklmnopqrstuvwxyz"}
+DRAWN, SEED = 4000, 1
+
+
+def random_level(vocabulary: Vocabulary, letters: str) -> float:
+    """Characters per token of words of 2 to 10 random letters: what a vocabulary makes of text that it knows nothing of, whatever the corpus."""
+    r = random.Random(SEED)
+    words = ["".join(r.choice(letters) for _ in range(r.randrange(2, 11))) for _ in range(DRAWN)]
+    return sum(map(len, words)) / sum(map(len, vocabulary.encode(words)))
+
+
 def vocabularies(paths: tuple[str, str]) -> list[Vocabulary]:
     return resident(f"vocabularies {paths}", lambda: [Vocabulary(p) for p in paths])
 

@@ -13,6 +13,10 @@ least.  A class with under ``FEW`` such texts has the bands of all lengths, and
 with under ``FEW`` of these, the script's wide fixed band.  Scripts are told by
 the first bytes of UTF-8 letters.
 
+A corpus can't move one bound: a text to which both vocabularies give no more
+characters per token than to random letters (``ABOVE`` times that; for Latin,
+whose words both hold) is rejected in any band, and no band is measured by it.
+
 Defined cases: null and empty texts have no words and fail; very long texts are
 measured whole; repeated rows repeat; values at an edge of a band lie inside, so
 ties are kept; an empty table gives an empty result; other columns are ignored,
@@ -33,7 +37,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import stored
-from .fertility import names, vocabularies
+from .fertility import ALPHABETS, names, random_level, vocabularies
 from .wordhash import U64, Words, mix, split_words, text_buffer, windows
 
 MIN_WORDS, MAX_REPEAT = 50, 50  # words; per cent of words
@@ -74,6 +78,7 @@ for _lead, _name, _low, _high in (
         (0xE1, "latin", 0xB8, 0xBB), (0xE1, "greek", 0xBC, 0xBF), (0xE3, "kana", 0x81, 0x83)):
     _SECOND[_lead][_low: _high + 1] = _NAMES.index(_name)
 FEW, FENCE, LEAST = 50, 5.0, Band(0.06, 0.06, 0.04, 0.08)  # texts; spreads, 3.4 standard deviations of a normal distribution; of the median (bytes: absolute)
+ABOVE = 1.08  # times the characters per token of random letters
 SPAN = 6  # classes of length beyond MIN_WORDS
 FAR_BANDS = 50_000  # bands that may be broadcast; beyond, the join shuffles
 _IS_SYMBOL = np.zeros(256, bool)
@@ -136,7 +141,7 @@ def base_counts(texts: pa.Array) -> tuple[dict[str, np.ndarray], Words]:
 VOCABULARIES = ("piece", "byte")
 _FERTILITY = [f"{v}_{k}" for v in VOCABULARIES for k in ("chars_per_token", "fallback_share", "token_entropy")]
 _MEASURED = {"n_words": "long", "word_chars": "long", "n_symbols": "long", "n_dup_lines": "long", "n_repeat_words": "long", "base_failed": "boolean",
-             "script": "string", **dict.fromkeys(_FERTILITY, "double")}
+             "script": "string", **dict.fromkeys(_FERTILITY, "double"), "like_random": "boolean"}
 _OWN = "quality own "
 
 
@@ -146,6 +151,9 @@ def _measured(docs: DataFrame, paths: tuple[str, str], text_col: str, passing: b
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         both = vocabularies(paths)
+        floors = np.zeros((len(_NAMES), len(both)))
+        for name, letters in ALPHABETS.items():
+            floors[_NAMES.index(name)] = [ABOVE * random_level(v, letters) for v in both]
         for batch in batches:
             for at in range(0, batch.num_rows, 500):
                 part = batch.slice(at, 500)
@@ -153,8 +161,9 @@ def _measured(docs: DataFrame, paths: tuple[str, str], text_col: str, passing: b
                 failed = (c["n_words"] < MIN_WORDS) | (100 * c["n_repeat_words"] > MAX_REPEAT * c["n_words"])
                 spelled = names(words)
                 measures = list(chain.from_iterable(v.measure(words, spelled, c["word_chars"]) for v in both))
+                like_random = np.all([measures[3 * i] < floors[c["script"], i] for i in range(len(both))], axis=0)
                 new = [*(pa.array(c[k], pa.int64()) for k in list(_MEASURED)[:5]), pa.array(failed), pa.array([_NAMES[k] for k in c["script"]], pa.string()),
-                       *(pa.array(x) for x in measures)]
+                       *(pa.array(x) for x in measures), pa.array(like_random)]
                 out = pa.RecordBatch.from_arrays([*part.columns, *new], names=[*part.schema.names, *(_OWN + k for k in _MEASURED)])
                 yield out.filter(pa.array(~failed)) if passing else out
 
@@ -177,7 +186,7 @@ def _small(bands: DataFrame) -> DataFrame:
 
 def fences(measured: DataFrame, lang: Column) -> tuple[DataFrame, DataFrame]:
     """Bands by (script, language, length) and by (script, language): columns s, l, k and band, an array of all edges."""
-    seen = (measured.where(~_own("base_failed")).select(_own("script").alias("s"), lang.alias("l"), _length().alias("k"), _own("n_words").alias("w"),
+    seen = (measured.where(~_own("base_failed") & ~_own("like_random")).select(_own("script").alias("s"), lang.alias("l"), _length().alias("k"), _own("n_words").alias("w"),
                                                         *(F.round(_own(x), 3).alias(x) for x in _FERTILITY)).distinct())
     quartiles = [F.percentile(x, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))).alias(x) for x in _FERTILITY]  # rounded: few distinct values
     edges = []
@@ -201,7 +210,7 @@ def _judged(measured: DataFrame, lang_col: str | None, bands: dict[str, Band]) -
     own = (own.join(first, (_own("script") == _own("s1")) & _own("lang").eqNullSafe(_own("l1")) & (_own("length") == _own("k1")), "left")
            .join(second, (_own("script") == _own("s2")) & _own("lang").eqNullSafe(_own("l2")), "left"))
     e = F.coalesce(_own("b1"), _own("b2"), wide)
-    inside = ~_own("base_failed")
+    inside = ~_own("base_failed") & ~_own("like_random")
     for i, v in enumerate(VOCABULARIES):
         per, share, entropy = (F.round(_own(f"{v}_{x}"), 3) for x in ("chars_per_token", "fallback_share", "token_entropy"))
         inside = inside & (per >= e[4 * i]) & (per <= e[4 * i + 1]) & (share <= e[4 * i + 2]) & (entropy >= e[4 * i + 3])

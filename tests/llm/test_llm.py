@@ -536,6 +536,21 @@ def test_bands_follow_the_documents(spark):
     assert {x["script"] for i, x in got.items()} == {"latin", "ethiopic", "myanmar", "gujarati", "malayalam", "devanagari", "georgian", "hebrew", "thai", "cyrillic", "khmer"}
 
 
+def test_gibberish_moves_no_band(spark):
+    """Random letters under a known label, under a label of their own, and few of them; clean texts stay, also of a language with few."""
+    r = random.Random(8)
+    english = ("the people of this country have made their own way through many years of work and trade and when they look back upon it there is much that "
+               "could be said for those who came before them while others only want to know what will happen next in the small towns along the river").split()
+    french = ("les gens de ce pays ont fait leur propre chemin pendant de longues années de travail et de commerce et quand ils y pensent il y a beaucoup à dire "
+              "pour ceux qui sont venus avant eux tandis que les autres veulent savoir ce qui va se passer dans les petites villes").split()
+    gibberish = lambda: " ".join("".join(r.choices("abcdefghijklmnopqrstuvwxyz", k=r.randint(2, 9))) for _ in range(300))
+    clean = [(i, " ".join(r.choices(english, k=100 + i % 300)), "en") for i in range(300)] + [(1000 + i, " ".join(r.choices(french, k=150)), "fr") for i in range(20)]
+    bad = [(2000 + i, gibberish(), "en") for i in range(80)] + [(3000 + i, gibberish(), "xx") for i in range(60)] + [(4000 + i, gibberish(), "yy") for i in range(20)]
+    got = {x["doc_id"]: x for x in quality.measure(spark.createDataFrame(clean + bad, "doc_id long, text string, lang string").repartition(4), fertility_paths()).collect()}
+    assert not any(got[i]["kept"] for i, *_ in bad) and all(got[i]["like_random"] for i, *_ in bad)
+    assert sum(got[i]["kept"] for i, *_ in clean) >= 315 and all(got[i]["kept"] for i, _, k in clean if k == "fr") and not any(got[i]["like_random"] for i, *_ in clean)
+
+
 def test_fertility_and_kept_by_hand(spark):
     r = random.Random(3)
     english = words(300, 9, 3000)
