@@ -17,6 +17,8 @@ import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from . import containers
+
 GRID, LEVELS, SIDE = 3, 8, 48  # cells a side, histogram bins, side of the motion grid
 RATE, FRAME, HOP, MEL, CEPSTRA, SEGMENTS = 16_000, 0.025, 0.010, 24, 13, 8
 BANDS = [(0, 250), (250, 500), (500, 1000), (1000, 2000), (2000, 4000), (4000, 6000), (6000, 8000)]
@@ -127,13 +129,17 @@ def read_pnm(data: bytes) -> np.ndarray:
 
 
 def read_image(value: bytes | np.ndarray | list) -> np.ndarray:
-    """Rows, columns and channels in [0, 1]: PNG, PGM and PPM here, other formats if an image library is there; arrays of two or three dimensions."""
+    """Rows, columns and channels in [0, 1]: PNG, PGM, PPM, BMP and GIF (its first frame) here, other formats if an image library is there; arrays of two or three dimensions."""
     if isinstance(value, bytes | bytearray | memoryview):
         data = bytes(value)
         if data[:2] in (b"P5", b"P6"):
             x = read_pnm(data)
         elif data[:4] == b"\x89PNG":
             x = to_unit(read_png(data))
+        elif data[:2] == b"BM":
+            x = to_unit(containers.read_bmp(data))
+        elif data[:4] == b"GIF8":
+            x = to_unit(next(containers.read_gif(data)))
         else:
             from PIL import Image
 
@@ -148,8 +154,12 @@ def read_image(value: bytes | np.ndarray | list) -> np.ndarray:
 
 
 def read_wave(data: bytes) -> tuple[int, np.ndarray]:
-    """Rate and mono samples in [-1, 1] of 8, 16 or 32-bit WAV bytes."""
+    """Rate and mono samples in [-1, 1] of 8, 16, 24 or 32-bit WAV bytes."""
     with wave.open(io.BytesIO(data)) as w:
+        if w.getsampwidth() == 3:  # as the upper bytes of 32 bits
+            raw = np.frombuffer(w.readframes(w.getnframes()), np.uint8).reshape(-1, 3)
+            wide = np.concatenate((np.zeros((len(raw), 1), np.uint8), raw), 1).copy().view("<i4")[:, 0]
+            return w.getframerate(), wide.astype(float).reshape(-1, w.getnchannels()).mean(1) / 2.0 ** 31
         kind = {1: np.uint8, 2: "<i2", 4: "<i4"}[w.getsampwidth()]
         x = np.frombuffer(w.readframes(w.getnframes()), kind).astype(float).reshape(-1, w.getnchannels()).mean(1)
         return w.getframerate(), (x - 128) / 128 if w.getsampwidth() == 1 else x / 2.0 ** (8 * w.getsampwidth() - 1)
@@ -188,13 +198,21 @@ def sample_frames(n: int, most: int = 16) -> np.ndarray:
 
 
 def read_video(value, most: int = 16) -> list[np.ndarray]:
-    """Frames in [0, 1]: arrays [frame, row, column(, channel)], (fps, frames), or a dict with frames; evenly sampled.  Containers need a decoder of their own."""
+    """Frames in [0, 1]: arrays [frame, row, column(, channel)], (fps, frames), or a dict with frames; bytes of AVI (uncompressed or PNG frames) and GIF; evenly sampled.  Other containers need a decoder of their own."""
     if isinstance(value, dict):
         value = value["frames"]
     if isinstance(value, tuple) and len(value) == 2 and np.ndim(value[0]) == 0:
         value = value[1]
-    if isinstance(value, bytes | str):
-        raise ValueError("no decoder for video containers is installed")
+    if isinstance(value, bytes | bytearray | memoryview):
+        data = bytes(value)
+        if data[:4] == b"GIF8":
+            every = list(containers.read_gif(data))
+            return [read_image(every[i]) for i in sample_frames(len(every), most)]
+        if data[8:12] == b"AVI ":
+            _, places, form = containers.read_avi(data)  # only the sampled frames are decoded
+            return [read_image(containers.avi_frame(data, places[i], form)) for i in sample_frames(len(places), most)]
+    if isinstance(value, bytes | bytearray | memoryview | str):
+        raise ValueError("no decoder for this video container is installed")
     x = np.asarray(value)
     if x.ndim not in (3, 4) or not x.size:
         raise ValueError(f"no video of shape {x.shape}")
@@ -420,9 +438,9 @@ def audio(column: str, rate: int = RATE, policy: str = "zero") -> Column:
     return guarded(work, len(AUDIO), policy)(column)
 
 
-def video(column: str, frames: int, height: int | None = None, policy: str = "zero") -> Column:
-    """``VIDEO`` features of a column of flat arrays of equal grey frames (one row high if no height is given)."""
-    work = lambda x: video_features(np.asarray(x, float).reshape(frames, height or 1, -1))
+def video(column: str, frames: int | None = None, height: int | None = None, policy: str = "zero") -> Column:
+    """``VIDEO`` features of a column of AVI or GIF bytes, or of flat arrays of ``frames`` equal grey frames (one row high if no height is given)."""
+    work = video_features if frames is None else lambda x: video_features(np.asarray(x, float).reshape(frames, height or 1, -1))
     return guarded(work, len(VIDEO), policy)(column)
 
 

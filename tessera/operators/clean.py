@@ -11,7 +11,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..errors import DataError
-from ..functions.columns import exact_quantiles, finite, hash_unit, numeric_columns, quantiles, safe_corr, skewness
+from ..functions.columns import exact_quantiles, finite, numeric_columns, quantiles, skewness
+from ..functions.shared import fresh_path
+from . import correlate, neighbours
 
 MISSING, RARE, UNKNOWN = "__missing__", "__rare__", "__unknown__"
 
@@ -131,41 +133,14 @@ class MultiLabelEncoder:
 
 # ---- imputation by neighbours and by regressions
 
-KNN_ROWS = 4000  # rows that neighbours are looked for among, at most
-
-
-def knn_reference(df: DataFrame, columns: list[str], key: str, rows: int = KNN_ROWS, seed: int = 42) -> dict:
-    """What neighbours need: the matrix of at most ``rows`` rows, chosen by the key's hash, the medians, and k = sqrt(rows) between 2 and 8."""
+def knn_reference(df: DataFrame, columns: list[str], key: str) -> dict:
+    """What neighbours need: the path of a table of all rows, the medians, and k = sqrt(rows) between 2 and 8."""
     n = df.count()
-    some = df if n <= rows else df.where(hash_unit(F.col(key), f"{seed}:knn:") < rows / n)
-    matrix = [[r[i] for i in range(len(columns))] for r in some.select(*[finite(c).alias(f"x{i}") for i, c in enumerate(columns)]).limit(2 * rows).collect()]
-    return {"columns": columns, "rows": matrix, "medians": list(fills(df, columns, "median").values()), "k": max(2, min(8, int(max(n, 1) ** 0.5)))}
-
-
-def knn_fill(x: np.ndarray, reference: np.ndarray, k: int, medians: np.ndarray) -> np.ndarray:
-    """``x`` without NaN: the mean of the k nearest rows that have the value, weighted by 1 / distance.
-
-    The distance goes by the columns that both rows have, scaled up to all; rows
-    at distance 0 stand for all others; without a neighbour the median does.
-    """
-    out, have = x.copy(), ~np.isnan(reference)
-    filled = np.where(have, reference, 0.0)
-    for i in np.flatnonzero(np.isnan(x).any(1)):
-        there = ~np.isnan(x[i])
-        both = have & there
-        shared = both.sum(1)
-        apart = ((np.where(both, filled - np.where(there, x[i], 0.0), 0.0)) ** 2).sum(1)
-        distance = np.sqrt(np.where(shared > 0, apart / np.maximum(shared, 1) * x.shape[1], np.inf))
-        for j in np.flatnonzero(~there):
-            near = np.flatnonzero(have[:, j] & np.isfinite(distance))
-            if not len(near):
-                out[i, j] = medians[j]
-                continue
-            near = near[np.argsort(distance[near], kind="stable")[:k]]
-            d = distance[near]
-            weight = (d == 0).astype(float) if (d == 0).any() else 1 / d
-            out[i, j] = (weight * reference[near, j]).sum() / weight.sum()
-    return out
+    whole = dict(df.dtypes)[key] in ("tinyint", "smallint", "int", "bigint")
+    rows = df.withColumn("__number", F.col(f"`{key}`").cast("long") if whole else F.xxhash64(f"`{key}`"))
+    path = fresh_path(df.sparkSession, "neighbours")
+    neighbours.numbered(rows, columns, "__number").write.parquet(path)
+    return {"columns": columns, "path": path, "medians": list(fills(df, columns, "median").values()), "k": max(2, min(8, int(max(n, 1) ** 0.5)))}
 
 
 def _fill_arrow(df: DataFrame, columns: list[str], work) -> DataFrame:
@@ -183,8 +158,9 @@ def _fill_arrow(df: DataFrame, columns: list[str], work) -> DataFrame:
 
 
 def knn_impute(df: DataFrame, state: dict) -> DataFrame:
-    shared = df.sparkSession.sparkContext.broadcast((np.array(state["rows"], float).reshape(-1, len(state["columns"])), state["k"], np.array(state["medians"], float)))  # KNN_ROWS rows
-    return _fill_arrow(df, state["columns"], lambda x: knn_fill(x, *shared.value))
+    """``df`` with its gaps filled by the nearest of all reference rows."""
+    reference = df.sparkSession.read.schema("number long, x array<double>").parquet(state["path"])
+    return neighbours.impute(df, reference, state["columns"], state["k"], state["medians"])
 
 
 def _replay(x: np.ndarray, start: np.ndarray, steps: list) -> np.ndarray:
@@ -348,11 +324,9 @@ def datetime_parts(c: str, hours: bool = False) -> dict[str, Column]:
 
 def near_duplicate_columns(df: DataFrame, columns: list[str], least: float = 0.999) -> list[str]:
     """Later columns that correlate with a kept earlier one."""
-    pairs = [(a, b) for i, a in enumerate(columns) for b in columns[i + 1:]]
-    if not pairs:
+    if len(columns) < 2:
         return []
-    row = df.agg(*[safe_corr(finite(a), finite(b)).alias(f"p{i}") for i, (a, b) in enumerate(pairs)]).first()
-    high = {p for i, p in enumerate(pairs) if row[f"p{i}"] is not None and abs(row[f"p{i}"]) >= least}
+    high = {(r["first"], r["second"]) for r in correlate.correlations(df, columns).where(F.abs("corr") >= least).collect()}
     dropped: list[str] = []
     for i, b in enumerate(columns):
         if any((a, b) in high for a in columns[:i] if a not in dropped):
@@ -441,7 +415,7 @@ class Cleaner:
         out = df.withColumns({f"{c}__missing": gone(df, c).cast("int") for c in s["missing"]}) if s["missing"] else df
         if s["impute"]:
             out = out.withColumns({c: clip(c, s["limits"].get(c)) for c in s["numeric"]})
-            return (knn_impute if "rows" in s["impute"] else iterative_impute)(out, s["impute"])
+            return (knn_impute if "path" in s["impute"] else iterative_impute)(out, s["impute"])
         return out.withColumns({c: F.coalesce(clip(c, s["limits"].get(c)), F.lit(float(s["fills"][c]))) for c in s["numeric"]}) if s["numeric"] else out
 
     @property

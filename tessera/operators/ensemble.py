@@ -148,15 +148,23 @@ def vectors(df: DataFrame, columns: list[str], task: str) -> list[tuple]:
     return [_vector(task, {k: row[f"{i}_{k}"] or 0.0 for k in m}) for i, m in enumerate(made)]
 
 
+def _blended(columns: list[str], weights: list[Column]) -> Column:
+    """The weighted sum of arrays of probabilities."""
+    def scaled(c: str, w: Column) -> Column:
+        return F.transform(c, lambda x: x * w)
+
+    out = scaled(columns[0], weights[0])
+    for c, w in zip(columns[1:], weights[1:], strict=True):
+        out = F.zip_with(out, scaled(c, w), lambda a, b: a + b)
+    return out
+
+
 def blend(columns: list[str], weights: list[float], task: str) -> Column:
     """The weighted mean of predictions; of arrays of probabilities, of each class."""
     total = sum(weights) or 1.0
     if task != "multiclass":
         return sum((F.col(c) * float(w / total) for c, w in zip(columns, weights, strict=True)), F.lit(0.0))
-    out = F.transform(columns[0], lambda x: x * float(weights[0] / total))
-    for c, w in zip(columns[1:], weights[1:], strict=True):
-        out = F.zip_with(out, F.transform(c, lambda x, w=w: x * float(w / total)), lambda a, b: a + b)
-    return out
+    return _blended(columns, [F.lit(float(w / total)) for w in weights])
 
 
 def select_diverse(oof: DataFrame, columns: list[str], task: str, most: int = MEMBERS, correlated: float = CORRELATED, gain: float = GAIN) -> list[str]:
@@ -192,19 +200,21 @@ def weight_candidates(n: int, draws: int = DRAWS, seed: int = 42) -> list[list[f
     return out
 
 
+def weight_vectors(oof: DataFrame, columns: list[str], task: str, tried: list[list[float]]) -> list[tuple]:
+    """The selection vector of each blend: every row meets all weights in one grouped pass."""
+    each = F.array(*[F.struct(F.lit(i).alias("i"), F.array(*[F.lit(x) for x in w]).alias("w")) for i, w in enumerate(tried)])
+    weights = [F.get("r.w", F.lit(j)) for j in range(len(columns))]
+    p = _blended(columns, weights) if task == "multiclass" else sum((F.col(c) * w for c, w in zip(columns, weights, strict=True)), F.lit(0.0))
+    rows = oof.select("label", *columns, F.explode(each).alias("r")).select("label", F.col("r.i").alias("i"), p.alias("p"))
+    made = _quality(task, F.col("p"), F.col("label"))
+    found = {r["i"]: _vector(task, {k: r[k] or 0.0 for k in made}) for r in rows.groupBy("i").agg(*[v.alias(k) for k, v in made.items()]).collect()}
+    return [found[i] for i in range(len(tried))]
+
+
 def voting_weights(oof: DataFrame, columns: list[str], task: str, seed: int = 42) -> tuple[list[float], tuple]:
-    """The best weights by the selection vector: every row meets all weights in one grouped pass."""
+    """The best weights by the selection vector: the first that no other beats by more than the tolerances."""
     tried = weight_candidates(len(columns), seed=seed)
-    if task == "multiclass":
-        made = vectors(oof.withColumns({f"__w{i}": blend(columns, w, task) for i, w in enumerate(tried[: 1 + len(columns)])}), [f"__w{i}" for i in range(1 + len(columns))], task)
-        tried = tried[: len(made)]
-    else:
-        each = F.array(*[F.struct(F.lit(i).alias("i"), F.array(*[F.lit(x) for x in w]).alias("w")) for i, w in enumerate(tried)])
-        p = sum((F.col(c) * F.get("r.w", F.lit(j)) for j, c in enumerate(columns)), F.lit(0.0))
-        rows = oof.select("label", *columns, F.explode(each).alias("r")).select("label", F.col("r.i").alias("i"), p.alias("p"))
-        found = {r["i"]: _vector(task, {k: r[k] or 0.0 for k in _quality(task, F.col("p"), F.col("label"))}) for r in
-                 rows.groupBy("i").agg(*[v.alias(k) for k, v in _quality(task, F.col("p"), F.col("label")).items()]).collect()}
-        made = [found[i] for i in range(len(tried))]
+    made = weight_vectors(oof, columns, task, tried)
     best = 0
     for i in range(1, len(tried)):
         if compare(made[i], made[best], task) > 0:
@@ -269,7 +279,7 @@ class Ensemble:
 
 
 def train(df: DataFrame, columns: list[str], task: str, key: str, classes: int = 2, strategy: str = "auto", groups: dict | None = None, fusion: str = "auto",
-          trees: int = 20, families: tuple[str, ...] = FAMILIES, deadline: Deadline | None = None, seed: int = 42) -> Ensemble:
+          trees: int = 20, families: tuple[str, ...] = FAMILIES, deadline: Deadline | None = None, seed: int = 42, candidates: int = CANDIDATES) -> Ensemble:
     """Single, voting or stacking, whichever the rows that chose nothing show to be materially better, refitted on all rows.
 
     ``df`` has ``columns``, label and fold.
@@ -278,7 +288,7 @@ def train(df: DataFrame, columns: list[str], task: str, key: str, classes: int =
 
     if strategy not in ("auto", "single", "voting", "stacking"):
         raise ConfigError("strategy is auto, single, voting or stacking")
-    pool = candidate_pool(columns, groups, fusion, families)
+    pool = candidate_pool(columns, groups, fusion, families, candidates)
     oof = out_of_fold(pool, df, task, classes, trees, deadline, seed).persist()
     parts = meta_split(oof, key, seed=seed)
     fit, judge = parts.where(~F.col("is_select")), parts.where("is_select")

@@ -1,4 +1,4 @@
-"""Learners on pyspark.ml: fit, predict, calibrate, out-of-fold predictions, bundles and reports.
+"""Learners (boosted trees of this library, forests and linear models of pyspark.ml): fit, predict, calibrate, out-of-fold predictions, bundles and reports.
 
 ``fit`` keeps its rows apart: the threshold is tuned on a probe of the training
 rows, calibration and conformal sets use rows that no learner has seen, and the
@@ -18,24 +18,25 @@ import pandas as pd
 from py4j.protocol import Py4JJavaError
 from pyspark.errors import PySparkException
 from pyspark.ml import PipelineModel
-from pyspark.ml.classification import GBTClassifier, LogisticRegression, OneVsRest, RandomForestClassifier
+from pyspark.ml.classification import LogisticRegression, OneVsRest, RandomForestClassifier
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.ml.regression import GBTRegressor, IsotonicRegression, LinearRegression, RandomForestRegressor
+from pyspark.ml.regression import IsotonicRegression, LinearRegression, RandomForestRegressor
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..errors import ConfigError, DataError, NotFittedError, UnsupportedLearnerError
 from . import decide, metrics, profile, tuning, validate
 from . import rows as row_filters
+from .boosting import PATIENCE, BoostedModel, Boosting
 from .clean import Cleaner, LabelEncoder
 from .quality import audit
-from .split import calibration_split, folds, search_sample, split, split_random, split_stratified, validation_folds
+from .split import calibration_split, folds, search_sample, split, split_group, split_random, split_stratified, validation_folds
 
 TASKS = ("binary", "multiclass", "regression", "ranking", "multilabel", "multioutput_regression")
 LEARNERS = ("auto", "gbt", "forest", "linear")
 CLASSES = ("binary", "multiclass", "multilabel")
-BUNDLE, MOST_FILES, MOST_BYTES = 2, 2000, 4 << 30  # bundle format; limits of what is read back
+BUNDLE, MOST_FILES, MOST_BYTES = 3, 2000, 4 << 30  # bundle format; limits of what is read back
 
 
 @dataclass
@@ -58,6 +59,7 @@ class FitConfig:
     alpha: float = 0.1
     class_weight: str | None = "auto"
     early_stopping: bool = False
+    patience: int = PATIENCE
     trials: int = 0
     clean: str = "minimal"
     leakage: str = "warn"
@@ -95,18 +97,22 @@ def estimator(task: str, family: str, classes: int = 2, trees: int = 20, seed: i
         if numeric:
             return LinearRegression(regParam=p["ridge"], elasticNetParam=p["elastic"], **opts)
         return LogisticRegression(regParam=p["ridge"], elasticNetParam=p["elastic"], **opts)
+    if family == "gbt":
+        kind = "ranking" if task == "ranking" else "regression" if numeric else "multiclass" if classes > 2 else "binary"
+        return Boosting(kind, trees=trees, depth=p["depth"], step=p.get("step", 0.1), min_rows=p["min_rows"], subsample=p["subsample"], classes=classes, seed=seed)
     tree = {"maxDepth": p["depth"], "minInstancesPerNode": p["min_rows"], "subsamplingRate": p["subsample"], "seed": seed, **opts}
-    if family == "forest" or classes > 2:
-        return (RandomForestRegressor if numeric else RandomForestClassifier)(numTrees=trees, **tree)
-    return (GBTRegressor if numeric else GBTClassifier)(maxIter=trees, stepSize=p.get("step", 0.1), **tree)
+    return (RandomForestRegressor if numeric else RandomForestClassifier)(numTrees=trees, **tree)
 
 
-def build(task: str, learner: str, config: FitConfig, classes: int = 2, params: dict | None = None):
+def build(task: str, learner: str, config: FitConfig, classes: int = 2, params: dict | None = None, categories: list[int] = (), group: str | None = None, deadline=None):
+    """The configured learner; boosted trees take the categories among the features, a ranking's group, and the deadline."""
     family = "gbt" if learner == "auto" else learner
     own = {} if family == "linear" else {"depth": config.depth, "min_rows": 1, "subsample": 1.0}
     made = estimator(task, family, classes, config.trees, config.seed, {**own, **(params or {})})
-    if config.early_stopping and isinstance(made, GBTClassifier | GBTRegressor):
-        made.setValidationIndicatorCol("held")
+    if isinstance(made, Boosting):
+        made.categories, made.group_col, made.deadline, made.patience = list(categories), group if made.kind == "ranking" else None, deadline, config.patience
+        if config.early_stopping:
+            made.setValidationIndicatorCol("held")
     return made
 
 
@@ -259,11 +265,22 @@ class FittedModel:
 
     def save(self, spark: SparkSession, path: str) -> None:
         """A folder, local or shared: learners by their own writers, the metadata, and a manifest with the SHA-256 and size of every file."""
+        boosted = []
         for name, learner in self.learners.items():
-            PipelineModel([learner]).write().overwrite().save(f"{path}/learner_{name}")
-        meta = {"version": BUNDLE, "config": asdict(self.config), "task": self.task, "cleaner": asdict(self.cleaner), "classes": self.classes, "threshold": self.threshold,
+            if isinstance(learner, BoostedModel):
+                old, system = _file(spark, f"{path}/learner_{name}")
+                system.delete(old, True)
+                write_text(spark, f"{path}/learner_{name}/part-trees.json", json.dumps(learner.to_dict()))
+                boosted.append(name)
+            else:
+                PipelineModel([learner]).write().overwrite().save(f"{path}/learner_{name}")
+        cleaner = json.loads(self.cleaner.to_json())
+        if "path" in (cleaner["state"].get("impute") or {}):  # the rows that neighbours are looked for among
+            spark.read.parquet(cleaner["state"]["impute"]["path"]).write.mode("overwrite").parquet(f"{path}/neighbours")
+            cleaner["state"]["impute"]["path"] = ""
+        meta = {"version": BUNDLE, "config": asdict(self.config), "task": self.task, "cleaner": cleaner, "classes": self.classes, "threshold": self.threshold,
                 "calibrator": asdict(self.calibrator) if self.calibrator else None, "conformal": self.conformal, "ood": self.ood, "ood_threshold": self.ood_threshold,
-                "drift": self.drift, "metrics": self.metrics, "notes": self.notes, "learners": list(self.learners)}
+                "drift": self.drift, "metrics": self.metrics, "notes": self.notes, "learners": list(self.learners), "boosted": boosted}
         write_text(spark, f"{path}/metadata.json", json.dumps(meta, sort_keys=True))
         write_text(spark, f"{path}/manifest.json", json.dumps(_digests(spark, path), sort_keys=True))
 
@@ -279,7 +296,9 @@ class FittedModel:
         meta = json.loads(read_text(spark, f"{path}/metadata.json"))
         if meta["version"] != BUNDLE:
             raise DataError(f"bundle version {meta['version']}")
-        learners = {n: PipelineModel.load(f"{path}/learner_{n}").stages[0] for n in meta["learners"]}
+        learners = {n: BoostedModel.from_dict(json.loads(read_text(spark, f"{path}/learner_{n}/part-trees.json"))) if n in meta["boosted"] else PipelineModel.load(f"{path}/learner_{n}").stages[0] for n in meta["learners"]}
+        if "path" in (meta["cleaner"]["state"].get("impute") or {}):
+            meta["cleaner"]["state"]["impute"]["path"] = f"{path}/neighbours"
         return cls(FitConfig(**meta["config"]), meta["task"], Cleaner(**meta["cleaner"]), learners, meta["classes"], meta["threshold"],
                    Calibrator(**meta["calibrator"]) if meta["calibrator"] else None, meta["conformal"], {k: tuple(v) for k, v in meta["ood"].items()}, meta["ood_threshold"],
                    meta["drift"], meta["metrics"], meta["notes"])
@@ -338,28 +357,29 @@ def _weighted(df: DataFrame, label: str, task: str, config: FitConfig) -> tuple[
     return df.withColumn("weight", weight), True
 
 
-def _train(rows: DataFrame, label: str, task: str, config: FitConfig, classes: int, params: dict | None):
-    """A learner of ``label`` on rows with features."""
-    made = build(task, config.learner, config, classes, params)
-    data, heavy = _weighted(rows.select("features", F.col(label).alias("label"), *(["held"] if config.early_stopping else [])), "label", task, config)
+def _train(rows: DataFrame, label: str, task: str, config: FitConfig, classes: int, params: dict | None, categories: list[int] = (), group: str | None = None, deadline=None):
+    """A learner of ``label`` on rows with features; a ranking is trained on pairs within ``group`` where the learner can."""
+    made = build(task, config.learner, config, classes, params, categories, group, deadline)
+    more = [c for c, wanted in (("held", config.early_stopping), (group, task == "ranking" and group)) if wanted]
+    data, heavy = _weighted(rows.select("features", F.col(label).alias("label"), *more), "label", task, config)
     return made.setWeightCol("weight").fit(data) if heavy else made.fit(data)
 
 
-def _search(rows: DataFrame, label: str, task: str, config: FitConfig, classes: int, deadline: tuning.Deadline) -> dict:
-    """Parameters by baseline-aware search over the folds of a sample."""
-    sample = search_sample(rows, config.key, label if task in ("binary", "multiclass") else None, seed=config.seed)
-    parts = validation_folds(sample, config.key, task if task != "ranking" else "regression", label, seed=config.seed).persist()
+def _search(rows: DataFrame, label: str, task: str, config: FitConfig, classes: int, deadline: tuning.Deadline, categories: list[int] = (), group: str | None = None) -> dict:
+    """Parameters by baseline-aware search over the folds of a sample; where there are groups, whole groups are held out."""
+    sample = search_sample(rows, config.key, label if task in ("binary", "multiclass") else None, group, seed=config.seed)
+    parts = validation_folds(sample, config.key, task, label, group, seed=config.seed).persist()
     found = sorted(r[0] for r in parts.select("fold").distinct().collect() if r[0] >= 0)
-    name = tuning.primary_metric(task) if task != "ranking" else "rmse"
+    name = tuning.primary_metric(task)
     family = "gbt" if config.learner == "auto" else config.learner
 
     def evaluate(params: dict, k: int) -> float:
-        model = _train(parts.where(F.col("fold") != found[k]), label, task, config, classes, params)
+        model = _train(parts.where(F.col("fold") != found[k]), label, task, config, classes, params, categories, group)
         scored = model.transform(parts.where(F.col("fold") == found[k])).withColumnRenamed("prediction", "said")
         if "probability" in scored.columns:
             p = vector_to_array("probability")
             scored = scored.withColumn("p", F.element_at(p, 2) if classes == 2 else p)
-        return metrics.compute(name, scored, label, "said", "p", classes)
+        return metrics.compute(name, scored, label, "said", "p", classes, group)
 
     out = tuning.search(family, evaluate, len(found), config.trials, metrics.DIRECTION[name], config.seed, deadline)
     parts.unpersist()
@@ -405,17 +425,21 @@ def fit(df: DataFrame, config: FitConfig) -> FittedModel:
     kept = calibration_split(every, config.key, strata, seed=config.seed) if wants else None
     rows, held = (every, None) if kept is None else (kept.where(~F.col("is_calibration")).drop("is_calibration"), kept.where("is_calibration").drop("is_calibration"))
     if config.early_stopping:
-        rows = split_random(rows, config.key, 0.1, config.seed + 31).withColumnRenamed("is_test", "held")
+        rows = (split_group(rows, group, 0.1, config.seed + 31) if task == "ranking" else split_random(rows, config.key, 0.1, config.seed + 31)).withColumnRenamed("is_test", "held")
+    categories = [i for i, c in enumerate(cleaner.outputs) if c.endswith("__code")]
     n, cells = rows.count(), len(cleaner.outputs)
     tuning.check_memory(n, cells, tuning.resource_plan(spark))
-    params = {t: _search(rows, name, task, config, many, deadline) if config.trials else {} for t, name in labels.items()}
-    for t, name in labels.items():
-        model.learners["label" if len(targets) == 1 else t] = _train(rows, name, task, config, many, params[t])
+    params = {t: _search(rows, name, task, config, many, deadline, categories, group) if config.trials else {} for t, name in labels.items()}
+    for i, (t, name) in enumerate(labels.items()):
+        own = deadline.share(1 / (len(labels) - i + (config.optimize_threshold and task in ("binary", "multilabel"))))
+        model.learners["label" if len(targets) == 1 else t] = made = _train(rows, name, task, config, many, params[t], categories, group, own)
+        if isinstance(made, BoostedModel):
+            model.notes.append(f"{t}: {len(made.rounds)} rounds, ended by {made.stopped}")
 
     if task in ("binary", "multilabel"):
         model.threshold = 0.5 if task == "binary" else dict.fromkeys(targets, 0.5)
         if config.optimize_threshold and not deadline.over():
-            _tune_threshold(model, rows, labels, config, params, strata)
+            _tune_threshold(model, rows, labels, config, params, strata, categories, deadline)
     if held is not None:
         _fit_uncertainty(model, held, labels)
     numeric = cleaner.state["numeric"]
@@ -428,13 +452,13 @@ def fit(df: DataFrame, config: FitConfig) -> FittedModel:
     return model
 
 
-def _tune_threshold(model: FittedModel, rows: DataFrame, labels: dict, config: FitConfig, params: dict, strata: str | None) -> None:
+def _tune_threshold(model: FittedModel, rows: DataFrame, labels: dict, config: FitConfig, params: dict, strata: str | None, categories: list[int], deadline: tuning.Deadline) -> None:
     """The best threshold of a probe that is trained on four fifths of the rows and judged on the last one."""
     parts = split_stratified(rows, config.key, strata, 0.2, config.seed + 7) if strata else split_random(rows, config.key, 0.2, config.seed + 7)
     fit_rows, probe_rows = parts.where(~F.col("is_test")), parts.where("is_test")
     scored, pairs = probe_rows, []
     for i, (t, name) in enumerate(labels.items()):
-        probe = _train(fit_rows, name, model.task, config, 2, params[t])
+        probe = _train(fit_rows, name, model.task, config, 2, params[t], categories, deadline=deadline.share(1 / (len(labels) - i)))
         scored = probe.transform(scored).withColumn(f"probe_{i}", F.element_at(vector_to_array("probability"), 2)).drop("probability", "rawPrediction", "prediction")
         pairs.append((name, f"probe_{i}"))
     if model.task == "binary":
@@ -573,6 +597,18 @@ def importance(model: FittedModel) -> list[tuple[str, float]]:
     return sorted(total.items(), key=lambda x: (-x[1], x[0]))
 
 
+def explain(model: FittedModel, df: DataFrame, keep: list[str] = ()) -> DataFrame:
+    """``keep`` columns and, for each learner of boosted trees, the tree SHAP values of the cleaned features as ``shap_<learner>``: an array a class of (feature, value), the last the expected score."""
+    out = model._scored(df, list(keep))
+    if not all(isinstance(m, BoostedModel) for m in model.learners.values()):
+        raise UnsupportedLearnerError("contributions need boosted trees")
+    names = F.array(*[F.lit(c) for c in [*model.cleaner.outputs, "expected"]])
+    for name, learner in model.learners.items():
+        out = learner.explain(out, "__shap")
+        out = out.withColumn(f"shap_{name}", F.transform("__shap", lambda v: F.arrays_zip(names.alias("feature"), v.alias("value")))).drop("__shap")
+    return out.select(*keep, *[f"shap_{n}" for n in model.learners])
+
+
 def permutation_importance(model: FittedModel, df: DataFrame, rows: int = 2000) -> list[tuple[str, float]]:
     """What the holdout's primary metric loses when a feature's values are dealt anew among at most ``rows`` rows, largest first."""
     from pyspark.sql import Window
@@ -624,5 +660,5 @@ def report(model: FittedModel, df: DataFrame, path: str) -> None:
                + _bars("Importance", best) + f"<h2>Quality {body['quality']['score']:.1f}</h2><ul>{issues}</ul>")
 
 
-__all__ = ["Calibrator", "FitConfig", "FittedModel", "OneVsRest", "apply_sigmoid", "build", "calibrate_isotonic", "calibrate_sigmoid", "estimator", "fit", "fit_calibrator", "importance",
+__all__ = ["Calibrator", "FitConfig", "FittedModel", "OneVsRest", "apply_sigmoid", "build", "calibrate_isotonic", "calibrate_sigmoid", "estimator", "explain", "fit", "fit_calibrator", "importance",
            "out_of_fold", "permutation_importance", "report", "stack", "vote"]

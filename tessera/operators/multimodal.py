@@ -12,15 +12,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..errors import ConfigError, DataError
-from ..functions import media
-from ..functions import text as T
+from ..functions import media, textcount
 from ..functions.columns import finite
 from . import profile, rank
 from .text import fit_lexical
 
 MODALITIES = ("text", "image", "audio", "video")
-EXTENSIONS = {"image": ("png", "jpg", "jpeg", "bmp", "gif", "tif", "tiff", "webp", "pgm", "ppm"), "audio": ("wav", "mp3", "flac", "ogg", "m4a", "aac"),
-              "video": ("mp4", "avi", "mov", "mkv", "webm"), "text": ("txt", "md", "html", "rst")}
+EXTENSIONS = {"image": ("png", "jpg", "jpeg", "bmp", "gif", "tif", "tiff", "webp", "pgm", "ppm"), "audio": ("wav", "mp3", "flac", "ogg", "m4a", "aac", "wma"),
+              "video": ("mp4", "avi", "mov", "mkv", "webm", "mpeg", "mpg", "m4v"), "text": ("txt", "md", "html", "rst")}
 SEEN, VOTE = 24, 0.7  # values that vote on a column's modality, and the share that decides
 #: How a budget is shared, and its bounds.
 WEIGHTS, LEAST, MOST, FLOOR = {"text": 0.40, "image": 0.24, "audio": 0.18, "video": 0.18}, 32, 16384, 16
@@ -113,14 +112,8 @@ def resolve_budget(asked: str | int | dict = "auto", speed: float = 0.5) -> Budg
 
 # ---- features
 
-def text_block(c: Column) -> dict[str, Column]:
-    """All handcrafted features of a text."""
-    blocks = [T.char_stats(c), T.ratios(c), T.scripts(c), T.patterns(c), T.diversity(c), T.shape(c)]
-    return {k: F.coalesce(v.cast("double"), F.lit(0.0)) for b in blocks for k, v in b.items()} | {"token_entropy": T.entropy(F.transform(T.words(c), F.lower)), "char_entropy": T.entropy(T.characters(c))}
-
-
 def text_names() -> list[str]:
-    return list(text_block(F.lit("")))
+    return list(textcount.NAMES)
 
 
 @dataclass
@@ -152,8 +145,7 @@ class TextExtractor:
     def transform(self, df: DataFrame, key: str, column: str, embed=None) -> DataFrame:
         """``df`` with an array column ``<column>__features``."""
         c = F.coalesce(F.col(f"`{column}`"), F.lit(""))
-        made = text_block(c)
-        out = df.withColumn("__a", F.array(*[made[k] for k in self.handcrafted]))
+        out = df.withColumn("__a", F.slice(textcount.handcrafted(F.col(f"`{column}`")), 1, len(self.handcrafted)))
         parts = ["__a"]
         if self.components is not None:
             out, parts = out.withColumn("__e", project(embed(c), self.centre, self.components)), [*parts, "__e"]

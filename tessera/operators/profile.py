@@ -2,13 +2,12 @@
 
 from __future__ import annotations
 
-from itertools import combinations
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..errors import DataError
 from ..functions.columns import finite, missing, nulled, numeric_columns, safe_corr, wide_then_long
+from . import correlate
 
 DATE_ROWS = 2000  # rows looked at to tell dates from other texts
 
@@ -21,7 +20,7 @@ def distinct_counts(df: DataFrame, columns: list[str] | None = None, exact: bool
     columns = columns or df.columns
     if not exact:
         return wide_then_long(df, columns, {"distinct_values": lambda c: F.approx_count_distinct(c)})
-    pairs = df.select(F.explode(F.array(*[F.struct(F.lit(c).alias("column_name"), F.col(c).cast("string").alias("value")) for c in columns])).alias("r")).select("r.*").distinct()
+    pairs = df.select(F.explode(F.array(*[F.struct(F.lit(c).alias("column_name"), F.col(f"`{c}`").cast("string").alias("value")) for c in columns])).alias("r")).select("r.*").distinct()
     return pairs.groupBy("column_name").agg(F.count("value").alias("distinct_values"))
 
 
@@ -32,16 +31,8 @@ def constant_columns(df: DataFrame) -> DataFrame:
 
 
 def duplicate_column_pairs(df: DataFrame, columns: list[str]) -> DataFrame:
-    """Pairs of columns whose values are equal in every row (nulls equal), in one pass."""
-    pairs = list(combinations(columns, 2))
-    row = df.agg(*[F.sum(F.when(F.col(a).cast("string").eqNullSafe(F.col(b).cast("string")), 0).otherwise(1)).alias(f"p{i}") for i, (a, b) in enumerate(pairs)])
-    return _pairs(row, pairs, {"different": lambda c: F.coalesce(c, F.lit(0))}).where("different = 0").drop("different")
-
-
-def _pairs(row: DataFrame, pairs: list[tuple[str, str]], fields: dict) -> DataFrame:
-    """One aggregate row with a column ``p<i>`` for each pair as one row a pair: first, second and the fields."""
-    each = [F.struct(F.lit(a).alias("first"), F.lit(b).alias("second"), *[make(F.col(f"p{i}")).alias(k) for k, make in fields.items()]) for i, (a, b) in enumerate(pairs)]
-    return row.select(F.explode(F.array(*each)).alias("r")).select("r.*")
+    """Pairs of columns whose values are equal in every row (nulls equal), by fingerprints."""
+    return df.sparkSession.createDataFrame(correlate.equal_columns(df, columns), "first string, second string")
 
 
 def duplicate_groups(df: DataFrame, columns: list[str]) -> list[list[str]]:
@@ -59,10 +50,8 @@ def duplicate_groups(df: DataFrame, columns: list[str]) -> list[list[str]]:
 
 
 def correlations(df: DataFrame, columns: list[str]) -> DataFrame:
-    """Pearson correlation of every pair of columns, in one pass."""
-    pairs = list(combinations(columns, 2))
-    row = df.agg(*[safe_corr(finite(a), finite(b)).alias(f"p{i}") for i, (a, b) in enumerate(pairs)])
-    return _pairs(row, pairs, {"corr": lambda c: c})
+    """Pearson correlation of every pair of columns, in one pass of matrix products."""
+    return correlate.correlations(df, columns)
 
 
 def high_correlations(df: DataFrame, columns: list[str], least: float = 0.95) -> DataFrame:
@@ -163,7 +152,7 @@ def text_like(df: DataFrame, columns: list[str]) -> DataFrame:
 def classify_columns(df: DataFrame, skip: tuple[str, ...] = ()) -> dict[str, str]:
     """The role of each column: id, text, numeric, datetime or categorical; long texts go before dates."""
     kinds = {c: k for c, k in df.dtypes if c not in skip}
-    some = df.select(*kinds)
+    some = df.select(*[F.col(f"`{c}`") for c in kinds])
     ids = {r["column_name"] for r in id_like(some).where("id_like").collect()}
     strings = [c for c, k in kinds.items() if k == "string"]
     texts = {r["column_name"] for r in text_like(df, strings).where("is_text").collect()} if strings else set()
@@ -176,9 +165,22 @@ def classify_columns(df: DataFrame, skip: tuple[str, ...] = ()) -> dict[str, str
             for c, k in kinds.items()}
 
 
+def _named(facts, names: dict[str, str]):
+    """``facts`` with the columns' own names."""
+    if isinstance(facts, dict):
+        return {names.get(k, k): _named(v, names) for k, v in facts.items()}
+    if isinstance(facts, list):
+        return [_named(v, names) for v in facts]
+    return names.get(facts, facts) if isinstance(facts, str) else facts
+
+
 def profile(df: DataFrame, target: str | list[str], group: str | None = None, task: str = "auto") -> dict:
     """The facts that later stages read, as plain data."""
     targets = [target] if isinstance(target, str) else list(target)
+    if any("." in c or "`" in c for c in df.columns):  # names that expressions would read as paths
+        names = {c: f"{c.replace('.', '_').replace('`', '_')}__{i}" for i, c in enumerate(df.columns) if "." in c or "`" in c}
+        facts = profile(df.toDF(*[names.get(c, c) for c in df.columns]), [names.get(t, t) for t in targets], names.get(group, group), task)
+        return _named(facts, {v: k for k, v in names.items()})
     df = nulled(df)
     features = [c for c in df.columns if c not in (*targets, group)]
     numeric = [c for c in numeric_columns(df) if c in features]

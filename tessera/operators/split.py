@@ -27,17 +27,19 @@ def split_group(df: DataFrame, group: str, test: float = 0.2, seed: int = 42) ->
     return split_random(df, group, test, seed)
 
 
-def smallest(df: DataFrame, strata: list[str], key: str, salt: str, quota: Column, name: str) -> DataFrame:
+def smallest(df: DataFrame, strata: list[str], key: str, salt: str, quota: Column, name: str, below: bool = False) -> DataFrame:
     """``df`` with the flag ``name``: the ``quota`` rows of each stratum with the smallest hashes, ties by key.
 
-    ``quota`` is an expression of ``n``, the rows of the stratum.
+    ``quota`` is an expression of ``n``, the rows of the stratum.  Rows of one
+    key stay together: those of the key at the quota's end are in, or with
+    ``below`` out if they go beyond it.
     """
     rows = df.withColumns({"__h": hash_unit(F.col(key), salt), **{f"__s{i}": F.col(c) for i, c in enumerate(strata)}})
     by = [f"__s{i}" for i in range(len(strata))]
     place = F.floor(F.col("__h") * RANGES)
     counts = rows.groupBy(*by, place.alias("__b")).agg(F.count("*").alias("c"))
     own = Window.partitionBy(*by)
-    upto = counts.withColumns({"n": F.sum("c").over(own), "upto": F.sum("c").over(own.orderBy("__b"))}).withColumn("q", quota)
+    upto = counts.withColumns({"n": F.sum("c").over(own), "upto": F.sum("c").over(own.orderBy("__b"))}).withColumn("q", quota + int(below))
     cuts = upto.where((F.col("upto") >= F.col("q")) & (F.col("upto") - F.col("c") < F.col("q"))).select(
         *[F.col(c).alias(f"{c}c") for c in by], F.col("__b").alias("__cut"), (F.col("q") - F.col("upto") + F.col("c")).alias("__need"))
     same = F.lit(True)
@@ -47,8 +49,8 @@ def smallest(df: DataFrame, strata: list[str], key: str, salt: str, quota: Colum
     order = Window.partitionBy(*by).orderBy("__h", "__k")  # one range of a stratum
     edge = near.withColumn("__r", F.row_number().over(order)).where("__r = __need").select(
         *[F.col(c).alias(f"{c}c") for c in by], F.col("__h").alias("__he"), F.col("__k").alias("__ke"))
-    inside = (F.col("__h") < F.col("__he")) | ((F.col("__h") == F.col("__he")) & (F.col(key) <= F.col("__ke")))
-    return rows.join(edge, same, "left").withColumn(name, F.coalesce(inside, F.lit(False))).select(*df.columns, name)
+    inside = (F.col("__h") < F.col("__he")) | ((F.col("__h") == F.col("__he")) & ((F.col(key) < F.col("__ke")) if below else (F.col(key) <= F.col("__ke"))))
+    return rows.join(edge, same, "left").withColumn(name, F.coalesce(inside, F.lit(below))).select(*df.columns, name)
 
 
 def split_stratified(df: DataFrame, key: str, target: str, test: float = 0.2, seed: int = 42) -> DataFrame:
@@ -77,9 +79,9 @@ def split_temporal(df: DataFrame, time: str, key: str, test: float = 0.2, seed:
     times = prefix_sums(df.groupBy(micros.alias("t")).agg(F.count("*").cast("double").alias("c")), "t", ["c"])
     last = times.where((F.col("c_before") < train) & (F.col("c_before") + F.col("c") >= train)).first()
     need = int(train - last["c_before"])
-    tied = smallest(df.where(micros == last["t"]).select(F.col(key).alias("__t")), [], "__t", f"{seed}:", F.lit(need), "__first").where("__first").select("__t")
-    out = df.join(tied.withColumn("__first", F.lit(True)), F.col(key) == F.col("__t"), "left")
-    return out.withColumn("is_test", (micros > last["t"]) | ((micros == last["t"]) & F.col("__first").isNull())).drop("__t", "__first")
+    # Rows of the cut's time are told apart by (hash, key), without a join by key; those of one key stay on one side.
+    return smallest(df.withColumn("__tied", micros == last["t"]), ["__tied"], key, f"{seed}:", F.when(F.col("__s0"), need).otherwise(0), "__first", below=True).withColumn(
+        "is_test", (micros > last["t"]) | ((micros == last["t"]) & ~F.col("__first"))).drop("__first", "__tied")
 
 
 def split(df: DataFrame, key: str, task: str, targets: list[str], strategy: str = "auto", time: str | None = None, group: str | None = None,

@@ -9,11 +9,12 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.ml import Pipeline
 from pyspark.ml.feature import HashingTF, IDF, Normalizer
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from ..functions.columns import hash_unit
+from ..functions.shared import total
+from ..functions.textcount import words_of
 
 ACCENTED = "àáâãäåçèéêëìíîïñòóôõöùúûüýÿÀÁÂÃÄÅÇÈÉÊËÌÍÎÏÑÒÓÔÕÖÙÚÛÜÝ"
 PLAIN = "aaaaaaceeeeiiiinooooouuuuyyaaaaaaceeeeiiiinooooouuuuy"
@@ -61,89 +62,186 @@ def hashed(df: DataFrame, key: str, text: str, features: int = 1024) -> DataFram
     return Pipeline(stages=stages).fit(rows).transform(rows).select(key, "features")
 
 
-def folded(c: Column) -> Column:
-    """Lower case without accents."""
-    return F.lower(F.translate(c, ACCENTED, PLAIN))
-
-
-def terms(c: Column) -> dict[str, Column]:
-    """Word 1- and 2-grams, and character 3- to 5-grams inside words with a space on each side."""
-    w = T.words(folded(c))
-    two = F.when(F.size(w) > 1, F.transform(F.sequence(F.lit(1), F.greatest(F.size(w) - 1, F.lit(1))), lambda i: F.concat_ws(" ", F.get(w, i - 1), F.get(w, i)))).otherwise(F.array().cast("array<string>"))
-    padded = F.transform(w, lambda x: F.concat(F.lit(" "), x, F.lit(" ")))
-    grams = lambda n: F.flatten(F.transform(padded, lambda x: F.when(F.length(x) >= n, F.transform(F.sequence(F.lit(1), F.greatest(F.length(x) - (n - 1), F.lit(1))), lambda i: F.substring(x, i, F.lit(n))))
-                                            .otherwise(F.array().cast("array<string>"))))
-    return {"words": F.concat(w, two), "chars": F.concat(*[grams(n) for n in (3, 4, 5)])}
+_FOLD = str.maketrans(ACCENTED, PLAIN)
+GRAMS = (3, 4, 5)  # characters of the grams inside a word, which has a space on each side
+KINDS = (("words", 0.6, 1), ("chars", 0.4, 2))  # share of the vocabulary, and texts that a term is in at least
+
+
+def _terms(texts: list[str | None]) -> dict[str, tuple[list[str], np.ndarray, np.ndarray, np.ndarray]]:
+    """Of each kind the different terms, and of each (text, term) that occurs the text, the term and how often: word 1- and 2-grams, and character grams inside words."""
+    words, code, doc = words_of(pa.array([(t or "").translate(_FOLD) for t in texts], pa.large_string()))
+    names = words.to_pylist()
+
+    def counted(doc: np.ndarray, term: np.ndarray, times: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        many = max(1, int(term.max(initial=0)) + 1)
+        keys, at = np.unique(doc * many + term, return_inverse=True)
+        return keys // many, keys % many, np.bincount(at, weights=times, minlength=len(keys)).astype(np.int64) if len(keys) else np.zeros(0, np.int64)
+
+    one = counted(doc, code)
+    follows = np.flatnonzero(doc[1:] == doc[:-1])
+    pair, at = np.unique(code[follows] * max(1, len(names)) + code[follows + 1], return_inverse=True)
+    two = counted(doc[follows], at)
+    size = max(1, len(names))
+    both = [*names, *(f"{names[p // size]} {names[p % size]}" for p in pair.tolist())]
+    out = {"words": (both, *(np.concatenate(x) for x in ((one[0], two[0]), (one[1], two[1] + len(names)), (one[2], two[2]))))}
+    number: dict[str, int] = {}
+    grams, sizes = [], []
+    for w in names:  # each different word once
+        p = f" {w} "
+        own = [number.setdefault(p[i: i + g], len(number)) for g in GRAMS for i in range(len(p) - g + 1)]
+        grams += own
+        sizes.append(len(own))
+    sizes, grams = np.array(sizes, np.int64), np.array(grams, np.int64)
+    start = np.cumsum(sizes) - sizes
+    many = sizes[one[1]]
+    at = np.repeat(start[one[1]] - (np.cumsum(many) - many), many) + np.arange(int(many.sum()))
+    out["chars"] = (list(number), *counted(np.repeat(one[0], many), grams[at], np.repeat(one[2], many)))
+    return out
+
+
+def _parts(texts: list[str | None], most: int = 2_000_000):
+    at, size = 0, 0
+    for i, t in enumerate(texts):
+        if i > at and size + len(t or "") > most:
+            yield texts[at:i]
+            at, size = i, 0
+        size += len(t or "")
+    if at < len(texts):
+        yield texts[at:]
 
 
 @dataclass
 class Lexical:
     """Vocabularies, weights and factors of a corpus, to replay on other texts."""
 
-    stages: dict
-    dims: int
+    terms: dict[str, list[str]]
+    idf: dict[str, list[float]]
     factors: np.ndarray
+    values: list[float]  # the singular values
+
+    @property
+    def width(self) -> int:
+        return sum(len(t) for t in self.terms.values())
+
+    def vectors(self, texts: list[str | None]) -> np.ndarray:
+        """The unit-length TF-IDF vectors [texts, vocabulary]."""
+        out, done = np.zeros((len(texts), self.width)), 0
+        for part in _parts(texts):
+            found, column = _terms(part), 0
+            for kind, _, _ in KINDS:
+                place = {t: i for i, t in enumerate(self.terms[kind])}
+                names, doc, term, times = found[kind]
+                at = np.array([place.get(t, -1) for t in names], np.int64)[term] if len(names) else np.zeros(0, np.int64)
+                some = at >= 0
+                np.add.at(out, (doc[some] + done, at[some] + column), times[some] * np.array(self.idf[kind])[at[some]] if some.any() else 0.0)
+                column += len(place)
+            done += len(part)
+        size = np.sqrt((out * out).sum(1, keepdims=True))
+        return out / np.where(size > 0, size, 1.0)
 
     def transform(self, df: DataFrame, text: str, out: str) -> DataFrame:
         """``df`` with the array column ``out``: the factors' products with each text's unit-length TF-IDF vector."""
-        from pyspark.ml.feature import VectorAssembler
-        from pyspark.ml.functions import vector_to_array
-
-        rows = df.withColumns({f"__{k}": v for k, v in terms(F.coalesce(F.col(f"`{text}`"), F.lit(""))).items()})
-        for k, model in self.stages.items():
-            rows = model.transform(rows)
-        rows = Normalizer(inputCol="__all", outputCol="__unit").transform(VectorAssembler(inputCols=[f"__idf_{k}" for k in self.stages], outputCol="__all").transform(rows))
-        shared = df.sparkSession.sparkContext.broadcast(self.factors.astype(np.float32))  # the vocabulary's size times dims
+        shared = df.sparkSession.sparkContext.broadcast(self)  # the vocabulary's size times dims
 
         @F.pandas_udf("array<double>")
         def factors(x: pd.Series) -> pd.Series:
-            return pd.Series((np.stack(x.to_list()) @ shared.value).tolist() if len(x) else [])
+            own = shared.value
+            return pd.Series((own.vectors([t if isinstance(t, str) else None for t in x]) @ own.factors).tolist(), dtype=object)
 
-        made = rows.withColumn("__dense", vector_to_array("__unit")).withColumn(out, factors("__dense"))
-        return made.drop(*[c for c in made.columns if c.startswith("__") and c not in df.columns and c != out])
+        return df.withColumn(out, factors(F.col(f"`{text}`").cast("string")))
 
 
-def fit_lexical(df: DataFrame, key: str, text: str, dims: int = 64, rows: int = 20_000, seed: int = 42) -> Lexical:
-    """Vocabularies of words and character grams (60 to 40 of ``dims * 6``, 64 at least), TF-IDF, and truncated factors of at most ``rows`` texts chosen by the key's hash."""
-    from pyspark.ml.feature import CountVectorizer, VectorAssembler
+def vocabulary(df: DataFrame, text: str, size: int) -> tuple[dict[str, list[str]], dict[str, list[float]]]:
+    """The commonest terms of all texts, by kind, and their inverse document frequencies: ties by term."""
 
-    n = df.count()
-    some = df if n <= rows else df.where(hash_unit(F.col(key), f"{seed}:text:") < rows / n)
-    part = some.select(*[v.alias(f"__{k}") for k, v in terms(F.coalesce(F.col(f"`{text}`"), F.lit(""))).items()]).persist()
-    size = max(64, dims * 6)
-    stages, out = {}, part
-    for k, share, least in (("words", 0.6, 1.0), ("chars", 0.4, 2.0)):
-        model = Pipeline(stages=[CountVectorizer(inputCol=f"__{k}", outputCol=f"__tf_{k}", vocabSize=max(1, int(size * share)), minDF=least, maxDF=0.995 if n > 10 else 1.0),
-                                 IDF(inputCol=f"__tf_{k}", outputCol=f"__idf_{k}")]).fit(part)
-        stages[k], out = model, model.transform(out)
-    unit = Normalizer(inputCol="__all", outputCol="__unit").transform(VectorAssembler(inputCols=[f"__idf_{k}" for k in stages], outputCol="__all").transform(out))
-    v = _right_factors(unit, "__unit", dims)
-    part.unpersist()
-    return Lexical(stages, v.shape[1], v)
-
-
-def _right_factors(df: DataFrame, column: str, dims: int) -> np.ndarray:
-    """The leading right factors [width, dims] of the rows' matrix (uncentred): eigenvectors of the summed products, which are gathered once."""
-    from pyspark.ml.functions import vector_to_array
+    def run(batches):
+        for b in batches:
+            for part in _parts(b.column(0).to_pylist()):
+                for kind, (names, _, term, times) in _terms(part).items():
+                    tf, docs = np.bincount(term, weights=times, minlength=len(names)).astype(np.int64), np.bincount(term, minlength=len(names))
+                    yield pa.RecordBatch.from_arrays([pa.array([kind] * len(names), pa.string()), pa.array(names, pa.string()), pa.array(tf), pa.array(docs)], names=["kind", "term", "tf", "docs"])
 
-    rows = df.select(vector_to_array(column, "float64").alias("x"))
+    n = df.count()
+    counts = (df.select(F.col(f"`{text}`").cast("string").alias("text")).mapInArrow(run, "kind string, term string, tf long, docs long")
+              .groupBy("kind", "term").agg(F.sum("tf").alias("tf"), F.sum("docs").alias("docs")).persist())
+    terms, idf = {}, {}
+    for kind, share, least in KINDS:
+        best = (counts.where((F.col("kind") == kind) & (F.col("docs") >= least) & (F.col("docs") <= (0.995 * n if n > 10 else n)))
+                .orderBy(F.desc("tf"), "term").limit(max(1, int(size * share))).collect())
+        terms[kind] = [r["term"] for r in best]
+        idf[kind] = [float(np.log((n + 1) / (r["docs"] + 1))) for r in best]
+    counts.unpersist()
+    return terms, idf
+
+
+def fit_lexical(df: DataFrame, key: str, text: str, dims: int = 64, seed: int = 42) -> Lexical:
+    """Vocabularies of words and character grams (60 to 40 of ``dims * 6``, 64 at least), TF-IDF, and the leading factors of all texts."""
+    terms, idf = vocabulary(df, text, max(64, dims * 6))
+    made = Lexical(terms, idf, np.zeros((0, 0)), [])
 
     def run(batches):
-        total = None
         for b in batches:
-            if b.num_rows:
-                x = np.asarray(b.column(0).flatten()).reshape(b.num_rows, -1)
-                total = x.T @ x if total is None else total + x.T @ x
-        if total is not None:
-            yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()], pa.binary())], names=["total"])
-
-    parts = rows.mapInArrow(run, "total binary").collect()
-    flat = sum(np.frombuffer(r["total"]) for r in parts)
-    width = int(round(len(flat) ** 0.5))
-    values, v = np.linalg.eigh(flat.reshape(width, width))
-    order = np.argsort(values)[::-1][: min(dims, width)]
-    v = v[:, order]
-    return v * np.where(v[np.abs(v).argmax(0), np.arange(v.shape[1])] < 0, -1.0, 1.0)
+            texts = b.column(0).to_pylist()
+            for at in range(0, len(texts), 1000):
+                x = made.vectors(texts[at: at + 1000]).astype(np.float32)
+                yield pa.RecordBatch.from_arrays([pa.array([x.tobytes()], pa.binary())], names=["x"])
+
+    rows = df.select(F.col(f"`{text}`").cast("string").alias("text")).mapInArrow(run, "x binary").persist()
+    made.factors, values = right_factors(rows, made.width, dims, seed)
+    made.values = values.tolist()
+    rows.unpersist()
+    return made
+
+
+OVER, POWERS = 10, 3  # directions beyond those asked for, and passes that sharpen them
+
+
+def right_factors(rows: DataFrame, width: int, dims: int, seed: int = 42) -> tuple[np.ndarray, np.ndarray]:
+    """The leading right factors [width, dims] and singular values of a tall matrix (uncentred), by a randomised range finder.
+
+    ``rows`` has blobs ``x`` of float32 rows.  A pass multiplies some random
+    directions by x'x, without forming it; after ``POWERS`` passes a tall-skinny
+    QR over the partitions leaves a small triangle, whose decomposition gives the
+    factors.  The driver holds ``width`` times ``dims + OVER`` numbers.
+    """
+    k = min(width, dims + OVER)
+
+    def summed(directions: np.ndarray):
+        def partial(batches):
+            out = None
+            for b in batches:
+                for blob in b.column(0):
+                    x = np.frombuffer(blob.as_buffer(), np.float32).reshape(-1, width).astype(float)
+                    part = x.T @ (x @ directions)
+                    out = part if out is None else out + part
+            return out
+
+        return partial
+
+    def triangle(directions: np.ndarray):
+        def partial(batches):
+            out = None
+            for b in batches:
+                for blob in b.column(0):
+                    x = np.frombuffer(blob.as_buffer(), np.float32).reshape(-1, width).astype(float) @ directions
+                    out = np.linalg.qr(x if out is None else np.concatenate((out, x)), "r")
+            return out
+
+        return partial
+
+    q = np.linalg.qr(np.random.default_rng(seed).normal(size=(width, k)))[0]
+    for _ in range(POWERS if k < width else 0):
+        z = total(rows, summed(q))
+        if z is None:
+            break
+        q = np.linalg.qr(z)[0]
+    r = total(rows, triangle(q), lambda parts: np.linalg.qr(np.concatenate(parts), "r"))
+    if r is None:
+        return np.zeros((width, min(dims, width))), np.zeros(min(dims, width))
+    _, values, w = np.linalg.svd(r, full_matrices=True)
+    v = (q @ w.T)[:, : min(dims, width)]
+    values = np.concatenate((values, np.zeros(width)))[: v.shape[1]]
+    return v * np.where(v[np.abs(v).argmax(0), np.arange(v.shape[1])] < 0, -1.0, 1.0), values
 
 
 def latent(df: DataFrame, key: str, text: str, dims: int = 8, features: int = 256) -> DataFrame:
@@ -151,6 +249,17 @@ def latent(df: DataFrame, key: str, text: str, dims: int = 8, features: int = 25
     from pyspark.ml.functions import vector_to_array
 
     rows = hashed(df, key, text, features)
-    v = _right_factors(rows, "features", dims)
-    x = vector_to_array("features")
-    return rows.select(key, F.array(*[F.aggregate(F.zip_with(x, F.array(*[F.lit(float(a)) for a in v[:, k]]), lambda p, q: p * q), F.lit(0.0), lambda s, p: s + p) for k in range(v.shape[1])]).alias("lsa"))
+
+    def run(batches):
+        for b in batches:
+            if b.num_rows:
+                x = np.asarray(b.column(0).flatten()).astype(np.float32)
+                yield pa.RecordBatch.from_arrays([pa.array([x.tobytes()], pa.binary())], names=["x"])
+
+    v, _ = right_factors(rows.select(vector_to_array("features").alias("x")).mapInArrow(run, "x binary"), features, dims)
+
+    @F.pandas_udf("array<double>")
+    def factors(x: pd.Series) -> pd.Series:
+        return pd.Series((np.stack(x.to_list()) @ v).tolist() if len(x) else [], dtype=object)
+
+    return rows.select(key, factors(vector_to_array("features")).alias("lsa"))

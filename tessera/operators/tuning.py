@@ -41,14 +41,67 @@ def default_params(family: str) -> dict:
     return {"gbt": {"depth": 5, "step": 0.1, "min_rows": 20, "subsample": 1.0}, "forest": {"depth": 8, "min_rows": 5, "subsample": 1.0}, "linear": {"ridge": 0.01, "elastic": 0.0}}[family]
 
 
+#: The search space of each family: how a value is scaled, and its bounds.
+SPACE = {"gbt": {"depth": ("whole", 3, 8), "step": ("log", 0.02, 0.18), "min_rows": ("whole", 10, 100), "subsample": ("plain", 0.7, 1.0)},
+         "forest": {"depth": ("whole", 4, 10), "min_rows": ("whole", 2, 30), "subsample": ("plain", 0.7, 1.0)},
+         "linear": {"ridge": ("log", 1e-6, 8.0), "elastic": ("plain", 0.0, 1.0)}}
+FIRST, GOOD, TRIED = 5, 0.25, 24  # random trials before densities are told apart; share of trials that count as good; points drawn for each trial
+
+
+def _value(u: float, kind: str, low: float, high: float):
+    if kind == "log":
+        return math.exp(math.log(low) + u * (math.log(high) - math.log(low)))
+    return min(high, int(low + u * (high - low + 1))) if kind == "whole" else low + u * (high - low)
+
+
+def _unit(v: float, kind: str, low: float, high: float) -> float:
+    if kind == "log":
+        return (math.log(v) - math.log(low)) / (math.log(high) - math.log(low))
+    return (v - low + 0.5) / (high - low + 1) if kind == "whole" else (v - low) / (high - low)
+
+
 def draw_params(family: str, rng: random.Random) -> dict:
     """One point of the family's search space; scales that span magnitudes are drawn by their logarithm."""
-    log = lambda a, b: math.exp(rng.uniform(math.log(a), math.log(b)))
-    if family == "gbt":
-        return {"depth": rng.randint(3, 8), "step": log(0.02, 0.18), "min_rows": rng.randint(10, 100), "subsample": rng.uniform(0.7, 1.0)}
-    if family == "forest":
-        return {"depth": rng.randint(4, 10), "min_rows": rng.randint(2, 30), "subsample": rng.uniform(0.7, 1.0)}
-    return {"ridge": log(1e-6, 8.0), "elastic": rng.uniform(0.0, 1.0)}
+    return {name: _value(rng.random(), *how) for name, how in SPACE[family].items()}
+
+
+def _kernels(points: list[float]) -> list[tuple[float, float]]:
+    """A normal around each point, as wide as the gap to its neighbours, and a wide one that keeps every value possible."""
+    points = sorted(points)
+    least = 1 / min(100, 1 + len(points))
+    ends = [0.0, *points, 1.0]
+    return [(x, min(1.0, max(least, x - ends[i], ends[i + 2] - x))) for i, x in enumerate(points)] + [(0.5, 1.0)]
+
+
+def _density(u: float, kernels: list[tuple[float, float]]) -> float:
+    """The mean of the kernels, each cut to [0, 1]."""
+    upto = lambda x: 0.5 * (1 + math.erf(x / math.sqrt(2)))
+    return sum(math.exp(-0.5 * ((u - m) / s) ** 2) / (s * (upto((1 - m) / s) - upto(-m / s))) for m, s in kernels) / len(kernels)
+
+
+def propose(family: str, done: list[tuple[dict, float]], rng: random.Random) -> dict:
+    """The next point by a tree-structured Parzen estimator: of ``TRIED`` points drawn from the density of the good trials, that which is likeliest there and unlikeliest among the others.
+
+    ``done`` are finished trials with their losses, less is better.
+    """
+    if len(done) < FIRST:
+        return draw_params(family, rng)
+    order = sorted(done, key=lambda t: t[1])
+    cut = max(1, math.ceil(GOOD * len(order)))
+    out = {}
+    for name, how in SPACE[family].items():
+        good, rest = (_kernels([_unit(p[name], *how) for p, _ in part if name in p]) for part in (order[:cut], order[cut:]))
+        best = None
+        for _ in range(TRIED):
+            m, s = rng.choice(good)
+            u = rng.gauss(m, s)
+            while not 0 <= u <= 1:
+                u = rng.gauss(m, s)
+            told = math.log(_density(u, good)) - math.log(_density(u, rest))
+            if best is None or told > best[0]:
+                best = told, u
+        out[name] = _value(min(best[1], 1 - 1e-12), *how)
+    return out
 
 
 def n_trials(rows: int, features: int, cores: int, asked: int | str = "auto") -> int:
@@ -141,10 +194,11 @@ class SearchResult:
     trials: list = field(default_factory=list)
 
 
-def search(family: str, evaluate: Callable[[dict, int], float], folds: int, trials: int, better: bool, seed: int = 42, deadline: Deadline | None = None) -> SearchResult:
-    """Random search that knows its baseline: ``evaluate(params, fold)`` gives a score, of which more is ``better`` or less.
+def search(family: str, evaluate: Callable[[dict, int], float], folds: int, trials: int, better: bool, seed: int = 42, deadline: Deadline | None = None, how: str = "density") -> SearchResult:
+    """Search that knows its baseline: ``evaluate(params, fold)`` gives a score, of which more is ``better`` or less.
 
-    The defaults go first.  A trial ends early when its mean so far is worse than
+    The defaults go first; then points by densities of good and other trials
+    (``propose``), or with ``how`` "random" plain draws.  A trial ends early when its mean so far is worse than
     the median of the others after as many folds.  Tuned parameters are kept only
     if they gain ``LEAST_GAIN`` of the baseline.
     """
@@ -158,7 +212,8 @@ def search(family: str, evaluate: Callable[[dict, int], float], folds: int, tria
     for _ in range(trials):
         if deadline.over():
             break
-        params, scores = draw_params(family, rng), []
+        seen = [(t["params"], -sign * mean(t["scores"])) for t in out]
+        params, scores = propose(family, seen, rng) if how == "density" else draw_params(family, rng), []
         for k in range(folds):
             scores.append(evaluate(params, k))
             others = sorted(sign * mean(x[: k + 1]) for x in done)

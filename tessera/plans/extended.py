@@ -2,13 +2,12 @@
 
 from __future__ import annotations
 
-import random
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions import media
+from ..functions import media, textcount
 from ..functions import text as T
+from ..functions.shared import fresh_path
 from ..operators import clean, decide, ensemble, learn, metrics, multimodal, quality, rank, split
 from ..sources import tables
 from .registry import HOLES, NUM, ORACLES, QUERIES, SCORED, _key, _round, _t, _text, _unit, cte, query
@@ -92,7 +91,17 @@ SELECT l_orderkey, l_linenumber, {', '.join(f'round(({c}_c - {c}_2) / CASE WHEN
 FROM c, s WHERE is_test"""
 
 _PART = ["p_partkey", "CASE WHEN p_partkey % 9 = 0 THEN NULL ELSE CAST(p_size AS DOUBLE) END AS size", "CASE WHEN p_partkey % 13 = 0 THEN NULL ELSE p_retailprice END AS price", "CAST(p_partkey % 17 AS DOUBLE) AS w"]
-query("impute_knn", "part", exprs=_PART)(lambda df: clean.knn_impute(df, clean.knn_reference(df, ["size", "price", "w"], "p_partkey")))
+_masked = " + ".join(f"coalesce((q.{c} - r.{c}) * (q.{c} - r.{c}), 0)" for c in ("size", "price", "w"))
+_shared = " + ".join(f"(q.{c} IS NOT NULL AND r.{c} IS NOT NULL)::INT" for c in ("size", "price", "w"))
+_filled = lambda c: f"""  -- noqa: E731
+r_{c} AS (SELECT id, d, v, row_number() OVER (PARTITION BY id ORDER BY d, other) AS place FROM (SELECT q.p_partkey AS id, r.p_partkey AS other, r.{c} AS v, ({_masked}) / ({_shared}) * 3 AS d
+  FROM p q JOIN p r ON q.{c} IS NULL AND r.{c} IS NOT NULL)),
+f_{c} AS (SELECT id, CASE WHEN min(d) = 0 THEN avg(v) FILTER (WHERE d = 0) ELSE sum(v / sqrt(d)) / sum(1 / sqrt(d)) END AS v FROM r_{c}
+  WHERE place <= (SELECT least(8, greatest(2, floor(sqrt(count(*))))) FROM p) GROUP BY id)""".replace("  -- noqa: E731", "")
+query("impute_knn", "part", f"""
+WITH p AS (SELECT p_partkey, CASE WHEN p_partkey % 9 = 0 THEN NULL ELSE p_size::DOUBLE END AS size, CASE WHEN p_partkey % 13 = 0 THEN NULL ELSE p_retailprice END AS price, (p_partkey % 17)::DOUBLE AS w FROM part),
+{_filled('size')}, {_filled('price')}
+SELECT p_partkey, round(coalesce(size, f_size.v), 6) AS size, round(coalesce(price, f_price.v), 6) AS price, w FROM p LEFT JOIN f_size ON f_size.id = p_partkey LEFT JOIN f_price ON f_price.id = p_partkey""", _PART)(lambda df: clean.knn_impute(df, clean.knn_reference(df, ["size", "price", "w"], "p_partkey")))
 query("impute_iterative", "part", exprs=_PART)(lambda df: clean.iterative_impute(df, clean.iterative_state(df, ["size", "price", "w"])))
 query("label_encode", "orders", """
 SELECT o_orderkey, (dense_rank() OVER (ORDER BY o_orderstatus) - 1)::INT AS code, o_orderstatus AS back FROM orders""")(
@@ -115,6 +124,11 @@ WITH c AS (SELECT doc_id, unnest(string_split(text, '')) AS c FROM documents WHE
 e AS (SELECT doc_id, log2(sum(n)) - sum(n * log2(n)) / sum(n) AS e FROM n GROUP BY 1)
 SELECT d.doc_id, round(coalesce(e, 0.0), 6) + 0.0 AS char_entropy FROM documents d LEFT JOIN e ON e.doc_id = d.doc_id""")(
     lambda df: df.select("doc_id", (F.round(T.entropy(T.characters(F.col("text"))), 6) + 0.0).alias("char_entropy")))
+_blocks = ("text_char_stats", "text_ratios", "text_scripts", "text_patterns", "text_lexical_diversity", "text_shape", "text_entropy", "text_char_entropy")
+query("text_handcrafted", "documents", "SELECT * FROM " + " JOIN ".join(f"({ORACLES[b]}) AS {b}" + (" USING (doc_id)" if b != _blocks[0] else "") for b in _blocks))(
+    lambda df: df.withColumn("f", textcount.handcrafted(F.col("text"))).select("doc_id", *[
+        (F.get("f", F.lit(i)).cast("int" if n == "empty" else "long") if n in _whole else F.get("f", F.lit(i))).alias(n) for i, n in enumerate(textcount.NAMES) if n != "repeats"]))
+_whole = {"chars", "words", "sentences", "lines", "questions", "exclamations", "urls", "emails", "symbols", "word_max", "empty"}
 query("text_features", "documents")(lambda df: multimodal.TextExtractor(80).fit(df, "doc_id", "text").transform(df, "doc_id", "text").select("doc_id", "text__features"))
 
 # ---- ranking of features
@@ -204,13 +218,25 @@ SELECT round(sqrt(greatest(0, sum(a * ln(2 * a / (a + b)) + b * ln(2 * b / (a +
 # ---- ensembles of given predictions
 _members = [*SCORED, "CAST((l_orderkey * 13 + l_linenumber) % 1000 AS DOUBLE) / 1000 AS q"]
 _draws = ensemble.weight_candidates(2)
+_voted = lambda p: f"""  -- noqa: E731
+g AS (SELECT i, any_value(w) AS w, sum(({p} >= 0.5 AND y = 1)::INT)::DOUBLE AS tp, sum(({p} >= 0.5 AND y = 0)::INT)::DOUBLE AS fp,
+        sum(({p} < 0.5 AND y = 1)::INT)::DOUBLE AS fn, sum(({p} < 0.5 AND y = 0)::INT)::DOUBLE AS tn FROM s, w GROUP BY i)""".replace("  -- noqa: E731", "")
 query("voting_weight_draws", "lineitem", f"""
-WITH s AS (SELECT {', '.join(_members)} FROM lineitem), w AS (SELECT unnest([{', '.join(repr(w[0]) for w in _draws)}]) AS w),
-g AS (SELECT w, sum(((w * p + (1 - w) * q >= 0.5) AND y = 1)::INT)::DOUBLE AS tp, sum(((w * p + (1 - w) * q >= 0.5) AND y = 0)::INT)::DOUBLE AS fp,
-        sum(((w * p + (1 - w) * q < 0.5) AND y = 1)::INT)::DOUBLE AS fn, sum(((w * p + (1 - w) * q < 0.5) AND y = 0)::INT)::DOUBLE AS tn FROM s, w GROUP BY 1)
-SELECT round((tp * tn - fp * fn) / sqrt((tp + fp) * (tp + fn) * (tn + fp) * (tn + fn)), 3) > (SELECT round((tp * tn - fp * fn) / sqrt((tp + fp) * (tp + fn) * (tn + fp) * (tn + fn)), 3) FROM g WHERE w = 0.5) - 0.02 AS good
-FROM g ORDER BY (tp * tn - fp * fn) / sqrt((tp + fp) * (tp + fn) * (tn + fp) * (tn + fn)) DESC LIMIT 1""", _members)(
-    lambda df: df.sparkSession.createDataFrame([(ensemble.voting_weights(df.withColumnRenamed("y", "label"), ["p", "q"], "binary")[1][0] > -1.0,)], "good boolean"))
+WITH s AS (SELECT {', '.join(_members)} FROM lineitem), w AS (SELECT unnest([{', '.join(f"{{'i': {i}, 'w': {w[0]!r}, 'v': {w[1]!r}}}" for i, w in enumerate(_draws))}], recursive := true)),
+{_voted('w * p + v * q')}
+SELECT i::INT AS draw, round(w::DOUBLE, 6) AS weight, round(CASE WHEN (tp + fp) * (tp + fn) * (tn + fp) * (tn + fn) = 0 THEN 0 ELSE (tp * tn - fp * fn) / sqrt((tp + fp) * (tp + fn) * (tn + fp) * (tn + fn)) END, 6) AS mcc,
+  round(CASE WHEN tp = 0 THEN 0 ELSE 2 * tp / (2 * tp + fp + fn) END, 6) AS f1, round(tp / (tp + fn), 6) AS recall FROM g""", _members)(
+    lambda df: df.sparkSession.createDataFrame([(i, w[0], *v[:3]) for i, (w, v) in enumerate(zip(_draws, ensemble.weight_vectors(df.withColumnRenamed("y", "label"), ["p", "q"], "binary", _draws), strict=True))],
+                                               "draw int, weight double, mcc double, f1 double, recall double"))
+_second = "array(1.0D - 3 * CAST((l_orderkey * 11) % 50 + 1 AS DOUBLE) / 200, CAST((l_orderkey * 11) % 50 + 1 AS DOUBLE) / 200, CAST((l_orderkey * 11) % 50 + 1 AS DOUBLE) / 100) AS q"
+query("ensemble_multiclass", "lineitem", f"""
+WITH s AS (SELECT (l_linenumber % 3)::INT AS y, ((l_orderkey * 7) % 50 + 1)::DOUBLE AS u, ((l_orderkey * 11) % 50 + 1)::DOUBLE AS t FROM lineitem),
+a AS (SELECT y, u / 100 AS p0, u / 200 AS p1, 1.0::DOUBLE - 3 * u / 200 AS p2, 1.0::DOUBLE - 3 * t / 200 AS q0, t / 200 AS q1, t / 100 AS q2 FROM s),
+w AS (SELECT unnest([{', '.join(f"{{'i': {i}, 'w': {w[0]!r}, 'v': {w[1]!r}}}" for i, w in enumerate(_draws))}], recursive := true)),
+b AS (SELECT i, w, y, [p0 * w + q0 * v, p1 * w + q1 * v, p2 * w + q2 * v] AS p FROM a, w)
+SELECT i::INT AS draw, round(any_value(w)::DOUBLE, 6) AS weight, round(avg((list_position(p, list_max(p)) - 1 = y)::INT), 6) AS accuracy, round(avg(-ln(greatest(1e-15, p[y + 1]))), 6) AS log_loss FROM b GROUP BY i""", [*_three, _second])(
+    lambda df: df.sparkSession.createDataFrame([(i, w[0], v[0], -v[1]) for i, (w, v) in enumerate(zip(_draws, ensemble.weight_vectors(df.withColumnRenamed("y", "label"), ["p", "q"], "multiclass", _draws), strict=True))],
+                                               "draw int, weight double, accuracy double, log_loss double"))
 query("selection_vector", "lineitem", f"""
 WITH s AS (SELECT {', '.join(_members)} FROM lineitem), m AS (SELECT 'p' AS member, y, p AS v FROM s UNION ALL SELECT 'q', y, q FROM s),
 g AS (SELECT member, sum((v >= 0.5 AND y = 1)::INT)::DOUBLE AS tp, sum((v >= 0.5 AND y = 0)::INT)::DOUBLE AS fp, sum((v < 0.5 AND y = 1)::INT)::DOUBLE AS fn, sum((v < 0.5 AND y = 0)::INT)::DOUBLE AS tn FROM m GROUP BY 1)
@@ -218,24 +244,27 @@ SELECT member, round((tp * tn - fp * fn) / sqrt((tp + fp) * (tp + fn) * (tn + fp
     lambda df: _round(df.sparkSession.createDataFrame([(c, *v[:3]) for c, v in zip("pq", ensemble.vectors(df.withColumnRenamed("y", "label"), ["p", "q"], "binary"), strict=True)], "member string, mcc double, f1 double, recall double")))
 
 # ---- sources: written, and read back
-_TEMP = {"csv": (lambda df, p: df.write.csv(p, header=True)), "json": (lambda df, p: df.write.json(p))}
+_WRITE = {"csv": ("csv", lambda df, p: df.write.csv(p, header=True)), "json": ("jsonl", lambda df, p: df.write.json(p)), "tsv": ("tsv", lambda df, p: df.write.csv(p, header=True, sep="\t")),
+          "parquet": ("parquet", lambda df, p: df.write.parquet(p))}
 
 
 def _roundtrip(kind: str, table: str, columns: str):
     def run(spark: SparkSession, d: str) -> DataFrame:
-        import tempfile
-
-        conf = spark.sparkContext.getConf().get("spark.checkpoint.dir") or "file://" + tempfile.gettempdir()
-        path = f"{conf.rstrip('/')}/roundtrip-{random.SystemRandom().getrandbits(64):x}.{ {'csv': 'csv', 'json': 'jsonl'}[kind]}"
-        _TEMP[kind](_t(spark, d, table).selectExpr(*columns.split(", ")), path)
+        suffix, write = _WRITE[kind]
+        path = f"{fresh_path(spark, 'roundtrip')}.{suffix}"
+        write(_t(spark, d, table).selectExpr(*columns.split(", ")), path)
         return tables.load_table(spark, path).selectExpr(*columns.split(", "))
 
     return run
 
 
-for _kind, _table, _columns in (("csv", "region", "CAST(r_regionkey AS BIGINT) AS r_regionkey, r_name"), ("json", "nation", "CAST(n_nationkey AS BIGINT) AS n_nationkey, n_name")):
-    QUERIES[f"read_{_kind}_roundtrip"] = _roundtrip(_kind, _table, _columns)
-    ORACLES[f"read_{_kind}_roundtrip"] = f"SELECT {_columns} FROM {_table}"
+_customer = "CAST(c_custkey AS BIGINT) AS c_custkey, c_name, CAST(c_acctbal AS DOUBLE) AS c_acctbal, c_mktsegment"
+for _name, _kind, _table, _columns in (
+        ("read_csv_roundtrip", "csv", "region", "CAST(r_regionkey AS BIGINT) AS r_regionkey, r_name"), ("read_json_roundtrip", "json", "nation", "CAST(n_nationkey AS BIGINT) AS n_nationkey, n_name"),
+        ("read_csv_customers", "csv", "customer", _customer), ("read_tsv_customers", "tsv", "customer", _customer), ("read_json_customers", "json", "customer", _customer), ("read_parquet_customers", "parquet", "customer", _customer)):
+    QUERIES[_name] = _roundtrip(_kind, _table, _columns)
+    ORACLES[_name] = f"SELECT {_columns} FROM {_table}"
+
 
 # ---- learners: no SQL
 _train = ["l_orderkey * 10 + l_linenumber AS id", *NUM, "l_linestatus", "CASE WHEN l_quantity + l_discount * 100 > 30 THEN 'yes' ELSE 'no' END AS label", "l_returnflag"]
@@ -247,9 +276,21 @@ def _fit(name, exprs, **config):
 
 _fit("fit_binary", _train[:-1], target="label", calibration="auto")
 _fit("fit_multiclass", [*_train[:-2], "l_returnflag"], target="l_returnflag", calibration="sigmoid")
+_fit("fit_categories", [*_train, "concat('m', month(l_shipdate)) AS month", "concat('s', CAST(l_suppkey % 40 AS STRING)) AS supplier"], target="label", calibration="none", conformal=False, optimize_threshold=False)
 _fit("fit_regression", _train[:-2], target="l_extendedprice", task="regression")
 _fit("fit_ranking", [*_train[:-2], "l_orderkey AS grp"], target="l_quantity", task="ranking", learner="linear", group="grp")
+_fit("fit_ranking_pairs", [*_train[:-2], "l_orderkey AS grp"], target="l_quantity", task="ranking", learner="gbt", group="grp")
 _fit("fit_multilabel", [*_train[:-2], "CAST(l_quantity > 25 AS INT) AS a", "CAST(l_tax > 0.04 AS INT) AS b"], target=["a", "b"], task="multilabel", learner="linear")
+
+
+@query("explain_rows", "lineitem", exprs=_train[:-1])
+def _explain_rows(df: DataFrame) -> DataFrame:
+    """Tree SHAP values of every row, one a feature."""
+    model = learn.fit(df, learn.FitConfig(target="label", key="id", trees=5, optimize_threshold=False, conformal=False, clean="none", leakage="ignore"))
+    told = F.get("shap_label", F.lit(0))
+    return learn.explain(model, df, ["id"]).select("id", *[F.get(told, F.lit(i))["value"].alias(c) for i, c in enumerate([*model.cleaner.outputs, "expected"])])
+
+
 query("calibrate_sigmoid", "lineitem", exprs=SCORED)(lambda df: df.select(*_key, learn.apply_sigmoid("p", learn.calibrate_sigmoid(df, "y", "p")).alias("calibrated")))
 query("calibrate_isotonic", "lineitem", exprs=SCORED)(lambda df: df.select(*_key, learn.fit_calibrator(df, [("y", "p")], "isotonic").apply(F.col("p")).alias("calibrated")))
 _STACK = ["l_orderkey * 10 + l_linenumber AS id", *NUM, "CASE WHEN l_quantity + l_discount * 100 > 30 THEN 1.0D ELSE 0.0D END AS label"]
@@ -266,8 +307,7 @@ def _oof_stacking(df: DataFrame) -> DataFrame:
 @query("ensemble_auto", "lineitem", exprs=_STACK)
 def _ensemble_auto(df: DataFrame) -> DataFrame:
     """Single, voting or stacking, chosen on rows that fitted nothing."""
-    some = split.search_sample(df, "id", "label", most=4000)
-    made = ensemble.train(split.stratified_folds(some, "id", "label", 2), NUM, "binary", "id", trees=4, families=("linear", "forest"))
+    made = ensemble.train(split.stratified_folds(df, "id", "label", 2), NUM, "binary", "id", trees=4, families=("linear", "gbt"), candidates=3)
     return made.predict(df).select("id", "prediction")
 
 

@@ -4,8 +4,10 @@ from __future__ import annotations
 
 import json
 import os
+import re
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -120,19 +122,48 @@ def append_target(df: DataFrame, y: list, key: str, name: str = "label") -> Data
     return df.withColumn("__i", place).join(given, "__i").drop("__i")
 
 
+def _read_path(path: str, most: int) -> str:
+    """A file's text by the file system that its path names: whole, or of a long file the head, the middle and the tail."""
+    from pyarrow import fs
+
+    system, name = fs.FileSystem.from_uri(path) if "://" in path else (fs.LocalFileSystem(), re.sub("^file:/+", "/", path))
+    with system.open_input_file(name) as f:
+        size, part = f.size(), most // 3
+        if size <= 4 * most:  # at most four bytes a character
+            return f.read().decode("utf-8", "replace")
+        pieces = []
+        for at in (0, size // 2 - 2 * part, size - 4 * part):
+            f.seek(at)
+            pieces.append(f.read(4 * part).decode("utf-8", "ignore"))
+    return pieces[0][:part] + "\n…\n" + pieces[1][:part] + "\n…\n" + pieces[2][-part:]
+
+
 def read_texts(df: DataFrame, column: str, most: int = 200_000) -> DataFrame:
-    """Text of a column of strings, bytes or file paths (``path:`` before them): bytes by UTF-8, long files by head, middle and tail."""
+    """Text of a column of strings, bytes or file paths (``path:`` before them): bytes by UTF-8, long texts by head, middle and tail.
+
+    Each task opens the paths of its own rows; of one that can't be read the text
+    is null, and ``<column>__error`` says why.
+    """
     from ..functions.text import bounded
 
     if dict(df.dtypes)[column] == "binary":
         return df.withColumn(column, bounded(F.expr(f"decode(`{column}`, 'UTF-8')"), most))
-    paths = [r[0] for r in df.where(F.col(column).startswith("path:")).select(F.substring(column, 6, 4096)).distinct().limit(10_000).collect()]
-    if not paths:
-        return df.withColumn(column, bounded(F.col(column), most))
-    spark = df.sparkSession
-    files = spark.read.format("binaryFile").load(paths).select(F.regexp_replace("path", "^file:/+", "/").alias("__p"), F.expr("decode(content, 'UTF-8')").alias("__t"))
-    named = df.withColumn("__p", F.when(F.col(column).startswith("path:"), F.regexp_replace(F.substring(column, 6, 4096), "^file:/+", "/")))
-    return named.join(files, "__p", "left").withColumn(column, bounded(F.when(F.col("__p").isNotNull(), F.col("__t")).otherwise(F.col(column)), most)).drop("__p", "__t")
+    c = F.col(f"`{column}`")
+    if df.where(c.startswith("path:")).isEmpty():
+        return df.withColumn(column, bounded(c, most))
+
+    @F.pandas_udf("text string, error string")
+    def opened(paths: pd.Series) -> pd.DataFrame:
+        out = []
+        for p in paths:
+            try:
+                out.append((_read_path(p, most), None) if p is not None else (None, None))
+            except (OSError, ValueError) as e:
+                out.append((None, f"{type(e).__name__}: {e}"[:300]))
+        return pd.DataFrame(out, columns=["text", "error"], dtype=object)
+
+    read = df.withColumn("__read", opened(F.when(c.startswith("path:"), F.expr(f"substring(`{column}`, 6)"))))
+    return read.withColumns({column: bounded(F.when(c.startswith("path:"), F.col("__read.text")).otherwise(c), most), f"{column}__error": F.col("__read.error")}).drop("__read")
 
 
 def checked(df: DataFrame) -> DataFrame:

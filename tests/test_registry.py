@@ -16,6 +16,7 @@ def test_equals_sql(spark, name):
     assert spark_rows(registry.QUERIES[name](spark, SF)) == sql_rows(registry.ORACLES[name], SF)
 
 
-@pytest.mark.parametrize("name", sorted(set(registry.QUERIES) - set(registry.ORACLES) - {"lsa"}))
+@pytest.mark.parametrize("name", sorted(set(registry.QUERIES) - set(registry.ORACLES) ))
 def test_gives_rows(spark, name):
-    assert registry.QUERIES[name](spark, SF).count() > 0
+    rows = registry.QUERIES[name](spark, SF).collect()  # every column is computed, which a count would leave out
+    assert rows and len(rows[0]) > 1
