@@ -644,12 +644,13 @@ class Boosting:
         return [[Tree.from_dict(t) for t in trees] for trees in made["rounds"]], made["gains"], made["losses"], made["stopped"]
 
     def fit(self, df: DataFrame) -> BoostedModel:
-        rows = self._rows(df)
         ranked = self.kind == "ranking"
         if ranked and not self.group_col:
             raise DataError("a ranking needs a group")
+        rows = self._rows(df).persist(StorageLevel.MEMORY_AND_DISK)  # read by the sketch, the statistics and the blocks
         first = rows.select(F.size("x").alias("n")).first()
         if first is None:
+            rows.unpersist()
             raise DataError("no rows to train on")
         classes = self.classes if self.kind == "multiclass" else 1
         train = rows.where(~F.col("held"))
@@ -657,6 +658,7 @@ class Boosting:
         base, width = self._base(train, classes), len(coder.edges)
         blocks = self._blocks(self._together(rows) if ranked else rows, coder, ranked).persist(StorageLevel.MEMORY_AND_DISK)
         cells = (blocks.agg(F.sum(F.octet_length("label") / 8)).first()[0] or 0) * width * classes
+        rows.unpersist()
         cached = [blocks]
         if cells <= LOCAL:
             rounds, gains, losses, stopped = self._in_one_task(blocks, width, base)

@@ -423,6 +423,7 @@ def fit(df: DataFrame, config: FitConfig) -> FittedModel:
     strata = "label" if task in ("binary", "multiclass") else None
     wants = task in CLASSES and config.calibration != "none" or config.conformal is True or config.conformal == "auto" and task not in ("ranking",)
     kept = calibration_split(every, config.key, strata, seed=config.seed) if wants else None
+    kept = kept if kept is None else kept.persist()  # the cut is made once
     rows, held = (every, None) if kept is None else (kept.where(~F.col("is_calibration")).drop("is_calibration"), kept.where("is_calibration").drop("is_calibration"))
     if config.early_stopping:
         rows = (split_group(rows, group, 0.1, config.seed + 31) if task == "ranking" else split_random(rows, config.key, 0.1, config.seed + 31)).withColumnRenamed("is_test", "held")
@@ -447,14 +448,15 @@ def fit(df: DataFrame, config: FitConfig) -> FittedModel:
     model.ood_threshold = decide.ood_threshold(train, model.ood) if numeric else 0.35
     model.drift = {"numeric": decide.numeric_reference(train, numeric) if numeric else {}, "categorical": {c: decide.categorical_reference(train, c) for c in cleaner.state["values"]}}
     model.metrics = evaluate(model, ready(test), labels, group) | decide.ood_metrics(model.ood_scores(test), "ood_score", model.ood_threshold).first().asDict()
-    every.unpersist()
-    parts.unpersist()
+    for df in (every, parts, kept):
+        if df is not None:
+            df.unpersist()
     return model
 
 
 def _tune_threshold(model: FittedModel, rows: DataFrame, labels: dict, config: FitConfig, params: dict, strata: str | None, categories: list[int], deadline: tuning.Deadline) -> None:
     """The best threshold of a probe that is trained on four fifths of the rows and judged on the last one."""
-    parts = split_stratified(rows, config.key, strata, 0.2, config.seed + 7) if strata else split_random(rows, config.key, 0.2, config.seed + 7)
+    parts = (split_stratified(rows, config.key, strata, 0.2, config.seed + 7) if strata else split_random(rows, config.key, 0.2, config.seed + 7)).persist()
     fit_rows, probe_rows = parts.where(~F.col("is_test")), parts.where("is_test")
     scored, pairs = probe_rows, []
     for i, (t, name) in enumerate(labels.items()):
@@ -466,6 +468,7 @@ def _tune_threshold(model: FittedModel, rows: DataFrame, labels: dict, config: F
     else:
         found = decide.per_label_thresholds(scored, pairs, config.objective)
         model.threshold = {t: found[name] for t, name in labels.items()}
+    parts.unpersist()
 
 
 def _fit_uncertainty(model: FittedModel, held: DataFrame, labels: dict) -> None:
