@@ -127,8 +127,7 @@ def prefix_sums(df, by: str, values: list[str], parts: int = 64):
     Rows are dealt into ranges of ``by`` (a sketch tells where to cut), summed up
     inside each range and shifted by the ranges before, so no task sorts all rows.
     """
-    edges = df.agg(F.percentile_approx(by, F.array(*[F.lit(i / parts) for i in range(1, parts)]), F.lit(1000)).alias("e")).first()["e"]
-    cuts = F.array(*[F.lit(float(e)) for e in sorted(set(edges or []))]).cast("array<double>")
+    cuts = cut_points(df, by, parts)
     ranged = df.withColumn("__range", F.size(F.filter(cuts, lambda e: e <= F.col(by).cast("double"))))
     totals = ranged.groupBy("__range").agg(*[F.sum(v).alias(f"{v}__all") for v in values])
     ahead = Window.orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)  # one row a range
@@ -138,6 +137,31 @@ def prefix_sums(df, by: str, values: list[str], parts: int = 64):
     return out.withColumns({f"{v}_before": F.col(f"{v}__in") + F.col(f"{v}__shift") for v in values}).drop("__range", *[f"{v}__{k}" for v in values for k in ("in", "shift")])
 
 
+def cut_points(df, by: str, parts: int = 64) -> Column:
+    """Edges of about equal ranges of a column, by a sketch."""
+    edges = df.agg(F.percentile_approx(by, F.array(*[F.lit(i / parts) for i in range(1, parts)]), F.lit(1000)).alias("e")).first()["e"]
+    return F.array(*[F.lit(float(e)) for e in sorted(set(edges or []))]).cast("array<double>")
+
+
+def place_within(df, groups: list[str], order: list[Column], part: Column, name: str):
+    """``df`` with ``name``, each row's place (from 1) in its group by ``order``.
+
+    ``part`` numbers ranges of the order, smaller ones first: a group that holds
+    most rows is sorted range by range, and only counts of ranges meet.  Rows
+    that ``order`` doesn't tell apart share a range.
+    """
+    by = [f"__g{i}" for i in range(len(groups))]
+    rows = df.withColumns({**{g: F.col(f"`{c}`") for g, c in zip(by, groups, strict=True)}, "__part": part})
+    counts = rows.groupBy(*by, "__part").agg(F.count("*").alias("__c"))
+    ahead = Window.partitionBy(*by).orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)  # one row a range
+    shift = counts.select(*[F.col(g).alias(f"{g}c") for g in by], F.col("__part").alias("__partc"), F.coalesce(F.sum("__c").over(ahead), F.lit(0)).alias("__before"))
+    same = F.col("__part") == F.col("__partc")
+    for g in by:
+        same = same & F.col(g).eqNullSafe(F.col(f"{g}c"))
+    placed = rows.withColumn("__in", F.row_number().over(Window.partitionBy(*by, "__part").orderBy(*order)))
+    return placed.join(shift, same).withColumn(name, F.col("__in") + F.col("__before")).select(*[F.col(f"`{c}`") for c in df.columns if c != name], name)
+
+
 def bucket_of(c: Column, edges: Column) -> Column:
     """How many inner edges lie at or below the value."""
     return F.aggregate(edges, F.lit(0), lambda n, e: n + F.when(c >= e, 1).otherwise(0))

@@ -26,6 +26,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..errors import ConfigError, DataError, NotFittedError, UnsupportedLearnerError
+from ..functions.columns import cut_points, place_within
+from ..functions.shared import fresh_path
 from . import decide, metrics, profile, tuning, validate
 from . import rows as row_filters
 from .boosting import PATIENCE, BoostedModel, Boosting
@@ -36,6 +38,7 @@ from .split import calibration_split, folds, search_sample, split, split_group,
 TASKS = ("binary", "multiclass", "regression", "ranking", "multilabel", "multioutput_regression")
 LEARNERS = ("auto", "gbt", "forest", "linear")
 CLASSES = ("binary", "multiclass", "multilabel")
+ARCHIVE, OWN_CLASSES = ".zip", "org.apache.spark.ml."  # suffix of a bundle in one file; classes that are made without being trusted
 BUNDLE, MOST_FILES, MOST_BYTES = 3, 2000, 4 << 30  # bundle format; limits of what is read back
 
 
@@ -231,11 +234,10 @@ class FittedModel:
         return out.select(*keep, *[F.col(f"raw_{t}").alias("prediction" if len(names) == 1 else f"prediction_{t}") for t in names])
 
     def predict_ranked(self, df: DataFrame, keep: list[str] = ()) -> DataFrame:
-        """A ranking's scores, and each row's place in its group."""
-        from pyspark.sql import Window
-
+        """A ranking's scores, and each row's place in its group, found in ranges of the score."""
         out = self.predict(df, [*keep, *([self.config.group] if self.config.group not in keep else [])])
-        return out.withColumn("rank", F.row_number().over(Window.partitionBy(self.config.group).orderBy(F.desc("prediction"), *keep)))
+        part = -F.size(F.filter(cut_points(out, "prediction"), lambda e: e <= F.col("prediction")))
+        return place_within(out, [self.config.group], [F.desc("prediction"), *map(F.col, keep)], part, "rank")
 
     def predict_interval(self, df: DataFrame, keep: list[str] = ()) -> DataFrame:
         if self.task != "regression" or self.residual is None:
@@ -264,7 +266,14 @@ class FittedModel:
     # ---- bundles
 
     def save(self, spark: SparkSession, path: str) -> None:
-        """A folder, local or shared: learners by their own writers, the metadata, and a manifest with the SHA-256 and size of every file."""
+        """A folder, local or shared: learners by their own writers, the metadata, and a manifest with the SHA-256 and size of every file.
+
+        A path that ends in ``.zip`` gets all of it as one archive.
+        """
+        if path.endswith(ARCHIVE):
+            folder = fresh_path(spark, "bundle")
+            self.save(spark, folder)
+            return pack(spark, folder, path)
         boosted = []
         for name, learner in self.learners.items():
             if isinstance(learner, BoostedModel):
@@ -285,8 +294,17 @@ class FittedModel:
         write_text(spark, f"{path}/manifest.json", json.dumps(_digests(spark, path), sort_keys=True))
 
     @classmethod
-    def load(cls, spark: SparkSession, path: str) -> FittedModel:
-        """A bundle whose files are those of its manifest, none more, less or changed."""
+    def load(cls, spark: SparkSession, path: str, trusted: bool = False) -> FittedModel:
+        """A bundle, a folder or an archive, whose files are those of its manifest, none more, less or changed.
+
+        Reading a learner makes objects of the classes that its metadata names.
+        Boosted trees are plain data; of others only Spark's own classes are made,
+        unless the bundle is ``trusted``.
+        """
+        if path.endswith(ARCHIVE):
+            folder = fresh_path(spark, "bundle")
+            unpack(spark, path, folder)
+            return cls.load(spark, folder, trusted)
         try:
             same = json.loads(read_text(spark, f"{path}/manifest.json")) == _digests(spark, path)
         except (PySparkException, Py4JJavaError, ValueError) as e:
@@ -296,6 +314,10 @@ class FittedModel:
         meta = json.loads(read_text(spark, f"{path}/metadata.json"))
         if meta["version"] != BUNDLE:
             raise DataError(f"bundle version {meta['version']}")
+        foreign = [] if trusted else sorted({c for n in meta["learners"] if n not in meta["boosted"] for c in _classes(spark, f"{path}/learner_{n}")
+                                             if not c.startswith(OWN_CLASSES)})
+        if foreign:
+            raise DataError(f"the bundle's learners are made of {foreign}: pass trusted=True for a bundle of your own")
         learners = {n: BoostedModel.from_dict(json.loads(read_text(spark, f"{path}/learner_{n}/part-trees.json"))) if n in meta["boosted"] else PipelineModel.load(f"{path}/learner_{n}").stages[0] for n in meta["learners"]}
         if "path" in (meta["cleaner"]["state"].get("impute") or {}):
             meta["cleaner"]["state"]["impute"]["path"] = f"{path}/neighbours"
@@ -309,6 +331,84 @@ def _file(spark: SparkSession, path: str):
     return p, p.getFileSystem(spark._jsc.hadoopConfiguration())
 
 
+def _files(spark: SparkSession, path: str) -> list[tuple[str, int]]:
+    """The files below a folder, by their paths from it, in order, with their sizes."""
+    root, system = _file(spark, path)
+    start, found, each = len(system.makeQualified(root).toUri().getPath().rstrip("/")) + 1, [], system.listFiles(root, True)
+    while each.hasNext():
+        if len(found) == MOST_FILES:
+            raise DataError(f"a bundle has at most {MOST_FILES} files")
+        one = each.next()
+        found.append((one.getPath().toUri().getPath()[start:], one.getLen()))
+    return sorted(found)
+
+
+def _classes(spark: SparkSession, path: str) -> set[str]:
+    """The classes that a written learner's metadata name."""
+    found = [json.loads(read_text(spark, f"{path}/{name}")) for name, size in _files(spark, path) if size and "/part-" in name and name.split("/")[-2] == "metadata"]
+    if not found or not all(isinstance(x.get("class"), str) for x in found):
+        raise DataError("a learner's metadata name no class")
+    return {x["class"] for x in found}
+
+
+def pack(spark: SparkSession, folder: str, path: str) -> None:
+    """A folder as one ZIP archive, streamed by the file systems' own streams; written beside the target, then takes its place."""
+    zips, copy = spark._jvm.java.util.zip, spark._jvm.org.apache.hadoop.io.IOUtils.copyBytes
+    (new, system), (old, _) = _file(spark, path + ".new"), _file(spark, path)
+    out = zips.ZipOutputStream(system.create(new, True))
+    try:
+        for name, _size in _files(spark, folder):
+            entry = zips.ZipEntry(name)
+            entry.setTime(0)  # equal folders give equal archives
+            out.putNextEntry(entry)
+            source, disk = _file(spark, f"{folder}/{name}")
+            stream = disk.open(source)
+            try:
+                copy(stream, out, 1 << 16, False)
+            finally:
+                stream.close()
+            out.closeEntry()
+    finally:
+        out.close()
+    system.delete(old, False)
+    if not system.rename(new, old):
+        raise DataError(f"can't write {path}")
+
+
+def unpack(spark: SparkSession, path: str, folder: str) -> None:
+    """The archive's files below a new folder: none outside it, none twice, within the limits of a bundle whatever their headers say."""
+    copy = spark._jvm.org.apache.commons.io.IOUtils.copyLarge
+    source, system = _file(spark, path)
+    if not system.exists(source):
+        raise DataError(f"{path} is missing")
+    stream, seen, left = spark._jvm.java.util.zip.ZipInputStream(system.open(source)), set(), MOST_BYTES
+    try:
+        while (entry := stream.getNextEntry()) is not None:
+            name = entry.getName()
+            if entry.isDirectory():
+                continue
+            if name in seen or "\\" in name or ":" in name or any(part in ("", ".", "..") for part in name.split("/")):
+                raise DataError(f"the archive holds {name!r}, which isn't a path below the bundle, or holds it twice")
+            seen.add(name)
+            if len(seen) > MOST_FILES:
+                raise DataError(f"a bundle has at most {MOST_FILES} files")
+            target, disk = _file(spark, f"{folder}/{name}")
+            out = disk.create(target, False)
+            try:
+                copy(stream, out, 0, left + 1)
+            finally:
+                out.close()
+            left -= disk.getFileStatus(target).getLen()
+            if left < 0:
+                raise DataError(f"a bundle has at most {MOST_BYTES} bytes")
+    except Py4JJavaError as e:
+        raise DataError("the archive can't be read") from e
+    finally:
+        stream.close()
+    if not {"manifest.json", "metadata.json"} <= seen:
+        raise DataError("the archive is no bundle")
+
+
 def write_text(spark: SparkSession, path: str, text: str) -> None:
     """Writes beside the target, then takes its place."""
     (new, system), (old, _) = _file(spark, path + ".new"), _file(spark, path)

@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..errors import ConfigError
-from ..functions.columns import prefix_sums
+from ..functions.columns import exact_quantiles, is_large, prefix_sums
 
 EPS = 1e-15
 
@@ -103,8 +104,13 @@ def average_precision(df: DataFrame, y: str, p: str) -> DataFrame:
 
 def regression(df: DataFrame, y: str, p: str) -> DataFrame:
     e = F.col(y) - F.col(p)
+    if is_large(df):  # only the errors near the middle are sorted
+        middle = exact_quantiles(df, {"e": F.abs(e)}, [0.5])["e"]
+        median = F.lit(middle[0] if middle else None).cast("double")
+    else:
+        median = F.percentile(F.abs(e), 0.5)
     return df.agg(F.avg(F.abs(e)).alias("mae"), F.avg(e * e).alias("mse"), F.sqrt(F.avg(e * e)).alias("rmse"), (1 - F.try_divide(F.avg(e * e), F.var_pop(y))).alias("r2"),
-                  F.percentile(F.abs(e), 0.5).alias("median_ae"), F.avg(F.abs(e) / F.greatest(F.abs(F.col(y)), F.lit(2.220446049250313e-16))).alias("mape"))
+                  median.alias("median_ae"), F.avg(F.abs(e) / F.greatest(F.abs(F.col(y)), F.lit(2.220446049250313e-16))).alias("mape"))
 
 
 def multioutput(df: DataFrame, pairs: list[tuple[str, str]]) -> DataFrame:
@@ -137,14 +143,29 @@ def multilabel_average_precision(df: DataFrame, labels: list[tuple[str, str]]) -
     return sum(each) / len(each) if each else 0.0
 
 
+def _discounted(blocks: DataFrame, group: str, value: str, gain: str, k: int, name: str) -> DataFrame:
+    """The discounted gain of each group's first ``k`` rows by falling ``value``; ``blocks`` are the rows of equal values, with their number ``n`` and mean ``gain``."""
+    order = Window.partitionBy(group).orderBy(F.desc(value))
+    first = blocks.withColumn("__r", F.row_number().over(order)).where(F.col("__r") <= k)  # cut before the exchange: k blocks a group and task
+    upto = F.coalesce(F.sum("n").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    discount = F.array(*[F.lit(float(x)) for x in np.concatenate(([0.0], np.cumsum(1 / np.log2(np.arange(k) + 2.0))))])
+    at = lambda n: F.get(discount, F.least(n, F.lit(k)).cast("int"))
+    return first.withColumn("__u", upto).groupBy(group).agg(F.sum(F.col(gain) * (at(F.col("__u") + F.col("n")) - at(F.col("__u")))).alias(name))
+
+
 def ndcg(df: DataFrame, group: str, gain: str, score: str, k: int) -> DataFrame:
-    """Mean NDCG@k over groups of two rows at least; equal scores share their mean gain."""
-    by = Window.partitionBy(group)
-    tie = Window.partitionBy(group, score)
-    ranked = (df.withColumn("__g", F.avg(gain).over(tie)).withColumn("__r", F.row_number().over(by.orderBy(F.desc(score))))
-              .withColumn("__i", F.row_number().over(by.orderBy(F.desc(gain)))))
-    part = lambda g, r: F.sum(F.when(F.col(r) <= k, F.col(g) / F.log2(F.col(r) + 1.0)).otherwise(0.0))
-    each = ranked.groupBy(group).agg(part("__g", "__r").alias("dcg"), part(gain, "__i").alias("ideal"), F.count("*").alias("n")).where("n >= 2")
+    """Mean NDCG@k over groups of two rows at least; equal scores share their mean gain.
+
+    Rows of one score, and of one gain, become one before they are ordered, and
+    only the first ``k`` of these leave a task, so no task sorts a large group.
+    """
+    rows = df.select(F.col(group).alias("__group"), F.col(score).alias("score"), F.col(gain).cast("double").alias("gain"))
+    said = rows.groupBy("__group", "score").agg(F.count("*").alias("n"), F.avg("gain").alias("gain"))
+    best = rows.groupBy("__group", "gain").agg(F.count("*").alias("n"))
+    sizes = best.groupBy("__group").agg(F.sum("n").alias("rows")).where("rows >= 2").withColumnRenamed("__group", "__whole")
+    found = _discounted(said, "__group", "score", "gain", k, "dcg").withColumnRenamed("__group", "__said")
+    each = (sizes.join(found, F.col("__whole").eqNullSafe(F.col("__said")))
+            .join(_discounted(best, "__group", "gain", "gain", k, "ideal"), F.col("__whole").eqNullSafe(F.col("__group"))))
     return each.agg(F.avg(_div(F.col("dcg"), F.col("ideal"))).alias("ndcg"), F.count("*").alias("groups"))
 
 

@@ -13,13 +13,15 @@ from pyspark.sql import functions as F
 
 from ..errors import ConfigError, DataError
 from ..functions import media, textcount
-from ..functions.columns import finite
+from ..functions.columns import exact_quantiles, finite
+from ..functions.shared import total
 from . import profile, rank
 from .text import fit_lexical
 
 MODALITIES = ("text", "image", "audio", "video")
 EXTENSIONS = {"image": ("png", "jpg", "jpeg", "bmp", "gif", "tif", "tiff", "webp", "pgm", "ppm"), "audio": ("wav", "mp3", "flac", "ogg", "m4a", "aac", "wma"),
               "video": ("mp4", "avi", "mov", "mkv", "webm", "mpeg", "mpg", "m4v"), "text": ("txt", "md", "html", "rst")}
+LEAST_TAUGHT = 20  # rows with a target that an adapter needs
 SEEN, VOTE = 24, 0.7  # values that vote on a column's modality, and the share that decides
 #: How a budget is shared, and its bounds.
 WEIGHTS, LEAST, MOST, FLOOR = {"text": 0.40, "image": 0.24, "audio": 0.18, "video": 0.18}, 32, 16384, 16
@@ -241,25 +243,30 @@ def adapter_size(limit: int, width: int) -> int:
 
 
 def fit_adapter(df: DataFrame, columns: list[str], target: str, classes: list[str] | None = None, components: int | None = None, limit: int = 128) -> Adapter:
-    """Components from one pass that sums products of features and target (one column a class); the deflation needs only these sums."""
+    """Components from one pass that sums products of features and target (one column a class); the deflation needs only these sums.
+
+    Rows without a (finite) target teach nothing.  With fewer than ``LEAST_TAUGHT``
+    rows that do, fewer than two columns, or one value of the target, the adapter
+    has no component and leaves a frame as it is.
+    """
     k = components or adapter_size(limit, len(columns))
-    if df.limit(80).count() < 80:
-        raise DataError("an adapter needs 80 rows")
-    row = df.agg(*[F.struct(F.percentile(finite(c), 0.5).alias("m"), F.avg(finite(c)).alias("a")).alias(f"c{i}") for i, c in enumerate(columns)]).first()
-    fill = [row[f"c{i}"]["m"] or 0.0 for i in range(len(columns))]
-    y = [F.when(F.col(target).cast("string") == c, 1.0).otherwise(0.0) for c in classes] if classes else [F.col(target).cast("double")]
-    rows = df.where(F.col(target).isNotNull()).select(*[F.coalesce(finite(c), F.lit(m)).alias(f"x{i}") for i, (c, m) in enumerate(zip(columns, fill, strict=True))], *[v.alias(f"y{i}") for i, v in enumerate(y)])
+    told = F.col(f"`{target}`").isNotNull() if classes else finite(target).isNotNull()
+    if len(columns) < 2 or df.where(told).limit(LEAST_TAUGHT).count() < LEAST_TAUGHT:
+        return Adapter(columns, [0.0] * len(columns), [0.0] * len(columns), [1.0] * len(columns), [])
+    middle = exact_quantiles(df, {c: finite(c) for c in columns}, [0.5])
+    fill = [(middle[c] or [0.0])[0] or 0.0 for c in columns]
+    y = [F.when(F.col(f"`{target}`").cast("string") == c, 1.0).otherwise(0.0) for c in classes] if classes else [finite(target)]
+    rows = df.where(told).select(*[F.coalesce(finite(c), F.lit(m)).alias(f"x{i}") for i, (c, m) in enumerate(zip(columns, fill, strict=True))], *[v.alias(f"y{i}") for i, v in enumerate(y)])
 
     def run(batches):
-        total = None
+        found = None
         for b in batches:
             z = np.column_stack([np.ones(b.num_rows), *(c.to_numpy(zero_copy_only=False).astype(float) for c in b.columns)])
-            total = z.T @ z if total is None else total + z.T @ z
-        if total is not None:
-            yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()], pa.binary())], names=["total"])
+            found = z.T @ z if found is None else found + z.T @ z
+        return found
 
     d = len(columns)
-    g = sum(np.frombuffer(r["total"]).reshape(1 + d + len(y), -1) for r in rows.mapInArrow(run, "total binary").collect())
+    g = total(rows, run)
     n = g[0, 0]
     mean = g[0, 1:] / n
     cov = g[1:, 1:] / n - np.outer(mean, mean)

@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..errors import ConfigError, DataError
-from ..functions.columns import hash_unit, prefix_sums
+from ..functions.columns import hash_unit, place_within, prefix_sums
 
 RANGES = 1024  # ranges of a histogram
 HOLDOUT_ROWS = 750  # rows from which one holdout takes the place of folds
@@ -111,9 +111,9 @@ def folds(df: DataFrame, key: str, k: int = 3, seed: int = 42) -> DataFrame:
 
 
 def stratified_folds(df: DataFrame, key: str, target: str, k: int = 3, seed: int = 42) -> DataFrame:
-    """Folds whose sizes differ by one row at most in every class: the rank by hash, modulo k."""
-    order = Window.partitionBy(target).orderBy(hash_unit(F.col(key), f"{seed}:fold:"), key)
-    return df.withColumn("fold", F.pmod(F.row_number().over(order) - 1, F.lit(k)).cast("int"))
+    """Folds whose sizes differ by one row at most in every class: the rank by hash, modulo k.  A class is ranked in ranges of the hash."""
+    h = hash_unit(F.col(key), f"{seed}:fold:")
+    return place_within(df, [target], [h, F.col(key)], F.floor(h * RANGES), "fold").withColumn("fold", F.pmod(F.col("fold") - 1, F.lit(k)).cast("int"))
 
 
 def validation_folds(df: DataFrame, key: str, task: str, target: str | None = None, group: str | None = None, validation: str = "auto", k: int = 3, seed: int = 42) -> DataFrame:

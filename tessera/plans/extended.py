@@ -52,6 +52,21 @@ SELECT o_orderkey, is_test FROM orders JOIN s USING (o_custkey)""")(lambda df: s
 query("split_three_way", "orders", f"""
 SELECT o_orderkey, CASE WHEN {_unit('o_orderkey', '42:')} < 0.2 THEN 'select' WHEN {_unit('o_orderkey', '42:')} < 0.4 THEN 'meta' ELSE 'fit' END AS part FROM orders""")(
     lambda df: split.three_way(df, "o_orderkey").select("o_orderkey", "part"))
+_auto = {"by_class": ("multiclass", {}), "by_group": ("multiclass", {"group": "o_custkey"}), "by_class_and_group": ("multiclass", {"strategy": "stratified_group", "group": "o_custkey"}),
+         "at_random": ("regression", {})}
+query("split_strategies", "orders", f"""
+WITH a AS ({ORACLES['split_stratified']}), b AS ({ORACLES['split_group']}), c AS ({ORACLES['split_stratified_group']}), d AS ({ORACLES['split_random']})
+SELECT o_orderkey, a.is_test AS by_class, b.is_test AS by_group, c.is_test AS by_class_and_group, d.is_test AS at_random
+FROM a JOIN b USING (o_orderkey) JOIN c USING (o_orderkey) JOIN d USING (o_orderkey)""")(lambda df: _split_strategies(df))
+
+
+def _split_strategies(df: DataFrame) -> DataFrame:
+    """What the dispatcher chooses by task, group and strategy."""
+    for name, (task, how) in _auto.items():
+        df = split.split(df, "o_orderkey", task, ["o_orderstatus"], **how).withColumnRenamed("is_test", name)
+    return df.select("o_orderkey", *_auto)
+
+
 query("stratified_folds", "orders", f"""
 SELECT o_orderkey, ((row_number() OVER (PARTITION BY o_orderstatus ORDER BY {_unit('o_orderkey', '42:fold:')}, o_orderkey) - 1) % 3)::INT AS fold FROM orders""")(
     lambda df: split.stratified_folds(df, "o_orderkey", "o_orderstatus").select("o_orderkey", "fold"))
@@ -102,6 +117,14 @@ query("impute_knn", "part", f"""
 WITH p AS (SELECT p_partkey, CASE WHEN p_partkey % 9 = 0 THEN NULL ELSE p_size::DOUBLE END AS size, CASE WHEN p_partkey % 13 = 0 THEN NULL ELSE p_retailprice END AS price, (p_partkey % 17)::DOUBLE AS w FROM part),
 {_filled('size')}, {_filled('price')}
 SELECT p_partkey, round(coalesce(size, f_size.v), 6) AS size, round(coalesce(price, f_price.v), 6) AS price, w FROM p LEFT JOIN f_size ON f_size.id = p_partkey LEFT JOIN f_price ON f_price.id = p_partkey""", _PART)(lambda df: clean.knn_impute(df, clean.knn_reference(df, ["size", "price", "w"], "p_partkey")))
+_GAP = ["l_orderkey", "l_linenumber", "l_quantity AS x", "CASE WHEN (l_orderkey + l_linenumber) % 7 = 0 THEN NULL ELSE l_extendedprice END AS y"]
+query("impute_regression", "lineitem", f"""
+WITH g AS (SELECT {', '.join(_GAP)} FROM lineitem),
+s AS (SELECT count(*)::DOUBLE AS n, sum(x)::DOUBLE AS sx, sum(x * x)::DOUBLE AS sxx, sum(y)::DOUBLE AS sy, sum(x * y)::DOUBLE AS sxy FROM g WHERE y IS NOT NULL),
+t AS (SELECT n, sxx, sx / sqrt(n * sxx) AS r, sy / sqrt(n) AS u, sxy / sqrt(sxx) AS v, 1.001::DOUBLE AS one FROM s),  -- scaled normal equations; the slope bears the ridge
+b AS (SELECT (u * one - r * v) / (one - r * r) / sqrt(n) AS b0, (v - r * u) / (one - r * r) / sqrt(sxx) AS b1 FROM t)
+SELECT l_orderkey, l_linenumber, round(coalesce(y, b0 + b1 * x), 4) AS y FROM g, b""", _GAP, digits=4)(
+    lambda df: clean.iterative_impute(df, clean.iterative_state(df, ["x", "y"])).select("l_orderkey", "l_linenumber", "y"))
 query("impute_iterative", "part", exprs=_PART)(lambda df: clean.iterative_impute(df, clean.iterative_state(df, ["size", "price", "w"])))
 query("label_encode", "orders", """
 SELECT o_orderkey, (dense_rank() OVER (ORDER BY o_orderstatus) - 1)::INT AS code, o_orderstatus AS back FROM orders""")(
@@ -114,7 +137,10 @@ SELECT event_id, round(CASE WHEN (SELECT skewness(value) FROM events) > 1.5 THEN
 _n = lambda p: f"len(regexp_extract_all(text, '{p}'))::BIGINT"
 _text("text_patterns", lambda c: {k: v for k, v in T.patterns(c).items() if k != "repeats"}, f"""
 SELECT doc_id, {_n('https?://[^ ' + chr(10) + ']+')} AS urls, {_n('[A-Za-z0-9._+-]+@[A-Za-z0-9-]+[.][A-Za-z0-9.-]+')} AS emails, {_n(chr(92) + 'p{S}')} AS symbols FROM documents""")
-_text("text_repeats", lambda c: {"repeats": T.patterns(c)["repeats"]}, None)
+_text("text_repeats", lambda c: {"repeats": T.patterns(c)["repeats"]}, """
+WITH c AS (SELECT doc_id, string_split(text, '') AS c FROM documents)
+SELECT doc_id, len(list_filter(range(1, greatest(len(c) - 1, 1)), lambda i: c[i] = c[i + 1] AND c[i] = c[i + 2] AND (i = 1 OR c[i - 1] <> c[i])
+  AND NOT list_contains([chr(10), chr(13), chr(133), chr(8232), chr(8233)], c[i])))::BIGINT AS repeats FROM c""")
 _text("text_shape", T.shape, f"""
 WITH w AS (SELECT doc_id, text, regexp_extract_all(text, '{T.WORD}') AS w FROM documents)
 SELECT doc_id, round(CASE WHEN length(text) = 0 THEN 0.0 ELSE (length(text) - length(replace(text, chr(10), ''))) / length(text)::DOUBLE END, 6) AS newline_ratio,
@@ -292,7 +318,12 @@ def _explain_rows(df: DataFrame) -> DataFrame:
 
 
 query("calibrate_sigmoid", "lineitem", exprs=SCORED)(lambda df: df.select(*_key, learn.apply_sigmoid("p", learn.calibrate_sigmoid(df, "y", "p")).alias("calibrated")))
-query("calibrate_isotonic", "lineitem", exprs=SCORED)(lambda df: df.select(*_key, learn.fit_calibrator(df, [("y", "p")], "isotonic").apply(F.col("p")).alias("calibrated")))
+query("calibrate_isotonic", "lineitem", cte("scored").rstrip() + """,
+t AS (SELECT p, sum(y)::DOUBLE AS s, count(*) AS n FROM scored GROUP BY p),
+c AS (SELECT p, row_number() OVER o AS i, sum(s) OVER o AS s, sum(n) OVER o AS n, sum(s) OVER o - s AS s0, sum(n) OVER o - n AS n0 FROM t WINDOW o AS (ORDER BY p)),
+m AS (SELECT a.i AS a, b.i AS b, min((b.s - a.s0) / (b.n - a.n0)) OVER (PARTITION BY a.i ORDER BY b.i DESC) AS least FROM c a JOIN c b ON a.i <= b.i),
+f AS (SELECT b, max(least) AS calibrated FROM m GROUP BY b)  -- the greatest over begins of the least mean over ends
+SELECT l_orderkey, l_linenumber, round(calibrated, 6) AS calibrated FROM scored JOIN c USING (p) JOIN f ON f.b = c.i""", SCORED)(lambda df: df.select(*_key, learn.fit_calibrator(df, [("y", "p")], "isotonic").apply(F.col("p")).alias("calibrated")))
 _STACK = ["l_orderkey * 10 + l_linenumber AS id", *NUM, "CASE WHEN l_quantity + l_discount * 100 > 30 THEN 1.0D ELSE 0.0D END AS label"]
 
 
@@ -311,6 +342,37 @@ def _ensemble_auto(df: DataFrame) -> DataFrame:
     return made.predict(df).select("id", "prediction")
 
 
+# ---- media: files made of embeddings, decoded by the executors
+_byte = "CAST(greatest(0, least(255, floor(x * 255.0D + 127.5D))) AS INT)"
+#: A BMP of 8 x 8 pixels: its header of 54 bytes, then rows from the bottom up, blue, green and red.
+_bmp = (f"unhex(concat('424DF60000000000000036000000', '28000000', '0800000008000000', '01001800', repeat('00', 24), "
+        f"array_join(transform(embedding, x -> lpad(hex({_byte}), 2, '0') || lpad(hex({_byte}), 2, '0') || lpad(hex(255 - {_byte}), 2, '0')), ''))) AS file")
+_IMAGE = ["width", "height", "brightness", "contrast", "dark_ratio", "bright_ratio", "symmetry_x", "symmetry_y", "red_mean", "blue_std", "value_mean", "saturation_mean"]
+_tied = ("brightness", "symmetry_x", "symmetry_y")  # multiples of 1 / 16,320,000, which may lie midway between two roundings: shifted by 1e-9
+query("image_files", "embeddings", """
+WITH b AS (SELECT vec_id, list_transform(embedding, lambda x: greatest(0, least(255, floor(x::DOUBLE * 255.0 + 127.5)))) AS b FROM embeddings),
+g AS (SELECT vec_id, list_transform(b, lambda v: v / 255) AS b, list_transform(b, lambda v: (0.299::DOUBLE * (255 - v) + 0.701::DOUBLE * v) / 255) AS g FROM b)
+SELECT vec_id, 8.0::DOUBLE AS width, 8.0::DOUBLE AS height, round(list_avg(g) + 1e-9, 6) AS brightness, round(list_stddev_pop(g), 6) AS contrast,
+  round(len(list_filter(g, lambda v: v < 0.1::DOUBLE)) / 64.0, 6)::DOUBLE AS dark_ratio, round(len(list_filter(g, lambda v: v > 0.9::DOUBLE)) / 64.0, 6)::DOUBLE AS bright_ratio,
+  round(1 - list_avg(list_transform(range(0, 64), lambda i: abs(g[i + 1] - g[i - i % 8 + 7 - i % 8 + 1]))) + 1e-9, 6) AS symmetry_x,
+  round(1 - list_avg(list_transform(range(0, 64), lambda i: abs(g[i + 1] - g[(7 - (i // 8)) * 8 + i % 8 + 1]))) + 1e-9, 6) AS symmetry_y,
+  round(1 - list_avg(b), 6) AS red_mean, round(list_stddev_pop(b), 6) AS blue_std, round(list_avg(list_transform(b, lambda v: greatest(v, 1 - v))), 6) AS value_mean,
+  round(list_avg(list_transform(b, lambda v: abs(1 - 2 * v) / greatest(v, 1 - v))), 6) AS saturation_mean FROM g""", ["vec_id", _bmp])(
+    lambda df: df.withColumn("m", media.image("file", policy="error")).select("vec_id", *[(F.get("m.features", F.lit(media.IMAGE.index(n))) + (1e-9 if n in _tied else 0.0)).alias(n) for n in _IMAGE]))
+_sample = "CAST(round(greatest(-1.0D, least(1.0D, CAST(x AS DOUBLE))) * 32000) AS INT)"
+#: A mono WAV of 64 samples of 16 bits at 16 kHz: a header of 44 bytes, then the samples, low byte first.
+_wav = (f"unhex(concat('52494646A400000057415645666D7420', '10000000', '01000100', '803E0000', '007D0000', '02001000', '6461746180000000', "
+        f"array_join(transform(transform(embedding, x -> lpad(right(hex({_sample} + 65536), 4), 4, '0')), h -> right(h, 2) || left(h, 2)), ''))) AS file")
+_AUDIO = ["seconds", "mean", "std", "rms", "peak", "crest", "zero_crossings", "silence", "clipping", *(f"segment_{i}" for i in range(8))]
+query("audio_files", "embeddings", f"""
+WITH x AS (SELECT vec_id, list_transform(embedding, lambda x: round(greatest(-1.0, least(1.0, x::DOUBLE)) * 32000) / 32768.0::DOUBLE) AS x FROM embeddings),
+s AS (SELECT vec_id, x, sqrt(list_avg(list_transform(x, lambda v: v * v))) AS rms, list_max(list_transform(x, lambda v: abs(v))) AS peak FROM x)
+SELECT vec_id, 0.004::DOUBLE AS seconds, round(list_avg(x), 6) AS mean, round(list_stddev_pop(x), 6) AS std, round(rms, 6) AS rms, round(peak, 6) AS peak, round(peak / greatest(rms, 1e-12), 6) AS crest,
+  round(len(list_filter(range(1, 64), lambda i: (x[i] < 0) <> (x[i + 1] < 0))) / 63.0::DOUBLE, 6) AS zero_crossings, round(len(list_filter(x, lambda v: abs(v) < 0.01::DOUBLE)) / 64.0::DOUBLE, 6) AS silence,
+  round(len(list_filter(x, lambda v: abs(v) > 0.99::DOUBLE)) / 64.0::DOUBLE, 6) AS clipping,
+  {', '.join(f"round(sqrt(list_avg(list_transform(x[{8 * i + 1}:{8 * i + 8}], lambda v: v * v))), 6) AS segment_{i}" for i in range(8))} FROM s""", ["vec_id", _wav])(
+    lambda df: df.withColumn("m", media.audio("file", policy="error")).select("vec_id", *[F.get("m.features", F.lit(media.AUDIO.index(n))).alias(n) for n in _AUDIO]))
+
 # ---- media: arrays made of embeddings
 _shift = "transform(embedding, x -> greatest(0.0D, least(1.0D, CAST(x AS double) * 2 + 0.5D))) AS e"
 query("image_features", "embeddings", exprs=["vec_id", _shift])(lambda df: df.select("vec_id", media.image("e", 8, 8).alias("m")).select("vec_id", "m.features"))

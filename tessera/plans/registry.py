@@ -132,7 +132,14 @@ for _how, _a, _b in (("standard", "avg(o_totalprice)", "stddev_pop(o_totalprice)
     query(f"scale_{_how}", "orders", f"WITH s AS (SELECT {_a} AS a, {_b} AS b FROM orders) SELECT o_orderkey, {r('(o_totalprice - a) / b', 'x')} FROM orders, s")(lambda df, how=_how: df.select("o_orderkey", clean.scale("o_totalprice", clean.scales(df, ["o_totalprice"], how)["o_totalprice"]).alias("x")))
 query("datetime_expand", "events", f"SELECT event_id, year(ts)::INT AS ts__year, month(ts)::INT AS ts__month, day(ts)::INT AS ts__day, (isodow(ts) - 1)::INT AS ts__dayofweek, dayofyear(ts)::INT AS ts__dayofyear, quarter(ts)::INT AS ts__quarter, (isodow(ts) >= 6)::INT AS ts__is_weekend, {r('epoch_us(ts) / 8.64e10', 'ts__days_since_epoch')}, {r('sin((month(ts) - 1) * 2 * pi() / 12)', 'ts__month_sin')}, {r('cos((isodow(ts) - 1) * 2 * pi() / 7)', 'ts__dow_cos')} FROM events")(lambda df: df.select("event_id", *[v.alias(k) for k, v in clean.datetime_parts("ts").items() if k.split("__")[1] in ("year", "month", "day", "dayofweek", "dayofyear", "quarter", "is_weekend", "days_since_epoch", "month_sin", "dow_cos")]))
 query("drop_near_duplicates", "lineitem", "SELECT 'twice' AS dropped", ["l_quantity", "l_tax", "2 * l_quantity + 1 AS twice"])(lambda df: df.sparkSession.createDataFrame([(c,) for c in clean.near_duplicate_columns(df, ["l_quantity", "l_tax", "twice"])], "dropped string"))
-query("yeo_johnson", "part")(lambda df: df.select("p_partkey", clean.yeo_johnson(F.col("p_retailprice"), clean.yeo_johnson_lambda(df, "p_retailprice")).alias("x")))
+_yj = lambda e: f"CASE WHEN abs({e}) < 1e-9 THEN ln(x + 1) ELSE (pow(x + 1, {e}) - 1) / {e} END"
+_yj_round = lambda grid, source: f"(SELECT arg_max(e, f) AS e FROM (SELECT e, -count(*) / 2.0::DOUBLE * ln(greatest(var_pop({_yj('e')}), 1e-300)) + (e - 1) * sum(ln(x + 1)) AS f FROM x, (SELECT {grid} AS e FROM {source}) GROUP BY e))"
+query("yeo_johnson", "part", f"""
+WITH x AS (SELECT p_partkey, p_retailprice::DOUBLE AS x FROM part),
+a AS {_yj_round('-4 + i * 0.5::DOUBLE', 'range(17) t(i)')},
+b AS {_yj_round('a.e - 0.5 + i / 16.0::DOUBLE', 'a, range(17) t(i)')},
+c AS {_yj_round('b.e - 0.0625 + i / 128.0::DOUBLE', 'b, range(17) t(i)')}
+SELECT p_partkey, round({_yj('c.e')}, 6) AS x FROM x, c""")(lambda df: df.select("p_partkey", clean.yeo_johnson(F.col("p_retailprice"), clean.yeo_johnson_lambda(df, "p_retailprice")).alias("x")))
 
 
 
