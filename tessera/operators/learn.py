@@ -137,14 +137,15 @@ class Calibrator:
     parts: list = field(default_factory=list)
 
     def apply(self, p: Column, k: int = 0) -> Column:
+        """The calibrated probability; null where there is none."""
         part = self.parts[k]
-        q = F.greatest(F.lit(1e-7), F.least(F.lit(1 - 1e-7), p))
         if self.method == "sigmoid":
+            q = F.when(p.isNotNull(), F.greatest(F.lit(1e-7), F.least(F.lit(1 - 1e-7), p)))
             return 1 / (1 + F.exp(-(part[0] * F.log(q / (1 - q)) + part[1])))
         edges, values = part
         if len(edges) < 2:
             return F.lit(float(values[0]) if values else 0.5) + 0 * p
-        return _between(edges, values)(q)
+        return F.when(p.isNotNull(), _between(edges, values)(p))
 
     def apply_all(self, p: Column) -> Column:
         """All classes one against the rest, then brought to sum to 1."""

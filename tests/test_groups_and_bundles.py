@@ -131,6 +131,14 @@ def test_foreign_classes_need_trust(spark, ranked, tmp_path, monkeypatch):
     assert learn.FittedModel.load(spark, path, trusted=True).predict(df, ["id"]).count() == 900
 
 
+def test_calibrators_at_the_ends_and_of_nothing(spark):
+    df = spark.createDataFrame([(0.0,), (1.0,), (0.25,), (None,)], "p double")
+    steps = learn.Calibrator("isotonic", [([0.0, 0.5, 1.0], [0.1, 0.4, 0.8])])
+    assert [r[0] for r in df.select(steps.apply(F.col("p"))).collect()] == [0.1, 0.8, pytest.approx(0.25), None]
+    same = learn.Calibrator("sigmoid", [(1.0, 0.0)])
+    assert [r[0] for r in df.select(same.apply(F.col("p"))).collect()] == [pytest.approx(1e-7), pytest.approx(1 - 1e-7), pytest.approx(0.25), None]
+
+
 def test_adapter_of_few_rows(spark):
     df = spark.range(60).selectExpr("id", "CAST(id % 10 AS DOUBLE) AS a", "CASE WHEN id % 6 = 0 THEN NULL ELSE CAST(id % 4 AS DOUBLE) END AS b",
                                     "CASE WHEN id < 30 THEN id % 10 * 2.0D WHEN id < 35 THEN DOUBLE('NaN') END AS y", "1.0D AS one", "'only' AS same")
