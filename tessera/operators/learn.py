@@ -149,9 +149,9 @@ class Calibrator:
 
     def apply_all(self, p: Column) -> Column:
         """All classes one against the rest, then brought to sum to 1."""
-        each = F.array(*[self.apply(F.get(p, F.lit(k)), k) for k in range(len(self.parts))])
-        total = F.aggregate(each, F.lit(0.0), lambda a, x: a + x)
-        return F.transform(each, lambda x: x / F.when(total > 0, total).otherwise(1.0))
+        each = [self.apply(F.get(p, F.lit(k)), k) for k in range(len(self.parts))]
+        total = sum(each, F.lit(0.0))
+        return F.array(*[x / F.when(total > 0, total).otherwise(1.0) for x in each])  # no lambda: these can't hold the steps' UDF
 
 
 def fit_calibrator(df: DataFrame, columns: list[tuple[str, str]], method: str = "auto") -> Calibrator:
@@ -220,6 +220,9 @@ class FittedModel:
 
     def predict(self, df: DataFrame, keep: list[str] = ()) -> DataFrame:
         """``keep`` columns and prediction(s): one projection after the learners, nothing on the driver."""
+        if both := {c: f"__kept_{i}" for i, c in enumerate(keep) if c in self.cleaner.outputs}:  # kept as they are, beside the features made of them
+            out = self.predict(df.withColumns({new: F.col(f"`{c}`") for c, new in both.items()}), [both.get(c, c) for c in keep])
+            return out.withColumnsRenamed({new: c for c, new in both.items()})
         out = self._scored(df, list(keep))
         if self.task in CLASSES:
             out = self._probabilities(out)

@@ -210,4 +210,4 @@ query("prediction_correlation", "lineitem", f"WITH s AS (SELECT {', '.join(_memb
 query("voting_weighted", "lineitem", f"WITH s AS (SELECT {', '.join(_members)} FROM lineitem) SELECT l_orderkey, l_linenumber, {r('(3 * p + q) / 4', 'vote')} FROM s", _members)(lambda df: df.select(*_key, learn.vote(["p", "q"], [3.0, 1.0]).alias("vote")))
 query("voting_weight_search", "lineitem", f"WITH s AS (SELECT {', '.join(_members)} FROM lineitem) SELECT i / 10.0::DOUBLE AS weight, round(avg((p * (i / 10.0) + q * (1 - i / 10.0) - y) ** 2)::DOUBLE, 6) AS brier FROM s, range(0, 11) t(i) GROUP BY 1", _members)(lambda df: wide_then_long(df.withColumns({f"w{i}": (F.col("p") * (i / 10) + F.col("q") * (1 - i / 10) - F.col("y")) ** 2 for i in range(11)}), [f"w{i}" for i in range(11)], {"brier": lambda c: F.avg(c)}).select((F.substring("column_name", 2, 9).cast("double") / 10).alias("weight"), "brier"))
 
-from . import extended  # noqa: E402, F401
+from . import extended, inputs  # noqa: E402, F401

@@ -77,6 +77,8 @@ def test_ranks_of_a_ranking(ranked):
     got = model.predict_ranked(df, ["id"])
     want = got.withColumn("again", F.row_number().over(Window.partitionBy("g").orderBy(F.desc("prediction"), "id")))
     assert got.count() == 900 and want.where("rank <> again").count() == 0
+    beside = model.predict(df.withColumn("x", F.when(F.col("id") > 0, F.col("x"))), ["x", "id"])  # a feature, kept as it was
+    assert beside.columns == ["x", "id", "prediction"] and beside.where("id = 0 AND x IS NULL AND prediction IS NOT NULL").count() == 1
 
 
 def test_bundle_as_one_archive(spark, ranked, tmp_path):
@@ -139,6 +141,14 @@ def test_calibrators_at_the_ends_and_of_nothing(spark):
     assert [r[0] for r in df.select(same.apply(F.col("p"))).collect()] == [pytest.approx(1e-7), pytest.approx(1 - 1e-7), pytest.approx(0.25), None]
 
 
+@pytest.mark.parametrize("how", ["sigmoid", "isotonic"])
+def test_classes_calibrated_to_sum_to_one(spark, how):
+    df = spark.range(900).selectExpr("id", "CAST(id % 9 AS DOUBLE) AS x", "concat('c', id % 9 div 3) AS y")
+    model = learn.fit(df, learn.FitConfig(target="y", key="id", trees=3, calibration=how))
+    out = model.predict(df, ["id", "y"])
+    assert out.where("abs(aggregate(probability, 0D, (a, v) -> a + v) - 1) > 1e-9").count() == 0 and out.where("prediction = y").count() > 850
+
+
 def test_adapter_of_few_rows(spark):
     df = spark.range(60).selectExpr("id", "CAST(id % 10 AS DOUBLE) AS a", "CASE WHEN id % 6 = 0 THEN NULL ELSE CAST(id % 4 AS DOUBLE) END AS b",
                                     "CASE WHEN id < 30 THEN id % 10 * 2.0D WHEN id < 35 THEN DOUBLE('NaN') END AS y", "1.0D AS one", "'only' AS same")
