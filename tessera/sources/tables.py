@@ -10,6 +10,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType
 
 from ..errors import DataError
 
@@ -47,7 +48,7 @@ def load_table(spark: SparkSession, path: str | DataFrame, trusted: bool = False
     if suffix == ".orc":
         return spark.read.orc(path)
     if suffix == ".json":
-        return _json(spark, path)
+        return _json(spark, path, size)
     if suffix in (".jsonl", ".ndjson"):
         return spark.read.json(path)
     if size > LOCAL_BYTES:
@@ -62,18 +63,33 @@ def load_table(spark: SparkSession, path: str | DataFrame, trusted: bool = False
     return spark.createDataFrame(pd.read_excel(local) if suffix in (".xlsx", ".xls") else pd.read_pickle(local))
 
 
-def _json(spark: SparkSession, path: str) -> DataFrame:
-    """An array of records, or an object of columns: {column: [values]} or {column: {row: value}}."""
-    head = spark.read.text(path, wholetext=True).select(F.substring(F.ltrim("value"), 1, 1)).first()
+def _json(spark: SparkSession, path: str, size: int) -> DataFrame:
+    """An array of records, or an object of columns: {column: [values]} or {column: {row: value}}.
+
+    Arrays are zipped by the executors; objects by row, whose schema names every
+    row, go through the driver, up to ``LOCAL_BYTES``.
+    """
+    text = spark.read.text(path, wholetext=True)
+    head = text.select(F.substring(F.ltrim("value"), 1, 1)).first()
     if head is None or head[0] != "{":
         return spark.read.json(path, multiLine=True)
+    names = text.select(F.json_object_keys("value")).first()[0]
+    if names and text.select(F.substring(F.ltrim(F.get_json_object("value", "$['" + names[0] + "']")), 1, 1)).first()[0] == "[":
+        table = spark.read.json(path, multiLine=True)
+        if any(not isinstance(table.schema[c].dataType, ArrayType) for c in names):
+            return table
+        if table.where(" OR ".join(f"size(`{c}`) <> size(`{names[0]}`)" for c in names)).limit(1).count():
+            raise DataError(f"the columns of {path} differ in length")
+        return table.select(F.inline(F.arrays_zip(*[F.col(f"`{c}`") for c in names])))
+    if size > LOCAL_BYTES:
+        raise DataError(f"{path} has {size} bytes; objects by row go through the driver, up to {LOCAL_BYTES}")
     whole = json.loads(spark.read.text(path, wholetext=True).first()[0])
     if not all(isinstance(v, list | dict) for v in whole.values()):
         return spark.read.json(path, multiLine=True)
     columns = {k: list(v.values()) if isinstance(v, dict) else v for k, v in whole.items()}
     if len({len(v) for v in columns.values()}) != 1:
         raise DataError(f"the columns of {path} differ in length")
-    return spark.createDataFrame([dict(zip(columns, row, strict=True)) for row in zip(*columns.values(), strict=True)], list(columns))
+    return spark.createDataFrame(list(zip(*columns.values(), strict=True)), list(columns))
 
 
 def load_folder(spark: SparkSession, folder: str, pattern: str = "*") -> DataFrame:

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from tessera.errors import DataError
 from tessera.functions import columns
 from tessera.operators import learn, metrics, multimodal, split
+from tessera.sources import tables
 
 
 def hot(spark):
@@ -159,3 +160,18 @@ def test_adapter_of_few_rows(spark):
     for rows, names, target, classes in ((df.limit(19), ["a", "b"], "y", None), (df, ["a"], "y", None), (df, ["a", "b"], "one", None), (df, ["a", "b"], "same", ["only"])):
         none = multimodal.fit_adapter(rows, names, target, classes)
         assert none.weights == [] and none.transform(rows).columns == rows.columns
+
+
+def test_json_of_columns(spark, tmp_path, monkeypatch):
+    (tmp_path / "a.json").write_text(' {"b": ["x", null, "z"], "a": [1, 2, 3]}')
+    got = tables.load_table(spark, str(tmp_path / "a.json"))
+    assert got.columns == ["b", "a"] and [tuple(r) for r in got.collect()] == [("x", 1), (None, 2), ("z", 3)]
+    (tmp_path / "b.json").write_text('{"b": ["x"], "a": [1, 2]}')
+    (tmp_path / "c.json").write_text('{"b": {"0": "x", "1": "y"}, "a": {"0": 1, "1": 2}}')
+    assert [tuple(r) for r in tables.load_table(spark, str(tmp_path / "c.json")).select("a", "b").collect()] == [(1, "x"), (2, "y")]
+    with pytest.raises(DataError):
+        tables.load_table(spark, str(tmp_path / "b.json"))
+    monkeypatch.setattr(tables, "LOCAL_BYTES", 10)
+    assert tables.load_table(spark, str(tmp_path / "a.json")).count() == 3
+    with pytest.raises(DataError):
+        tables.load_table(spark, str(tmp_path / "c.json"))
