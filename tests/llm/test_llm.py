@@ -683,3 +683,13 @@ def test_near_duplicates_go_by_row(spark):
     kept = corpus_pipeline.near_duplicates(spark, df, "")
     assert kept.columns == df.columns
     assert sorted(((-1 if x["doc_id"] is None else x["doc_id"]), x["text"]) for x in kept.collect()) == sorted([(1, a), (2, b), (3, c), (-1, c), (0, d)])
+
+
+def test_sets_of_a_large_cluster_travel_a_few_times(spark):
+    """A cluster of 16 blocks is compared by 8 tiles a side, not by 16 blocks; long sets fill tiles by their bytes."""
+    sets = spark.range(64).select(F.col("id").alias("doc_id"), F.lit(7).cast("long").alias("cluster"), F.lit(64).cast("long").alias("docs"), F.encode(F.repeat(F.lit("x"), 8), "UTF-8").alias("whole"))
+    assert ngram_join._blocks(sets, 4).count() == 64 * 64 // (4 * ngram_join.TILE)
+    long = sets.withColumn("whole", F.encode(F.repeat(F.lit("x"), 1 << 18), "UTF-8"))
+    assert ngram_join._blocks(long, 32).count() == 64 * (64 << 18) // ngram_join.TILE_BYTES
+    pairs = ngram_join._blocks(sets, 4).groupBy("i", "j").agg(F.collect_set("doc_id").alias("d")).collect()
+    assert {(a, b) for r in pairs for a in r["d"] for b in r["d"]} == {(a, b) for a in range(64) for b in range(64)}
