@@ -693,3 +693,14 @@ def test_sets_of_a_large_cluster_travel_a_few_times(spark):
     assert ngram_join._blocks(long, 32).count() == 64 * (64 << 18) // ngram_join.TILE_BYTES
     pairs = ngram_join._blocks(sets, 4).groupBy("i", "j").agg(F.collect_set("doc_id").alias("d")).collect()
     assert {(a, b) for r in pairs for a in r["d"] for b in r["d"]} == {(a, b) for a in range(64) for b in range(64)}
+
+
+def test_near_duplicates_drop_by_what_goes(spark):
+    """The texts that stay aren't shuffled to find out that they stay."""
+    import corpus_pipeline
+
+    words = " ".join(f"w{i}" for i in range(30))
+    docs = spark.createDataFrame([(3, words), (1, words), (2, "other words that stand alone here"), (None, words), (1, words)], "doc_id long, text string")
+    out = corpus_pipeline.near_duplicates(spark, docs, "")
+    assert sorted(((r[0] is not None, r[0] or 0) for r in out.collect())) == [(False, 0), (True, 1), (True, 2)]
+    assert "SortMergeJoin" not in out._jdf.queryExecution().executedPlan().toString()
