@@ -51,7 +51,7 @@ def quantiles(c: Column, points: list[float], exact: bool = True, accuracy: int
     return F.percentile(c, p) if exact else F.percentile_approx(c, p, F.lit(accuracy)).cast("array<double>")
 
 
-DIRECT_BYTES = 2 << 30  # estimated size from which exact quantiles take three passes; results are equal
+DIRECT_BYTES = 64 << 20  # estimated size from which exact quantiles take three passes; results are equal
 NEAR = 1e-3  # ranks on each side of a point between which the sketch puts it
 
 

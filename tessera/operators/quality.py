@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..errors import DataError
-from ..functions.columns import empty_value, exact_quantiles, finite, missing, nulled, numeric_columns, quantiles, rate, skewness, wide_then_long
+from ..functions.columns import empty_value, exact_quantiles, finite, is_large, missing, nulled, numeric_columns, quantiles, rate, skewness, wide_then_long
 
 HIGH_MISSING, EMPTY_ROW, SKEWED, OUTLIERS, NUMERIC_SHARE = 0.5, 0.98, 3.0, 0.1, 0.95
 WEIGHTS = {"error": 15.0, "warning": 6.0, "info": 1.5}
@@ -59,9 +59,13 @@ def row_missing_quantiles(df: DataFrame) -> DataFrame:
 
 def numeric_summary(df: DataFrame, columns: list[str] | None = None, exact: bool = True) -> DataFrame:
     columns = columns or numeric_columns(df)
+    points = [0.25, 0.5, 0.75]
+    # Of a large table only the values near the quartiles are sorted.
+    found = exact_quantiles(df, {c: finite(c) for c in columns}, points) if exact and is_large(df) else None
+    told = lambda c: F.lit(None).cast("array<double>") if found[c] is None else F.array(*[F.lit(x) for x in found[c]])
     first = wide_then_long(df, columns, {
         "finite_rate": lambda c: rate(finite(c).isNotNull()), "mean": lambda c: F.avg(finite(c)), "std": lambda c: F.stddev_pop(finite(c)),
-        "min": lambda c: F.min(finite(c)), "q": lambda c: quantiles(finite(c), [0.25, 0.5, 0.75], exact), "max": lambda c: F.max(finite(c)),
+        "min": lambda c: F.min(finite(c)), "q": lambda c: told(c) if found else quantiles(finite(c), points, exact), "max": lambda c: F.max(finite(c)),
         "skew": lambda c: skewness(finite(c)), "zero_rate": lambda c: rate(F.coalesce(finite(c) == 0, F.lit(False))),
     })
     return first.select("column_name", "finite_rate", "mean", "std", "min", F.col("q")[0].alias("q25"), F.col("q")[1].alias("median"),

@@ -156,6 +156,17 @@ def test_exact_quantiles_of_large_data(spark, monkeypatch):
         assert large[c] == pytest.approx(small[c]) and large[c] == pytest.approx(np.quantile(v, points))
 
 
+def test_summary_of_large_data_sorts_near_the_quartiles(spark, monkeypatch):
+    """A table of some hundred MB isn't sorted in one task, and the summary of large data is the same."""
+    assert columns.is_large(spark.range(40_000_000).selectExpr("CAST(id AS DOUBLE) AS x", "id"))
+    df = spark.createDataFrame([(float(i * 37 % 1009), i % 3, None) for i in range(3000)], "a double, b int, c double").repartition(4)
+    small = sorted(map(tuple, quality.numeric_summary(df).collect()))
+    monkeypatch.setattr(columns, "DIRECT_BYTES", 0)
+    large = quality.numeric_summary(df)
+    assert "percentile(" not in large._jdf.queryExecution().optimizedPlan().toString()
+    assert sorted(map(tuple, large.collect())) == small
+
+
 def test_drift_of_empty_columns(spark):
     df = spark.createDataFrame([(None, "a"), (None, None)], "x double, c string")
     ref = decide.numeric_reference(df, ["x"])
