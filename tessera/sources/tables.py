@@ -16,6 +16,7 @@ from ..errors import DataError
 
 SUFFIXES = (".csv", ".tsv", ".parquet", ".pq", ".orc", ".json", ".jsonl", ".ndjson", ".feather", ".xlsx", ".xls", ".pkl", ".pickle")
 LOCAL_BYTES = 512 << 20  # the largest file that a format without a Spark source is read from
+FOLDER_TASKS = 4  # tasks a core that read or write a folder of many small files
 
 
 def _size(spark: SparkSession, path: str) -> int:
@@ -93,9 +94,12 @@ def _json(spark: SparkSession, path: str, size: int) -> DataFrame:
 
 
 def load_folder(spark: SparkSession, folder: str, pattern: str = "*") -> DataFrame:
-    """path, content and label (the parent folder's name) of files below a folder."""
+    """path, content and label (the parent folder's name) of files below a folder.
+
+    Spark plans a task for every 32 small files; ``FOLDER_TASKS`` a core at most read them here.
+    """
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", pattern).load(folder)
-    return files.select("path", "content", F.element_at(F.split("path", "/"), -2).alias("label"))
+    return files.coalesce(max(64, FOLDER_TASKS * spark.sparkContext.defaultParallelism)).select("path", "content", F.element_at(F.split("path", "/"), -2).alias("label"))
 
 
 def raw_samples(spark: SparkSession, data, y=None, modality: str = "text") -> DataFrame:

@@ -233,3 +233,16 @@ def test_densities_find_more_than_chance():
     for _ in range(50):
         p = tuning.propose("forest", [({"depth": 4 + i % 7, "min_rows": 2 + i, "subsample": 0.7 + i / 40}, float(i)) for i in range(9)], random.Random(3))
         assert 4 <= p["depth"] <= 10 and 2 <= p["min_rows"] <= 30 and 0.7 <= p["subsample"] <= 1
+
+
+def test_many_small_files_share_tasks(spark, tmp_path):
+    """The tasks that read a folder grow with the cores, not with the files."""
+    for i in range(200):
+        (tmp_path / f"{i}.txt").write_text(f"text {i}")
+    before = spark.conf.get("spark.sql.files.openCostInBytes")
+    spark.conf.set("spark.sql.files.openCostInBytes", str(128 << 20))
+    try:
+        files = tables.load_folder(spark, str(tmp_path), "*.txt")
+        assert files.rdd.getNumPartitions() <= max(64, 4 * spark.sparkContext.defaultParallelism) and files.count() == 200
+    finally:
+        spark.conf.set("spark.sql.files.openCostInBytes", before)
