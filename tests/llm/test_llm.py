@@ -704,3 +704,9 @@ def test_near_duplicates_drop_by_what_goes(spark):
     out = corpus_pipeline.near_duplicates(spark, docs, "")
     assert sorted(((r[0] is not None, r[0] or 0) for r in out.collect())) == [(False, 0), (True, 1), (True, 2)]
     assert "SortMergeJoin" not in out._jdf.queryExecution().executedPlan().toString()
+
+
+def test_every_context_has_a_memory():
+    sizes, codes = np.array([3, 0, 40]), np.arange(43, dtype=np.uint32) % 7
+    cells, keys = pseudo_likelihood.memory_keys(sizes, codes)
+    assert cells.tolist() == list(range(43)) and len(keys) == 43
