@@ -32,7 +32,8 @@ def smallest(df: DataFrame, strata: list[str], key: str, salt: str, quota: Colum
 
     ``quota`` is an expression of ``n``, the rows of the stratum.  Rows of one
     key stay together: those of the key at the quota's end are in, or with
-    ``below`` out if they go beyond it.
+    ``below`` out if they go beyond it.  What is joined has one row a stratum
+    and goes to all tasks, so rows aren't gathered by stratum.
     """
     rows = df.withColumns({"__h": hash_unit(F.col(key), salt), **{f"__s{i}": F.col(c) for i, c in enumerate(strata)}})
     by = [f"__s{i}" for i in range(len(strata))]
@@ -45,12 +46,12 @@ def smallest(df: DataFrame, strata: list[str], key: str, salt: str, quota: Colum
     same = F.lit(True)
     for c in by:
         same = same & F.col(c).eqNullSafe(F.col(f"{c}c"))
-    near = rows.select(*by, "__h", F.col(key).alias("__k")).join(cuts, same & (F.floor(F.col("__h") * RANGES) == F.col("__cut")))
+    near = rows.select(*by, "__h", F.col(key).alias("__k")).join(F.broadcast(cuts), same & (F.floor(F.col("__h") * RANGES) == F.col("__cut")))
     order = Window.partitionBy(*by).orderBy("__h", "__k")  # one range of a stratum
     edge = near.withColumn("__r", F.row_number().over(order)).where("__r = __need").select(
         *[F.col(c).alias(f"{c}c") for c in by], F.col("__h").alias("__he"), F.col("__k").alias("__ke"))
     inside = (F.col("__h") < F.col("__he")) | ((F.col("__h") == F.col("__he")) & ((F.col(key) < F.col("__ke")) if below else (F.col(key) <= F.col("__ke"))))
-    return rows.join(edge, same, "left").withColumn(name, F.coalesce(inside, F.lit(below))).select(*df.columns, name)
+    return rows.join(F.broadcast(edge), same, "left").withColumn(name, F.coalesce(inside, F.lit(below))).select(*df.columns, name)
 
 
 def split_stratified(df: DataFrame, key: str, target: str, test: float = 0.2, seed: int = 42) -> DataFrame:
