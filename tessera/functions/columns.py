@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -87,15 +89,48 @@ def exact_quantiles(df, columns: dict[str, Column], points: list[float]) -> dict
     keys = list(spans)
     inside = lambda c, j: F.when((columns[c] >= spans[c, j][0]) & (columns[c] <= spans[c, j][1]), columns[c])
     counts = df.agg(*[F.sum(F.when(columns[c] < spans[c, j][0], 1).otherwise(0)).alias(f"l{k}") for k, (c, j) in enumerate(keys)], *[F.count(inside(c, j)).alias(f"m{k}") for k, (c, j) in enumerate(keys)]).first()
-    made = []
+    found, off, ranks = {}, [], {}
     for k, (c, j) in enumerate(keys):
-        rank, many = spans[c, j][2] - counts[f"l{k}"], counts[f"m{k}"]
-        if not 0 <= rank <= many - 1:  # the sketch was off: this column by itself
-            made.append(F.percentile(columns[c], points[j]).alias(f"v{k}"))
+        low, high, place = spans[c, j]
+        rank = place - counts[f"l{k}"]
+        if not 0 <= rank <= counts[f"m{k}"] - 1:  # the sketch was off: this column by itself
+            off.append(k)
+        elif low == high:
+            found[k] = float(low)
         else:
-            made.append(F.percentile(inside(c, j), rank / (many - 1) if many > 1 else 0.0).alias(f"v{k}"))
-    row = df.agg(*made).first()
-    return {c: [row[f"v{keys.index((c, j))}"] for j in range(len(points))] if (c, 0) in spans else None for c in names}
+            ranks[k] = rank
+    if ranks:
+        found |= _at_ranks(df, columns, {k: (*keys[k], *spans[keys[k]][:2], rank) for k, rank in ranks.items()})
+    if off:
+        row = df.agg(*[F.percentile(columns[keys[k][0]], points[keys[k][1]]).alias(f"v{k}") for k in off]).first()
+        found |= {k: row[f"v{k}"] for k in off}
+    return {c: [found[keys.index((c, j))] for j in range(len(points))] if (c, 0) in spans else None for c in names}
+
+
+def _at_ranks(df, columns: dict[str, Column], wanted: dict[int, tuple]) -> dict[int, float]:
+    """The interpolated value of each (column, point, low, high, rank from 0 among the values from low to high): only values near a point are counted and sorted."""
+    own: dict[str, list] = {}
+    for k, (c, _, low, high, _) in wanted.items():
+        own.setdefault(c, []).append((k, float(low), float(high)))
+    rows = df.select(*[columns[c].cast("double").alias(f"x{i}") for i, c in enumerate(own)])
+    cells, spans = [], []
+    for i, some in enumerate(own.values()):
+        x, near = F.col(f"x{i}"), F.lit(False)
+        for _, low, high in some:
+            near = near | x.between(low, high)
+        cells.append(F.struct(F.lit(i).alias("i"), F.when(near, x).alias("v")))
+        spans += [F.lit(i), F.array(*[F.struct(F.lit(k).alias("k"), F.lit(low).alias("low"), F.lit(high).alias("high")) for k, low, high in some])]
+    counts = rows.select(F.explode(F.array(*cells)).alias("r")).select("r.*").where("v IS NOT NULL").groupBy("i", "v").agg(F.count("*").alias("n"))
+    mine = F.filter(F.element_at(F.create_map(*spans), F.col("i")), lambda s: F.col("v").between(s["low"], s["high"]))
+    each = counts.select("v", "n", F.explode(F.transform(mine, lambda s: s["k"])).alias("k"))
+    upto = F.sum("n").over(Window.partitionBy("k").orderBy("v").rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    at = lambda f: F.element_at(F.create_map(*[F.lit(y) for k, w in wanted.items() for y in (k, f(w[4]))]), F.col("k"))
+    first = lambda f: F.min(F.when(F.col("upto") > at(f), F.col("v")))
+    found = {}
+    for r in each.withColumn("upto", upto).groupBy("k").agg(first(math.floor).alias("a"), first(math.ceil).alias("b")).collect():
+        share = wanted[r["k"]][4] % 1
+        found[r["k"]] = r["a"] if r["a"] == r["b"] else (1 - share) * r["a"] + share * r["b"]
+    return found
 
 
 def skewness(c: Column) -> Column:

@@ -371,7 +371,13 @@ class Cleaner:
     schema: dict = field(default_factory=dict)
     state: dict = field(default_factory=dict)
 
-    def fit(self, df: DataFrame, features: list[str], target: str | None = None) -> Cleaner:
+    @property
+    def points(self) -> list[float]:
+        """The quantiles that a fit needs of each numeric feature."""
+        return [self.winsor, 0.5, 1 - self.winsor] if self.winsor else [0.5]
+
+    def fit(self, df: DataFrame, features: list[str], target: str | None = None, known: dict[str, dict[float, float]] | None = None) -> Cleaner:
+        """``known`` has the quantiles of columns, by point, if the caller has them."""
         kinds = dict(df.dtypes)
         features = [c for c in features if c not in self.drop]
         self.schema = {c: kinds[c] for c in features}
@@ -386,8 +392,8 @@ class Cleaner:
         s = self.state
         if numeric:
             simple = self.fill in ("median", "mean", "constant")
-            points = [self.winsor, 0.5, 1 - self.winsor] if self.winsor else [0.5]
-            found = exact_quantiles(df, {c: finite(c) for c in numeric}, points)
+            points = self.points
+            found = exact_quantiles(df, {c: finite(c) for c in numeric}, points) if known is None else {c: [known[c][p] for p in points] if known[c] else None for c in numeric}
             for c in numeric:
                 q = found[c]
                 if q and self.winsor and q[0] < q[2]:

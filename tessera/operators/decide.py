@@ -263,9 +263,23 @@ def label_coverage(df: DataFrame, labels: list[tuple[str, str]], quantiles_: lis
     return df.agg(mean(covered).alias("label_coverage"), mean(open_).alias("ambiguous_rate"))
 
 
-def ood_reference(df: DataFrame, columns: list[str]) -> dict[str, tuple]:
+OOD_POINTS = [0.005, 0.25, 0.5, 0.75, 0.995]
+
+
+def drift_points(bins: int = 10) -> list[float]:
+    return [*[i / bins for i in range(1, bins)], 0.25, 0.75, 0.5]
+
+
+def _at(df: DataFrame, columns: list[str], points: list[float], known: dict[str, dict[float, float]] | None) -> dict[str, list[float] | None]:
+    """The quantiles of each column, from ``known`` where the caller has them."""
+    if known is None:
+        return exact_quantiles(df, {c: finite(c) for c in columns}, points)
+    return {c: [known[c][p] for p in points] if known[c] else None for c in columns}
+
+
+def ood_reference(df: DataFrame, columns: list[str], known: dict | None = None) -> dict[str, tuple]:
     """(median, inter-quartile range, low, high) of each column that holds a number."""
-    found = exact_quantiles(df, {c: finite(c) for c in columns}, [0.005, 0.25, 0.5, 0.75, 0.995])
+    found = _at(df, columns, OOD_POINTS, known)
     return {c: (q[2], (q[3] - q[1]) if q[3] - q[1] > 1e-7 else 1.0, q[0], q[4]) for c, q in found.items() if q}
 
 
@@ -302,11 +316,10 @@ def ood_metrics(df: DataFrame, score: str, threshold: float) -> DataFrame:
 
 # ---- drift
 
-def numeric_reference(df: DataFrame, columns: list[str], bins: int = 10) -> dict[str, dict]:
+def numeric_reference(df: DataFrame, columns: list[str], bins: int = 10, known: dict | None = None) -> dict[str, dict]:
     """Bin edges, shares, median, inter-quartile range and missing rate of each column; one without numbers has one bin around 0."""
-    points = [i / bins for i in range(1, bins)]
     gone = _missing_rates(df, columns)
-    found = exact_quantiles(df, {c: finite(c) for c in columns}, [*points, 0.25, 0.75, 0.5])
+    found = _at(df, columns, drift_points(bins), known)
     out = {}
     for c, q in found.items():
         out[c] = {"edges": sorted(set(q[: bins - 1])) if q else [], "median": q[-1] if q else 0.0, "iqr": max(1e-6, q[-2] - q[-3]) if q else 1.0, "missing": gone[c]}

@@ -26,7 +26,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..errors import ConfigError, DataError, NotFittedError, UnsupportedLearnerError
-from ..functions.columns import cut_points, place_within
+from ..functions.columns import cut_points, exact_quantiles, finite, numeric_columns, place_within
 from ..functions.shared import fresh_path
 from . import decide, metrics, profile, tuning, validate
 from . import rows as row_filters
@@ -509,7 +509,10 @@ def fit(df: DataFrame, config: FitConfig) -> FittedModel:
     if config.clean == "auto" or config.leakage in ("drop", "error"):
         drop = validate.columns_to_drop(profile.profile(train.select(*features, *targets), targets, None, task), config.clean, config.leakage)
     cleaner = Cleaner(fill=config.fill, distribution=config.distribution, scaling=config.scaling, drop=drop, key=config.key)
-    cleaner.fit(train, features, targets[0] if task in ("binary", "multiclass") else None)
+    # The quantiles of all that is fitted below, at once.
+    numbers, points = [c for c in numeric_columns(train) if c in features and c not in drop], sorted({*cleaner.points, *decide.OOD_POINTS, *decide.drift_points()})
+    known = {c: dict(zip(points, q, strict=True)) if q else None for c, q in exact_quantiles(train, {c: finite(c) for c in numbers}, points).items()}
+    cleaner.fit(train, features, targets[0] if task in ("binary", "multiclass") else None, known)
     classes = sorted(str(r[0]) for r in train.select(targets[0]).distinct().collect()) if task in ("binary", "multiclass") else []
     model = FittedModel(config, task, cleaner, classes=classes)
     many = max(2, len(classes))
@@ -548,9 +551,9 @@ def fit(df: DataFrame, config: FitConfig) -> FittedModel:
     if held is not None:
         _fit_uncertainty(model, held, labels)
     numeric = cleaner.state["numeric"]
-    model.ood = decide.ood_reference(train, numeric) if numeric else {}
+    model.ood = decide.ood_reference(train, numeric, known) if numeric else {}
     model.ood_threshold = decide.ood_threshold(train, model.ood) if numeric else 0.35
-    model.drift = {"numeric": decide.numeric_reference(train, numeric) if numeric else {}, "categorical": {c: decide.categorical_reference(train, c) for c in cleaner.state["values"]}}
+    model.drift = {"numeric": decide.numeric_reference(train, numeric, known=known) if numeric else {}, "categorical": {c: decide.categorical_reference(train, c) for c in cleaner.state["values"]}}
     model.metrics = evaluate(model, ready(test), labels, group) | decide.ood_metrics(model.ood_scores(test), "ood_score", model.ood_threshold).first().asDict()
     for df in (every, parts, kept):
         if df is not None:

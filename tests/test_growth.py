@@ -1,7 +1,10 @@
 """That work is dealt over all tasks, and passes aren't repeated, at sizes where that matters."""
 
+import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
+from tessera.functions import columns
 from tessera.operators import split
 
 
@@ -22,3 +25,15 @@ def test_stratified_split_does_not_gather_classes(spark):
     finally:
         for k, v in old.items():
             spark.conf.set(k, v)
+
+
+def test_exact_quantiles_of_large_data_use_no_percentile(spark, monkeypatch):
+    rng = np.random.default_rng(2)
+    x, y = rng.normal(size=4000), rng.integers(0, 4, 4000) / 8
+    df = spark.createDataFrame([(float(a), float(b)) for a, b in zip(x, y, strict=True)], "a double, b double").repartition(4)
+    points = [0.0, 0.005, 0.1, 0.25, 0.5, 0.75, 0.995, 1.0]
+    monkeypatch.setattr(columns, "DIRECT_BYTES", 0)
+    monkeypatch.setattr(columns.F, "percentile", lambda *_: pytest.fail("a percentile of all rows"))
+    found = columns.exact_quantiles(df, {c: columns.finite(c) for c in "ab"}, points)
+    for c, v in (("a", x), ("b", y)):
+        assert found[c] == pytest.approx(np.quantile(v, points))
