@@ -275,6 +275,19 @@ def _added(block: Block, rounds: list[list[Tree]]) -> Block:
 
 # ---- the fitted model
 
+def _matrix(x: pa.Array) -> np.ndarray:
+    """An array column of equal lengths as [rows, values]."""
+    return np.asarray(x.flatten().to_numpy(zero_copy_only=False), float).reshape(len(x), -1)
+
+
+def _lists(x: np.ndarray) -> pa.Array:
+    """A column of (nested) arrays of the shape of ``x`` beyond its first axis."""
+    out = pa.array(np.ascontiguousarray(x, float).ravel())
+    for n in reversed(x.shape[1:]):
+        out = pa.ListArray.from_arrays(pa.array(np.arange(0, len(out) + 1, n, dtype=np.int32)), out)
+    return out
+
+
 class _Shares(list):
     def toArray(self) -> np.ndarray:
         return np.array(self)
@@ -316,17 +329,17 @@ class BoostedModel:
     def transform(self, df: DataFrame) -> DataFrame:
         model, kind = self, self.kind
 
-        @F.pandas_udf("array<double>")
-        def scores(x: pd.Series) -> pd.Series:
+        @F.arrow_udf("array<double>")
+        def scores(x: pa.Array) -> pa.Array:
             if not len(x):
-                return pd.Series([], dtype=object)
-            raw = model.raw(np.stack(x.to_list()).astype(float))
+                return pa.array([], pa.list_(pa.float64()))
+            raw = model.raw(_matrix(x))
             if kind == "binary":
                 p = 1 / (1 + np.exp(-np.clip(raw[0], -40, 40)))
                 raw = np.stack((1 - p, p))
             elif kind == "multiclass":
                 raw = _softmax(raw)
-            return pd.Series(raw.T.tolist())
+            return _lists(raw.T)
 
         out = df.withColumn("__scores", scores(_array(df, self.features_col)))
         if kind in ("regression", "ranking"):
@@ -352,11 +365,11 @@ class BoostedModel:
         """``df`` with each row's tree SHAP values, an array a class of features and, last, the expected score."""
         model = self
 
-        @F.pandas_udf("array<array<double>>")
-        def values(x: pd.Series) -> pd.Series:
+        @F.arrow_udf("array<array<double>>")
+        def values(x: pa.Array) -> pa.Array:
             if not len(x):
-                return pd.Series([], dtype=object)
-            return pd.Series(model.contributions(np.stack(x.to_list()).astype(float)).transpose(1, 0, 2).tolist())
+                return pa.array([], pa.list_(pa.list_(pa.float64())))
+            return _lists(model.contributions(_matrix(x)).transpose(1, 0, 2))
 
         return df.withColumn(name, values(_array(df, self.features_col)))
 

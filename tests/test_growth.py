@@ -1,11 +1,12 @@
 """That work is dealt over all tasks, and passes aren't repeated, at sizes where that matters."""
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from tessera.functions import columns
-from tessera.operators import split
+from tessera.operators import boosting, split
 
 
 def _plan(df) -> str:
@@ -37,3 +38,9 @@ def test_exact_quantiles_of_large_data_use_no_percentile(spark, monkeypatch):
     found = columns.exact_quantiles(df, {c: columns.finite(c) for c in "ab"}, points)
     for c, v in (("a", x), ("b", y)):
         assert found[c] == pytest.approx(np.quantile(v, points))
+
+
+def test_scores_travel_as_arrow():
+    x = np.arange(24.0).reshape(2, 3, 4)
+    assert boosting._lists(x).to_pylist() == x.tolist() and boosting._lists(x[:, 0]).to_pylist() == x[:, 0].tolist()
+    assert boosting._matrix(pa.array([[1.0, None], [3.0, 4.0]]).slice(1)).tolist() == [[3.0, 4.0]]
