@@ -289,6 +289,7 @@ def train(df: DataFrame, columns: list[str], task: str, key: str, classes: int =
     if strategy not in ("auto", "single", "voting", "stacking"):
         raise ConfigError("strategy is auto, single, voting or stacking")
     pool = candidate_pool(columns, groups, fusion, families, candidates)
+    df = df.persist()  # folds are dealt once; every candidate of every fold reads these rows
     oof = out_of_fold(pool, df, task, classes, trees, deadline, seed).persist()
     parts = meta_split(oof, key, seed=seed)
     fit, judge = parts.where(~F.col("is_select")), parts.where("is_select")
@@ -314,4 +315,5 @@ def train(df: DataFrame, columns: list[str], task: str, key: str, classes: int =
     for i, c in used.items():
         models[i] = fit_members([c], df, task, classes, trees, seed)[0].setFeaturesCol(f"__p_{i}")
     oof.unpersist()
+    df.unpersist()
     return Ensemble(best, task, pool, members, weights, models, stack if best == "stacking" else None, threshold, found)

@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tessera.functions import columns
-from tessera.operators import boosting, split
+from tessera.operators import boosting, ensemble, split
 
 
 def _plan(df) -> str:
@@ -44,3 +44,17 @@ def test_scores_travel_as_arrow():
     x = np.arange(24.0).reshape(2, 3, 4)
     assert boosting._lists(x).to_pylist() == x.tolist() and boosting._lists(x[:, 0]).to_pylist() == x[:, 0].tolist()
     assert boosting._matrix(pa.array([[1.0, None], [3.0, 4.0]]).slice(1)).tolist() == [[3.0, 4.0]]
+
+
+def test_ensemble_deals_folds_once(spark, monkeypatch):
+    """All candidates of all folds read kept rows, not the windows that dealt the folds."""
+    seen = []
+
+    def stop(pool, df, *_):
+        seen.append(df.storageLevel.useMemory)
+        raise InterruptedError
+
+    monkeypatch.setattr(ensemble, "out_of_fold", stop)
+    with pytest.raises(InterruptedError):
+        ensemble.train(spark.range(10).selectExpr("id", "CAST(id AS DOUBLE) AS x", "0 AS fold", "1.0D AS label"), ["x"], "binary", "id", families=("linear",))
+    assert seen == [True]
