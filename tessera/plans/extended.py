@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import media, textcount
 from ..functions import text as T
-from ..functions.shared import fresh_path
+from ..functions.shared import fresh_path, stored
 from ..operators import clean, decide, ensemble, learn, metrics, multimodal, quality, rank, split
 from ..sources import tables
 from .registry import HOLES, NUM, ORACLES, QUERIES, SCORED, _key, _round, _t, _text, _unit, cte, query
@@ -331,7 +331,7 @@ _STACK = ["l_orderkey * 10 + l_linenumber AS id", *NUM, "CASE WHEN l_quantity +
 def _oof_stacking(df: DataFrame) -> DataFrame:
     """Out-of-fold predictions of two learners, stacked."""
     pool = [ensemble.Candidate("linear", "linear", NUM, {}), ensemble.Candidate("forest", "forest", NUM[:2], {"depth": 4})]
-    oof = ensemble.out_of_fold(pool, split.folds(df, "id", 2), "binary", 2, 5)
+    oof = stored(ensemble.out_of_fold(pool, stored(split.folds(df, "id", 2), "folds"), "binary", 2, 5), "oof")  # each read some dozen times
     return ensemble.apply_stack(ensemble.fit_stack(oof, ["p_0", "p_1"], "binary"), oof, ["p_0", "p_1"], "binary", "stacked").select("id", "label", "stacked")
 
 
