@@ -526,11 +526,14 @@ def fit(df: DataFrame, config: FitConfig) -> FittedModel:
         return assembler.transform(cleaner.transform(rows, keep=keep)).select(*keep, "features")
 
     # Cleaned once; every learner and every choice reads these rows.
-    every = ready(train).persist()
+    every = ready(train)
     strata = "label" if task in ("binary", "multiclass") else None
     wants = task in CLASSES and config.calibration != "none" or config.conformal is True or config.conformal == "auto" and task not in ("ranking",)
     kept = calibration_split(every, config.key, strata, seed=config.seed) if wants else None
-    kept = kept if kept is None else kept.persist()  # the cut is made once
+    if kept is None:
+        every.persist()
+    else:
+        kept.persist()  # the cut is made once, and only these rows are kept
     rows, held = (every, None) if kept is None else (kept.where(~F.col("is_calibration")).drop("is_calibration"), kept.where("is_calibration").drop("is_calibration"))
     if config.early_stopping:
         rows = (split_group(rows, group, 0.1, config.seed + 31) if task == "ranking" else split_random(rows, config.key, 0.1, config.seed + 31)).withColumnRenamed("is_test", "held")
