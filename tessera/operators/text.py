@@ -20,10 +20,26 @@ ACCENTED = "àáâãäåçèéêëìíîïñòóôõöùúûüýÿÀÁÂÃÄÅÇ
 PLAIN = "aaaaaaceeeeiiiinooooouuuuyyaaaaaaceeeeiiiinooooouuuuy"
 
 
+def _counted(df: DataFrame, key: str, text: str) -> DataFrame:
+    """__key, __word and tf of each text's lower-cased words, without a shuffle: where its sorted words change."""
+    rows = df.select(F.col(key).alias("__key"), F.array_sort(F.transform(T.words(F.col(text)), F.lower)).alias("__w")).where(F.size("__w") > 0)
+    at = F.filter(F.sequence(F.lit(0), F.size("__w") - 1), lambda i: (i == 0) | (F.get("__w", i) != F.get("__w", i - 1)))
+    rows = rows.withColumn("__at", at)
+    each = rows.select("__key", F.explode(F.transform("__at", lambda i, k: F.struct(F.get("__w", i).alias("__word"), (F.coalesce(F.get("__at", k + 1), F.size("__w")) - i).cast("long").alias("tf")))).alias("r"))
+    return each.select("__key", "r.*")
+
+
 def _weighted(df: DataFrame, key: str, text: str, min_df: int, max_df: float) -> DataFrame:
-    """key, word, df and score of each text's words, (1 + ln tf) * (ln((1 + n) / (1 + df)) + 1).  Words are counted once, in one table."""
-    n = df.count()
-    each = df.select(F.col(key).alias("__key"), F.explode(F.transform(T.words(F.col(text)), F.lower)).alias("__word")).groupBy("__key", "__word").agg(F.count("*").alias("tf"))
+    """key, word, df and score of each text's words, (1 + ln tf) * (ln((1 + n) / (1 + df)) + 1).
+
+    A text's words are counted in its own row, sorted, so only words and their
+    numbers of texts are shuffled; rows that share a key are one text, and
+    counted by key and word.
+    """
+    told = df.groupBy(key).agg(F.count("*").alias("n")).agg(F.sum("n").alias("n"), F.max("n").alias("most")).first()
+    n, each = told["n"] or 0, _counted(df, key, text)
+    if (told["most"] or 0) > 1:
+        each = each.groupBy("__key", "__word").agg(F.sum("tf").alias("tf"))
     idf = each.groupBy("__word").agg(F.count("*").alias("df")).where((F.col("df") >= min_df) & (F.col("df") <= max_df * n))
     score = (1 + F.log(F.col("tf").cast("double"))) * (F.log((F.lit(1.0) + n) / (1.0 + F.col("df"))) + 1)
     return each.join(idf, "__word").select("__key", "__word", "df", score.alias("score"))
