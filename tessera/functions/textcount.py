@@ -14,7 +14,6 @@ from __future__ import annotations
 import functools
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column
@@ -31,7 +30,8 @@ SCRIPTS = ("latin", "arabic", "cyrillic", "han", "hiragana", "katakana", "hangul
 URL, EMAIL = r"https?://[^ \n]+", r"[A-Za-z0-9._+-]+@[A-Za-z0-9-]+\.[A-Za-z0-9.-]+"
 NAMES = ("chars", "words", "sentences", "lines", "questions", "exclamations", "digit", "alpha", "upper", "lower", "space", "punctuation", "symbol", "non_ascii", *SCRIPTS, "urls", "emails",
          "repeats", "symbols", "unique_ratio", "log_ttr", "per_root_char", "word_mean", "word_max", "word_std", "hapax_ratio", "newline_ratio", "numeric_ratio", "empty", "token_entropy", "char_entropy")
-PART = 4_000_000  # characters counted together, or one text
+PART = 500_000  # characters counted together, or one text: some hundred bytes each while they are counted
+ROWS = 256  # texts that are Python strings at once
 
 
 @functools.cache
@@ -40,12 +40,11 @@ def _classes() -> tuple[np.ndarray, np.ndarray]:
     import regex
 
     every = "".join(map(chr, [c if not 0xD800 <= c < 0xE000 else 0 for c in range(0x110000)]))
-    flags = np.zeros((0x110000, len(CLASSES)), bool)
+    bits = np.zeros(0x110000, np.int64)  # one number a code point: a table of flags would take a hundred MB
     for i, pattern in enumerate(CLASSES.values()):
         for m in regex.finditer(f"(?:{pattern})+", every):
-            flags[m.start(): m.end(), i] = True
-    flags[0xD800:0xE000] = False
-    bits = flags @ (1 << np.arange(len(CLASSES)))
+            bits[m.start(): m.end()] |= 1 << i
+    bits[0xD800:0xE000] = 0
     values, number = np.unique(bits, return_inverse=True)
     return number.astype(np.int64), ((values[:, None] >> np.arange(len(CLASSES))) & 1).astype(np.int64)
 
@@ -130,8 +129,9 @@ def features(texts: list[str | None]) -> np.ndarray:
 def handcrafted(c: Column) -> Column:
     """An array of the features of a text column, in the order of ``NAMES``."""
 
-    @F.pandas_udf("array<double>")
-    def run(x: pd.Series) -> pd.Series:
-        return pd.Series(features([t if isinstance(t, str) else None for t in x]).tolist(), dtype=object)
+    @F.arrow_udf("array<double>")
+    def run(x: pa.Array) -> pa.Array:
+        out = np.concatenate([np.zeros((0, len(NAMES))), *(features(x.slice(at, ROWS).to_pylist()) for at in range(0, len(x), ROWS))])
+        return pa.ListArray.from_arrays(pa.array(np.arange(0, out.size + 1, len(NAMES), dtype=np.int32)), pa.array(out.ravel()))
 
     return run(c.cast("string"))

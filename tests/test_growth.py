@@ -5,8 +5,8 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from tessera.functions import columns
-from tessera.operators import boosting, ensemble, split
+from tessera.functions import columns, media, textcount
+from tessera.operators import boosting, ensemble, split, text
 
 
 def _plan(df) -> str:
@@ -58,3 +58,27 @@ def test_ensemble_deals_folds_once(spark, monkeypatch):
     with pytest.raises(InterruptedError):
         ensemble.train(spark.range(10).selectExpr("id", "CAST(id AS DOUBLE) AS x", "0 AS fold", "1.0D AS label"), ["x"], "binary", "id", families=("linear",))
     assert seen == [True]
+
+
+def test_tfidf_shuffles_no_texts_and_keeps_shared_keys(spark):
+    texts = [(1, "b a A ß b"), (2, "a c"), (3, None), (4, "  "), (5, "c b")]
+    df = spark.createDataFrame(texts, "id long, t string")
+    each = text._counted(df, "id", "t")
+    assert "Exchange" not in _plan(each)
+    assert {tuple(r) for r in each.collect()} == {(1, "a", 2), (1, "b", 2), (1, "ß", 1), (2, "a", 1), (2, "c", 1), (5, "b", 1), (5, "c", 1)}
+    shared = spark.createDataFrame([(1, "a b"), (1, "a"), (2, "a b")], "id long, t string")
+    found = {(r["__key"], r["__word"]): (r["df"], round(r["score"], 9)) for r in text._weighted(shared, "id", "t", 1, 1.0).collect()}
+    assert found[1, "a"] == (2, round((1 + np.log(2)) * (np.log(4 / 3) + 1), 9)) and len(found) == 4
+
+
+def test_features_of_text_and_media_are_made_in_small_parts(spark, monkeypatch):
+    """Texts become Python strings some at a time, and features no Python lists; results don't depend on it."""
+    seen, real = [], textcount.features
+    monkeypatch.setattr(textcount, "features", lambda texts: seen.append(len(texts)) or real(texts))
+    monkeypatch.setattr(textcount.F, "arrow_udf", lambda _: lambda run: lambda c: run)
+    run = textcount.handcrafted(F.lit(""))
+    words = pa.array([f"w{i} x" if i % 7 else None for i in range(600)])
+    assert np.array(run(words).to_pylist()) == pytest.approx(real(words.to_pylist())) and max(seen) <= textcount.ROWS
+    monkeypatch.setattr(media.F, "arrow_udf", lambda _: lambda run: lambda c: run)
+    made = media.guarded(lambda x: [x.sum(), len(x)], 2, "warn")(None)(pa.array([[1.0, 2.0], None, [], [4.0]])).to_pylist()
+    assert made == [{"features": [3.0, 2.0], "error": None}] + [{"features": [0.0, 0.0], "error": None}] * 2 + [{"features": [4.0, 1.0], "error": None}]
