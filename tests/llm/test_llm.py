@@ -710,3 +710,27 @@ def test_every_context_has_a_memory():
     sizes, codes = np.array([3, 0, 40]), np.arange(43, dtype=np.uint32) % 7
     cells, keys = pseudo_likelihood.memory_keys(sizes, codes)
     assert cells.tolist() == list(range(43)) and len(keys) == 43
+
+
+def test_memory_travels_in_blobs_and_counts_all_units(spark):
+    r = random.Random(3)
+    parts = [np.array(r.choices(range(3), k=n), np.uint32) for n in (700, 1, 900, 0)]
+    sizes = [np.array([len(c) // 2, len(c) - len(c) // 2], np.int32) for c in parts]
+    dealt = spark.createDataFrame([(i, bytearray(s.tobytes()), bytearray(c.tobytes())) for i, (s, c) in enumerate(zip(sizes, parts, strict=True))], "unit int, sizes binary, codes binary")
+    keys = [pseudo_likelihood.memory_keys(s.astype(np.int64), c)[1].view(np.uint64) for s, c in zip(sizes, parts, strict=True)]
+    same, any_ = Counter(chain(*(k.tolist() for k in keys))), Counter(chain(*((k >> np.uint64(16)).tolist() for k in keys)))
+    for ranges in (1, 5):
+        rows = pseudo_likelihood.memory(dealt, ranges).orderBy("unit", "part").collect()
+        assert len(rows) <= 3 * ranges
+        for i, own in enumerate(np.unique(k) for k in keys):
+            got = [np.concatenate([np.zeros(0, np.uint64), *(pseudo_likelihood._wide(x[c], x["many"]) for x in rows if x["unit"] == i)]).tolist() for c in ("same", "any_")]
+            assert got == [[same[k] for k in own.tolist()], [any_[k >> 16] for k in own.tolist()]]
+    x = np.array([0, 255, 256, 2**63], np.uint64)
+    assert all((pseudo_likelihood._wide(pseudo_likelihood._narrow(x[:n]), n) == x[:n]).all() for n in (1, 2, 3, 4)) and len(pseudo_likelihood._narrow(x[:3])) == 6
+
+
+def test_long_rare_words_in_equal_contexts_have_finite_scores(spark):
+    r = random.Random(4)
+    texts = [f"{t} aa bb {''.join(r.choices('qwertzuiopasdfgh', k=900))} cc dd" for t in (" ".join(words(160, k)) for k in range(300))]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert all(np.isfinite(x["pseudo_loglik"]) for x in pseudo_likelihood.train_and_score(df).collect())
