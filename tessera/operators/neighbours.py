@@ -7,7 +7,9 @@ so of two blocks the shared columns are known and their boxes bound all distance
 between them from below.  A block of rows with gaps first meets its nearest
 blocks, until each gap has k neighbours; the k-th distances then tell which
 other blocks can hold a nearer one, and only these are met.  The result is that
-of comparing all pairs; ties go by the rows' numbers.
+of comparing all pairs; ties go by the rows' numbers.  Equal rows are equally far,
+so of equal reference rows only the k first can be among the nearest, and equal
+rows with gaps are looked up once.
 """
 
 from __future__ import annotations
@@ -131,7 +133,7 @@ def _pairs_rest(boxes: Boxes):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            left, right = [], []
+            left, right, bounds = [], [], []
             for block, pattern, low, high, limits, met in zip(*(b.column(c).to_pylist() for c in ("block", "pattern", "low", "high", "limits", "met")), strict=True):
                 there = _there(pattern)
                 bound = boxes.bound(there, np.array(low), np.array(high))
@@ -142,17 +144,18 @@ def _pairs_rest(boxes: Boxes):
                 other = boxes.block[reach & ~np.isin(boxes.block, np.array(met or [], np.int64))]
                 left += [block] * len(other)
                 right += other.tolist()
-            yield pa.RecordBatch.from_arrays([pa.array(left, pa.int64()), pa.array(right, pa.int64())], names=["block", "other"])
+                bounds += [limits] * len(other)
+            yield pa.RecordBatch.from_arrays([pa.array(left, pa.int64()), pa.array(right, pa.int64()), pa.array(bounds, pa.list_(pa.float64()))], names=["block", "other", "limits"])
 
     return run
 
 
 def _meet(width: int, k: int):
-    """Pairs of blocks to the k nearest of each (row, missing column): number, gap, and arrays of squared distances, numbers and values."""
+    """Pairs of blocks to the k nearest of each (row, missing column), none beyond the block's limit: number, gap, and arrays of squared distances, numbers and values."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for pattern, x, numbers, other_pattern, y, others in zip(*(b.column(c).to_pylist() for c in ("pattern", "x", "numbers", "other_pattern", "y", "others")), strict=True):
+            for pattern, x, numbers, other_pattern, y, others, limits in zip(*(b.column(c).to_pylist() for c in ("pattern", "x", "numbers", "other_pattern", "y", "others", "limits")), strict=True):
                 there, holds = _there(pattern), _there(other_pattern)
                 shared = np.flatnonzero(there & holds)
                 gaps = np.flatnonzero(~there & holds)
@@ -165,13 +168,18 @@ def _meet(width: int, k: int):
                         apart += (some[:, c: c + 1] - r[:, c]) ** 2
                     apart = apart / len(shared) * width
                     order = np.argsort(others, kind="stable")
+                    if limits and len(gaps):  # only what may be near is sorted
+                        order = order[(apart <= max(np.inf if limits[j] is None else limits[j] for j in gaps)).any(0)[order]]
                     near = order[np.argsort(apart[:, order], 1, kind="stable")[:, :k]]
                     d = np.take_along_axis(apart, near, 1)
                     for j in gaps:
-                        m, w = near.shape
-                        offsets = pa.array(np.arange(0, m * w + 1, w, dtype=np.int32))
-                        lists = [pa.ListArray.from_arrays(offsets, pa.array(v.ravel())) for v in (d, others[near], r[near, j])]
-                        yield pa.RecordBatch.from_arrays([pa.array(numbers[at: at + PART]), pa.array(np.full(m, j, np.int32)), *lists], names=["number", "gap", "d", "other", "value"])
+                        limit = limits[j] if limits and limits[j] is not None else np.inf
+                        some = d <= limit  # sorted, so the first ones of each row
+                        many = some.sum(1)
+                        own = many > 0
+                        offsets = pa.array(np.concatenate(([0], np.cumsum(many[own]))).astype(np.int32))
+                        lists = [pa.ListArray.from_arrays(offsets, pa.array(v[some])) for v in (d, others[near], r[near, j])]
+                        yield pa.RecordBatch.from_arrays([pa.array(numbers[at: at + PART][own]), pa.array(np.full(int(own.sum()), j, np.int32)), *lists], names=["number", "gap", "d", "other", "value"])
 
     return run
 
@@ -183,9 +191,16 @@ def _best(found: DataFrame, k: int) -> DataFrame:
     return each.withColumn("place", place).where(F.col("place") <= k)
 
 
+def _firsts(rows: DataFrame, k: int) -> DataFrame:
+    """The ``k`` first of equal rows, by number; tasks drop the others before they are shuffled."""
+    place = F.row_number().over(Window.partitionBy("x").orderBy("number"))
+    return rows.withColumn("place", place).where(F.col("place") <= k).drop("place")
+
+
 def nearest(queries: DataFrame, reference: DataFrame, columns: list[str], k: int) -> DataFrame:
     """Of every row of ``queries`` (number, x) and each of its missing columns the k nearest rows of ``reference`` that have it: number, gap, d (squared), other, value, place."""
     width = len(columns)
+    reference = stored(_firsts(reference, k), "points")
     spread = reference.agg(*[F.stddev_pop(F.when(~F.isnan(F.get("x", F.lit(i))), F.get("x", F.lit(i)))).alias(f"s{i}") for i in range(width)], F.count("*").alias("n")).first()
     wide = sorted(range(width), key=lambda i: -(spread[f"s{i}"] or 0.0))
     size = max(ROWS, -(-spread["n"] // BOXES))
@@ -198,10 +213,10 @@ def nearest(queries: DataFrame, reference: DataFrame, columns: list[str], k: int
         left = gaps.select("block", "pattern", "x", "numbers")
         right = held.select(F.col("block").alias("other"), F.col("pattern").alias("other_pattern"), F.col("x").alias("y"), F.col("numbers").alias("others"))
         both = pairs.join(left, "block").join(right, "other").repartition(parts, "block", "other")
-        return both.select("pattern", "x", "numbers", "other_pattern", "y", "others").mapInArrow(_meet(width, k), "number long, gap int, d array<double>, other array<long>, value array<double>")
+        return both.select("pattern", "x", "numbers", "other_pattern", "y", "others", "limits").mapInArrow(_meet(width, k), "number long, gap int, d array<double>, other array<long>, value array<double>")
 
     pairs = stored(gaps.select("block", "pattern", "low", "high").mapInArrow(_pairs_first(boxes, k), "block long, other long"), "pairs")
-    first = stored(_best(met(pairs), k), "near")
+    first = stored(_best(met(pairs.withColumn("limits", F.lit(None).cast("array<double>"))), k), "near")
     own = gaps.select("block", "pattern", "numbers").mapInArrow(_members, "block long, number long, pattern string")
     kth = first.groupBy("number", "gap").agg(F.max("d").alias("d"), F.count("*").alias("n"))
     need = own.withColumn("gap", F.explode(F.sequence(F.lit(0), F.lit(width - 1)))).where(F.substring("pattern", F.col("gap") + 1, F.lit(1)) == "0")
@@ -209,7 +224,7 @@ def nearest(queries: DataFrame, reference: DataFrame, columns: list[str], k: int
     limits = reach.groupBy("block").agg(F.map_from_entries(F.collect_list(F.struct("gap", "limit"))).alias("by"))
     limits = limits.select("block", F.transform(F.sequence(F.lit(0), F.lit(width - 1)), lambda j: F.element_at("by", j)).alias("limits"))
     before = pairs.groupBy("block").agg(F.collect_list("other").alias("met"))  # a few blocks each
-    rest = gaps.select("block", "pattern", "low", "high").join(limits, "block", "left").join(before, "block", "left").mapInArrow(_pairs_rest(boxes), "block long, other long")
+    rest = gaps.select("block", "pattern", "low", "high").join(limits, "block", "left").join(before, "block", "left").mapInArrow(_pairs_rest(boxes), "block long, other long, limits array<double>")
     more = _best(met(stored(rest, "pairs")), k)
     both = first.drop("place").unionByName(more.drop("place"))
     return both.withColumn("place", F.row_number().over(Window.partitionBy("number", "gap").orderBy("d", "other"))).where(F.col("place") <= k)
@@ -228,16 +243,19 @@ def impute(df: DataFrame, reference: DataFrame, columns: list[str], k: int, medi
     Rows at distance 0 stand for all others; without a neighbour the median does.
     Rows without gaps pass; only the others meet the reference and are joined.
     """
-    rows = stored(df.withColumns({c: finite(c) for c in columns}).withColumn("__row", F.monotonically_increasing_id()), "rows")
-    near = nearest(numbered(rows, columns, "__row"), reference, columns, k)
+    nan = F.lit(float("nan"))
+    x = F.array(*[F.coalesce(F.col(f"`{c}`"), nan) for c in columns])
+    rows = stored(df.withColumns({c: finite(c) for c in columns}).withColumn("__x", x), "rows")
+    points = stored(rows.where(F.exists("__x", F.isnan)).select(F.col("__x").alias("x")).distinct().withColumn("number", F.monotonically_increasing_id()), "holes")
+    near = nearest(points.select("number", "x"), reference, columns, k)
     same = F.col("d") == 0
     value = F.when(F.max(same.cast("int")) == 1, F.avg(F.when(same, F.col("value")))).otherwise(F.sum(F.when(~same, F.col("value") / F.sqrt("d"))) / F.sum(F.when(~same, 1 / F.sqrt("d"))))
     filled = near.groupBy("number", "gap").agg(value.alias("value")).groupBy("number").pivot("gap", list(range(len(columns)))).agg(F.first("value"))
-    filled = filled.select(F.col("number").alias("__row"), *[F.col(f"`{i}`").alias(f"__fill_{i}") for i in range(len(columns))])
+    filled = points.join(filled, "number").select(F.col("x").alias("__x"), *[F.col(f"`{i}`").alias(f"__fill_{i}") for i in range(len(columns))])
     hole = F.lit(False)
     for c in columns:
         hole = hole | F.col(f"`{c}`").isNull()
-    done = rows.where(hole).join(filled, "__row", "left").withColumns(
+    done = rows.where(hole).join(filled, "__x", "left").withColumns(
         {c: F.coalesce(F.col(f"`{c}`"), F.col(f"__fill_{i}"), F.lit(float(medians[i]) if medians[i] is not None else None).cast("double")) for i, c in enumerate(columns)})
     back = [F.col(f"`{c}`") for c in df.columns]
     return rows.where(~hole).select(*back).unionByName(done.select(*back))

@@ -113,6 +113,31 @@ def test_blocks_that_are_too_far_are_not_met(spark):
         assert got[i] == pytest.approx((x[others[order], 1] / d[order]).sum() / (1 / d[order]).sum())
 
 
+def test_equal_rows_are_looked_up_once(spark, monkeypatch):
+    """Copies of rows add neither lookups nor reference rows beyond k each, and change no result."""
+    rows = [(i, float(i % 5), None if i % 7 == 0 else float(i % 35), None if i % 11 == 0 else float(i % 3)) for i in range(3850)]
+    df = spark.createDataFrame(rows, "id long, a double, b double, c double").repartition(4)
+    seen, blocks = [], neighbours.blocks
+
+    def counted(some, *args):
+        seen.append(some.count())
+        return blocks(some, *args)
+
+    monkeypatch.setattr(neighbours, "blocks", counted)
+    state = clean.knn_reference(df, ["a", "b", "c"], "id")
+    got = clean.knn_impute(df, state).orderBy("id").collect()
+    points = {r[1:] for r in rows}
+    assert seen == [sum(None in p for p in points), sum(min(state["k"], sum(r[1:] == p for r in rows)) for p in points)] and len(got) == len(rows)
+    for i in (7, 11, 77, 3773):
+        for j in (j for j in (2, 3) if rows[i][j] is None):
+            near = []
+            for o in (o for o in rows if o[j] is not None):
+                both = [c for c in (1, 2, 3) if rows[i][c] is not None and o[c] is not None]
+                near.append((sum((rows[i][c] - o[c]) ** 2 for c in both) / len(both) * 3, o[0], o[j]))
+            near = sorted(near)[: state["k"]]
+            assert near[0][0] == 0 and got[i][j] == pytest.approx(np.mean([v for d, _, v in near if d == 0]))
+
+
 def test_a_bundle_holds_its_neighbours(spark, tmp_path):
     df = spark.range(300).selectExpr("id", "CAST(id % 20 AS double) AS x", "CASE WHEN id % 6 = 0 THEN NULL ELSE CAST(id % 20 AS double) * 2 END AS z", "CASE WHEN id % 20 > 9 THEN 'yes' ELSE 'no' END AS y")
     model = learn.fit(df, learn.FitConfig(target="y", key="id", trees=3, fill="knn", features=["x", "z"]))
