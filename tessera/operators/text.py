@@ -83,20 +83,56 @@ GRAMS = (3, 4, 5)  # characters of the grams inside a word, which has a space on
 KINDS = (("words", 0.6, 1), ("chars", 0.4, 2))  # share of the vocabulary, and texts that a term is in at least
 
 
+def _times(doc: np.ndarray, term: np.ndarray, times: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The different pairs of a text and a term's number, and how often each occurs."""
+    many = max(1, int(term.max(initial=0)) + 1)
+    keys, at = np.unique(doc * many + term, return_inverse=True)
+    return keys // many, keys % many, np.bincount(at, weights=times, minlength=len(keys)).astype(np.int64) if len(keys) else np.zeros(0, np.int64)
+
+
+def _spread(sizes: np.ndarray, values: np.ndarray, pick: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of lists with ``sizes`` that lie one after the other in ``values``, how long each one of ``pick`` is, and their values."""
+    start, many = (np.cumsum(sizes) - sizes)[pick], sizes[pick]
+    return many, values[np.repeat(start - (np.cumsum(many) - many), many) + np.arange(int(many.sum()))]
+
+
+def _known(texts: list[str | None], places: dict[str, dict[str, int]]) -> dict[str, tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """What ``_terms`` counts, of the terms in ``places`` alone: the text, the term's place and how often; other terms are never made."""
+    words, code, doc = words_of(pa.array([(t or "").translate(_FOLD) for t in texts], pa.large_string()))
+    names = words.to_pylist()
+    own, size = places["words"], max(1, len(names))
+    at = np.array([own.get(w, -1) for w in names], np.int64)[code] if names else code
+    halves = {tuple(t.split(" ")): i for t, i in own.items() if " " in t}
+    needed = {w for pair in halves for w in pair}
+    number = {w: i for i, w in enumerate(names) if w in needed}
+    pairs = sorted((number[a] * size + number[b], i) for (a, b), i in halves.items() if a in number and b in number)
+    keys, values = (np.array([p[k] for p in pairs], np.int64) for k in (0, 1))
+    follows = np.flatnonzero(doc[1:] == doc[:-1])
+    met = code[follows] * size + code[follows + 1]
+    some = np.isin(met, keys)
+    found = values[np.searchsorted(keys, met[some])]
+    out = {"words": _times(np.concatenate((doc[at >= 0], doc[follows[some]])), np.concatenate((at[at >= 0], found)))}
+    grams, sizes, own = [], np.zeros(len(names), np.int64), places["chars"]
+    for i, w in enumerate(names):  # each different word once
+        p = f" {w} "
+        before = len(grams)
+        grams += [c for g in GRAMS for k in range(len(p) - g + 1) if (c := own.get(p[k: k + g])) is not None]
+        sizes[i] = len(grams) - before
+    has = sizes[code] > 0 if names else np.zeros(0, bool)
+    many, gram = _spread(sizes, np.array(grams, np.int64), code[has])
+    out["chars"] = _times(np.repeat(doc[has], many), gram)
+    return out
+
+
 def _terms(texts: list[str | None]) -> dict[str, tuple[list[str], np.ndarray, np.ndarray, np.ndarray]]:
     """Of each kind the different terms, and of each (text, term) that occurs the text, the term and how often: word 1- and 2-grams, and character grams inside words."""
     words, code, doc = words_of(pa.array([(t or "").translate(_FOLD) for t in texts], pa.large_string()))
     names = words.to_pylist()
 
-    def counted(doc: np.ndarray, term: np.ndarray, times: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        many = max(1, int(term.max(initial=0)) + 1)
-        keys, at = np.unique(doc * many + term, return_inverse=True)
-        return keys // many, keys % many, np.bincount(at, weights=times, minlength=len(keys)).astype(np.int64) if len(keys) else np.zeros(0, np.int64)
-
-    one = counted(doc, code)
+    one = _times(doc, code)
     follows = np.flatnonzero(doc[1:] == doc[:-1])
     pair, at = np.unique(code[follows] * max(1, len(names)) + code[follows + 1], return_inverse=True)
-    two = counted(doc[follows], at)
+    two = _times(doc[follows], at)
     size = max(1, len(names))
     both = [*names, *(f"{names[p // size]} {names[p % size]}" for p in pair.tolist())]
     out = {"words": (both, *(np.concatenate(x) for x in ((one[0], two[0]), (one[1], two[1] + len(names)), (one[2], two[2]))))}
@@ -108,10 +144,8 @@ def _terms(texts: list[str | None]) -> dict[str, tuple[list[str], np.ndarray, np
         grams += own
         sizes.append(len(own))
     sizes, grams = np.array(sizes, np.int64), np.array(grams, np.int64)
-    start = np.cumsum(sizes) - sizes
-    many = sizes[one[1]]
-    at = np.repeat(start[one[1]] - (np.cumsum(many) - many), many) + np.arange(int(many.sum()))
-    out["chars"] = (list(number), *counted(np.repeat(one[0], many), grams[at], np.repeat(one[2], many)))
+    many, gram = _spread(sizes, grams, one[1])
+    out["chars"] = (list(number), *_times(np.repeat(one[0], many), gram, np.repeat(one[2], many)))
     return out
 
 
@@ -142,15 +176,13 @@ class Lexical:
     def vectors(self, texts: list[str | None]) -> np.ndarray:
         """The unit-length TF-IDF vectors [texts, vocabulary]."""
         out, done = np.zeros((len(texts), self.width)), 0
+        places = {kind: {t: i for i, t in enumerate(self.terms[kind])} for kind, _, _ in KINDS}
         for part in _parts(texts):
-            found, column = _terms(part), 0
+            found, column = _known(part, places), 0
             for kind, _, _ in KINDS:
-                place = {t: i for i, t in enumerate(self.terms[kind])}
-                names, doc, term, times = found[kind]
-                at = np.array([place.get(t, -1) for t in names], np.int64)[term] if len(names) else np.zeros(0, np.int64)
-                some = at >= 0
-                np.add.at(out, (doc[some] + done, at[some] + column), times[some] * np.array(self.idf[kind])[at[some]] if some.any() else 0.0)
-                column += len(place)
+                doc, term, times = found[kind]
+                out[doc + done, term + column] = times * np.array(self.idf[kind])[term] if len(term) else 0.0
+                column += len(places[kind])
             done += len(part)
         size = np.sqrt((out * out).sum(1, keepdims=True))
         return out / np.where(size > 0, size, 1.0)

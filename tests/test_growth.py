@@ -82,3 +82,22 @@ def test_features_of_text_and_media_are_made_in_small_parts(spark, monkeypatch):
     monkeypatch.setattr(media.F, "arrow_udf", lambda _: lambda run: lambda c: run)
     made = media.guarded(lambda x: [x.sum(), len(x)], 2, "warn")(None)(pa.array([[1.0, 2.0], None, [], [4.0]])).to_pylist()
     assert made == [{"features": [3.0, 2.0], "error": None}] + [{"features": [0.0, 0.0], "error": None}] * 2 + [{"features": [4.0, 1.0], "error": None}]
+
+
+def test_vectors_make_no_terms_outside_the_vocabulary(monkeypatch):
+    texts = ["one two one two three", None, "", "Òne twó", "two one", "??", "three " * 4 + "one"] * 3
+    names, *_ = text._terms(texts)["words"]
+    grams, *_ = text._terms(texts)["chars"]
+    terms = {"words": [*names[::2], "absent one", "absent"], "chars": [*grams[::3], "zzz"]}
+    made = text.Lexical(terms, {k: [1 + i / 8 for i in range(len(v))] for k, v in terms.items()}, np.zeros((0, 0)), [])
+    want, column = np.zeros((len(texts), made.width)), 0
+    for kind, _, _ in text.KINDS:
+        every, doc, term, times = text._terms(texts)[kind]
+        for d, t, n in zip(doc, term, times, strict=True):
+            if every[t] in terms[kind]:
+                want[d, column + terms[kind].index(every[t])] = n * made.idf[kind][terms[kind].index(every[t])]
+        column += len(terms[kind])
+    size = np.sqrt((want * want).sum(1, keepdims=True))
+    monkeypatch.setattr(text, "_terms", lambda *_: pytest.fail("every term is made"))
+    assert (made.vectors(texts) == want / np.where(size > 0, size, 1.0)).all() and made.vectors([]).shape == (0, made.width)
+    assert text.Lexical({"words": [], "chars": []}, {"words": [], "chars": []}, np.zeros((0, 0)), []).vectors(texts).shape == (len(texts), 0)
