@@ -11,7 +11,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..errors import ConfigError, DataError
+from ..errors import ConfigError
 
 #: Sizes from which the family that scales best is taken, and the signs of categorical data.
 LARGE_ROWS, LARGE_CELLS, WIDE, LARGE_RANKING, CATEGORICAL_ROWS, CATEGORICAL_SHARE, MANY_CATEGORIES = 250_000, 30_000_000, 300, 75_000, 200_000, 0.08, 50
@@ -177,12 +177,14 @@ def resource_plan(spark: SparkSession) -> ResourcePlan:
     return ResourcePlan(spark.sparkContext.defaultParallelism, executors, max(128, _megabytes(memory)), int(spark.conf.get("spark.sql.shuffle.partitions")))
 
 
-def check_memory(rows: int, features: int, plan: ResourcePlan) -> None:
-    """Refuses a matrix whose share of an executor doesn't fit 85 % of its memory: twice the doubles, or the doubles and 32 MB."""
+def memory_note(rows: int, features: int, plan: ResourcePlan) -> str | None:
+    """A note where a matrix's share of an executor, twice the doubles or the doubles and 32 MB, takes over 85 % of its memory.
+
+    No learner needs the matrix in memory: what doesn't fit is kept on disk.
+    """
     raw = rows * features * 8 / 1024 / 1024 / plan.executors
     need = max(2 * raw, raw + 32)
-    if need > 0.85 * plan.executor_mb:
-        raise DataError(f"a matrix of {rows} x {features} needs {need:.0f} MB an executor of {plan.executor_mb}")
+    return f"a matrix of {rows} x {features} would need {need:.0f} MB an executor of {plan.executor_mb}: kept rows go to disk in part" if need > 0.85 * plan.executor_mb else None
 
 
 @dataclass

@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tessera.functions import columns, media, textcount
-from tessera.operators import boosting, ensemble, split, text
+from tessera.operators import boosting, ensemble, learn, split, text, tuning
 
 
 def _plan(df) -> str:
@@ -101,3 +101,11 @@ def test_vectors_make_no_terms_outside_the_vocabulary(monkeypatch):
     monkeypatch.setattr(text, "_terms", lambda *_: pytest.fail("every term is made"))
     assert (made.vectors(texts) == want / np.where(size > 0, size, 1.0)).all() and made.vectors([]).shape == (0, made.width)
     assert text.Lexical({"words": [], "chars": []}, {"words": [], "chars": []}, np.zeros((0, 0)), []).vectors(texts).shape == (len(texts), 0)
+
+
+def test_a_matrix_beyond_memory_is_fitted_and_noted(spark, monkeypatch):
+    """Kept rows go to disk: no learner needs the matrix in memory, so size is no error."""
+    monkeypatch.setattr(learn.tuning, "resource_plan", lambda _: tuning.ResourcePlan(4, 1, 1, 4))
+    df = spark.range(400).selectExpr("id", "CAST(id % 17 AS DOUBLE) AS x", "CAST(id % 17 * 2 AS DOUBLE) AS y")
+    model = learn.fit(df, learn.FitConfig(target="y", key="id", task="regression", learner="linear"))
+    assert any("matrix" in n for n in model.notes) and model.predict(df, ["id"]).count() == 400
