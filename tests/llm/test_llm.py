@@ -734,3 +734,18 @@ def test_long_rare_words_in_equal_contexts_have_finite_scores(spark):
     texts = [f"{t} aa bb {''.join(r.choices('qwertzuiopasdfgh', k=900))} cc dd" for t in (" ".join(words(160, k)) for k in range(300))]
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     assert all(np.isfinite(x["pseudo_loglik"]) for x in pseudo_likelihood.train_and_score(df).collect())
+
+
+def test_many_ids_go_as_bitmaps_and_shuffle_no_texts(spark, monkeypatch):
+    """Beyond ``FAR_IDS`` ids the rows are told apart by exact bitmaps; ids too far apart for these are joined."""
+    ids = [0, 1, -1, 32767, 32768, 32769, -32768, (1 << 33) + 5, -(1 << 63), (1 << 63) - 1, *range(100, 400)]
+    picked = [v for v in ids if v % 3 == 0 or v == -(1 << 63)]
+    rows = spark.createDataFrame([(v, "t") for v in ids] + [(None, "t")], "x long, text string")
+    some = spark.createDataFrame([(v,) for v in picked], "x long")
+    monkeypatch.setattr(ngram_join, "FAR_IDS", 0)
+    for most in (8192, 1):
+        monkeypatch.setattr(common, "BITMAPS", most)
+        kept, left = ngram_join.only(rows, some, "x", "bits"), ngram_join.without(rows, some, "x", "bits")
+        assert {r["x"] for r in kept.collect()} == set(picked) and {r["x"] for r in left.collect()} == set(ids) - set(picked) | {None}
+        if most > 1:
+            assert "Exchange hashpartitioning" not in left._jdf.queryExecution().executedPlan().toString()
