@@ -20,7 +20,7 @@ def _texts_by_path(spark: SparkSession, d: str) -> DataFrame:
     """Every document as a file below a folder of its language; the folders are scanned, and each task opens the paths of its own rows."""
     folder = fresh_path(spark, "texts")
     texts = _t(spark, d, "documents", ["coalesce(lang, 'none') AS lang", "coalesce(text, '') AS text"]).repartition(tables.FOLDER_TASKS * spark.sparkContext.defaultParallelism)  # a file costs more than its bytes
-    texts.write.partitionBy("lang").option("maxRecordsPerFile", 1).option("mapreduce.fileoutputcommitter.algorithm.version", 2).text(folder)  # tasks move their own files, not the driver all of them
+    tables.write_texts(texts, folder, "lang", "text")
     paths = tables.load_folder(spark, folder, "*.txt").select("label", F.concat(F.lit("path:"), "path").alias("text"))
     read = tables.read_texts(paths, "text", most=1 << 30)
     return read.select("label", F.length("text").cast("long").alias("chars"), F.sha2(F.col("text").cast("binary"), 256).alias("sha256"), F.col("text__error").alias("error"))

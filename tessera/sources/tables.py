@@ -102,6 +102,36 @@ def load_folder(spark: SparkSession, folder: str, pattern: str = "*") -> DataFra
     return files.coalesce(max(64, FOLDER_TASKS * spark.sparkContext.defaultParallelism)).select("path", "content", F.element_at(F.split("path", "/"), -2).alias("label"))
 
 
+def write_texts(df: DataFrame, folder: str, by: str, column: str) -> int:
+    """Every text as a file of its own, with a newline at its end, below ``folder`` in ``<by>=<value>``; how many.
+
+    Each task opens the files of its own rows by the file system that the folder
+    names, as ``read_texts`` does: Spark's writer spends a checksum file, a change
+    of mode and a move on each.  A task that runs again writes the same names.
+    """
+    root = folder.removeprefix("file://") if folder.startswith("file:///") else folder
+
+    def run(batches):
+        from pyarrow import RecordBatch, array, fs
+        from pyspark import TaskContext
+
+        system, top = fs.FileSystem.from_uri(root) if "://" in root else (fs.LocalFileSystem(), re.sub("^file:/+", "/", root))
+        task, n, made = TaskContext.get().partitionId(), 0, set()
+        for b in batches:
+            for value, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                name = re.sub(r"""[\x00-\x1f"#%'*/:=?\\{\[\]^\x7f]""", lambda m: f"%{ord(m[0]):02X}", value) or "__HIVE_DEFAULT_PARTITION__"  # as Spark names folders
+                at = f"{top}/{by}={name}"
+                if at not in made:
+                    system.create_dir(at, recursive=True)
+                    made.add(at)
+                with system.open_output_stream(f"{at}/part-{task:05d}-{n}.txt") as f:
+                    f.write(text.encode() + b"\n")
+                n += 1
+        yield RecordBatch.from_arrays([array([n], "int64")], names=["n"])
+
+    return df.select(by, column).mapInArrow(run, "n long").agg(F.sum("n")).first()[0] or 0
+
+
 def raw_samples(spark: SparkSession, data, y=None, modality: str = "text") -> DataFrame:
     """Samples of one modality, as a frame of id, sample and (with ``y``) label.
 

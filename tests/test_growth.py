@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tessera.functions import columns, media, textcount
 from tessera.operators import boosting, ensemble, learn, split, text, tuning
+from tessera.sources import tables
 
 
 def _plan(df) -> str:
@@ -109,3 +110,13 @@ def test_a_matrix_beyond_memory_is_fitted_and_noted(spark, monkeypatch):
     df = spark.range(400).selectExpr("id", "CAST(id % 17 AS DOUBLE) AS x", "CAST(id % 17 * 2 AS DOUBLE) AS y")
     model = learn.fit(df, learn.FitConfig(target="y", key="id", task="regression", learner="linear"))
     assert any("matrix" in n for n in model.notes) and model.predict(df, ["id"]).count() == 400
+
+
+def test_texts_are_written_by_their_own_tasks(spark, tmp_path):
+    """One file a row in folders as Spark names them, without the checksum file and the move that Spark's writer spends on each."""
+    rows = [("en", "one\ntwo"), ("en", ""), ("a/b:c", "Ö\U0001f600"), ("", "three")]
+    folder = f"file://{tmp_path}/texts"
+    assert tables.write_texts(spark.createDataFrame(rows, "lang string, text string").repartition(3), folder, "lang", "text") == 4
+    read = tables.load_folder(spark, folder, "*.txt").select("label", F.decode("content", "UTF-8").alias("t"))
+    assert {tuple(r) for r in read.collect()} == {("lang=en", "one\ntwo\n"), ("lang=en", "\n"), ("lang=a%2Fb%3Ac", "Ö\U0001f600\n"), ("lang=__HIVE_DEFAULT_PARTITION__", "three\n")}
+    assert not list(tmp_path.rglob("*.crc"))
